@@ -1,4 +1,4 @@
 """Every operator as a registered query."""
 
-from loupe.suite import cleaning, preparing  # noqa: F401
+from loupe.suite import cleaning, preparing, profiling  # noqa: F401
 from loupe.suite.registry import QUERIES, SQL  # noqa: F401
