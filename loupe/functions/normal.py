@@ -8,6 +8,7 @@ Halley step.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
@@ -57,13 +58,25 @@ def normal_cdf(z: Column) -> Column:
     return F.when(z > 0, 1 - upper).otherwise(upper)
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once; it is used in many places."""
+    return F.transform(F.array(value), then)[0]
+
+
 def normal_ppf(p: Column) -> Column:
     """The z with P(Z <= z) = p, for 0 < p < 1."""
+    return _let(p, lambda p: _let(_acklam(p), lambda z: _sharpened(p, z)))
+
+
+def _acklam(p: Column) -> Column:
     q = p - 0.5
     r = q * q
     middle = q * _horner(r, ACKLAM_A) / _horner(r, ACKLAM_B)
     t = F.sqrt(-2 * F.log(F.least(p, 1 - p)))
     outer = _horner(t, ACKLAM_C) / _horner(t, ACKLAM_D)
-    z = F.when(F.abs(q) <= 0.5 - 0.02425, middle).otherwise(F.when(q < 0, outer).otherwise(-outer))
+    return F.when(F.abs(q) <= 0.5 - 0.02425, middle).otherwise(F.when(q < 0, outer).otherwise(-outer))
+
+
+def _sharpened(p: Column, z: Column) -> Column:
     error = (normal_cdf(z) - p) * F.lit(math.sqrt(2 * math.pi)) * F.exp(z * z / 2)
     return F.when((p > 0) & (p < 1), z - error / (1 + z * error / 2))

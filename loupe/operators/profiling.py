@@ -10,11 +10,13 @@ import re
 from collections.abc import Sequence
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Row, Window as W, functions as F, types as T
 
-from loupe.frames import attach_row, col, is_numeric, number, numeric_columns, quoted, require
+from loupe.frames import attach_row, col, is_numeric, number, numeric_columns, require
 from loupe.functions.coerce import to_moment
-from loupe.ordered import Sort, _sort_columns
+from loupe.moments import moments
+from loupe.ordered import Sort, sort_columns
 from loupe.quantiles import column_quantiles
 
 #: column names that mark an identifier (fixed pattern)
@@ -85,7 +87,7 @@ def _reads_as_date(value: Column) -> Column:
 
 def leading_values(df: DataFrame, columns: Sequence[str], order_by: Sort, n: int) -> DataFrame:
     """The first n known values of each column, in the given order."""
-    order = _sort_columns(order_by)
+    order = sort_columns(order_by)
     texts = [F.struct(F.lit(c).alias("column"), col(c).alias("value")) for c in columns]
     long = df.select(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]).alias("_o"), F.inline(F.array(*texts)))
     place = F.row_number().over(W.partitionBy("column").orderBy("_o"))
@@ -236,7 +238,7 @@ def describe_schema(df: DataFrame, order_by: Sort | None = None, identifier_inte
 
 def sample_rows(df: DataFrame, order_by: Sort, n: int = 3) -> DataFrame:
     """The first rows in the given order."""
-    return df.orderBy(*_sort_columns(order_by)).limit(n)
+    return df.orderBy(*sort_columns(order_by)).limit(n)
 
 
 def profile_columns(df: DataFrame, order_by: Sort | None = None, identifier_integral_only: bool = False) -> DataFrame:
@@ -411,15 +413,32 @@ def missing_patterns(df: DataFrame, first: int = 15) -> DataFrame:
 
 
 def pairwise_correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column_a, column_b, r) over the rows where both columns are known."""
+    """(column_a, column_b, r) over the rows where both columns are known.
+
+    Pairs of columns without gaps share one pass of plain product sums; only
+    pairs with gaps need sums of their own.
+    """
     names = list(columns) if columns is not None else numeric_columns(df)
+    values = df.select(*[number(c).alias(f"c{i}") for i, c in enumerate(names)])
+    counted = values.agg(F.count("*"), *[F.count(c) for c in values.columns]).first()
+    full = [i for i in range(len(names)) if counted[i + 1] == counted[0]]
+    r: dict[tuple[str, str], float | None] = {}
+    if len(full) > 1:
+        whole = moments(values, [f"c{i}" for i in full])
+        matrix = whole.correlation() if whole else np.full((len(full), len(full)), np.nan)
+        for a, b in combinations(range(len(full)), 2):
+            found = float(matrix[a, b])
+            r[names[full[a]], names[full[b]]] = None if np.isnan(found) else found
     pairs = list(combinations(names, 2))
+    known = [(a, b, r[a, b]) for a, b in pairs if (a, b) in r]
+    result = df.sparkSession.createDataFrame(known, "column_a string, column_b string, r double")
+    gaps = [p for p in pairs if p not in r]
 
-    def r(a: str, b: str) -> Column:
+    def corr(a: str, b: str) -> Column:
         both = number(a).isNotNull() & number(b).isNotNull()
         return F.nanvl(F.corr(F.when(both, number(a)), F.when(both, number(b))), F.lit(None).cast("double"))
 
-    return _pair_table(df, pairs, {"r": r}, "r double")
+    return result.unionByName(_pair_table(df, gaps, {"r": corr}, "r double")) if gaps else result
 
 
 def duplicate_columns(df: DataFrame, columns: Sequence[str] | None = None, above: float = 0.999) -> DataFrame:

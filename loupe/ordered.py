@@ -28,13 +28,13 @@ HALO_ROWS = 65_536
 Sort = Sequence[str | Column]
 
 
-def _sort_columns(sort: Sort) -> list[Column]:
+def sort_columns(sort: Sort) -> list[Column]:
     return [col(s) if isinstance(s, str) else s for s in sort]
 
 
 def in_buckets(df: DataFrame, sort: Sort, keys: Sequence[str] = ()) -> DataFrame:
     """Sort the table across buckets; adds ``_bucket`` and ``_place``."""
-    order = [col(k) for k in keys] + _sort_columns(sort)
+    order = [col(k) for k in keys] + sort_columns(sort)
     if not order:
         raise ValueError("an order is needed: rows of a DataFrame have none of their own")
     tag = F.monotonically_increasing_id()

@@ -1,6 +1,6 @@
 """Run registered queries next to their SQL in DuckDB and compare the rows.
 
-    python tests/check_queries.py [sf] [name-part ...]
+    python tests/check_queries.py [sf] [name-part or suite module ...]
 """
 
 from __future__ import annotations
@@ -78,7 +78,11 @@ def main():
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(folder)
     sqls, bad, slow = entry.oracle_sql(), [], []
-    chosen = {n: q for n, q in entry.queries().items() if not arguments[1:] or any(a in n for a in arguments[1:])}
+    parts = arguments[1:]
+    chosen = {
+        n: q for n, q in entry.queries().items()
+        if not parts or any(a in n or q.__module__.endswith("." + a) for a in parts)
+    }
     for name, run in chosen.items():
         start = time.time()
         try:
