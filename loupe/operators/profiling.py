@@ -381,7 +381,7 @@ def _pair_table(df: DataFrame, pairs, aggregates, fields: str) -> DataFrame:
     return result if result is not None else spark.createDataFrame([], f"column_a string, column_b string, {fields}")
 
 
-def _unknown(df: DataFrame, name: str) -> Column:
+def is_missing(df: DataFrame, name: str) -> Column:
     return _text(df.schema[name]).isNull()
 
 
@@ -391,12 +391,12 @@ def missing_patterns(df: DataFrame, first: int = 15) -> DataFrame:
     Looks at columns missing in some but less than 95 % of at least 20 rows,
     the first 15 of them against all later ones.
     """
-    counted = df.agg(F.count("*"), *[F.count_if(_unknown(df, c)) for c in df.columns]).first()
+    counted = df.agg(F.count("*"), *[F.count_if(is_missing(df, c)) for c in df.columns]).first()
     rows, missing = counted[0], dict(zip(df.columns, counted[1:]))
     partly = [c for c in df.columns if 0 < missing[c] < 0.95 * rows] if rows >= 20 else []
     pairs = [(a, b) for i, a in enumerate(partly[:first]) for b in partly[i + 1 :]]
     joint = _pair_table(
-        df, pairs, {"joint_missing": lambda a, b: F.count_if(_unknown(df, a) & _unknown(df, b))}, "joint_missing long"
+        df, pairs, {"joint_missing": lambda a, b: F.count_if(is_missing(df, a) & is_missing(df, b))}, "joint_missing long"
     )
     if not pairs:
         return joint.withColumns({c: F.lit(None).cast("double") for c in ("a_when_b_missing_rate", "b_when_a_missing_rate")})
