@@ -62,3 +62,13 @@ def rows_from(one_row: DataFrame, structs: Sequence[Column]) -> DataFrame:
 def share(part: Column, whole: Column, scale: float = 100.0) -> Column:
     """part / whole * scale; NULL where the whole is zero."""
     return F.try_divide(part.cast("double") * F.lit(scale), whole.cast("double"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for data that is read many times.
+
+    Only inputs with fewer partitions than cores, so a handful of small files,
+    are shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -12,7 +12,7 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loupe.frames import col, number, pick_numeric
+from loupe.frames import col, number, pick_numeric, spread
 from loupe.moments import Moments, moments
 
 
@@ -121,11 +121,13 @@ def cluster_analysis(
         raise ValueError("clusters need ten complete rows")
     scaled = _scaled(found)
     zs = [f"z{i}" for i in range(len(names))]
-    vectors = VectorAssembler(inputCols=zs, outputCol="features").transform(
-        known.select(*[z.alias(n) for n, z in zip(zs, scaled)])
-    ).select("features")
+    vectors = spread(
+        VectorAssembler(inputCols=zs, outputCol="features")
+        .transform(known.select(*[z.alias(n) for n, z in zip(zs, scaled)]))
+        .select("features")
+    )
     evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
-    fit = lambda k: KMeans(k=k, seed=seed, maxIter=100).fit(vectors)
+    fit = lambda k, steps: KMeans(k=k, seed=seed, maxIter=steps).fit(vectors)
 
     def silhouette(model) -> float | None:
         return evaluator.evaluate(model.transform(vectors)) if len(model.clusterCenters()) > 1 else None
@@ -133,12 +135,11 @@ def cluster_analysis(
     vectors.persist(StorageLevel.MEMORY_AND_DISK)  # read by every iteration of every fit
     try:
         if n_clusters is None:
-            tried = [fit(k) for k in range(2, min(max_clusters, found.n // 2) + 1)]
-            scored = [(silhouette(m), m) for m in tried]
-            score, model = max(scored, key=lambda pair: -2 if pair[0] is None else pair[0])
-        else:
-            model = fit(n_clusters)
-            score = silhouette(model)
+            # a few steps are enough to rank the candidates
+            scores = {k: silhouette(fit(k, 10)) for k in range(2, min(max_clusters, found.n // 2) + 1)}
+            n_clusters = max(scores, key=lambda k: -2 if scores[k] is None else scores[k])
+        model = fit(n_clusters, 100)
+        score = silhouette(model)
         sizes = {r.prediction: r["count"] for r in model.transform(vectors).groupBy("prediction").count().collect()}
     finally:
         vectors.unpersist()

@@ -138,12 +138,12 @@ h AS (SELECT (sum(n) - 1) * sum(s * s / n) / sum(ss) AS h FROM q)"""
 
 
 @query("compare_groups_ranks", f"""
-WITH {groups_sql("events", "user_id", "value")}, {KRUSKAL}
+WITH {groups_sql("orders", "o_custkey", "o_totalprice")}, {KRUSKAL}
 SELECT 'Kruskal-Wallis' AS test, {R("h")} AS statistic, {R("ssb / (ssb + ssw)", 6)} AS eta_squared,
   k AS n_groups, CAST(n AS BIGINT) AS total_n FROM s, h""")
 def compare_groups_ranks(spark, d):
-    """Users with few events, so that the rank test is chosen."""
-    row = rel.compare_groups(table(spark, d, "events"), "user_id", "value").drop("p_value", "significant")
+    """Customers with few orders, so that the rank test is chosen."""
+    row = rel.compare_groups(table(spark, d, "orders"), "o_custkey", "o_totalprice").drop("p_value", "significant")
     return rounded(row, 6, statistic=4)
 
 
@@ -207,10 +207,12 @@ def correlation_pairs(spark, d):
 
 
 @query("related_columns", f"""
-WITH t AS (SELECT * FROM lineitem), m AS ({matrix_sql(MATRIX, lambda a, b: f"corr({a}, {b})")})
+WITH t AS (SELECT *, l_extendedprice * (1 - l_discount) AS revenue FROM lineitem),
+m AS ({matrix_sql(["l_discount", "l_extendedprice", "l_quantity", "revenue"], lambda a, b: f"corr({a}, {b})")})
 SELECT a, b, r FROM m WHERE a < b AND abs(r) > 0.3""")
 def related_columns(spark, d):
-    return rounded(rel.related(table(spark, d, "lineitem"), MATRIX).drop("p_value"), 6)
+    lines = table(spark, d, "lineitem").withColumn("revenue", F.expr("l_extendedprice * (1 - l_discount)"))
+    return rounded(rel.related(lines, ["l_discount", "l_extendedprice", "l_quantity", "revenue"]).drop("p_value"), 6)
 
 
 @query("eda_correlation", f"""
