@@ -138,7 +138,7 @@ def cluster_analysis(
             # a few steps are enough to rank the candidates
             scores = {k: silhouette(fit(k, 10)) for k in range(2, min(max_clusters, found.n // 2) + 1)}
             n_clusters = max(scores, key=lambda k: -2 if scores[k] is None else scores[k])
-        model = fit(n_clusters, 100)
+        model = fit(n_clusters, 40)
         score = silhouette(model)
         sizes = {r.prediction: r["count"] for r in model.transform(vectors).groupBy("prediction").count().collect()}
     finally:

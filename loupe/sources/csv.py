@@ -9,6 +9,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from loupe.frames import col, is_numeric
 from loupe.session import shared_folder
 
 #: encodings in the order they are tried (fixed values); latin1 reads anything
@@ -105,7 +106,20 @@ def read_csv(spark: SparkSession, *paths: str, infer_schema: bool = True, **opti
                 _transcoded(spark, files, encoding, header), header=False, inferSchema=infer_schema, **options
             ).toDF(*names)
         parts.append(part)
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), _aligned(parts))
+
+
+def _aligned(parts: Sequence[DataFrame]) -> list[DataFrame]:
+    """Give a column one type in all parts: double for mixed numbers, else string."""
+    found: dict[str, set] = {}
+    for part in parts:
+        for f in part.schema.fields:
+            found.setdefault(f.name, set()).add(f.dataType)
+    wanted = {
+        name: "double" if all(is_numeric(t) for t in types) else "string"
+        for name, types in found.items() if len(types) > 1
+    }
+    return [p.withColumns({c: col(c).cast(wanted[c]) for c in p.columns if c in wanted}) for p in parts]
 
 
 def _transcoded_header(spark: SparkSession, header: bytes, encoding: str) -> str:

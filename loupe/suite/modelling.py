@@ -62,28 +62,28 @@ def train_single_feature(spark, d):
 
 
 @query("feature_table", f"""
-WITH {MODEL} SELECT 'l_quantity' AS feature, {R("ca")} AS coefficient, {R("alo")} AS "min", {R("ahi")} AS "max", {R("ma")} AS mean FROM m
-UNION ALL SELECT 'l_discount', {R("cb")}, {R("blo")}, {R("bhi")}, {R("mb")} FROM m""")
+WITH {MODEL} SELECT 'l_quantity' AS feature, {R("ca")} AS coefficient, {R("alo")} AS "min", {R("ahi")} AS "max", {R("ma", 6)} AS mean FROM m
+UNION ALL SELECT 'l_discount', {R("cb")}, {R("blo")}, {R("bhi")}, {R("mb", 6)} FROM m""")
 def feature_table(spark, d):
-    return rounded(fitted(spark, d).feature_table())
+    return rounded(fitted(spark, d).feature_table(), mean=6)
 
 
 @query("feature_ranges", f"""
-WITH {MODEL} SELECT 'l_quantity' AS feature, {R("alo")} AS "min", {R("ahi")} AS "max", {R("ma")} AS mean FROM m
-UNION ALL SELECT 'l_discount', {R("blo")}, {R("bhi")}, {R("mb")} FROM m""")
+WITH {MODEL} SELECT 'l_quantity' AS feature, {R("alo")} AS "min", {R("ahi")} AS "max", {R("ma", 6)} AS mean FROM m
+UNION ALL SELECT 'l_discount', {R("blo")}, {R("bhi")}, {R("mb", 6)} FROM m""")
 def feature_ranges(spark, d):
-    return rounded(reg.feature_ranges(fitted(spark, d)))
+    return rounded(reg.feature_ranges(fitted(spark, d)), mean=6)
 
 
 @query("feature_importance", f"""
 WITH {MODEL}, w AS (SELECT *, ca * sqrt(saa / syy) AS wa, cb * sqrt(sbb / syy) AS wb FROM m)
 SELECT 'l_quantity' AS feature, {R("wa", 6)} AS standardized_coefficient, {R("ca")} AS original_coefficient,
   {R("say / sqrt(saa * syy)", 6)} AS correlation_with_target, {R("abs(wa) / (abs(wa) + abs(wb)) * 100")} AS relative_importance,
-  {R("ma")} AS x_mean, {R("sqrt(saa / (n - 1))")} AS x_std FROM w
+  {R("ma", 6)} AS x_mean, {R("sqrt(saa / (n - 1))")} AS x_std FROM w
 UNION ALL SELECT 'l_discount', {R("wb", 6)}, {R("cb")}, {R("sby / sqrt(sbb * syy)", 6)},
-  {R("abs(wb) / (abs(wa) + abs(wb)) * 100")}, {R("mb")}, {R("sqrt(sbb / (n - 1))")} FROM w""")
+  {R("abs(wb) / (abs(wa) + abs(wb)) * 100")}, {R("mb", 6)}, {R("sqrt(sbb / (n - 1))")} FROM w""")
 def feature_importance(spark, d):
-    return rounded(reg.feature_importance(fitted(spark, d)), standardized_coefficient=6, correlation_with_target=6)
+    return rounded(reg.feature_importance(fitted(spark, d)), standardized_coefficient=6, correlation_with_target=6, x_mean=6)
 
 
 @query("vif", f"""
@@ -169,13 +169,13 @@ def contributions(spark, d):
 @query("scenario_compare", f"""
 WITH {MODEL}, n AS (SELECT 'current' AS scenario, ma AS a, mb AS b FROM m UNION ALL SELECT 'bulk', 45, mb FROM m
   UNION ALL SELECT 'sale', ma, 0.1 FROM m UNION ALL SELECT 'both', 45, 0.1 FROM m)
-SELECT scenario, {R("a")} AS l_quantity, {R("b")} AS l_discount, {R("c0 + ca * a + cb * b", 2)} AS prediction,
+SELECT scenario, {R("a", 6)} AS l_quantity, {R("b", 6)} AS l_discount, {R("c0 + ca * a + cb * b", 2)} AS prediction,
   {R("c0 + ca * a + cb * b - 1.96 * rs", 2)} AS lower, {R("c0 + ca * a + cb * b + 1.96 * rs", 2)} AS upper,
   {R("ca * (a - ma) + cb * (b - mb)", 2)} AS difference FROM n, m""")
 def scenario_compare(spark, d):
     model = fitted(spark, d)
     named = {"bulk": {"l_quantity": 45}, "sale": {"l_discount": 0.1}, "both": {"l_quantity": 45, "l_discount": 0.1}}
-    return rounded(whatif.scenario_compare(model, whatif.scenarios(model, named)), prediction=2, lower=2, upper=2, difference=2)
+    return rounded(whatif.scenario_compare(model, whatif.scenarios(model, named)), 6, prediction=2, lower=2, upper=2, difference=2)
 
 
 GRID = f"""{MODEL}, f AS (SELECT 'l_quantity' AS feature, alo AS lo, ahi AS hi, ma AS mean FROM m
