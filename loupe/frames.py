@@ -40,7 +40,7 @@ def pick_numeric(df: DataFrame, columns: Sequence[str] | None) -> list[str]:
 
 def number(name: str) -> Column:
     """Column as double, with NaN read as NULL."""
-    return F.nanvl(col(name).cast("double"), F.lit(None).cast("double"))
+    return F.expr(f"nanvl(CAST({quoted(name)} AS DOUBLE), CAST(NULL AS DOUBLE))")
 
 
 def single(df: DataFrame, name: str, alias: str = "v") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import statistics
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -47,17 +48,21 @@ def histograms(df: DataFrame, columns: Sequence[str], bins: int = 30) -> DataFra
     spark = df.sparkSession
     if not edges:
         return spark.createDataFrame([], "column string, bin long, left double, right double, count long")
-    entries = []
-    for c, (low, high) in edges.items():
-        v, step = number(c), (high - low) / bins
-        edge = lambda k: F.when(k == bins, F.lit(high)).otherwise(k * F.lit(step) + F.lit(low))
-        guess = F.least(F.floor((v - F.lit(low)) * F.lit(bins / (high - low))), F.lit(bins - 1))
-        # rounding may put a value that lies on an edge one bin off
-        place = F.when(v < edge(guess), guess - 1).when((v >= edge(guess + 1)) & (guess < bins - 1), guess + 1)
+    # Two projections, so that the guess is computed once per value.
+    guesses, places = [], []
+    for i, (c, (low, high)) in enumerate(edges.items()):
+        v = number(c)
         # least() skips NULL, so a missing value must not reach it
-        entries.append(F.struct(F.lit(c).alias("column"), F.when(v.isNotNull(), place.otherwise(guess)).alias("bin")))
+        guess = F.when(v.isNotNull(), F.least(F.floor((v - low) * (bins / (high - low))), F.lit(bins - 1)))
+        guesses += [v.alias(f"v{i}"), guess.alias(f"g{i}")]
+        v, guess, step = F.col(f"v{i}"), F.col(f"g{i}"), (high - low) / bins
+        # rounding may put a value that lies on an edge one bin off
+        right = F.when(guess == bins - 1, high).otherwise((guess + 1) * step + low)
+        place = F.when(v < guess * step + low, guess - 1).when((v >= right) & (guess < bins - 1), guess + 1).otherwise(guess)
+        places.append(F.struct(F.lit(c).alias("column"), place.alias("bin")))
     counted = (
-        df.select(F.inline(F.array(*entries)))
+        df.select(*guesses)
+        .select(F.inline(F.array(*places)))
         .where(F.col("bin").isNotNull())
         .groupBy("column", "bin")
         .agg(F.count("*").alias("count"))
@@ -135,22 +140,29 @@ def sample_kurtosis(v: Column) -> Column:
     return F.when(n >= 4, F.when(F.min(v) == F.max(v), 0.0).otherwise(corrected))
 
 
-def _summary(v: Column) -> list[tuple[str, Column]]:
-    return [
-        ("count", F.count(v)), ("mean", F.avg(v)), ("std", F.stddev(v)), ("min", F.min(v)), ("max", F.max(v)),
-        ("skewness", sample_skewness(v)), ("kurtosis", sample_kurtosis(v)),
-    ]
+_SUMMARY = ["count", "mean", "std", "min", "max", "skewness", "kurtosis"]
+
+
+def _summary(v: Column, suffix: str) -> list[Column]:
+    columns = [F.count(v), F.avg(v), F.stddev(v), F.min(v), F.max(v), sample_skewness(v), sample_kurtosis(v)]
+    return [c.alias(f"{n}_{suffix}") for n, c in zip(_SUMMARY, columns)]
 
 
 def eda_exploratory(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row per numeric column: count, mean, std, quartiles, skewness, kurtosis."""
     names = list(numeric_columns(df) if columns is None else columns)
     quartiles = column_quantiles(df, names, [0.25, 0.5, 0.75])
-    wide = df.agg(*[e.alias(f"{n}_{i}") for i, c in enumerate(names) for n, e in _summary(number(c))])
+    # a few columns per pass: Spark compiles an aggregate of up to 100 buffers
+    parts = [names[i : i + 4] for i in range(0, len(names), 4)]
+    return reduce(DataFrame.unionByName, [_explored(df, part, quartiles) for part in parts])
+
+
+def _explored(df: DataFrame, names: Sequence[str], quartiles: dict[str, list[float | None]]) -> DataFrame:
+    wide = df.agg(*[e for i, c in enumerate(names) for e in _summary(number(c), str(i))])
     rows = [
         F.struct(
             F.lit(c).alias("column"),
-            *[F.col(f"{n}_{i}").alias(n) for n, _ in _summary(F.lit(0))],
+            *[F.col(f"{n}_{i}").alias(n) for n in _SUMMARY],
             *[F.lit(q).cast("double").alias(name) for name, q in zip(("q25", "q50", "q75"), quartiles[c])],
         )
         for i, c in enumerate(names)

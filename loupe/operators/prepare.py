@@ -95,7 +95,7 @@ def coerce_numeric(df: DataFrame, *columns: str) -> DataFrame:
 def coerce_datetime(df: DataFrame, column: str, formats: Sequence[str] | None = None) -> DataFrame:
     """Read a column as timestamps and drop the rows that cannot be read."""
     require(df, column)
-    moment = to_moment(col(column), df.schema[column].dataType, *([formats] if formats else []))
+    moment = to_moment(col(column), df.schema[column].dataType, formats)
     return df.withColumn(column, moment).where(col(column).isNotNull())
 
 

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Row, Window as W, functions as F, types as T
 
-from loupe.frames import attach_row, col, is_numeric, number, numeric_columns, require
+from loupe.frames import attach_row, col, is_numeric, number, numeric_columns, quoted, require
 from loupe.functions.coerce import to_moment
 from loupe.moments import moments
 from loupe.ordered import Sort, sort_columns
@@ -41,19 +42,33 @@ def _kind(data_type: T.DataType) -> str:
     return "other"
 
 
-def _text(field: T.StructField) -> Column:
+def _known(field: T.StructField) -> Column:
+    """The column with NaN as NULL and -0.0 as 0.0."""
     if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
-        # NaN is a missing value; adding 0.0 makes -0.0 equal to 0.0
-        return (F.nanvl(col(field.name), F.lit(None).cast(field.dataType)) + F.lit(0.0)).cast("string")
-    return col(field.name).cast("string")
+        kind = field.dataType.simpleString()
+        return F.expr(f"nanvl({quoted(field.name)}, CAST(NULL AS {kind})) + CAST(0 AS {kind})")
+    return col(field.name)
 
 
 def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column, value as text, n) for the known values of the columns."""
-    fields = [f for f in df.schema.fields if columns is None or f.name in columns]
-    texts = df.select(*[_text(f).alias(f.name) for f in fields])
-    long = texts.unpivot([], [col(f.name) for f in fields], "column", "value")
-    return long.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count("*").alias("n"))
+    """(column, value as text, n) for the known values of the columns.
+
+    Columns of one type are counted together as they are; only distinct values
+    are written as text.  Over a columnar file each of these passes reads its
+    own columns, so that all of them read the file once.
+    """
+    families: dict[str, list[T.StructField]] = {}
+    for f in df.schema.fields:
+        if columns is None or f.name in columns:
+            kind = "bigint" if isinstance(f.dataType, T.IntegralType) else f.dataType.simpleString()
+            families.setdefault(kind, []).append(f)
+    parts = []
+    for kind, fields in families.items():
+        values = df.select(*[_known(f).cast(kind).alias(f.name) for f in fields])
+        long = values.unpivot([], [col(f.name) for f in fields], "column", "value")
+        counted = long.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count("*").alias("n"))
+        parts.append(counted.select("column", F.col("value").cast("string").alias("value"), "n"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def top_values(counts: DataFrame, n: int = 5) -> DataFrame:
@@ -293,7 +308,7 @@ def repeated_groups(df: DataFrame, subset: Sequence[str] | None = None) -> DataF
 
 def profile_table(df: DataFrame) -> DataFrame:
     """One row: rows, columns, share of known cells, rows beyond the first copy."""
-    known = sum((F.count(_text(f)) for f in df.schema.fields), F.lit(0))
+    known = sum((F.count(_known(f)) for f in df.schema.fields), F.lit(0))
     size = df.agg(F.count("*").alias("rows"), known.alias("known"))
     copies = repeated_groups(df).agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicate_rows"))
     return attach_row(size, copies).select(
@@ -382,7 +397,7 @@ def _pair_table(df: DataFrame, pairs, aggregates, fields: str) -> DataFrame:
 
 
 def is_missing(df: DataFrame, name: str) -> Column:
-    return _text(df.schema[name]).isNull()
+    return _known(df.schema[name]).isNull()
 
 
 def missing_patterns(df: DataFrame, first: int = 15) -> DataFrame:

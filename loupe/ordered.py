@@ -24,6 +24,8 @@ BUCKET, PLACE, POSITION = "_bucket", "_place", "_position"
 _ID_BITS = 33
 #: frames up to this many rows are computed with copied edge rows
 HALO_ROWS = 65_536
+#: frames up to this many rows are summed directly, row by row
+_DIRECT_ROWS = 16
 
 Sort = Sequence[str | Column]
 
@@ -158,12 +160,16 @@ def with_frame_sum(
         targets = F.sequence(F.floor(F.greatest(pos - after, F.lit(0)) / chunk), F.floor((pos + before) / chunk))
         spread = positioned.withColumn("_chunk", F.explode(targets))
         order = W.partitionBy("_chunk").orderBy(POSITION)
-        frame = order.rowsBetween(-before, after)
         inside = (F.lag(key, before).over(order) == key) & (F.lead(key, after).over(order) == key)
+        if width <= _DIRECT_ROWS:
+            total = F.sum(value).over(order.rowsBetween(-before, after))
+        else:
+            # constant work per row: the running sum at the frame's end less
+            # that before its start, within the chunk
+            spread = spread.withColumn("_upto", F.sum(value).over(order.rowsBetween(W.unboundedPreceding, 0)))
+            total = F.lead("_upto", after).over(order) - F.coalesce(F.lag("_upto", before + 1).over(order), F.lit(0.0))
         return (
-            spread.withColumn("_frame_sum", F.when(inside, F.sum(value).over(frame)))
-            .where(F.col("_chunk") == home)
-            .drop("_chunk")
+            spread.withColumn("_frame_sum", F.when(inside, total)).where(F.col("_chunk") == home).drop("_chunk", "_upto")
         )
     # Wide frames: the sum is the difference of two running sums, fetched by
     # position with equi-joins.

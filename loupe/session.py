@@ -20,6 +20,8 @@ def local_session(cores: int | str = "*", memory: str = "12g", app: str = "loupe
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # recording the call site of every column expression costs more than small queries do
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
