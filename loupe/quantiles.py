@@ -1,10 +1,10 @@
 """Exact quantiles with linear interpolation, at any size.
 
 ``percentile`` keeps every distinct value of a group in one task, so it is
-used only where the number of rows is known to be small enough.  Beyond that,
-one column's order statistics are found by narrowing: each pass counts rows in
+used only where those are few, however many rows there are.  Beyond that, one
+column's order statistics are found by narrowing: each pass counts rows in
 equal slices of the bracket that holds the wanted rank and keeps that slice.
-Groups that are too large are ranked with the distributed running sum.
+Groups with too many values are ranked with the distributed running sum.
 """
 
 from __future__ import annotations
@@ -17,50 +17,51 @@ from pyspark.sql import DataFrame, functions as F
 from loupe.frames import col, number
 from loupe.ordered import with_running_sum
 
-#: rows per group up to which ``percentile`` may hold the group in one task
-PERCENTILE_ROWS = 2_000_000
+#: (estimated) distinct values per group up to which ``percentile`` holds them in one task
+PERCENTILE_VALUES = 200_000
 _SLICES = 4096
 
 
 def column_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], percentile_rows: int | None = None
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], percentile_values: int | None = None
 ) -> dict[str, list[float | None]]:
     """Quantiles of whole columns, as plain numbers (len(columns) * len(probs) of them).
 
     Known bounds become literals, so that later filters on them reach the scan.
     """
-    limit = PERCENTILE_ROWS if percentile_rows is None else percentile_rows
-    columns = list(columns)
+    limit = PERCENTILE_VALUES if percentile_values is None else percentile_values
+    columns, probs = list(columns), [float(p) for p in probs]
     if not columns:
         return {}
     values = df.select([number(c).alias(f"c{i}") for i, c in enumerate(columns)])
-    counts = values.agg(*[F.count(c).alias(c) for c in values.columns]).first()
-    if max(counts) <= limit:
-        wanted = F.array(*[F.lit(float(p)) for p in probs])
-        row = values.agg(*[F.percentile(c, wanted).alias(c) for c in values.columns]).first()
-        return {c: list(row[i]) if row[i] is not None else [None] * len(probs) for i, c in enumerate(columns)}
-
-    places = [[(n - 1) * p for p in probs] for n in counts]
-    ranks = {
-        (i, r) for i, row in enumerate(places) if counts[i] for h in row for r in (math.floor(h), math.ceil(h))
-    }
-    found = _order_statistics(values, counts, ranks)
-
-    def at(i: int, h: float) -> float | None:
-        if not counts[i]:
-            return None
-        low, high = found[i, math.floor(h)], found[i, math.ceil(h)]
-        return low + (high - low) * (h - math.floor(h))
-
-    return {c: [at(i, h) for h in places[i]] for i, c in enumerate(columns)}
-
-
-def _order_statistics(values: DataFrame, counts, ranks: set[tuple[int, int]]) -> dict[tuple[int, int], float]:
+    facts = values.agg(
+        *[f(c) for c in values.columns for f in (F.count, F.approx_count_distinct, F.min, F.max)]
+    ).first()
+    counts, distinct = facts[0::4], facts[1::4]
+    edges = list(zip(facts[2::4], facts[3::4]))
+    few = [i for i, n in enumerate(distinct) if n <= limit]
+    result: dict[str, list[float | None]] = {}
+    if few:
+        wanted = F.array(*[F.lit(p) for p in probs])
+        row = values.agg(*[F.percentile(f"c{i}", wanted) for i in few]).first()
+        result = {columns[i]: list(q) if q is not None else [None] * len(probs) for i, q in zip(few, row)}
+    many = [i for i in range(len(columns)) if i not in few]
+    if many:
+        places = {i: [(counts[i] - 1) * p for p in probs] for i in many}
+        ranks = {(i, r) for i in many for h in places[i] for r in (math.floor(h), math.ceil(h))}
+        found = _order_statistics(values, edges, ranks)
+        for i in many:
+            ends = [(found[i, math.floor(h)], found[i, math.ceil(h)], h - math.floor(h)) for h in places[i]]
+            result[columns[i]] = [low + (high - low) * part for low, high, part in ends]
+    return {c: result[c] for c in columns}
+
+
+def _order_statistics(
+    values: DataFrame, edges: Sequence[tuple[float, float]], ranks: set[tuple[int, int]]
+) -> dict[tuple[int, int], float]:
     """Values at the given 0-based ranks of each column, by narrowing."""
-    edges = values.agg(*[f(c) for c in values.columns for f in (F.min, F.max)]).first()
-    brackets = {  # (column, rank) -> lowest value, highest value, rows below
-        (i, r): (edges[2 * i], edges[2 * i + 1], 0) for i, r in ranks
-    }
+    # (column, rank) -> lowest value, highest value, rows below
+    brackets = {(i, r): (*edges[i], 0) for i, r in ranks}
     found: dict[tuple[int, int], float] = {}
     while True:
         found.update({k: b[0] for k, b in brackets.items() if b[0] == b[1]})
@@ -68,23 +69,18 @@ def _order_statistics(values: DataFrame, counts, ranks: set[tuple[int, int]]) ->
         if not brackets:
             return found
         open_slices = sorted({(i, b[0], b[1]) for (i, _), b in brackets.items()})
-        entries = []
+        entries, inside = [], F.lit(False)
         for s, (i, low, high) in enumerate(open_slices):
             v = F.col(f"c{i}")
-            place = (v / 2 - low / 2) / (high / 2 - low / 2) * _SLICES
-            entries.append(
-                F.when(
-                    v.between(low, high),
-                    F.struct(
-                        F.lit(s).alias("s"),
-                        F.least(F.floor(place), F.lit(_SLICES - 1)).alias("slice"),
-                        v.alias("v"),
-                    ),
-                )
-            )
+            within = v.between(low, high)
+            # halves, as the difference of two large numbers may overflow
+            place = F.least(F.floor((v / 2 - low / 2) / (high / 2 - low / 2) * _SLICES), F.lit(_SLICES - 1))
+            entries.append(F.struct(F.when(within, s).alias("s"), place.alias("slice"), v.alias("v")))
+            inside |= within
         sliced = (
-            values.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e"))
-            .select("e.*")
+            values.where(inside)
+            .select(F.inline(F.array(*entries)))
+            .where(F.col("s").isNotNull())
             .groupBy("s", "slice")
             .agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
             .orderBy("s", "slice")
@@ -105,14 +101,14 @@ def _order_statistics(values: DataFrame, counts, ranks: set[tuple[int, int]]) ->
 
 def group_quantiles(
     df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str],
-    percentile_rows: int | None = None,
+    percentile_values: int | None = None,
 ) -> DataFrame:
     """One row per group with the quantiles of ``value`` (NULLs ignored)."""
-    limit = PERCENTILE_ROWS if percentile_rows is None else percentile_rows
+    limit = PERCENTILE_VALUES if percentile_values is None else percentile_values
     keys = [col(b) for b in by]
     values = df.select(*keys, number(value).alias("_v")).where(F.col("_v").isNotNull())
-    sizes = values.groupBy(*keys).count()
-    largest = sizes.agg(F.max("count")).first()[0] or 0
+    sizes = values.groupBy(*keys).agg(F.approx_count_distinct("_v").alias("_d"))
+    largest = sizes.agg(F.max("_d")).first()[0] or 0
     if largest <= limit:
         return values.groupBy(*keys).agg(
             *[F.percentile("_v", F.lit(float(p))).alias(n) for p, n in zip(probs, names)]

@@ -80,7 +80,7 @@ def test_column_quantiles_by_narrowing(spark):
     df = spark.createDataFrame(frame)
     probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
     for limit in (10**9, 10):
-        got = quantiles.column_quantiles(df, ["a", "b"], probs, percentile_rows=limit)
+        got = quantiles.column_quantiles(df, ["a", "b"], probs, percentile_values=limit)
         for c in frame:
             assert np.allclose(got[c], np.quantile(frame[c], probs), rtol=1e-12)
 
@@ -89,7 +89,7 @@ def test_group_quantiles_of_large_groups(series):
     frame, df = series
     expected = frame.groupby("k")["v"].quantile([0.25, 0.5]).unstack()
     for limit in (10**9, 3):
-        got = quantiles.group_quantiles(df, ["k"], "v", [0.25, 0.5], ["a", "b"], percentile_rows=limit).toPandas()
+        got = quantiles.group_quantiles(df, ["k"], "v", [0.25, 0.5], ["a", "b"], percentile_values=limit).toPandas()
         got = got.set_index("k").loc[expected.index]
         assert np.allclose(got["a"], expected[0.25]) and np.allclose(got["b"], expected[0.5])
 
