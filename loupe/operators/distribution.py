@@ -428,8 +428,7 @@ def _outlier_test(df: DataFrame, column: str, method: str) -> tuple[Column, tupl
         if std is not None and std > 1e-10:
             # |v - mean| / std > 3, without rounding the bounds
             test |= F.abs(v - F.lit(mean)) / F.lit(std) > 3
-    known = number(column).isNotNull()
-    return F.coalesce(test & known, F.lit(False)), fences
+    return test & number(column).isNotNull(), fences
 
 
 def detect_outliers(df: DataFrame, column: str, method: str = "both") -> DataFrame:

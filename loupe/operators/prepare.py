@@ -58,7 +58,7 @@ def map_column(df: DataFrame, name: str, column: str) -> DataFrame:
 
 #: names, numbers and arithmetic; no function calls, comparisons or subqueries
 _FORMULA = re.compile(r"^(?:\s|[-+*/%().]|`[^`]+`|\d+(?:\.\d+)?(?:[eE][-+]?\d+)?|[^\W\d]\w*)+$")
-_CALL = re.compile(r"(?:`|\w)\s*\(")
+_CALL = re.compile(r"[`\w]\s*\(|[`\w]\s+[`\w]")
 
 
 def compute_column(df: DataFrame, name: str, formula: str) -> DataFrame:

@@ -100,16 +100,20 @@ def _reads_as_date(value: Column) -> Column:
     return (F.length(value) <= _LONGEST_DATE) & to_moment(value).isNotNull()
 
 
-def leading_values(df: DataFrame, columns: Sequence[str], order_by: Sort, n: int) -> DataFrame:
-    """The first n known values of each column, in the given order."""
-    order = sort_columns(order_by)
+def leading_values(df: DataFrame, columns: Sequence[str], order_by: Sequence[str], n: int) -> DataFrame:
+    """The first n known values of each column, in the given order.
+
+    Every task passes on no more than ``n`` rows per column.
+    """
+    require(df, *order_by)
+    place = F.struct(*[col(o).alias(f"o{i}") for i, o in enumerate(order_by)]).alias("_o")
     texts = [F.struct(F.lit(c).alias("column"), col(c).alias("value")) for c in columns]
-    long = df.select(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]).alias("_o"), F.inline(F.array(*texts)))
-    place = F.row_number().over(W.partitionBy("column").orderBy("_o"))
-    return long.where(F.col("value").isNotNull()).withColumn("place", place).where(F.col("place") <= n)
+    long = df.select(place, F.inline(F.array(*texts))).where(F.col("value").isNotNull())
+    ranked = long.withColumn("place", F.row_number().over(W.partitionBy("column").orderBy("_o")))
+    return ranked.where(F.col("place") <= n)
 
 
-def _facts(df: DataFrame, order_by: Sort | None, with_tops: bool = False) -> DataFrame:
+def _facts(df: DataFrame, order_by: Sequence[str] | None, with_tops: bool = False) -> DataFrame:
     """One row per column: counts, lengths, parse rates and, if asked, top values."""
     text_columns = [f.name for f in df.schema.fields if _kind(f.dataType) == "text"]
     number_columns = numeric_columns(df)
@@ -176,7 +180,7 @@ def _semantic(identifier_integral_only: bool) -> Column:
 
 
 def infer_semantic_types(
-    df: DataFrame, order_by: Sort | None = None, identifier_integral_only: bool = False
+    df: DataFrame, order_by: Sequence[str] | None = None, identifier_integral_only: bool = False
 ) -> DataFrame:
     """(ordinal, column, spark_type, semantic_type), one row per column.
 
@@ -188,7 +192,7 @@ def infer_semantic_types(
     )
 
 
-def semantic_types(df: DataFrame, order_by: Sort | None = None, identifier_integral_only: bool = False) -> dict[str, str]:
+def semantic_types(df: DataFrame, order_by: Sequence[str] | None = None, identifier_integral_only: bool = False) -> dict[str, str]:
     """Column name to semantic type, in column order."""
     rows = infer_semantic_types(df, order_by, identifier_integral_only).orderBy("ordinal").collect()
     return {r.column: r.semantic_type for r in rows}
@@ -233,7 +237,7 @@ def _top_map(wanted: Column) -> Column:
     ).alias("top_values")
 
 
-def describe_schema(df: DataFrame, order_by: Sort | None = None, identifier_integral_only: bool = False) -> DataFrame:
+def describe_schema(df: DataFrame, order_by: Sequence[str] | None = None, identifier_integral_only: bool = False) -> DataFrame:
     """One row per column: type, missing and unique values, and its statistics.
 
     Numbers get min, max, mean and std; categories, booleans and identifiers
@@ -256,7 +260,7 @@ def sample_rows(df: DataFrame, order_by: Sort, n: int = 3) -> DataFrame:
     return df.orderBy(*sort_columns(order_by)).limit(n)
 
 
-def profile_columns(df: DataFrame, order_by: Sort | None = None, identifier_integral_only: bool = False) -> DataFrame:
+def profile_columns(df: DataFrame, order_by: Sequence[str] | None = None, identifier_integral_only: bool = False) -> DataFrame:
     """``describe_schema`` with quartiles and the number of IQR outliers.
 
     The semantic types (one row per column) are read first, so that quartiles
@@ -345,7 +349,7 @@ def potential_outliers(profile: DataFrame) -> DataFrame:
     )
 
 
-def suggest_types(df: DataFrame, profile: DataFrame, order_by: Sort | None = None) -> DataFrame:
+def suggest_types(df: DataFrame, profile: DataFrame, order_by: Sequence[str] | None = None) -> DataFrame:
     """Columns whose type should perhaps change: (column, current, suggested).
 
     Text whose first 20 values in ``order_by`` all read as dates suggests
