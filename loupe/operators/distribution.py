@@ -17,7 +17,7 @@ from loupe.functions.tails import kolmogorov_p
 from loupe.operators.cleaning import iqr_fences
 from loupe.operators.prepare import comparison
 from loupe.operators.profiling import semantic_types, top_values, value_counts
-from loupe.ordered import POSITION, Sort, sort_columns, with_position, with_running_sum
+from loupe.ordered import POSITION, Sort, at_steps, sort_columns, with_position, with_running_sum
 from loupe.quantiles import column_quantiles
 
 SHAPIRO_ROWS = 2000
@@ -310,11 +310,10 @@ def qq_points(df: DataFrame, column: str, points: int = 500, standard: bool = Fa
     """
     values = single(df, column)
     n, mean, std = values.agg(F.count("v"), F.avg("v"), F.stddev("v")).first()
-    step = max(1, n // points)
-    kept = with_position(values, ["v"]).where(F.col(POSITION) % step == 0)
-    z = normal_ppf((F.col(POSITION) + 0.5) / F.lit(float(max(n, 1))))
+    kept = at_steps(values, "v", max(1, n // points))
+    z = normal_ppf((F.col("position") + 0.5) / F.lit(float(max(n, 1))))
     theoretical = z if standard else F.lit(mean) + F.lit(std) * z
-    return kept.select(F.col(POSITION).alias("position"), theoretical.alias("theoretical"), F.col("v").alias("sample"))
+    return kept.select("position", theoretical.alias("theoretical"), F.col("value").alias("sample"))
 
 
 # ------------------------------------------------------------------ categories
@@ -494,7 +493,9 @@ def anomaly_explain(
         top = df.where(test & number(column).isNotNull()).orderBy(F.abs(number(column)).desc(), *ties).limit(top_n)
         rank = F.row_number().over(W.orderBy(F.abs("value").desc(), *[col(c) for c in shown]))  # top_n rows
         return top.select(number(column).alias("value"), *[col(c) for c in shown]).select(rank.alias("rank"), "value", *[col(c) for c in shown])
-    placed = with_position(df, ties)
+    used = {c for c in [*shown, column, *[o for o in order_by if isinstance(o, str)]]}
+    slim = df if any(not isinstance(o, str) for o in order_by) else df.select(*[col(c) for c in df.columns if c in used])
+    placed = with_position(slim, ties)
     top = placed.where(test & number(column).isNotNull()).orderBy(F.abs(number(column)).desc(), POSITION).limit(top_n)
     ranked = top.select(
         F.row_number().over(W.orderBy(F.abs(number(column)).desc(), POSITION)).alias("rank"),  # top_n rows

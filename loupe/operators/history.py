@@ -4,21 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from loupe.frames import col, require
-from loupe.ordered import Sort, with_neighbour
+from loupe.ordered import Sort, first_rows, with_neighbour
 
 
 def keep_latest_n(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], n: int = 50) -> DataFrame:
-    """The last n rows of each key.
-
-    Each task ranks its own rows first and passes on n per key at most, so a
-    hot key does not gather in one task.
-    """
+    """The last n rows of each key, however many rows a key has."""
     require(df, *keys, *order_by)
-    order = W.partitionBy(*[col(k) for k in keys]).orderBy(*[col(c).desc() for c in order_by])
-    return df.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= n).drop("_rank")
+    return first_rows(df, keys, [col(c).desc() for c in order_by], n).drop("rank")
 
 
 def latest(df: DataFrame, order_by: Sequence[str], n: int = 50) -> DataFrame:

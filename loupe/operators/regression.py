@@ -19,7 +19,7 @@ from loupe.frames import attach_row, col, require
 from loupe.functions.coerce import to_number
 from loupe.functions.normal import normal_ppf
 from loupe.moments import Moments, moments, moments_by
-from loupe.ordered import POSITION, Sort, with_neighbour, with_position
+from loupe.ordered import POSITION, Sort, at_steps, with_neighbour, with_position
 from loupe.quantiles import column_quantiles
 
 _SMALL = 1e-10
@@ -269,13 +269,9 @@ def residual_diagnostics(model: LinearModel) -> DataFrame:
 def residual_qq(model: LinearModel, points: int = 300) -> DataFrame:
     """(position, theoretical, sample): sorted standardised residuals against normal quantiles."""
     std = math.sqrt(model.sse / max(model.n - 1, 1)) or 1.0
-    step = max(1, model.n // points)
-    placed = with_position(model.scored().select((F.col("residual") / F.lit(std)).alias("e")), ["e"])
-    return placed.where(F.col(POSITION) % step == 0).select(
-        F.col(POSITION).alias("position"),
-        normal_ppf((F.col(POSITION) + 0.5) / F.lit(float(model.n))).alias("theoretical"),
-        F.col("e").alias("sample"),
-    )
+    kept = at_steps(model.scored().select((F.col("residual") / F.lit(std)).alias("e")), "e", max(1, model.n // points))
+    theoretical = normal_ppf((F.col("position") + 0.5) / F.lit(float(model.n)))
+    return kept.select("position", theoretical.alias("theoretical"), F.col("value").alias("sample"))
 
 
 def predicted_against_actual(model: LinearModel, order_by: Sort, points: int = 500) -> DataFrame:

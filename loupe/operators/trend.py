@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from loupe.frames import attach_row, col, number, require, share
 from loupe.functions.coerce import to_moment
-from loupe.ordered import POSITION, with_frame_sum, with_position, with_running_sum
+from loupe.ordered import POSITION, first_rows, with_frame_sum, with_position, with_running_sum
 
 #: period -> unit to truncate to, step between starts, days or months to the label
 _STEP = {"D": "1 day", "W": "7 days", "M": "1 month", "Q": "3 months", "Y": "1 year"}
@@ -247,8 +247,7 @@ def rank_top_n(df: DataFrame, column: str, label_col: str, n: int = 10, group_co
     else:
         sums = _label_sums(df, column, group_col, label_col).withColumnRenamed("l0", "group").withColumnRenamed("l1", "l0")
         order = W.partitionBy("group").orderBy(F.desc("value"), F.asc("l0"))
-        # each task passes on at most n rows per group
-        top = sums.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+        top = first_rows(sums, ["group"], [F.desc("value"), F.asc("l0")], n)
         ranked = top.join(sums.groupBy("group").agg(F.sum("value").alias("total")), "group")
         group = ["group"]
     return ranked.select(

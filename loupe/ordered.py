@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from loupe.frames import col
 from loupe.session import durable
@@ -37,8 +37,9 @@ def sort_columns(sort: Sort) -> list[Column]:
 def in_buckets(df: DataFrame, sort: Sort, keys: Sequence[str] = ()) -> DataFrame:
     """Sort the table across buckets; adds ``_bucket`` and ``_place``."""
     order = [col(k) for k in keys] + sort_columns(sort)
-    if not order:
+    if not sort:
         raise ValueError("an order is needed: rows of a DataFrame have none of their own")
+    order.append(_tie_breaker(df))
     tag = F.monotonically_increasing_id()
     tagged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_tag", tag)
     return durable(
@@ -48,6 +49,14 @@ def in_buckets(df: DataFrame, sort: Sort, keys: Sequence[str] = ()) -> DataFrame
     )
 
 
+def _tie_breaker(df: DataFrame) -> Column:
+    """A hash of the row: equal keys get a fixed order and may span buckets.
+
+    Only copies of a whole row stay together.
+    """
+    return F.xxhash64(*[col(f.name) for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))])
+
+
 def _earlier() -> W:
     """All earlier buckets; runs on one row per bucket."""
     return W.orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
@@ -69,6 +78,36 @@ def with_position(df: DataFrame, sort: Sort, keys: Sequence[str] = ()) -> DataFr
     return _with_position(in_buckets(df, sort, keys)).drop(BUCKET, PLACE)
 
 
+def first_rows(df: DataFrame, keys: Sequence[str], sort: Sort, n: int) -> DataFrame:
+    """The first n rows of each key, with ``rank``.
+
+    Below Spark's limit for it (1000 by default), tasks rank their own rows and
+    pass on n per key.  Beyond, ranks come from positions in the whole order.
+    """
+    if n < int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+        order = W.partitionBy(*[col(k) for k in keys]).orderBy(*sort_columns(sort))
+        return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    placed = with_position(df, sort, keys)
+    starts = placed.groupBy(*[col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min(POSITION).alias("_first"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same &= col(k).eqNullSafe(F.col(f"_k{i}"))
+    rank = (F.col(POSITION) - F.col("_first") + 1).alias("rank")
+    return placed.join(starts, same).select(*[col(c) for c in df.columns], rank).where(F.col("rank") <= n)
+
+
+def at_steps(values: DataFrame, value: str, step: int) -> DataFrame:
+    """(position, value) of every step-th value in sorted order.
+
+    Equal values are counted once, so a frequent value costs one row.
+    """
+    counted = values.groupBy(col(value).alias("value")).agg(F.count("*").alias("_n"))
+    ranked = with_running_sum(counted, "_n", ["value"])
+    first = F.ceil((F.col("_running") - F.col("_n")) / step) * step
+    covered = ranked.where(first < F.col("_running"))
+    return covered.select(F.explode(F.sequence(first, F.col("_running") - 1, F.lit(step).cast("long"))).alias("position"), "value")
+
+
 def with_running_sum(df: DataFrame, value: str, sort: Sort, name: str = "_running") -> DataFrame:
     """Add ``_position`` and the running sum of ``value`` up to each row."""
     bucketed = in_buckets(df, sort)

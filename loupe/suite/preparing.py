@@ -1,9 +1,12 @@
 """Queries over loading, sanitising, derived columns, filters and lookups."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from loupe.operators import prepare
-from loupe.sources import tables
+from loupe.session import shared_folder
+from loupe.sources import csv, tables
 from loupe.suite.registry import R, digits, query, rounded, table
 
 
@@ -17,6 +20,40 @@ def read_table(spark, d):
     )
 
 
+ACCENTED = "SELECT p_partkey, p_name || ' \u00e9' AS p_name, p_size, p_retailprice FROM part"
+
+
+@query("read_csv", ACCENTED)
+def read_csv(spark, d):
+    """The table written as CSV files in two encodings, and read back."""
+    folder = f"{shared_folder(spark)}/loupe-csv-{uuid.uuid4().hex}"
+    parts = table(spark, d, "part").select(
+        "p_partkey", F.concat("p_name", F.lit(" \u00e9")).alias("p_name"), "p_size", "p_retailprice"
+    )
+    small = F.col("p_size") < 25
+    parts.where(small).write.csv(f"{folder}/utf8", header=True, encoding="UTF-8")
+    parts.where(~small).write.csv(f"{folder}/latin1", header=True, encoding="ISO-8859-1")
+    return csv.read_csv(spark, f"{folder}/utf8", f"{folder}/latin1")
+
+
+@query("write_cleaned", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_acctbal > 0")
+def write_cleaned(spark, d):
+    kept = prepare.filter_compare(table(spark, d, "customer"), "c_acctbal", "gt", 0)
+    path = tables.write_cleaned(kept, f"{shared_folder(spark)}/loupe-{uuid.uuid4().hex}", "customer")
+    return tables.read_table(spark, path)
+
+
+@query("materialise", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY ALL")
+def materialise(spark, d):
+    copy = tables.materialise(table(spark, d, "orders"), f"{shared_folder(spark)}/loupe-{uuid.uuid4().hex}")
+    return copy.groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+
+
+@query("size_mb")
+def size_mb(spark, d):
+    return tables.size_mb(spark, f"{d}/lineitem.parquet")
+
+
 @query("sanitise", """
 SELECT c_custkey, CASE WHEN c_nationkey <> 3 THEN c_name END AS c_name, c_acctbal,
        CAST(NULL AS VARCHAR) AS tokens_only

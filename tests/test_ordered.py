@@ -113,3 +113,28 @@ def test_tails_against_published_tables(spark):
     assert tails.kolmogorov_tail(1.3581 / 1000, 1e6) == pytest.approx(0.05, abs=1e-4)
     df = spark.createDataFrame([(2.228, 10.0), (None, 3.0)], "t double, d double")
     assert [r[0] for r in df.select(tails.t_p(F.col("t"), F.col("d"))).collect()] == [pytest.approx(0.05, abs=2e-5), None]
+
+
+def test_first_rows_beyond_the_window_limit(series, spark):
+    frame, df = series
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "5")
+    try:
+        got = ordered.first_rows(df, ["k"], [F.col("t").desc()], 7).select("k", "t", "rank").toPandas()
+    finally:
+        spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
+    want = frame.sort_values("t", ascending=False).assign(rank=lambda f: f.groupby("k").cumcount() + 1)
+    want = want[want["rank"] <= 7][["k", "t", "rank"]]
+    key = ["k", "t"]
+    assert got.sort_values(key).astype(str).values.tolist() == want.sort_values(key).astype(str).values.tolist()
+
+
+def test_every_step_of_a_frequent_value(spark):
+    values = [1.0] * 400 + [0.5] * 3 + [2.0] * 5 + [float(i) for i in range(3, 60)]
+    got = ordered.at_steps(spark.createDataFrame([(v,) for v in values], ["v"]), "v", 7).orderBy("position").collect()
+    assert [r.value for r in got] == sorted(values)[::7]
+
+
+def test_equal_order_keys_span_buckets(series):
+    _, df = series
+    tied = df.withColumn("same", F.lit(1))
+    assert ordered.in_buckets(tied, ["same"]).select("_bucket").distinct().count() > 1
