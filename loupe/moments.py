@@ -41,15 +41,18 @@ class Moments:
         return Moments(n, means, cross)
 
 
-def moments_by(values: DataFrame, columns: Sequence[str], by: Column | None = None) -> dict[object, Moments]:
+def moments_by(
+    values: DataFrame, columns: Sequence[str], by: Column | None = None, centre: Sequence[float] | None = None
+) -> dict[object, Moments]:
     """Moments per value of ``by``, which must take few values (folds, splits).
 
     Sums are taken around the overall means, so that large offsets do not
-    cancel the digits that matter.
+    cancel the digits that matter; ``centre`` gives the means if they are known.
     """
     columns = list(columns)
     known = values.select(*columns, (F.lit(0) if by is None else by).alias("_by")).na.drop(subset=columns)
-    centre = known.agg(*[F.avg(c) for c in columns]).first()
+    if centre is None:
+        centre = known.agg(*[F.avg(c) for c in columns]).first()
     if centre[0] is None:
         return {}
     shifted = [F.col(c) - F.lit(float(m)) for c, m in zip(columns, centre)]

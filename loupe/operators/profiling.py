@@ -124,7 +124,7 @@ def _facts(df: DataFrame, order_by: Sequence[str] | None, with_tops: bool = Fals
         F.sum("n").alias("non_null"),
         F.count("*").alias("unique_count"),
         F.sum(
-            F.when(is_number & value.try_cast("double").isin(0.0, 1.0), 0)
+            F.when(is_number & value.rlike(r"^[01](\.0+)?$"), 0)
             .when(is_text & value.isin(BOOLEAN_TEXT), 0)
             .otherwise(1)
         ).alias("not_boolean"),

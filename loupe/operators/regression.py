@@ -320,7 +320,7 @@ def cross_val_r2(model: LinearModel, folds: int = 5, keys: Sequence[str] = (), s
     schema = "fold long, n long, r2 double"
     if folds < 2:
         return model.spark.createDataFrame([], schema)
-    parts = moments_by(model.prepared.data, [*model.prepared.xs, "y"], _share_of(model.prepared, keys, seed, folds))
+    parts = moments_by(model.prepared.data, [*model.prepared.xs, "y"], _share_of(model.prepared, keys, seed, folds), model.fitted.means)
     rows = []
     for fold, test in sorted(parts.items()):
         rest = [m for f, m in parts.items() if f != fold]
@@ -365,7 +365,7 @@ def compare_models(model: LinearModel, keys: Sequence[str] = (), seed: int = 42,
     if model.n < 10:
         return model.spark.createDataFrame([], schema)
     held_out = _share_of(model.prepared, keys, seed, 5) == 0
-    parts = moments_by(model.prepared.data, [*model.prepared.xs, "y"], held_out)
+    parts = moments_by(model.prepared.data, [*model.prepared.xs, "y"], held_out, model.fitted.means)
     if len(parts) < 2:
         return model.spark.createDataFrame([], schema)
     train, test = parts[False], parts[True]

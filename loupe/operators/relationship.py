@@ -13,6 +13,7 @@ from loupe.moments import moments
 from loupe.operators.profiling import is_missing
 from loupe.ordered import Sort, sort_columns, with_running_sum
 from loupe.quantiles import group_quantiles
+from loupe.session import durable
 
 #: most levels of y for which a contingency table lists its empty cells
 DENSE_LEVELS = 1000
@@ -50,7 +51,8 @@ def correlate(df: DataFrame, x: str, y: str, method: str = "pearson") -> DataFra
     elif method == "spearman":
         # Equal pairs collapse first; the ranks of a hot value are looked up
         # once per distinct pair, and adaptive execution splits skewed joins.
-        counted = pairs.groupBy("x", "y").agg(F.count("*").alias("_n"))
+        # Both rankings and the join read the counts, so they are kept.
+        counted = durable(pairs.groupBy("x", "y").agg(F.count("*").alias("_n")))
         ranked = (
             counted.join(average_ranks(counted, "x", "_n").withColumnRenamed("rank", "_rx"), "x")
             .join(average_ranks(counted, "y", "_n").withColumnRenamed("rank", "_ry"), "y")
@@ -216,7 +218,7 @@ def kruskal_wallis(df: DataFrame, group: str, value: str) -> DataFrame:
     """
     kept = _groups(df, group, value).select("g")
     values = df.select(col(group).alias("g"), number(value).alias("v")).where(F.col("v").isNotNull())
-    counted = values.join(kept, "g", "left_semi").groupBy("g", "v").agg(F.count("*").alias("_n"))
+    counted = durable(values.join(kept, "g", "left_semi").groupBy("g", "v").agg(F.count("*").alias("_n")))
     ranked = counted.join(average_ranks(counted, "v", "_n"), "v")
     size = counted.agg(F.sum("_n").alias("_size"))
     off = F.col("rank") - (F.col("_size") + 1) / 2
@@ -309,6 +311,7 @@ def correlation_matrix(
         raise ValueError("method is 'pearson' or 'spearman'")
     values = _complete(df, names)
     if method == "spearman":
+        values = durable(values)
         for c in values.columns:
             counted = values.groupBy(c).agg(F.count("*").alias("_n"))
             values = values.join(average_ranks(counted, c, "_n"), c).drop(c).withColumnRenamed("rank", c)

@@ -12,14 +12,16 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from loupe.frames import col, number
 from loupe.ordered import with_running_sum
 
 #: (estimated) distinct values per group up to which ``percentile`` holds them in one task
-PERCENTILE_VALUES = 200_000
+PERCENTILE_VALUES = 100_000
 _SLICES = 4096
+#: groups up to which narrowing serves all of them in the same passes
+_FEW_GROUPS = 64
 
 
 def column_quantiles(
@@ -46,57 +48,76 @@ def column_quantiles(
         row = values.agg(*[F.percentile(f"c{i}", wanted) for i in few]).first()
         result = {columns[i]: list(q) if q is not None else [None] * len(probs) for i, q in zip(few, row)}
     many = [i for i in range(len(columns)) if i not in few]
-    if many:
-        places = {i: [(counts[i] - 1) * p for p in probs] for i in many}
-        ranks = {(i, r) for i in many for h in places[i] for r in (math.floor(h), math.ceil(h))}
-        found = _order_statistics(values, edges, ranks)
-        for i in many:
-            ends = [(found[i, math.floor(h)], found[i, math.ceil(h)], h - math.floor(h)) for h in places[i]]
-            result[columns[i]] = [low + (high - low) * part for low, high, part in ends]
+    result |= {columns[i]: q for i, q in _narrowed(values, {i: (counts[i], *edges[i]) for i in many}, probs).items()}
     return {c: result[c] for c in columns}
 
 
-def _order_statistics(
-    values: DataFrame, edges: Sequence[tuple[float, float]], ranks: set[tuple[int, int]]
-) -> dict[tuple[int, int], float]:
-    """Values at the given 0-based ranks of each column, by narrowing."""
-    # (column, rank) -> lowest value, highest value, rows below
-    brackets = {(i, r): (*edges[i], 0) for i, r in ranks}
+def _narrowed(
+    values: DataFrame, series: dict[int, tuple[int, float, float]], probs: Sequence[float], grouped: bool = False
+) -> dict[int, list[float]]:
+    """Quantiles per series, given each one's row count, minimum and maximum.
+
+    Series i is column ``c{i}``, or with ``grouped`` the values ``c0`` of the
+    rows with ``_g`` = i.
+    """
+    places = {i: [(n - 1) * p for p in probs] for i, (n, _, _) in series.items()}
+    # (series, rank) -> lowest value, highest value, rows below
+    brackets = {
+        (i, r): (*series[i][1:], 0) for i, row in places.items() for h in row for r in (math.floor(h), math.ceil(h))
+    }
     found: dict[tuple[int, int], float] = {}
     while True:
         found.update({k: b[0] for k, b in brackets.items() if b[0] == b[1]})
         brackets = {k: b for k, b in brackets.items() if k not in found}
         if not brackets:
-            return found
-        open_slices = sorted({(i, b[0], b[1]) for (i, _), b in brackets.items()})
-        entries, inside = [], F.lit(False)
-        for s, (i, low, high) in enumerate(open_slices):
-            v = F.col(f"c{i}")
-            within = v.between(low, high)
+            break
+        counted: dict[tuple, list] = {}
+        for row in _count_slices(values, sorted({(i, b[0], b[1]) for (i, _), b in brackets.items()}), grouped):
+            counted.setdefault(row[0], []).append(row[1])
+        brackets = {k: _slice_of(k[1], b[2], counted[k[0], b[0], b[1]]) for k, b in brackets.items()}
+    return {
+        i: [found[i, math.floor(h)] + (found[i, math.ceil(h)] - found[i, math.floor(h)]) * (h - math.floor(h)) for h in row]
+        for i, row in places.items()
+    }
+
+
+def _slice_of(rank: int, below: int, slices) -> tuple[float, float, int]:
+    """The slice that holds the rank: its lowest and highest value, and the rows below it."""
+    for row in slices:
+        if rank < below + row.n:
+            return row.low, row.high, below
+        below += row.n
+    raise RuntimeError("the table changed between two passes over it")
+
+
+def _count_slices(values: DataFrame, brackets: Sequence[tuple[int, float, float]], grouped: bool):
+    """Rows, minimum and maximum per slice of each bracket, in order.
+
+    A series' brackets do not overlap, so a value is in one of them at most.
+    """
+    inside, entries = F.lit(False), []
+    for column in sorted({0 if grouped else i for i, _, _ in brackets}):
+        v, number_, slice_ = F.col(f"c{column}"), F.lit(None).cast("int"), F.lit(None).cast("long")
+        for place, (i, low, high) in enumerate(brackets):
+            if not grouped and i != column:
+                continue
+            within = v.between(low, high) & (F.col("_g") == i) if grouped else v.between(low, high)
             # halves, as the difference of two large numbers may overflow
-            place = F.least(F.floor((v / 2 - low / 2) / (high / 2 - low / 2) * _SLICES), F.lit(_SLICES - 1))
-            entries.append(F.struct(F.when(within, s).alias("s"), place.alias("slice"), v.alias("v")))
+            part = F.floor((v / 2 - low / 2) / (high / 2 - low / 2) * _SLICES)
+            number_ = F.when(within, place).otherwise(number_)
+            slice_ = F.when(within, F.least(part, F.lit(_SLICES - 1))).otherwise(slice_)
             inside |= within
-        sliced = (
-            values.where(inside)
-            .select(F.inline(F.array(*entries)))
-            .where(F.col("s").isNotNull())
-            .groupBy("s", "slice")
-            .agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-            .orderBy("s", "slice")
-            .collect()  # at most _SLICES rows per open bracket
-        )
-        narrowed = {}
-        for (i, r), (low, high, below) in brackets.items():
-            s = open_slices.index((i, low, high))
-            for row in sliced:
-                if row.s != s:
-                    continue
-                if r < below + row.n:
-                    narrowed[i, r] = (row.low, row.high, below)
-                    break
-                below += row.n
-        brackets = narrowed
+        entries.append(F.struct(number_.alias("b"), slice_.alias("slice"), v.alias("v")))
+    rows = (
+        values.where(inside)
+        .select(F.inline(F.array(*entries)))
+        .where(F.col("b").isNotNull())
+        .groupBy("b", "slice")
+        .agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        .orderBy("b", "slice")
+        .collect()  # at most _SLICES rows per bracket
+    )
+    return [(brackets[r.b], r) for r in rows]
 
 
 def group_quantiles(
@@ -107,12 +128,27 @@ def group_quantiles(
     limit = PERCENTILE_VALUES if percentile_values is None else percentile_values
     keys = [col(b) for b in by]
     values = df.select(*keys, number(value).alias("_v")).where(F.col("_v").isNotNull())
-    sizes = values.groupBy(*keys).agg(F.approx_count_distinct("_v").alias("_d"))
-    largest = sizes.agg(F.max("_d")).first()[0] or 0
+    facts = values.groupBy(*keys).agg(
+        F.approx_count_distinct("_v").alias("_d"), F.count("_v").alias("_n"), F.min("_v").alias("_a"), F.max("_v").alias("_b")
+    )
+    rows = facts.take(_FEW_GROUPS + 1)
+    few = len(rows) <= _FEW_GROUPS
+    largest = max((r["_d"] for r in rows), default=0) if few else facts.agg(F.max("_d")).first()[0]
     if largest <= limit:
         return values.groupBy(*keys).agg(
             *[F.percentile("_v", F.lit(float(p))).alias(n) for p, n in zip(probs, names)]
         )
+    if few:
+        schema = values.select(*keys).schema
+        spark = df.sparkSession
+        named = [tuple(r[b] for b in by) for r in rows]
+        index = spark.createDataFrame([(i, k) for i, k in enumerate(named)], T.StructType([T.StructField("_g", T.IntegerType()), T.StructField("_k", schema)]))
+        numbered = values.select(F.struct(*keys).alias("_key"), F.col("_v").alias("c0")).join(
+            F.broadcast(index), F.col("_key").eqNullSafe(F.col("_k"))  # _FEW_GROUPS rows
+        )
+        found = _narrowed(numbered, {i: (r["_n"], r["_a"], r["_b"]) for i, r in enumerate(rows)}, [float(p) for p in probs], grouped=True)
+        columns = T.StructType(schema.fields + [T.StructField(n, T.DoubleType()) for n in names])
+        return spark.createDataFrame([(*k, *found[i]) for i, k in enumerate(named)], columns)
     # Equal values collapse before the sort; a value covers the places
     # [running - n, running) of the whole order.
     counted = values.groupBy(*keys, "_v").agg(F.count("*").alias("_n"))

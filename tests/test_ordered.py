@@ -85,13 +85,14 @@ def test_column_quantiles_by_narrowing(spark):
             assert np.allclose(got[c], np.quantile(frame[c], probs), rtol=1e-12)
 
 
-def test_group_quantiles_of_large_groups(series):
+@pytest.mark.parametrize("limit, few", [(10**9, 64), (3, 64), (3, 5), (10**9, 5)])
+def test_group_quantiles(series, monkeypatch, limit, few):
     frame, df = series
+    monkeypatch.setattr(quantiles, "_FEW_GROUPS", few)
     expected = frame.groupby("k")["v"].quantile([0.25, 0.5]).unstack()
-    for limit in (10**9, 3):
-        got = quantiles.group_quantiles(df, ["k"], "v", [0.25, 0.5], ["a", "b"], percentile_values=limit).toPandas()
-        got = got.set_index("k").loc[expected.index]
-        assert np.allclose(got["a"], expected[0.25]) and np.allclose(got["b"], expected[0.5])
+    got = quantiles.group_quantiles(df, ["k"], "v", [0.25, 0.5], ["a", "b"], percentile_values=limit).toPandas()
+    got = got.set_index("k").loc[expected.index]
+    assert np.allclose(got["a"], expected[0.25]) and np.allclose(got["b"], expected[0.5])
 
 
 def test_normal_expressions(spark):
