@@ -56,14 +56,21 @@ def map_column(df: DataFrame, name: str, column: str) -> DataFrame:
     return df if name == column or not name else df.withColumn(name, col(column))
 
 
-#: names, numbers and arithmetic; no function calls, comparisons or subqueries
-_FORMULA = re.compile(r"^(?:\s|[-+*/%().]|`[^`]+`|\d+(?:\.\d+)?(?:[eE][-+]?\d+)?|[^\W\d]\w*)+$")
-_CALL = re.compile(r"[`\w]\s*\(|[`\w]\s+[`\w]")
+_NAME_IN_QUOTES = re.compile(r"`[^`]+`")
+#: names, numbers and arithmetic signs
+_FORMULA = re.compile(r"^(?:\s|[-+*/%().]|\d+(?:\.\d+)?(?:[eE][-+]?\d+)?|[^\W\d]\w*)+$")
+#: what follows a name or number in a call, a subquery or a comparison in words
+_NO_ARITHMETIC = re.compile(r"\w\s*\(|\w\s+\w")
+
+
+def _is_arithmetic(formula: str) -> bool:
+    bare = _NAME_IN_QUOTES.sub("x", formula)
+    return bool(_FORMULA.match(bare)) and not _NO_ARITHMETIC.search(bare)
 
 
 def compute_column(df: DataFrame, name: str, formula: str) -> DataFrame:
     """Add an arithmetic expression over columns; a faulty formula is logged and skipped."""
-    if not _FORMULA.match(formula) or _CALL.search(formula):
+    if not _is_arithmetic(formula):
         log.warning("skipped %r: %r is not an arithmetic expression", name, formula)
         return df
     try:
