@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -135,8 +136,11 @@ def cluster_analysis(
     vectors.persist(StorageLevel.MEMORY_AND_DISK)  # read by every iteration of every fit
     try:
         if n_clusters is None:
-            # a few steps are enough to rank the candidates
-            scores = {k: silhouette(fit(k, 10)) for k in range(2, min(max_clusters, found.n // 2) + 1)}
+            # a few steps are enough to rank the candidates, which run side by side
+            candidates = range(2, min(max_clusters, found.n // 2) + 1)
+            rate = inheritable_thread_target(df.sparkSession)(lambda k: silhouette(fit(k, 10)))
+            with ThreadPoolExecutor(len(candidates)) as pool:
+                scores = dict(zip(candidates, pool.map(rate, candidates)))
             n_clusters = max(scores, key=lambda k: -2 if scores[k] is None else scores[k])
         model = fit(n_clusters, 40)
         score = silhouette(model)

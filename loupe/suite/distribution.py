@@ -111,8 +111,52 @@ def kolmogorov_smirnov(spark, d):
     return rounded(dist.kolmogorov_smirnov(table(spark, d, "events"), "value").drop("p_value"), 6)
 
 
-@query("shapiro_wilk")
+@query("kolmogorov_smirnov_p_value", f"""
+WITH t AS (SELECT s_acctbal AS value FROM supplier), s AS (SELECT avg(value) AS m, stddev(value) AS sd, CAST(count(*) AS DOUBLE) AS n FROM t),
+r AS (SELECT CAST(row_number() OVER (ORDER BY value) AS DOUBLE) AS i, (value - m) / sd AS z, abs(value - m) / sd AS a, n FROM t, s),
+f AS (SELECT i, n, {cdf_sql()} AS f FROM r),
+l AS (SELECT (sqrt(any_value(n)) + 0.12 + 0.11 / sqrt(any_value(n))) * max(greatest(i / n - f, f - (i - 1) / n)) AS l FROM f)
+SELECT {R("2 * sum((CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * k * k * l * l))", 6)} AS p_value
+FROM l, (SELECT unnest(range(1, 101)) AS k)""")
+def kolmogorov_smirnov_p_value(spark, d):
+    return rounded(dist.kolmogorov_smirnov(table(spark, d, "supplier"), "s_acctbal").select("p_value"), 6)
+
+
+def ppf_sql() -> str:
+    """The normal quantile of p by Acklam's formula, given columns p, q = p - 0.5 and t = sqrt(-2 ln min(p, 1 - p))."""
+    from loupe.functions.normal import ACKLAM_A, ACKLAM_B, ACKLAM_C, ACKLAM_D
+
+    def horner(c, x):
+        out = repr(c[0])
+        for k in c[1:]:
+            out = f"({out} * {x} + {k!r})"
+        return out
+
+    middle = f"q * {horner(ACKLAM_A, '(q * q)')} / {horner(ACKLAM_B, '(q * q)')}"
+    outer = f"{horner(ACKLAM_C, 't')} / {horner(ACKLAM_D, 't')}"
+    return f"(CASE WHEN abs(q) <= 0.47575 THEN {middle} ELSE -sign(q) * {outer} END)"
+
+
+SHAPIRO = f"""
+WITH r AS (SELECT s_acctbal AS v, CAST(row_number() OVER (ORDER BY s_acctbal) AS DOUBLE) AS i, CAST(count(*) OVER () AS DOUBLE) AS n FROM supplier),
+p AS (SELECT *, (i - 0.375) / (n + 0.25) AS p FROM r),
+z AS (SELECT *, p - 0.5 AS q, sqrt(-2 * ln(least(p, 1 - p))) AS t FROM p),
+m AS (SELECT v, i, n, {ppf_sql()} AS m FROM z),
+c AS (SELECT any_value(n) AS n, sum(m * m) AS mm, max(m) AS m1, max(m) FILTER (WHERE i = n - 1) AS m2, 1 / sqrt(any_value(n)) AS u FROM m),
+a AS (SELECT *, m1 / sqrt(mm) + 0.221157 * u - 0.147981 * u * u - 2.071190 * pow(u, 3) + 4.434685 * pow(u, 4) - 2.706056 * pow(u, 5) AS a1,
+  m2 / sqrt(mm) + 0.042981 * u - 0.293762 * u * u - 1.752461 * pow(u, 3) + 5.682633 * pow(u, 4) - 3.582633 * pow(u, 5) AS a2 FROM c),
+w AS (SELECT m.v, CASE WHEN m.i = m.n THEN a1 WHEN m.i = 1 THEN -a1 WHEN m.i = m.n - 1 THEN a2 WHEN m.i = 2 THEN -a2
+  ELSE m.m / sqrt((mm - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)) END AS weight FROM m, a)
+SELECT 'Shapiro-Wilk' AS test, {R("pow(sum(weight * v), 2) / (var_pop(v) * count(*))", 6)} AS statistic FROM w"""
+
+
+@query("shapiro_wilk", SHAPIRO)
 def shapiro_wilk(spark, d):
+    return rounded(dist.shapiro_wilk(table(spark, d, "supplier"), "s_acctbal").drop("p_value"), 6)
+
+
+@query("shapiro_wilk_p_value")
+def shapiro_wilk_p_value(spark, d):
     return dist.shapiro_wilk(table(spark, d, "supplier"), "s_acctbal")
 
 
@@ -141,16 +185,23 @@ def test_normality(spark, d):
     return rounded(dist.test_normality(table(spark, d, "events"), "value"), 3, p_value=6)
 
 
-@query("qq_points", """
-WITH r AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS position, count(*) OVER () AS n FROM events)
-SELECT position, value AS sample FROM r WHERE position % greatest(1, n // 500) = 0""")
+def qq_sql(source: str, column: str) -> str:
+    return f"""
+WITH r AS (SELECT {column} AS v, row_number() OVER (ORDER BY {column}) - 1 AS position, count(*) OVER () AS n,
+  avg({column}) OVER () AS m, stddev({column}) OVER () AS s FROM {source}),
+k AS (SELECT *, (position + 0.5) / n AS p FROM r WHERE position % greatest(1, n // 500) = 0),
+z AS (SELECT *, p - 0.5 AS q, sqrt(-2 * ln(least(p, 1 - p))) AS t FROM k)
+SELECT position, {R("m + s * " + ppf_sql(), 3)} AS theoretical, {R("v", 3)} AS sample FROM z"""
+
+
+@query("qq_points", qq_sql("events", "value"))
 def qq_points(spark, d):
-    return dist.qq_points(table(spark, d, "events"), "value").drop("theoretical")
+    return rounded(dist.qq_points(table(spark, d, "events"), "value"), 3)
 
 
-@query("qq_points_theoretical")
-def qq_points_theoretical(spark, d):
-    return dist.qq_points(table(spark, d, "lineitem"), "l_extendedprice")
+@query("qq_points_lines", qq_sql(f"(SELECT * FROM ({LINE_GAPS}) WHERE l_discount IS NOT NULL)", "l_discount"))
+def qq_points_lines(spark, d):
+    return rounded(dist.qq_points(line_gaps(spark, d), "l_discount"), 3)
 
 
 @query("describe_frequency", f"""

@@ -102,9 +102,11 @@ def cross_stats_yates(spark, d):
     return rounded(rel.cross_stats(table(spark, d, "labels"), "quality", "toxic").drop("p_value", "significant"), cramers_v=6)
 
 
-@query("cross_stats_p_value")
+# the tail of chi-squared with two degrees of freedom is exp(-x / 2)
+@query("cross_stats_p_value", f"""
+WITH {chi2_sql(GAPS, "l_returnflag", "l_linestatus").replace("SELECT (round(chi2", "SELECT " + R("exp(-chi2 / 2)", 6) + " AS p_value, exp(-chi2 / 2) < 0.05 AS significant, (round(chi2")}""")
 def cross_stats_p_value(spark, d):
-    return rel.cross_stats(line_gaps(spark, d), "l_returnflag", "l_linestatus")
+    return rounded(rel.cross_stats(line_gaps(spark, d), "l_returnflag", "l_linestatus"), cramers_v=6, p_value=6)
 
 
 @query("group_boxplot", f"""
@@ -149,14 +151,20 @@ def compare_groups_ranks(spark, d):
 
 @query("kruskal_wallis", f"""
 WITH {groups_sql(GAPS, "l_returnflag", "l_discount")}, {KRUSKAL}
-SELECT 'Kruskal-Wallis' AS test, {R("h")} AS statistic FROM h""")
+SELECT 'Kruskal-Wallis' AS test, {R("h")} AS statistic, {R("exp(-h / 2)", 6)} AS p_value FROM h""")
 def kruskal_wallis(spark, d):
-    return rounded(rel.kruskal_wallis(line_gaps(spark, d), "l_returnflag", "l_discount").drop("p_value"))
+    return rounded(rel.kruskal_wallis(line_gaps(spark, d), "l_returnflag", "l_discount"), p_value=6)
 
 
-@query("compare_groups_p_value")
+# with four degrees of freedom above, the tail of F is x^a * (1 + a * (1 - x)), a = d2 / 2, x = d2 / (d2 + 4 F)
+@query("compare_groups_p_value", f"""
+WITH {groups_sql("customer", "c_mktsegment", "c_acctbal")},
+f AS (SELECT *, (ssb / (k - 1)) / (ssw / (n - k)) AS f, (n - k) / 2 AS a FROM s), x AS (SELECT *, (n - k) / ((n - k) + 4 * f) AS x FROM f)
+SELECT 'ANOVA' AS test, {R("f", 6)} AS statistic, {R("pow(x, a) * (1 + a * (1 - x))", 6)} AS p_value,
+  pow(x, a) * (1 + a * (1 - x)) < 0.05 AS significant, {R("ssb / (ssb + ssw)", 6)} AS eta_squared,
+  k AS n_groups, CAST(n AS BIGINT) AS total_n FROM x""")
 def compare_groups_p_value(spark, d):
-    return rel.compare_groups(table(spark, d, "customer"), "c_mktsegment", "c_acctbal")
+    return rounded(rel.compare_groups(table(spark, d, "customer"), "c_mktsegment", "c_acctbal"), 6)
 
 
 PAIRS = "(SELECT n_regionkey, c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey)"
@@ -274,14 +282,52 @@ def duplicate_sample(spark, d):
     return quality.duplicate_sample(table(spark, d, "documents"), ["source", "lang"])
 
 
-@query("dimension_reduce")
+# Three scaled columns: the eigenvalues of their correlation matrix in closed
+# form, an axis as the cross product of two rows of R - lambda I.
+THREE = ["l_extendedprice", "revenue", "l_discount"]
+AXES = """t AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS a, l_extendedprice * (1 - l_discount) AS b, l_discount AS c FROM lineitem),
+r AS (SELECT corr(a, b) AS x, corr(a, c) AS y, corr(b, c) AS z, count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(c) AS mc,
+  stddev_pop(a) AS sa, stddev_pop(b) AS sb, stddev_pop(c) AS sc FROM t),
+p AS (SELECT *, sqrt((x * x + y * y + z * z) / 3) AS p FROM r),
+f AS (SELECT *, acos(x * y * z / (p * p * p)) / 3 AS phi FROM p),
+e AS (SELECT *, 1 + 2 * p * cos(phi) AS e1, 1 + 2 * p * cos(phi + 2 * pi() / 3) AS e3 FROM f),
+g AS (SELECT 'pc1' AS component, e1 AS e, * FROM e UNION ALL SELECT 'pc2', 3 - e1 - e3, * FROM e),
+v AS (SELECT *, x * z - y * (1 - e) AS va, y * x - (1 - e) * z AS vb, (1 - e) * (1 - e) - x * x AS vc FROM g),
+u AS (SELECT *, sqrt(va * va + vb * vb + vc * vc) * CASE
+  WHEN abs(va) >= abs(vb) AND abs(va) >= abs(vc) THEN sign(va) WHEN abs(vb) >= abs(vc) THEN sign(vb) ELSE sign(vc) END AS len FROM v),
+axes AS (SELECT component, e, n, ma, mb, mc, sa, sb, sc, va / len AS a1, vb / len AS b1, vc / len AS c1 FROM u)"""
+
+
+def components(spark, d):
+    lines = table(spark, d, "lineitem").withColumn("revenue", F.expr("l_extendedprice * (1 - l_discount)"))
+    return multivariate.dimension_reduce(lines, THREE, 2, keys=["l_orderkey", "l_linenumber"])
+
+
+def score_sql(axis: str) -> str:
+    return f"(a - {axis}.ma) / {axis}.sa * {axis}.a1 + (b - {axis}.mb) / {axis}.sb * {axis}.b1 + (c - {axis}.mc) / {axis}.sc * {axis}.c1"
+
+
+@query("dimension_reduce", f"""
+WITH {AXES} SELECT l_orderkey, l_linenumber, {R(score_sql("one"), 5)} AS pc1, {R(score_sql("two"), 5)} AS pc2
+FROM t, (SELECT * FROM axes WHERE component = 'pc1') one, (SELECT * FROM axes WHERE component = 'pc2') two""")
 def dimension_reduce(spark, d):
-    return multivariate.dimension_reduce(table(spark, d, "lineitem"), MATRIX, 2, keys=["l_orderkey"]).scores
+    return rounded(components(spark, d).scores, 5)
 
 
-@query("dimension_reduce_variance")
+@query("dimension_reduce_variance", f"""
+WITH {AXES}
+SELECT component, {R("e", 6)} AS eigenvalue, {R("e / 3", 6)} AS variance_explained,
+  {R("sum(e) OVER (ORDER BY component) / 3", 6)} AS cumulative_variance, n AS n_samples FROM axes""")
 def dimension_reduce_variance(spark, d):
-    return multivariate.dimension_reduce(table(spark, d, "lineitem"), MATRIX, 3).variance
+    return rounded(components(spark, d).variance, 6)
+
+
+@query("dimension_reduce_loadings", f"""
+WITH {AXES}, l AS (SELECT component, unnest(['l_extendedprice', 'revenue', 'l_discount']) AS variable, unnest([a1, b1, c1]) AS w FROM axes)
+SELECT variable, {R("max(w) FILTER (WHERE component = 'pc1')", 6)} AS pc1, {R("max(w) FILTER (WHERE component = 'pc2')", 6)} AS pc2
+FROM l GROUP BY variable""")
+def dimension_reduce_loadings(spark, d):
+    return rounded(components(spark, d).loadings, 6)
 
 
 def vectors(spark, d, n: int = 8):
