@@ -66,6 +66,13 @@ def _join_buckets(bucketed: DataFrame, per_bucket: DataFrame) -> DataFrame:
     return bucketed.join(F.broadcast(per_bucket), BUCKET)
 
 
+def _edge_rows(bucketed: DataFrame, place: Column, row: Column) -> DataFrame:
+    """(bucket, _edge) for every bucket: the row at the place the aggregate picks, or NULL."""
+    places = bucketed.groupBy(BUCKET).agg(place.alias(PLACE))  # one row per bucket
+    rows = bucketed.join(F.broadcast(places), [BUCKET, PLACE], "left_semi").select(BUCKET, row.alias("_edge"))
+    return places.select(BUCKET).join(F.broadcast(rows), BUCKET, "left")
+
+
 def _with_position(bucketed: DataFrame) -> DataFrame:
     starts = bucketed.groupBy(BUCKET).agg(F.count("*").alias("_rows")).select(
         BUCKET, F.coalesce(F.sum("_rows").over(_earlier()), F.lit(0)).alias("_start")
@@ -132,22 +139,20 @@ def fill_in_order(
     """Replace NULLs by the last (or next) known value of the same key."""
     bucketed = in_buckets(df, sort, keys)
     known = F.struct(col(column).alias("value"), F.struct(F.lit(1), *[col(k) for k in keys]).alias("key"))
-    is_known = col(column).isNotNull()
+    place = F.when(col(column).isNotNull(), F.col(PLACE))
+    local = W.partitionBy(BUCKET, *[col(k) for k in keys]).orderBy(PLACE)
     if forward:
-        local = W.partitionBy(BUCKET, *[col(k) for k in keys]).orderBy(PLACE).rowsBetween(W.unboundedPreceding, 0)
-        nearest, others, pick = F.last(col(column), ignorenulls=True), _earlier(), F.last
-        edge = F.max_by(known, F.when(is_known, F.col(PLACE)))
+        nearest = F.last(col(column), ignorenulls=True).over(local.rowsBetween(W.unboundedPreceding, 0))
+        edges = _edge_rows(bucketed, F.max(place), known)
+        carried = F.last("_edge", ignorenulls=True).over(_earlier())
     else:
-        local = W.partitionBy(BUCKET, *[col(k) for k in keys]).orderBy(PLACE).rowsBetween(0, W.unboundedFollowing)
-        nearest, pick = F.first(col(column), ignorenulls=True), F.first
-        others = W.orderBy(BUCKET).rowsBetween(1, W.unboundedFollowing)
-        edge = F.min_by(known, F.when(is_known, F.col(PLACE)))
-    edges = bucketed.groupBy(BUCKET).agg(edge.alias("_edge")).select(
-        BUCKET, pick("_edge", ignorenulls=True).over(others).alias("_carried")
-    )
+        nearest = F.first(col(column), ignorenulls=True).over(local.rowsBetween(0, W.unboundedFollowing))
+        edges = _edge_rows(bucketed, F.min(place), known)
+        carried = F.first("_edge", ignorenulls=True).over(W.orderBy(BUCKET).rowsBetween(1, W.unboundedFollowing))
+    edges = edges.select(BUCKET, carried.alias("_carried"))
     here = F.struct(F.lit(1), *[col(k) for k in keys])
     carried = F.when(F.col("_carried.key") == here, F.col("_carried.value"))
-    filled = _join_buckets(bucketed.withColumn("_near", nearest.over(local)), edges)
+    filled = _join_buckets(bucketed.withColumn("_near", nearest), edges)
     return filled.withColumn(column, F.coalesce(col(column), F.col("_near"), carried)).select(
         *[col(c) for c in df.columns]
     )
@@ -166,12 +171,10 @@ def with_neighbour(
     local = W.partitionBy(BUCKET).orderBy(PLACE)
     across = W.orderBy(BUCKET)
     if ahead:
-        near, edge, step = F.lead(row).over(local), F.min_by(row, PLACE), F.lead
+        near, place, step = F.lead(row).over(local), F.min(PLACE), F.lead
     else:
-        near, edge, step = F.lag(row).over(local), F.max_by(row, PLACE), F.lag
-    edges = bucketed.groupBy(BUCKET).agg(edge.alias("_edge")).select(
-        BUCKET, step("_edge").over(across).alias("_far")
-    )
+        near, place, step = F.lag(row).over(local), F.max(PLACE), F.lag
+    edges = _edge_rows(bucketed, place, row).select(BUCKET, step("_edge").over(across).alias("_far"))
     joined = _join_buckets(bucketed.withColumn("_near", near), edges)
     other = F.coalesce(F.col("_near"), F.col("_far"))
     return joined.withColumn(

@@ -3,8 +3,7 @@
 from pyspark.sql import functions as F
 
 from loupe.operators import distribution as dist
-from loupe.suite.profiling import EVENT_COLUMNS  # noqa: F401
-from loupe.suite.registry import LINE_GAPS, R, digits, line_gaps, query, rounded, table
+from loupe.suite.registry import LINE_GAPS, R, line_gaps, query, rounded, table
 
 
 def histogram_sql(source: str, column: str, bins: int) -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from loupe.operators import history, jsontext
 from loupe.plans import run
 from loupe.plans.analyses import ANALYSES
-from loupe.suite.registry import R, digits, query, rounded, table
+from loupe.suite.registry import R, query, rounded, table
 
 
 @query("keep_latest_n", """

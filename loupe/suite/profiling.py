@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from loupe.operators import cleaning, profiling
-from loupe.suite.registry import LINE_GAPS, R, digits, line_gaps, query, rounded, table
+from loupe.suite.registry import LINE_GAPS, R, line_gaps, query, rounded, table
 
 ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from loupe.operators import prepare, trend
-from loupe.suite.registry import R, digits, query, rounded, table
+from loupe.suite.registry import R, query, rounded, table
 
 UNIT = {"D": "day", "W": "week", "M": "month", "Q": "quarter", "Y": "year"}
 STEP = {"D": "1 DAY", "W": "7 DAY", "M": "1 MONTH", "Q": "3 MONTH", "Y": "1 YEAR"}
