@@ -139,3 +139,16 @@ def test_equal_order_keys_span_buckets(series):
     _, df = series
     tied = df.withColumn("same", F.lit(1))
     assert ordered.in_buckets(tied, ["same"]).select("_bucket").distinct().count() > 1
+
+
+def test_hot_key_and_equal_order_are_spread_evenly(spark):
+    df = spark.range(40_000, numPartitions=8).select(
+        "id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), F.lit(1).alias("same")
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for bucketed in (ordered.in_buckets(df, ["id"], ["k"]), ordered.in_buckets(df, ["same"])):
+            sizes = [r["count"] for r in bucketed.groupBy("_bucket").count().collect()]
+            assert len(sizes) >= 6 and max(sizes) < 40_000 / 3
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
