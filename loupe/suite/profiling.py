@@ -184,8 +184,8 @@ def high_missing(spark, d):
     return rounded(profiling.high_missing(profile(spark, d), 0.12))
 
 
-@query("constant_columns", """
-SELECT 'fixed' AS "column" UNION ALL SELECT 'none'""")
+@query("constant_columns", "WITH t AS (SELECT *, 1 AS fixed, CAST(NULL AS VARCHAR) AS none FROM orders) " + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\" FROM t HAVING count(DISTINCT {c}) <= 1" for c in [*ORDERS, "fixed", "none"]))
 def constant_columns(spark, d):
     orders = table(spark, d, "orders").withColumn("fixed", F.lit(1)).withColumn("none", F.lit(None).cast("string"))
     return profiling.constant_columns(profiling.profile_columns(orders))
@@ -212,8 +212,13 @@ def potential_outliers(spark, d):
 
 
 @query("suggest_types", """
-SELECT 'region' AS "column", 'numeric' AS current, 'categorical' AS suggested
-UNION ALL SELECT 'paid', 'categorical', 'boolean' UNION ALL SELECT 'due', 'text', 'datetime'""")
+WITH t AS (SELECT c_custkey, n_regionkey AS region, CASE WHEN c_acctbal > 0 THEN 'Yes' ELSE 'no' END AS paid,
+  CASE WHEN c_custkey < 30 THEN strftime(DATE '2024-01-01' + CAST(c_custkey AS INT), '%Y-%m-%d') ELSE c_name END AS due
+  FROM customer JOIN nation ON c_nationkey = n_nationkey),
+f AS (SELECT due FROM t ORDER BY c_custkey LIMIT 20)
+SELECT 'region' AS "column", 'numeric' AS current, 'categorical' AS suggested FROM t HAVING count(DISTINCT region) BETWEEN 2 AND 5
+UNION ALL SELECT 'paid', 'categorical', 'boolean' FROM t HAVING count(DISTINCT paid) BETWEEN 2 AND 4 AND bool_and(lower(paid) IN ('yes', 'no'))
+UNION ALL SELECT 'due', 'text', 'datetime' FROM f HAVING count(*) >= 5 AND bool_and(TRY_CAST(due AS DATE) IS NOT NULL)""")
 def suggest_types(spark, d):
     customers = (
         table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
@@ -252,10 +257,17 @@ def duplicate_columns(spark, d):
     return rounded(profiling.duplicate_columns(lines), 6)
 
 
-@query("recommend_cleaning", """
-SELECT 'fill_missing' AS type, 'l_discount' AS "column", 'median' AS method
-UNION ALL SELECT 'fill_missing', 'l_tax', 'median' UNION ALL SELECT 'fill_missing', 'l_returnflag', 'mode'
-UNION ALL SELECT 'drop_constant_columns', 'fixed', 'drop' UNION ALL SELECT 'drop_duplicates', '', 'first'""")
+CLEANABLE = {"l_linenumber": "median", "l_quantity": "median", "l_discount": "median", "l_tax": "median", "l_returnflag": "mode", "fixed": "mode"}
+
+
+@query("recommend_cleaning", f"""
+WITH t AS (SELECT l_linenumber, l_quantity, l_discount, l_tax, l_returnflag, 'x' AS fixed FROM ({LINE_GAPS})) """ + " UNION ALL ".join(
+    [f"SELECT 'fill_missing' AS type, '{c}' AS \"column\", '{m}' AS method FROM t HAVING count({c}) < count(*)" for c, m in CLEANABLE.items()]
+    + [f"SELECT 'drop_constant_columns', '{c}', 'drop' FROM t HAVING count(DISTINCT {c}) <= 1" for c in CLEANABLE]
+    + [f"SELECT 'handle_outliers', '{c}', 'keep' FROM t, (SELECT quantile_cont({c}, [0.25, 0.75]) AS q FROM t) "
+       f"HAVING count(*) FILTER (WHERE {c} < q[1] - 1.5 * (q[2] - q[1]) OR {c} > q[2] + 1.5 * (q[2] - q[1])) > 0"
+       for c, m in CLEANABLE.items() if m == "median"]
+    + ["SELECT 'drop_duplicates', '', 'first' FROM t HAVING count(*) > (SELECT count(*) FROM (SELECT DISTINCT * FROM t))"]))
 def recommend_cleaning(spark, d):
     lines = line_gaps(spark, d).select("l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag")
     lines = lines.withColumn("fixed", F.lit("x"))
