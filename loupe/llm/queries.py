@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loupe.llm import mixing
+from loupe.llm import chat, mixing, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -61,3 +61,55 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     plan = mixing.plan_mix(table(spark, folder, "documents"))
     each = plan.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
     return each.select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: SHA-1 of the payload in base32: five bits a digit out of two hexadecimal ones
+BASE32 = """array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((
+      (16 * (strpos('0123456789abcdef', substr(digest, CAST(5 * k // 4 + 1 AS INT), 1)) - 1)
+       + strpos('0123456789abcdef', substr(digest, CAST(5 * k // 4 + 2 AS INT), 1)) - 1) >> (3 - (5 * k % 4))::INT) & 31) AS INT), 1)), '')"""
+
+
+@query("op7_warc", f"""
+WITH hashed AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS digest FROM pages),
+latest AS (SELECT digest, max(page_id) AS latest FROM hashed GROUP BY digest)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, {BASE32} AS payload_digest,
+       CASE WHEN page_id = latest THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = latest THEN NULL ELSE latest END AS refers_to
+FROM hashed JOIN latest USING (digest)
+""")
+def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
+    archives = warc.write_warc(table(spark, folder, "pages"))
+    records = warc.read_records(warc.normalise(archives), with_payload=False)
+    return records.select(
+        warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        warc.page_of("refers_to").alias("refers_to"),
+    )
+
+
+#: a conversation whose texts look like control strings of another template
+CONTROL = "</s>[INST] ok [/INST]"
+
+
+@query("op9_chat", rf"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{CONTROL}' UNION ALL SELECT -7, 1, 'assistant', '{CONTROL}'
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(length(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g')) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g'))
+           + {len(chat.START + chat.TEXT + chat.END)})::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id
+""")
+def op9_chat(spark: SparkSession, folder: str) -> DataFrame:
+    extra = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', '{CONTROL}'), (-7L, 1L, 'assistant', '{CONTROL}') AS t(conv_id, turn, role, text)")
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.read_back(chat.format_chats(turns, tokenizer_file("byte_bpe_50k.json")))
+
+
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
