@@ -30,8 +30,8 @@ from loupe.session import durable
 CAPACITY = 2048
 END_ID = 0
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
-#: units whose tokens a task remembers, and the longest of them
-MEMO_UNITS, MEMO_CHARS = 1 << 19, 64
+#: entries of a task's memos of tokens, and the longest key
+MEMO_ENTRIES, MEMO_CHARS = 1 << 19, 64
 
 
 def unit_encoder(tokenizer_path: str):
@@ -39,7 +39,9 @@ def unit_encoder(tokenizer_path: str):
 
     A byte-level BPE with this kind of pattern never joins a character with
     white space behind it, so a text may be encoded in units that start at a
-    blank after a character.  Units repeat, so their tokens are remembered.
+    blank after a character.  Units and the words in them repeat, so their
+    tokens are remembered; the tokenizer's own steps do the rest.  A text that
+    holds one of its special tokens is encoded as a whole.
     """
     import re
 
@@ -47,31 +49,40 @@ def unit_encoder(tokenizer_path: str):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path)
+    words_of, model = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model.tokenize
 
-    def encode(text: str) -> bytes:
-        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def packed(ids: list[int]) -> bytes:
+        return np.array(ids, dtype="<u4").tobytes()
 
     class Memo(dict):
-        """Tokens of a unit, given without its leading blank."""
+        """Values by string; forgets all when full."""
 
-        def __missing__(self, unit: str) -> bytes:
-            code = encode(" " + unit)
-            if len(unit) <= MEMO_CHARS:
-                if len(self) >= MEMO_UNITS:
+        def __init__(self, value):
+            self.value = value
+
+        def __missing__(self, key: str) -> bytes:
+            code = self.value(key)
+            if len(key) <= MEMO_CHARS:
+                if len(self) >= MEMO_ENTRIES:
                     self.clear()
-                self[unit] = code
+                self[key] = code
             return code
 
-    recall = Memo().__getitem__
+    word = Memo(lambda w: packed([t.id for t in model(w)])).__getitem__
+
+    def encode(unit: str) -> bytes:
+        return b"".join([word(w) for w, _ in words_of(unit)])
+
+    recall = Memo(lambda unit: encode(" " + unit)).__getitem__
     joined = re.compile(r"\s ").search
     split = re.compile(r"(?<=\S) ").split
+    special = re.compile("|".join(re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()) or r"(?!)").search
 
     def ids(text: str) -> bytes:
+        if special(text):
+            return packed(tokenizer.encode(text, add_special_tokens=False).ids)
         first, *rest = split(text) if joined(text) else text.split(" ")
-        if not rest:
-            return encode(first)
-        # a text that starts with a blank has an empty first unit
-        return encode(first) + b"".join(map(recall, rest)) if first else b"".join(map(recall, rest))
+        return encode(first) + b"".join(map(recall, rest))
 
     return ids
 

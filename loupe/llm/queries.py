@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loupe.llm import chat, mixing, warc
+from loupe.llm import chat, mixing, packing, warc
+from loupe.session import durable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -113,3 +114,11 @@ def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+@query("op1_packing")
+def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
+    tokens = packing.tokenise(table(spark, folder, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    digests = tokens.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    pieces = durable(digests.withColumn("key", F.monotonically_increasing_id()))
+    return pieces.join(packing.pack(pieces, "key"), "key").drop("key")
