@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loupe.llm import chat, mixing, packing, warc
+from loupe.llm import chat, merkle, mixing, packing, warc
 from loupe.session import durable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,8 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
     digests = tokens.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     pieces = durable(digests.withColumn("key", F.monotonically_increasing_id()))
     return pieces.join(packing.pack(pieces, "key"), "key").drop("key")
+
+
+@query("op3_merkle")
+def op3_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.compare_edits(table(spark, folder, "documents"))
