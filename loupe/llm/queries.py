@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loupe.llm import chat, merkle, mixing, packing, warc
+from loupe.llm import chat, merkle, mixing, packing, simhash, warc
 from loupe.session import durable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +127,9 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_merkle")
 def op3_merkle(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.compare_edits(table(spark, folder, "documents"))
+
+
+@query("op8_simhash")
+def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", simhash.as_hex("fingerprint").alias("fingerprint"), "component_id")
