@@ -13,6 +13,21 @@ import os
 import tempfile
 
 
+def smallest(values, low, high):
+    """The smallest of ``values[low:high]`` for each pair; none is empty."""
+    import numpy as np
+
+    level = np.frexp(high - low)[1] - 1  # two spans of 2**level cover each
+    out = np.empty(len(low), dtype=values.dtype)
+    top = int(level.max()) if len(level) else -1
+    for k in range(top + 1):
+        own = np.flatnonzero(level == k)
+        out[own] = np.minimum(values[low[own]], values[high[own] - (1 << k)])
+        if k < top:
+            values = np.minimum(values[: -(1 << k)], values[1 << k :])
+    return out
+
+
 def collection(symbols, starts, lengths):
     """(string, offset, lcp) of all suffixes of a collection in order.
 
@@ -48,13 +63,13 @@ def collection(symbols, starts, lengths):
             ended = n - np.count_nonzero(bwt)
             own = rank[place[growing]].astype(np.int64)
             # neighbours that were apart until now: the new rows and those behind them
-            touched = np.unique(np.concatenate([own, own + 1]))
-            touched = touched[touched < n]
+            beside = np.zeros(n + 1, dtype=bool)
+            beside[own] = beside[own + 1] = True
+            touched = np.flatnonzero(beside[:n])
             above, below = order[touched - 1], order[touched]
             shared = (touched > ended) & (bwt[above] == bwt[below])
             touched, above, below = touched[shared], above[shared], below[shared]
-            least = np.minimum.reduceat(np.append(lcp, 0), np.column_stack([above + 1, below + 1]).ravel())[::2] if len(touched) else lcp[:0]
-
+            least = smallest(lcp, above + 1, below + 1)
             to = m + own - ended
             size = m + n - ended
             old = np.ones(size, dtype=bool)
