@@ -30,8 +30,19 @@ from loupe.session import durable
 CAPACITY = 2048
 END_ID = 0
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
-#: entries of a task's memos of tokens, and the longest key
-MEMO_ENTRIES, MEMO_CHARS = 1 << 19, 64
+#: entries of a worker's memos of tokens, and the longest key
+MEMO_ENTRIES, MEMO_CHARS = 3 << 18, 64
+
+
+def worker_memory(name: str, make):
+    """A value that the tasks of one Python worker share."""
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("_loupe_worker_memory", types.ModuleType("_loupe_worker_memory")).__dict__
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
 
 
 def unit_encoder(tokenizer_path: str):
@@ -69,11 +80,19 @@ def unit_encoder(tokenizer_path: str):
             return code
 
     word = Memo(lambda w: packed([t.id for t in model(w)])).__getitem__
+    # a word of ASCII letters and punctuation behind it: two steps of the pattern, written as themselves
+    plain = re.compile(r"([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
     def encode(unit: str) -> bytes:
         return b"".join([word(w) for w, _ in words_of(unit)])
 
-    recall = Memo(lambda unit: encode(" " + unit)).__getitem__
+    def encode_after_blank(unit: str) -> bytes:
+        if found := plain(unit):
+            letters, rest = found.groups()
+            return word("\u0120" + letters) + word(rest) if rest else word("\u0120" + letters)
+        return encode(" " + unit)
+
+    recall = Memo(encode_after_blank).__getitem__
     joined = re.compile(r"\s ").search
     split = re.compile(r"(?<=\S) ").split
     special = re.compile("|".join(re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()) or r"(?!)").search
@@ -99,7 +118,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end
     def cut(batches: Iterator) -> Iterator:
         import pandas as pd
 
-        encode = unit_encoder(tokenizer_path)
+        encode = worker_memory(tokenizer_path, lambda: unit_encoder(tokenizer_path))
         end = end_id.to_bytes(4, "little")
         names = [f.split(" ")[0] for f in PIECES.split(", ")]
         for batch in batches:
