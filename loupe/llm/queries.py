@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loupe.llm import chat, merkle, mixing, packing, repeats, simhash, warc
+from loupe.llm import chat, merkle, mixing, neighbours, packing, repeats, simhash, warc
 from loupe.session import durable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,8 @@ def op4_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.remove_repeats(docs).select(
         "doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@query("op5_neighbours")
+def op5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
