@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loupe.llm import chat, merkle, mixing, neighbours, packing, repeats, simhash, warc
+from loupe.llm import chat, merkle, mixing, neighbours, packing, quality, repeats, simhash, warc
 from loupe.session import durable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +146,12 @@ def op4_repeats(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_neighbours")
 def op5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op2_quality")
+def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    rows = durable(quality.with_features(table(spark, folder, "documents")))
+    model = quality.learn(rows, table(spark, folder, "labels"))
+    return quality.scored(rows, model).select(
+        "doc_id", (quality.remainder() == 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted")
+    )
