@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loupe.llm import chat, merkle, mixing, neighbours, packing, quality, repeats, simhash, warc
+from loupe.llm import chat, licenses, merkle, mixing, neighbours, packing, quality, repeats, simhash, warc
 from loupe.session import durable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +155,68 @@ def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.scored(rows, model).select(
         "doc_id", (quality.remainder() == 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted")
     )
+
+
+def quoted_sql(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+#: the template's word counts and the lines of documents as files in directories of doc_ids
+LICENSE_SQL = f"""
+WITH files AS (
+  SELECT doc_id, source || '/' || (doc_id // 1000) || '/' || (doc_id // 100) || '/' || (doc_id // 10) AS home,
+         source || '/' || (doc_id // 1000) || '/' || (doc_id // 100) || '/' || (doc_id // 10) || '/' || doc_id || '.txt' AS path,
+         string_split(coalesce(text, ''), chr(10)) AS lines
+  FROM documents
+), pieces AS (
+  SELECT doc_id, unnest(range(len(lines))) AS place,
+         unnest(list_transform(lines, lambda l: regexp_extract_all(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{licenses.TOKEN}'))) AS words
+  FROM files
+), templates AS (
+  SELECT * FROM (VALUES {", ".join(f"({k}, {quoted_sql(n)}, {quoted_sql(t)})" for k, (n, t) in enumerate(licenses.TEMPLATES))}) AS t(template, license, body)
+), template_words AS (
+  SELECT template, license, word, count(*) AS n
+  FROM (SELECT template, license, unnest(regexp_extract_all(lower(body), '{licenses.TOKEN}')) AS word FROM templates) GROUP BY ALL
+), frequency AS (
+  SELECT word, count(*) AS n FROM (SELECT unnest(list_distinct(words)) AS word FROM pieces) GROUP BY word
+), idf AS (
+  SELECT word, ln((1 + (SELECT count(*) FROM pieces)) / (1 + coalesce(n, 0))::DOUBLE) + 1 AS idf
+  FROM (SELECT DISTINCT word FROM template_words) LEFT JOIN frequency USING (word)
+), lengths AS (
+  SELECT template, sqrt(sum((n * idf) ** 2)) AS norm FROM template_words JOIN idf USING (word) GROUP BY template
+), posted AS (
+  SELECT template, license, word, n * idf / norm AS weight FROM template_words JOIN idf USING (word) JOIN lengths USING (template)
+), suspects AS (
+  SELECT doc_id, place, words FROM pieces WHERE list_has_any(words, (SELECT list(word) FROM idf))
+), weighed AS (
+  SELECT doc_id, place, word, n * coalesce(idf, (SELECT max(idf) FROM idf)) AS x
+  FROM (SELECT doc_id, place, word, count(*) AS n FROM (SELECT doc_id, place, unnest(words) AS word FROM suspects) GROUP BY ALL) LEFT JOIN idf USING (word)
+), norms AS (
+  SELECT doc_id, place, sqrt(sum(x * x)) AS norm FROM weighed GROUP BY ALL
+), scores AS (
+  SELECT doc_id, place, license, round(sum(x * weight) / any_value(norm), {licenses.DIGITS}) AS score
+  FROM weighed JOIN posted USING (word) JOIN norms USING (doc_id, place) GROUP BY doc_id, place, template, license
+  HAVING round(sum(x * weight) / any_value(norm), {licenses.DIGITS}) >= {licenses.THRESHOLD}
+), own AS (
+  SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license, place) = 1
+), declared AS (
+  SELECT home AS directory, license AS said, score AS said_score FROM own JOIN files USING (doc_id) WHERE place = 0
+  QUALIFY row_number() OVER (PARTITION BY home ORDER BY score DESC, path) = 1
+), nearest AS (
+  SELECT f.doc_id, d.directory, d.said, d.said_score FROM files f JOIN declared d ON f.home = d.directory OR starts_with(f.home, d.directory || '/')
+  QUALIFY row_number() OVER (PARTITION BY f.doc_id ORDER BY length(d.directory) DESC) = 1
+)
+SELECT f.doc_id, f.path, coalesce(o.license, n.said) AS license, coalesce(o.score, n.said_score) AS score,
+       CASE WHEN o.license IS NOT NULL THEN 'own' WHEN n.said IS NOT NULL THEN 'inherited' END AS origin,
+       CASE WHEN o.license IS NULL THEN n.directory END AS directory
+FROM files f LEFT JOIN own o USING (doc_id) LEFT JOIN nearest n USING (doc_id)
+"""
+
+
+@query("op6_licenses", LICENSE_SQL)
+def op6_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as files in directories of their doc_ids; a licence in the first line speaks for the directory."""
+    up = [F.floor(F.col("doc_id") / n).cast("string") for n in (1000, 100, 10)]
+    path = F.concat_ws("/", "source", *up, F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    files = table(spark, folder, "documents").select("doc_id", path.alias("path"), "text")
+    return licenses.scan(files, speaks=F.col("header"))
