@@ -9,7 +9,6 @@ prefixes live in files that every round reads and writes from front to back.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 
@@ -43,15 +42,25 @@ def collection(symbols, starts, lengths):
     cursor = starts.astype(np.int64) + left - 1
     place = np.arange(m)
     growing = np.arange(m)
-    with tempfile.TemporaryDirectory() as folder:
-        files = [os.path.join(folder, name) for name in ("bwt", "lcp")]
+    with tempfile.TemporaryFile() as bwt_file, tempfile.TemporaryFile() as lcp_file:
+        rows = 0
 
         def write(*columns):
-            for file, column in zip(files, columns):
-                column.tofile(file)
+            nonlocal rows
+            rows = len(columns[0])
+            for file, column in zip((bwt_file, lcp_file), columns):
+                file.seek(0)
+                file.write(column.data)
+                file.flush()
 
         def read():
-            return [np.fromfile(file, dtype=np.uint8) for file in files]
+            columns = []
+            for file in (bwt_file, lcp_file):
+                file.seek(0)
+                columns.append(np.empty(rows, dtype=np.uint8))
+                if file.readinto(columns[-1].data) != rows:
+                    raise OSError("a file of the order is cut short")
+            return columns
 
         write(symbols[cursor], np.zeros(m, dtype=np.uint8))
         while len(growing):

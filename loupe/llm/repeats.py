@@ -50,7 +50,7 @@ BATCH_BYTES, CHUNK_BYTES = 4 << 20, 1 << 20
 #: occurrences beyond which an anchor's runs are dealt string by string
 HOT = 1 << 16
 #: bytes that are put in order at once, if one anchor doesn't hold more
-ORDER_BYTES = 1 << 18
+ORDER_BYTES = 1 << 20
 #: fixed: an odd multiplier, its inverse modulo 2**64, and that of the mixing step
 BASE, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 LAST = (1 << 63) - 1
@@ -301,7 +301,7 @@ def earliest_of_equal(strings: list[bytes], places):
     """(first, others): the places that come first with their bytes, and all the others."""
     import numpy as np
 
-    order = np.argsort(places, order=[n for n, _ in PLACE])
+    order = np.lexsort([places[n] for n in ("start", "doc", "batch", "hash", "doc_id")])
     seen, others = {}, []
     for i in order.tolist():
         if strings[i] in seen:
@@ -322,9 +322,14 @@ def ordered_repeats(strings: list[bytes], places, length: int):
     group = np.cumsum(~same)
     member = same | np.append(same[1:], False)
     string, offset, group = string[member], offset[member], group[member]
+    # documents by number in order
+    order = np.lexsort([places[n] for n in ("start", "doc", "batch", "hash", "doc_id")])
+    other = np.zeros(len(places), dtype=bool)
+    for name in ("doc_id", "hash", "batch", "doc"):
+        column = places[name][order]
+        other[1:] |= column[1:] != column[:-1]
     rank = np.empty(len(places), dtype=np.int64)
-    documents = np.unique(places[["doc_id", "hash", "batch", "doc"]], return_inverse=True)[1]
-    rank[:] = documents
+    rank[order] = np.cumsum(other)
     order = np.lexsort((places["start"][string].astype(np.int64) + offset, rank[string], group))
     string, offset, group = string[order], offset[order], group[order]
     later = np.append(False, group[1:] == group[:-1]) if len(group) else np.zeros(0, dtype=bool)
