@@ -148,15 +148,18 @@ def scan(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, sp
 
     ``origin`` is ``own``, ``inherited`` or NULL; ``directory`` is the one it is
     inherited from.  ``speaks`` picks the files that speak for their directory;
-    by default those with the name of a licence file.  It may use ``header``.
+    by default those with the name of a licence file.  It may use ``path`` and
+    ``header``.  A result that clashes with a column of ``files`` gets ``_``.
     """
     require(files, "path", "text")
     speaks = name_of(F.col("path")).rlike(LICENCE_FILE) if speaks is None else speaks
     row = fresh(files, "_row")
     kept = [c for c in files.columns if c != "text"]
     found = classify(files, templates, threshold).withColumnRenamed("row", row)
-    own = files.withColumn(row, row_hash(files)).select(*[col(c) for c in kept], row).join(found, row, "left")
-    here = own.select(*[col(c).alias(f"c{i}") for i, c in enumerate(kept)], directory_of(F.col("path")).alias("home"), "license", "score", speaks.alias("speaks"), F.col("path").alias("where"))
+    # under names of their own, the files' columns can't clash with what is found
+    given = files.withColumn(row, row_hash(files)).select(*[col(c).alias(f"c{i}") for i, c in enumerate(kept)], "path", row)
+    own = given.join(found, row, "left")
+    here = own.withColumns({"home": directory_of(F.col("path")), "speaks": speaks}).withColumnRenamed("path", "where")
 
     rank = F.struct(-F.col("score"), "where")
     declared = here.where("speaks AND license IS NOT NULL AND home IS NOT NULL").groupBy("home").agg(
@@ -175,7 +178,7 @@ def scan(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, sp
     joined = here.join(nearest, "home", "left")
     return joined.select(
         *[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)],
-        F.coalesce("license", "near.said").alias("license"), F.coalesce("score", "near.said_score").alias("score"),
-        F.when(F.col("license").isNotNull(), F.lit("own")).when(F.col("near").isNotNull(), F.lit("inherited")).alias("origin"),
-        F.when(F.col("license").isNull(), F.col("near.directory")).alias("directory"),
+        F.coalesce("license", "near.said").alias(fresh(files, "license")), F.coalesce("score", "near.said_score").alias(fresh(files, "score")),
+        F.when(F.col("license").isNotNull(), F.lit("own")).when(F.col("near").isNotNull(), F.lit("inherited")).alias(fresh(files, "origin")),
+        F.when(F.col("license").isNull(), F.col("near.directory")).alias(fresh(files, "directory")),
     )
