@@ -46,7 +46,7 @@ LENGTH = 100
 #: bytes of the parts whose smallest hash is a string's anchor
 PART = 32
 #: bytes of text in a batch, and of those hashed at once
-BATCH_BYTES, CHUNK_BYTES = 4 << 20, 1 << 20
+BATCH_BYTES, CHUNK_BYTES = 8 << 20, 1 << 20
 #: occurrences beyond which an anchor's runs are dealt string by string
 HOT = 1 << 16
 #: bytes that are put in order at once, if one anchor doesn't hold more
@@ -69,7 +69,7 @@ def pack_batches(docs: DataFrame) -> DataFrame:
         import pandas as pd
         import zstandard
 
-        compress = zstandard.ZstdCompressor(level=3).compress
+        compress = zstandard.ZstdCompressor(level=6).compress
 
         def row(ids, hashes, texts, rests):
             sizes = np.array([[len(t) for t in texts], [len(r) for r in rests]], dtype=np.int64)
@@ -193,7 +193,35 @@ def runs_of(texts: bytes, sizes, length: int, part: int):
 RUN = [("anchor", "<u8"), ("doc", "<u4"), ("start", "<u4"), ("strings", "u1"), ("hot", "u1")]
 
 
-def packed_runs(runs, at, hot=None):
+def packed(records) -> bytes:
+    """Records compressed column by column: differences between rows, byte by byte."""
+    import numpy as np
+    import zstandard
+
+    columns = []
+    for name in records.dtype.names:
+        column = np.ascontiguousarray(records[name])
+        steps = np.diff(column, prepend=column.dtype.type(0))
+        columns.append(steps.view(np.uint8).reshape(len(column), column.itemsize).T.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(columns))
+
+
+def unpacked(data: bytes, kind):
+    import numpy as np
+
+    whole = np.frombuffer(inflate(data), dtype=np.uint8)
+    kind = np.dtype(kind)
+    n = len(whole) // kind.itemsize
+    records, at = np.empty(n, dtype=kind), 0
+    for name in kind.names:
+        size = kind[name].itemsize
+        steps = np.ascontiguousarray(whole[at : at + n * size].reshape(size, n).T).view(kind[name]).ravel()
+        records[name] = np.cumsum(steps, dtype=kind[name])
+        at += n * size
+    return records
+
+
+def chosen_runs(runs, at, hot=None) -> bytes:
     import numpy as np
 
     out = np.zeros(len(at), dtype=RUN)
@@ -201,7 +229,7 @@ def packed_runs(runs, at, hot=None):
         out[name] = values[at]
     if hot is not None:
         out["hot"] = hot
-    return out
+    return packed(out)
 
 
 def shared_runs(batches: DataFrame, length: int, part: int, shares: int, hot: int) -> DataFrame:
@@ -233,12 +261,12 @@ def shared_runs(batches: DataFrame, length: int, part: int, shares: int, hot: in
                 for s in range(shares):
                     own, also = single[edges[s] : edges[s + 1]], known[known_edges[s] : known_edges[s + 1]]
                     if len(own) or len(also):
-                        rows.append((s, batch, packed_runs(runs, own).tobytes(), also.tobytes()))
+                        rows.append((s, batch, chosen_runs(runs, own), also.tobytes()))
                 # what repeats within the batch needs no other: it is passed on by any share
                 more = np.flatnonzero(~alone)
                 if len(more):
                     very = (counts[where[more]] > hot).astype(np.uint8)
-                    rows.append((-1 - int(batch) % shares, batch, packed_runs(runs, more, very).tobytes(), b""))
+                    rows.append((-1 - int(batch) % shares, batch, chosen_runs(runs, more, very), b""))
                 yield pd.DataFrame(rows, columns=["share", "batch", "runs", "known"])
 
     def meet(share):
@@ -247,7 +275,7 @@ def shared_runs(batches: DataFrame, length: int, part: int, shares: int, hot: in
 
         if share["share"].iloc[0] < 0:
             return share[["batch", "runs"]]
-        own = [np.frombuffer(r, dtype=RUN) for r in share["runs"]]
+        own = [unpacked(r, RUN) for r in share["runs"]]
         known = np.frombuffer(b"".join(share["known"]), dtype=[("anchor", "<u8"), ("count", "<u8")])
         everything = np.concatenate([*[r["anchor"] for r in own], known["anchor"]])
         weights = np.concatenate([np.ones(len(everything) - len(known), dtype=np.int64), known["count"].astype(np.int64)])
@@ -258,9 +286,9 @@ def shared_runs(batches: DataFrame, length: int, part: int, shares: int, hot: in
             n = counts[at : at + len(runs)]
             at += len(runs)
             if (n > 1).any():
-                kept = runs[n > 1].copy()
+                kept = runs[n > 1]
                 kept["hot"] = n[n > 1] > hot
-                rows.append((batch, kept.tobytes()))
+                rows.append((batch, packed(kept)))
         return pd.DataFrame(rows, columns=["batch", "runs"])
 
     dealt = batches.select("batch", "sizes", "texts").mapInPandas(deal, "share int, batch long, runs binary, known binary")
@@ -345,10 +373,10 @@ def repeated_spans(batches: DataFrame, shared: DataFrame, length: int, part: int
         import xxhash
         import zstandard
 
-        compress = zstandard.ZstdCompressor(level=1).compress
+        compress = zstandard.ZstdCompressor(level=3).compress
         for frame in frames:
             for batch, ids, hashes, sizes, texts, parts in zip(frame["batch"], frame["doc_ids"], frame["hashes"], frame["sizes"], frame["texts"], frame["runs"]):
-                runs = np.frombuffer(b"".join(parts), dtype=RUN)
+                runs = np.concatenate([unpacked(p, RUN) for p in parts])
                 sizes = np.frombuffer(sizes, dtype=np.int64)
                 begins = np.cumsum(sizes[: len(sizes) // 2]) - sizes[: len(sizes) // 2]
                 whole = inflate(texts)
@@ -380,7 +408,7 @@ def repeated_spans(batches: DataFrame, shared: DataFrame, length: int, part: int
                 for s in range(shares):
                     own = first[edges[s] : edges[s + 1]]
                     if len(own):
-                        rows.append((s, batch, places[own].tobytes(), anchor[own].tobytes(), compress(b"".join([strings[i] for i in own.tolist()]))))
+                        rows.append((s, batch, packed(places[own]), anchor[own].tobytes(), compress(b"".join([strings[i] for i in own.tolist()]))))
                 yield pd.DataFrame(rows, columns=["share", "batch", "places", "anchors", "texts"])
 
     def meet(share):
@@ -389,13 +417,14 @@ def repeated_spans(batches: DataFrame, shared: DataFrame, length: int, part: int
 
         if share["share"].iloc[0] < 0:
             return share[["batch", "places"]].rename(columns={"places": "spans"})
-        places = np.frombuffer(b"".join(share["places"]), dtype=PLACE)
+        parts = [unpacked(p, PLACE) for p in share["places"]]
+        places = np.concatenate(parts)
         anchor = np.frombuffer(b"".join(share["anchors"]), dtype=np.uint64)
         strings = []
-        for own, texts in zip(share["places"], share["texts"]):
+        for own, texts in zip(parts, share["texts"]):
             whole = inflate(texts)
             low = 0
-            for n in np.frombuffer(own, dtype=PLACE)["strings"].tolist():
+            for n in own["strings"].tolist():
                 strings.append(whole[low : low + n + length - 1])
                 low += n + length - 1
         first, others = earliest_of_equal(strings, places)
@@ -449,7 +478,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, part: int = PART, hot:
     require(docs, "doc_id", "text")
     if not part < length < 128:
         raise ValueError("part < length < 128 is needed")
-    shares = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     batches = pack_batches(docs)
     shared = shared_runs(batches, length, part, shares, hot)
     spans = repeated_spans(batches, shared, length, part, shares)
