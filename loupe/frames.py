@@ -43,6 +43,14 @@ def number(name: str) -> Column:
     return F.expr(f"nanvl(CAST({quoted(name)} AS DOUBLE), CAST(NULL AS DOUBLE))")
 
 
+def known_value(df: DataFrame, name: str) -> Column:
+    """The column in its own type, with NaN read as NULL."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return F.nanvl(col(name), F.lit(None).cast(kind))
+    return col(name)
+
+
 def single(df: DataFrame, name: str, alias: str = "v") -> DataFrame:
     """The non-null numbers of one column."""
     require(df, name)

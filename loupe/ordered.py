@@ -16,7 +16,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from loupe.frames import col
+from loupe.frames import col, known_value
 from loupe.session import durable
 
 BUCKET, PLACE, POSITION = "_bucket", "_place", "_position"
@@ -24,8 +24,8 @@ BUCKET, PLACE, POSITION = "_bucket", "_place", "_position"
 _ID_BITS = 33
 #: frames up to this many rows are computed with copied edge rows
 HALO_ROWS = 65_536
-#: frames up to this many rows are summed directly, row by row
-_DIRECT_ROWS = 16
+#: rows of a block of which wider frames are put together
+_BLOCK_ROWS = 4096
 
 Sort = Sequence[str | Column]
 
@@ -136,8 +136,8 @@ def with_running_sum(df: DataFrame, value: str, sort: Sort, name: str = "_runnin
 def fill_in_order(
     df: DataFrame, column: str, sort: Sort, keys: Sequence[str] = (), forward: bool = True
 ) -> DataFrame:
-    """Replace NULLs by the last (or next) known value of the same key."""
-    bucketed = in_buckets(df, sort, keys)
+    """Replace NULLs, and NaN, by the last (or next) known value of the same key."""
+    bucketed = in_buckets(df.withColumn(column, known_value(df, column)), sort, keys)
     known = F.struct(col(column).alias("value"), F.struct(F.lit(1), *[col(k) for k in keys]).alias("key"))
     place = F.when(col(column).isNotNull(), F.col(PLACE))
     local = W.partitionBy(BUCKET, *[col(k) for k in keys]).orderBy(PLACE)
@@ -146,9 +146,11 @@ def fill_in_order(
         edges = _edge_rows(bucketed, F.max(place), known)
         carried = F.last("_edge", ignorenulls=True).over(_earlier())
     else:
-        nearest = F.first(col(column), ignorenulls=True).over(local.rowsBetween(0, W.unboundedFollowing))
+        # the last known one, read backwards: a frame to the table's end would be read anew for every row
+        backwards = W.partitionBy(BUCKET, *[col(k) for k in keys]).orderBy(F.desc(PLACE))
+        nearest = F.last(col(column), ignorenulls=True).over(backwards.rowsBetween(W.unboundedPreceding, 0))
         edges = _edge_rows(bucketed, F.min(place), known)
-        carried = F.first("_edge", ignorenulls=True).over(W.orderBy(BUCKET).rowsBetween(1, W.unboundedFollowing))
+        carried = F.last("_edge", ignorenulls=True).over(W.orderBy(F.desc(BUCKET)).rowsBetween(W.unboundedPreceding, -1))
     edges = edges.select(BUCKET, carried.alias("_carried"))
     here = F.struct(F.lit(1), *[col(k) for k in keys])
     carried = F.when(F.col("_carried.key") == here, F.col("_carried.value"))
@@ -184,47 +186,68 @@ def with_neighbour(
 
 def with_frame_sum(
     positioned: DataFrame, value: str, before: int, after: int, keys: Sequence[str] = (),
-    halo_rows: int = HALO_ROWS,
+    halo_rows: int = HALO_ROWS, block_rows: int = _BLOCK_ROWS,
 ) -> DataFrame:
     """Add ``_frame_sum`` over [position-before, position+after].
 
     NULL unless the whole frame lies in the table and in the row's key.
     ``positioned`` comes from :func:`with_position` with the same keys.
+
+    Positions fall into blocks, and a frame is put together from the end of one
+    block, whole ones, and the start of another.  Nothing is ever subtracted,
+    so a frame's sum depends on its own rows alone.
     """
     width = before + after + 1
     key = F.struct(F.lit(1), *[col(k) for k in keys])
-    if width <= halo_rows:
-        # Rows near a chunk's edge are copied to the neighbouring chunk, so
-        # each chunk can be computed alone.
-        chunk = max(8 * width, 4096)
-        pos = F.col(POSITION)
-        home = F.floor(pos / chunk)
-        targets = F.sequence(F.floor(F.greatest(pos - after, F.lit(0)) / chunk), F.floor((pos + before) / chunk))
-        spread = positioned.withColumn("_chunk", F.explode(targets))
-        order = W.partitionBy("_chunk").orderBy(POSITION)
-        inside = (F.lag(key, before).over(order) == key) & (F.lead(key, after).over(order) == key)
-        if width <= _DIRECT_ROWS:
-            total = F.sum(value).over(order.rowsBetween(-before, after))
-        else:
-            # constant work per row: the running sum at the frame's end less
-            # that before its start, within the chunk
-            spread = spread.withColumn("_upto", F.sum(value).over(order.rowsBetween(W.unboundedPreceding, 0)))
-            total = F.lead("_upto", after).over(order) - F.coalesce(F.lag("_upto", before + 1).over(order), F.lit(0.0))
-        return (
-            spread.withColumn("_frame_sum", F.when(inside, total)).where(F.col("_chunk") == home).drop("_chunk", "_upto")
-        )
-    # Wide frames: the sum is the difference of two running sums, fetched by
-    # position with equi-joins.
-    summed = with_running_sum(positioned.withColumnRenamed(POSITION, "_order"), value, ["_order"]).drop("_order")
-    at = summed.select(F.col(POSITION).alias("_p"), F.col("_running").alias("_s"), key.alias("_k"), F.col(value).alias("_v"))
-    upper = at.select((F.col("_p") - after).alias(POSITION), F.col("_s").alias("_upper"), F.col("_k").alias("_upper_key"))
-    lower = at.select(
-        (F.col("_p") + before).alias(POSITION),
-        (F.col("_s") - F.col("_v")).alias("_lower"),
-        F.col("_k").alias("_lower_key"),
+    pos = F.col(POSITION)
+    if width > halo_rows:
+        return _wide_frame_sum(positioned, value, before, after, key, halo_rows, max(1, min(block_rows, halo_rows // 2)))
+    # Rows near a chunk's edge are copied to the neighbouring chunk, so each
+    # chunk can be computed alone.  Blocks are as long as the frame: it starts
+    # with one or covers the end of one and the start of the next.
+    chunk = width * -(-max(8 * width, 4096) // width)
+    home = F.floor(pos / chunk)
+    targets = F.sequence(F.floor(F.greatest(pos - after, F.lit(0)) / chunk), F.floor((pos + before) / chunk))
+    spread = positioned.withColumn("_chunk", F.explode(targets)).repartition("_chunk").withColumn("_block", F.floor(pos / width))
+    order = W.partitionBy("_chunk").orderBy(POSITION)
+    block = W.partitionBy("_chunk", "_block")
+    summed = spread.withColumns({
+        "_start": F.sum(value).over(block.orderBy(POSITION).rowsBetween(W.unboundedPreceding, 0)),
+        "_end": F.sum(value).over(block.orderBy(F.desc(POSITION)).rowsBetween(W.unboundedPreceding, 0)),
+    })
+    inside = (F.lag(key, before).over(order) == key) & (F.lead(key, after).over(order) == key)
+    end, start = F.lag("_end", before).over(order), F.lead("_start", after).over(order)
+    total = F.when((pos - before) % width == 0, start).otherwise(end + start)
+    return (
+        summed.withColumn("_frame_sum", F.when(inside, total)).where(F.col("_chunk") == home)
+        .select(*[col(c) for c in positioned.columns], "_frame_sum")
     )
-    joined = summed.join(upper, POSITION, "left").join(lower, POSITION, "left")
-    inside = (F.col("_upper_key") == key) & (F.col("_lower_key") == key)
-    return joined.withColumn("_frame_sum", F.when(inside, F.col("_upper") - F.col("_lower"))).drop(
-        "_upper", "_upper_key", "_lower", "_lower_key", "_running"
+
+
+def _wide_frame_sum(positioned: DataFrame, value: str, before: int, after: int, key: Column, halo_rows: int, size: int) -> DataFrame:
+    """Frames of many blocks: the whole blocks between are a frame over the blocks' sums."""
+    pos = F.col(POSITION)
+    blocks = positioned.withColumn("_block", F.floor(pos / size))
+    order = W.partitionBy("_block")
+    ends = blocks.select(
+        POSITION, key.alias("_key"),
+        F.sum(value).over(order.orderBy(POSITION).rowsBetween(W.unboundedPreceding, 0)).alias("_start"),
+        F.sum(value).over(order.orderBy(F.desc(POSITION)).rowsBetween(W.unboundedPreceding, 0)).alias("_end"),
     )
+    sums = blocks.groupBy(F.col("_block").alias(POSITION)).agg(F.sum(value).alias("_sum"))
+    # between the blocks of a frame's ends lie as many as fit, or one less
+    most = (before + after) // size
+    whole = sums.select(F.col(POSITION).alias("_first"), F.col("_sum").alias("_last_sum"))
+    if most > 1:
+        inner = with_frame_sum(sums, "_sum", 0, most - 2, (), halo_rows).select(F.col(POSITION).alias("_first"), F.col("_frame_sum").alias("_inner"))
+    else:
+        inner = sums.select(F.col(POSITION).alias("_first"), F.lit(0.0).alias("_inner"))
+    upper = ends.select((pos - after).alias(POSITION), F.col("_start").alias("_upper"), F.col("_key").alias("_upper_key"))
+    lower = ends.select((pos + before).alias(POSITION), F.col("_end").alias("_lower"), F.col("_key").alias("_lower_key"))
+    first, last = F.floor((pos - before) / size) + 1, F.floor((pos + after) / size)
+    framed = positioned.join(upper, POSITION, "left").join(lower, POSITION, "left").withColumns({"_first": first, "_more": last - first == most})
+    joined = framed.join(inner, "_first", "left").withColumn("_next", F.when(F.col("_more"), F.col("_first") + most - 1))
+    joined = joined.join(whole.withColumnRenamed("_first", "_next"), "_next", "left")
+    total = F.col("_lower") + F.col("_upper") + F.coalesce("_inner", F.lit(0.0)) + F.when(F.col("_more"), F.coalesce("_last_sum", F.lit(0.0))).otherwise(0.0)
+    inside = (F.col("_upper_key") == key) & (F.col("_lower_key") == key)
+    return joined.withColumn("_frame_sum", F.when(inside, total)).select(*[col(c) for c in positioned.columns], "_frame_sum")

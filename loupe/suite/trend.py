@@ -115,13 +115,44 @@ def moving_average_keys(spark, d):
 
 @query("moving_average_auto", f"""
 WITH r AS (SELECT event_id, value, row_number() OVER (ORDER BY ts, event_id) AS i, greatest(3, count(*) OVER () // 20) AS w FROM events),
-s AS (SELECT *, sum(value) OVER (ORDER BY i) AS running, (w - 1) // 2 AS after, w - 1 - (w - 1) // 2 AS before FROM r)
-SELECT s.event_id, s.value AS original, {R("(u.running - l.running + l.value) / s.w", 6)} AS moving_avg
-FROM s LEFT JOIN s u ON u.i = s.i + s.after LEFT JOIN s l ON l.i = s.i - s.before""")
+s AS (SELECT *, (w - 1) // 2 AS after, w - 1 - (w - 1) // 2 AS before FROM r)
+SELECT event_id, value AS original, CASE WHEN count(*) OVER f = w THEN {R("avg(value) OVER f", 6)} END AS moving_avg
+FROM s WINDOW f AS (ORDER BY i ROWS BETWEEN before PRECEDING AND after FOLLOWING)""")
 def moving_average_auto(spark, d):
     return rounded(trend.moving_average(table(spark, d, "events"), "ts", "value", 0, ["event_id"]).drop("date"), 6)
 
 
+#: one value of 1e18 in a thousand, which no other frame may feel
+SPIKED = "(SELECT event_id, ts, CASE WHEN event_id % 1000 = 5 THEN 1e18 ELSE value END AS value FROM events)"
+
+
+def spiked(spark, d):
+    return table(spark, d, "events").withColumn("value", F.when(F.col("event_id") % 1000 == 5, 1e18).otherwise(F.col("value")))
+
+
+def spike_sql(before: int, after: int) -> str:
+    return f"""SELECT event_id, round(least(original, 1e9), 6) AS original, CASE WHEN moving_avg IS NOT NULL THEN round(least(moving_avg, 1e9), 6) END AS moving_avg
+  FROM ({moving_sql(SPIKED, "event_id", "ts, event_id", "value", before, after)})"""
+
+
+def spike_average(spark, d, window: int):
+    smooth = trend.moving_average(spiked(spark, d), "ts", "value", window, tie_by=["event_id"])
+    top = F.lit(1e9)
+    return smooth.select(
+        "event_id", F.round(F.least("original", top), 6).alias("original"), F.when(F.col("moving_avg").isNotNull(), F.round(F.least("moving_avg", top), 6)).alias("moving_avg")
+    )
+
+
+@query("moving_average_spike", spike_sql(25, 24))
+def moving_average_spike(spark, d):
+    return spike_average(spark, d, 50)
+
+
+@query("moving_average_spike_wide", spike_sql(2500, 2499))
+def moving_average_spike_wide(spark, d):
+    return spike_average(spark, d, 5000)
+
+
 def decompose_sql(source: str, key: str, order: str, value: str, period: int, keys: str = "") -> str:
     after = (period - 1) // 2
     before = period - 1 - after
@@ -142,6 +173,14 @@ def timeseries_decompose(spark, d):
     return rounded(parts.drop("date"), 6)
 
 
+@query("timeseries_decompose_24", f"""
+WITH {decompose_sql("events", "event_id", "ts, event_id", "value", 24)}
+SELECT event_id, v AS original, {R("trend", 6)} AS trend, {R("seasonal", 6)} AS seasonal, {R("residual", 6)} AS residual FROM c""")
+def timeseries_decompose_24(spark, d):
+    parts = trend.timeseries_decompose(table(spark, d, "events"), "ts", "value", 24, ["event_id"])
+    return rounded(parts.drop("date"), 6)
+
+
 @query("timeseries_decompose_keys", f"""
 WITH {decompose_sql("events", "event_id", "ts, event_id", "value", 7, "event_type")}
 SELECT event_id, event_type, v AS original, {R("trend", 6)} AS trend, {R("seasonal", 6)} AS seasonal, {R("residual", 6)} AS residual FROM c""")
@@ -152,10 +191,11 @@ def timeseries_decompose_keys(spark, d):
 
 @query("timeseries_decompose_monthly", f"""
 WITH p AS ({periods_sql("orders", "o_orderdate", "o_totalprice", "M")}), {decompose_sql("p", "period_end", "start", "value", 12)}
-SELECT period_end, {R("v")} AS original, {R("trend")} AS trend, {R("seasonal")} AS seasonal, {R("residual")} AS residual FROM c""")
+SELECT period_end, {R("v", 6)} AS original, {R("trend", 6)} AS trend, {R("seasonal", 6)} AS seasonal, {R("residual", 6)} AS residual FROM c""")
 def timeseries_decompose_monthly(spark, d):
     parts = trend.timeseries_decompose(table(spark, d, "orders"), "o_orderdate", "o_totalprice", 12, freq="M")
-    return rounded(dated(parts.withColumnRenamed("date", "period_end")))
+    # twelve months make quarters of a digit: at four places, ties would hang on the order of a sum
+    return rounded(dated(parts.withColumnRenamed("date", "period_end")), 6)
 
 
 @query("decompose_stats", f"""

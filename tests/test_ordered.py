@@ -61,8 +61,8 @@ def test_neighbour(series, ahead):
     assert np.allclose(got["n"].astype(float), expected.astype(float), equal_nan=True)
 
 
-@pytest.mark.parametrize("halo", [65_536, 2])
-@pytest.mark.parametrize("width", [1, 4, 7])
+@pytest.mark.parametrize("halo", [65_536, 4])
+@pytest.mark.parametrize("width", [1, 4, 20, 61])
 def test_frame_sum(series, width, halo):
     frame, df = series
     after = (width - 1) // 2
@@ -74,6 +74,43 @@ def test_frame_sum(series, width, halo):
     assert np.allclose(got["_frame_sum"].astype(float), expected.astype(float), equal_nan=True)
 
 
+@pytest.mark.parametrize("width", [17, 5000])
+@pytest.mark.parametrize("halo", [65_536, 40])
+def test_a_spike_stays_in_its_own_frames(spark, width, halo):
+    values = [1.0] * 12_000
+    values[5], values[11_000] = 1e18, float("inf")
+    df = spark.createDataFrame(list(enumerate(values)), "t long, v double")
+    after = (width - 1) // 2
+    sums = ordered.with_frame_sum(ordered.with_position(df, ["t"]), "v", width - 1 - after, after, halo_rows=halo)
+    got = {r.t: r._frame_sum for r in sums.where("t between 5200 and 5800").collect()}
+    assert set(got.values()) == {float(width)}
+    assert {r._frame_sum for r in sums.where("t = 11000").collect()} == {float("inf") if 11_000 + after < 12_000 else None}
+
+
+def test_backward_fill_is_linear(spark):
+    df = spark.range(60_000).select("id", F.when(F.col("id") % 20_000 == 19_999, F.col("id").cast("double")).alias("v"))
+    filled = ordered.fill_in_order(df, "v", ["id"], forward=False)
+    assert filled.where(F.col("v") != F.floor(F.col("id") / 20_000) * 20_000 + 19_999).count() == 0
+    assert filled.where("v IS NULL").count() == 0
+
+
+def test_nan_is_filled_in_order(spark):
+    df = spark.createDataFrame([(0, float("nan")), (1, 2.0), (2, float("nan")), (3, None), (4, 5.0)], "t long, v double")
+    for forward, want in ((True, [None, 2.0, 2.0, 2.0, 5.0]), (False, [2.0, 2.0, 5.0, 5.0, 5.0])):
+        rows = ordered.fill_in_order(df, "v", ["t"], forward=forward).orderBy("t").collect()
+        assert [r.v for r in rows] == want
+
+
+def test_quantiles_of_infinite_values(spark):
+    inf = float("inf")
+    values = [float(i) for i in range(500)] + [inf] * 20 + [-inf] * 5 + [1e308, -1e308]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    probs = [0.0, 0.001, 0.25, 0.5, 0.75, 0.99, 1.0]
+    few = quantiles.column_quantiles(df, ["v"], probs)["v"]
+    assert quantiles.column_quantiles(df, ["v"], probs, percentile_values=1)["v"] == few
+    assert few[0] == -inf and few[-1] == inf and few[3] == 257.0
+
+
 def test_column_quantiles_by_narrowing(spark):
     rng = np.random.default_rng(3)
     frame = pd.DataFrame({"a": rng.lognormal(0, 6, 3000), "b": np.repeat([1.0, 2.0, 3.0], 1000)})
