@@ -10,6 +10,7 @@ Groups with too many values are ranked with the distributed running sum.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
 from functools import reduce
 
@@ -86,13 +87,21 @@ def _narrowed(
         counted: dict[tuple, list] = {}
         for row in _count_slices(values, sorted({(i, b[0], b[1]) for (i, _), b in brackets.items()}), grouped):
             counted.setdefault(row[0], []).append(row[1])
-        brackets = {k: _slice_of(k[1], b[2], counted[k[0], b[0], b[1]]) for k, b in brackets.items()}
+        narrower = {k: _slice_of(k[1], b[2], counted[k[0], b[0], b[1]]) for k, b in brackets.items()}
+        if narrower == brackets:
+            raise RuntimeError(f"no order statistic can be told apart within {brackets}")
+        brackets = narrower
     return {
-        i: [found[i, math.floor(h)] + (found[i, math.ceil(h)] - found[i, math.floor(h)]) * (h - math.floor(h)) for h in row]
+        i: [_between(found[i, math.floor(h)], found[i, math.ceil(h)], h - math.floor(h)) for h in row]
         for i, row in places.items()
     }
 
 
+def _between(low: float, high: float, share: float) -> float:
+    """Linear interpolation; equal ends, infinite ones too, are themselves."""
+    return low if share == 0 or low == high else low + (high - low) * share
+
+
 def _slice_of(rank: int, below: int, slices) -> tuple[float, float, int]:
     """The slice that holds the rank: its lowest and highest value, and the rows below it."""
     for row in slices:
@@ -115,9 +124,12 @@ def _count_slices(values: DataFrame, brackets: Sequence[tuple[int, float, float]
                 continue
             within = v.between(low, high) & (F.col("_g") == i) if grouped else v.between(low, high)
             # halves, as the difference of two large numbers may overflow
-            part = F.floor((v / 2 - low / 2) / (high / 2 - low / 2) * _SLICES)
+            least, most = max(low, -sys.float_info.max), min(high, sys.float_info.max)
+            part = F.floor((v / 2 - least / 2) / (most / 2 - least / 2) * _SLICES) if most > least else F.lit(0)
+            # an infinite value is a slice of its own
+            part = F.when(v == float("inf"), _SLICES).when(v == float("-inf"), -1).otherwise(F.least(part, F.lit(_SLICES - 1)))
             number_ = F.when(within, place).otherwise(number_)
-            slice_ = F.when(within, F.least(part, F.lit(_SLICES - 1))).otherwise(slice_)
+            slice_ = F.when(within, part).otherwise(slice_)
             inside |= within
         entries.append(F.struct(number_.alias("b"), slice_.alias("slice"), v.alias("v")))
     rows = (
