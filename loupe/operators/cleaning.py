@@ -9,7 +9,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from loupe.frames import col, is_numeric, number, require
+from loupe.frames import col, is_numeric, known_value, number, require
 from loupe.operators import prepare
 from loupe.ordered import Sort, fill_in_order
 from loupe.quantiles import column_quantiles
@@ -29,7 +29,7 @@ def iqr_fences(df: DataFrame, column: str) -> tuple[float | None, float | None,
 def most_frequent(df: DataFrame, column: str) -> Any:
     """The smallest of the most frequent values, or None."""
     require(df, column)
-    known = df.select(col(column).alias("v")).where(F.col("v").isNotNull())
+    known = df.select(known_value(df, column).alias("v")).where(F.col("v").isNotNull())
     top = known.groupBy("v").count().orderBy(F.desc("count"), F.asc("v")).first()
     return top["v"] if top else None
 
@@ -53,21 +53,13 @@ def fill_missing(
     if method == "mean" and numeric:
         return _fill_number(df, column, df.agg(F.avg(number(column))).first()[0])
     if method == "custom" and value is not None:
-        return df.withColumn(column, F.coalesce(_known(df, column), F.lit(value).cast(kind)))
+        return df.withColumn(column, F.coalesce(known_value(df, column), F.lit(value).cast(kind)))
     if method == "mode" or not numeric:
         top = most_frequent(df, column)
-        return df if top is None else df.withColumn(column, F.coalesce(_known(df, column), F.lit(top).cast(kind)))
+        return df if top is None else df.withColumn(column, F.coalesce(known_value(df, column), F.lit(top).cast(kind)))
     return _fill_number(df, column, column_quantiles(df, [column], [0.5])[column][0])
 
 
-def _known(df: DataFrame, column: str) -> Column:
-    """The column with NaN read as NULL."""
-    kind = df.schema[column].dataType
-    if isinstance(kind, (T.FloatType, T.DoubleType)):
-        return F.nanvl(col(column), F.lit(None).cast(kind))
-    return col(column)
-
-
 def _fill_number(df: DataFrame, column: str, fill: float | None) -> DataFrame:
     return df if fill is None else df.withColumn(column, F.coalesce(number(column), F.lit(float(fill))))
 
@@ -123,7 +115,7 @@ def constant_columns(df: DataFrame, columns: Sequence[str] | None = None) -> lis
         return []
     row = df.agg(
         *[
-            F.coalesce(F.min(_known(df, f.name)) == F.max(_known(df, f.name)), F.lit(True)).alias(f"c{i}")
+            F.coalesce(F.min(known_value(df, f.name)) == F.max(known_value(df, f.name)), F.lit(True)).alias(f"c{i}")
             for i, f in enumerate(fields)
         ]
     ).first()
@@ -190,7 +182,7 @@ def _audit_row(place: int, step: Mapping[str, Any], before: DataFrame, after: Da
     kind, column = str(step.get("type", "")), str(step.get("column", ""))
     counts = []
     for side, table in (("before", before), ("after", after)):
-        known = F.count(_known(table, column)) if column in table.columns else F.lit(0).cast("long")
+        known = F.count(known_value(table, column)) if column in table.columns else F.lit(0).cast("long")
         counts.append(table.agg(F.count("*").alias(f"rows_{side}"), known.alias(f"known_{side}")))
     filled = F.col("known_after") - F.col("known_before") if kind == "fill_missing" else F.lit(0).cast("long")
     # two one-row aggregates

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import ast
 import logging
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.errors import AnalysisException, ParseException
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from loupe.frames import col, is_numeric, number, require
+from loupe.frames import col, is_numeric, known_value, number, require
 from loupe.functions.coerce import MISSING_TOKENS, to_moment, to_number
 from loupe.ordered import with_running_sum
 from loupe.quantiles import column_quantiles
@@ -56,26 +57,45 @@ def map_column(df: DataFrame, name: str, column: str) -> DataFrame:
     return df if name == column or not name else df.withColumn(name, col(column))
 
 
-_NAME_IN_QUOTES = re.compile(r"`[^`]+`")
-#: names, numbers and arithmetic signs
-_FORMULA = re.compile(r"^(?:\s|[-+*/%().]|\d+(?:\.\d+)?(?:[eE][-+]?\d+)?|[^\W\d]\w*)+$")
-#: what follows a name or number in a call, a subquery or a comparison in words
-_NO_ARITHMETIC = re.compile(r"\w\s*\(|\w\s+\w")
+#: a name in quotes, a number, or a bare name
+_OPERAND = re.compile(r"`([^`]+)`|(\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)|([^\W\d]\w*)")
+_ARITHMETIC = {
+    ast.Add: lambda a, b: a + b,
+    ast.Sub: lambda a, b: a - b,
+    ast.Mult: lambda a, b: a * b,
+    ast.Div: F.try_divide,
+    ast.Mod: lambda a, b: F.try_mod(F.try_mod(a, b) + b, b),  # with the divisor's sign
+}
+
+
+def _arithmetic(df: DataFrame, formula: str) -> Column:
+    """The formula in doubles, which no value makes fail; a zero divisor gives NULL."""
+    operands: list[Column] = []
 
+    def named(found: re.Match) -> str:
+        quoted_name, literal, bare = found.groups()
+        operands.append(F.lit(float(literal)) if literal else col(quoted_name or bare).cast("double"))
+        return f"x{len(operands) - 1}"
 
-def _is_arithmetic(formula: str) -> bool:
-    bare = _NAME_IN_QUOTES.sub("x", formula)
-    return bool(_FORMULA.match(bare)) and not _NO_ARITHMETIC.search(bare)
+    def built(node: ast.expr) -> Column:
+        if isinstance(node, ast.Name):
+            return operands[int(node.id[1:])]
+        if isinstance(node, ast.BinOp) and type(node.op) in _ARITHMETIC:
+            return _ARITHMETIC[type(node.op)](built(node.left), built(node.right))
+        if isinstance(node, ast.UnaryOp) and isinstance(node.op, (ast.UAdd, ast.USub)):
+            return built(node.operand) if isinstance(node.op, ast.UAdd) else -built(node.operand)
+        raise SyntaxError("only + - * / % and brackets over columns and numbers")
+
+    return built(ast.parse(_OPERAND.sub(named, formula).strip(), mode="eval").body)
 
 
 def compute_column(df: DataFrame, name: str, formula: str) -> DataFrame:
-    """Add an arithmetic expression over columns; a faulty formula is logged and skipped."""
-    if not _is_arithmetic(formula):
-        log.warning("skipped %r: %r is not an arithmetic expression", name, formula)
-        return df
+    """Add an arithmetic expression over columns, in doubles; a faulty formula is logged and skipped."""
     try:
-        return df.withColumn(name, F.expr(formula))
-    except (AnalysisException, ParseException) as problem:
+        added = df.withColumn(name, _arithmetic(df, formula))
+        added.schema  # unknown columns show here
+        return added
+    except (AnalysisException, SyntaxError) as problem:
         log.warning("skipped %r = %r: %s", name, formula, problem)
         return df
 
@@ -133,16 +153,19 @@ def filter_compare(df: DataFrame, column: str, operator: str, threshold: float)
 
 
 def data_lookup(
-    df: DataFrame, column: str, value: str, limit: int | None = 20, order_by: Sequence[str] = (),
-    literal: bool = False,
+    df: DataFrame, column: str, value: str, limit: int | None = None, order_by: Sequence[str] = (),
+    literal: bool = False, columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """Rows whose column equals a number or contains a pattern, ignoring case.
 
     A value that reads as a number is compared exactly with numeric columns.
     Otherwise it is a regular expression, or plain text with ``literal``.
-    The first 15 columns are returned, up to ``limit`` rows in ``order_by``.
+    All matches are returned, or the first ``limit`` in ``order_by``, with all
+    columns or the given ones.
     """
-    require(df, column, *order_by)
+    require(df, column, *order_by, *(columns or ()))
+    if limit is not None and not order_by:
+        raise ValueError("a limit needs order_by: without an order the rows would be arbitrary")
     try:
         sought = float(value)
     except ValueError:
@@ -159,7 +182,7 @@ def data_lookup(
         matched = matched.orderBy(*[col(c) for c in order_by])
     if limit is not None:
         matched = matched.limit(limit)
-    return matched.select(*[col(c) for c in df.columns[:15]])
+    return matched.select(*[col(c) for c in columns or df.columns])
 
 
 def drop_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -173,7 +196,8 @@ def drop_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def high_value(df: DataFrame, column: str, quantile: float = 0.8) -> DataFrame:
     """Rows at or above the 80th percentile."""
     bound = column_quantiles(df, [column], [quantile])[column][0]
-    return df.where(col(column) >= F.lit(bound))
+    # NaN sorts above every number but is none
+    return df.where((col(column) >= F.lit(bound)) & number(column).isNotNull())
 
 
 def low_value(df: DataFrame, column: str, quantile: float = 0.2) -> DataFrame:
@@ -208,7 +232,7 @@ def beyond_sigma(df: DataFrame, column: str, k: float = 2.0) -> DataFrame:
 def majority_share(df: DataFrame, label: str, metric: str, share: float = 80.0) -> DataFrame:
     """The fewest largest labels that together reach the share of the total."""
     require(df, label, metric)
-    totals = df.groupBy(col(label).alias(label)).agg(F.sum(number(metric)).alias("value")).where(
+    totals = df.groupBy(known_value(df, label).alias(label)).agg(F.sum(number(metric)).alias("value")).where(
         F.col("value").isNotNull() & col(label).isNotNull()
     )
     ranked = with_running_sum(totals, "value", [F.col("value").desc(), col(label).asc()])

@@ -176,7 +176,7 @@ def profile_duplicates(df, subset: Sequence[str] | None = None) -> Tables:
 
 
 @analysis("trend", "table")
-def data_lookup(df, column: str, value: str, limit: int = 20, order_by: Sequence[str] = ()) -> Tables:
+def data_lookup(df, column: str, value: str, limit: int | None = None, order_by: Sequence[str] = ()) -> Tables:
     return {"table": prepare.data_lookup(df, column, str(value), limit, order_by)}
 
 

@@ -73,6 +73,22 @@ def fill_missing_forward_table(spark, d):
     return cleaning.fill_missing(events, "value", "forward", order_by=["ts", "event_id"]).select("event_id", "value")
 
 
+@query("fill_missing_backward_table", """
+SELECT event_id, first_value(CASE WHEN event_type <> 'error' THEN value END IGNORE NULLS) OVER
+  (ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS value FROM events""")
+def fill_missing_backward_table(spark, d):
+    events = table(spark, d, "events").withColumn("value", F.when(F.col("event_type") != "error", F.col("value")))
+    return cleaning.fill_missing(events, "value", "backward", order_by=["ts", "event_id"]).select("event_id", "value")
+
+
+@query("fill_missing_forward_nan", """
+SELECT event_id, last_value(CASE WHEN event_type <> 'error' THEN value END IGNORE NULLS) OVER
+  (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS value FROM events""")
+def fill_missing_forward_nan(spark, d):
+    events = table(spark, d, "events").withColumn("value", F.when(F.col("event_type") == "error", float("nan")).otherwise(F.col("value")))
+    return cleaning.fill_missing(events, "value", "forward", order_by=["ts", "event_id"]).select("event_id", "value")
+
+
 @query("fill_missing_custom", f"""
 WITH g AS ({LINE_GAPS}), f AS (SELECT l_linenumber, coalesce(l_discount, 0.5) AS l_discount FROM g)
 SELECT l_linenumber, {SUMMARY} FROM f GROUP BY l_linenumber""")

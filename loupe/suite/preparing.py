@@ -49,11 +49,6 @@ def materialise(spark, d):
     return copy.groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 
 
-@query("size_mb")
-def size_mb(spark, d):
-    return tables.size_mb(spark, f"{d}/lineitem.parquet")
-
-
 @query("sanitise", """
 SELECT c_custkey, CASE WHEN c_nationkey <> 3 THEN c_name END AS c_name, c_acctbal,
        CAST(NULL AS VARCHAR) AS tokens_only
@@ -85,6 +80,20 @@ def compute_column(spark, d):
     return lines.groupBy("l_returnflag").agg(digits(F.sum("charge"), 2).alias("charge"), F.count("*").alias("n"))
 
 
+@query("compute_column_zero_divisor", f"""
+SELECT l_orderkey, l_linenumber, {R("l_extendedprice / nullif(l_linenumber - 3, 0)")} AS ratio,
+  {R("fmod(l_quantity, nullif(l_linenumber - 3, 0))")} AS rest FROM lineitem""")
+def compute_column_zero_divisor(spark, d):
+    lines = prepare.compute_column(table(spark, d, "lineitem"), "ratio", "l_extendedprice / (l_linenumber - 3)")
+    return rounded(prepare.compute_column(lines, "rest", "l_quantity % (l_linenumber - 3)").select("l_orderkey", "l_linenumber", "ratio", "rest"))
+
+
+@query("compute_column_overflow", f"""
+SELECT p_partkey, {R("p_size::DOUBLE * 1000000 * p_size * 1000", 0)} AS product FROM part""")
+def compute_column_overflow(spark, d):
+    return rounded(prepare.compute_column(table(spark, d, "part"), "product", "p_size * 1000000 * p_size * 1000").select("p_partkey", "product"), 0)
+
+
 @query("apply_mappings", f"""
 SELECT p_brand AS brand, {R("sum(p_retailprice * p_size)", 2)} AS stock FROM part GROUP BY p_brand""")
 def apply_mappings(spark, d):
@@ -168,6 +177,14 @@ def high_value(spark, d):
     return rows.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.min("l_extendedprice").alias("least"))
 
 
+@query("high_value_nan", """
+WITH e AS (SELECT event_id, CASE WHEN event_type <> 'error' THEN value END AS value FROM events)
+SELECT event_id, value FROM e WHERE value >= (SELECT quantile_cont(value, 0.8) FROM e)""")
+def high_value_nan(spark, d):
+    events = table(spark, d, "events").withColumn("value", F.when(F.col("event_type") == "error", float("nan")).otherwise(F.col("value")))
+    return prepare.high_value(events, "value").select("event_id", "value")
+
+
 @query("low_value", """
 SELECT event_type, count(*) AS n, max(value) AS most FROM events
 WHERE value <= (SELECT quantile_cont(value, 0.2) FROM events) GROUP BY event_type""")

@@ -317,7 +317,7 @@ def test_anova_identity_with_t_test(spark):
 def test_too_many_groups_to_pair(spark):
     df = spark.createDataFrame([(f"g{i % 21}", float(i)) for i in range(100)], ["g", "v"])
     with pytest.raises(ValueError):
-        relationship.compare_pairs(df, "g", "v")
+        relationship.compare_pairs(df, "g", "v", max_groups=20)
 
 
 def test_constant_column_in_matrix(spark):
@@ -587,3 +587,36 @@ def test_segment_words(spark):
 def test_auto_eda_leaves_out_what_is_absent(spark):
     parts = run.auto_eda(table(spark, {"s": ["a", "b", "a"]}))
     assert set(parts) == {"categorical"}
+
+
+def test_computed_columns_never_fail(spark):
+    df = spark.createDataFrame([(6, 0, 2**31 - 1, "x"), (6, 4, 2, None)], "a int, b int, `c d` int, s string")
+    got = prepare.compute_column(prepare.compute_column(df, "q", "a / b + a % b"), "p", "`c d` * `c d` * 1e300 * 1e300")
+    assert [(r.q, r.p) for r in got.collect()] == [(None, float("inf")), (3.5, float("inf"))]
+    assert prepare.compute_column(df, "z", "a ** b").columns == df.columns
+    assert prepare.compute_column(df, "z", "nope + 1").columns == df.columns
+
+
+def test_nan_is_missing_everywhere(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(nan, 1.0), (nan, 2.0), (nan, 3.0), (1.0, 4.0), (1.0, 5.0), (1.0, nan), (2.0, 6.0), (2.0, 7.0), (2.0, 8.0)], "k double, v double")
+    assert {r.v for r in prepare.high_value(df, "v").collect()} == {7.0, 8.0}
+    assert cleaning.most_frequent(df, "k") == 2.0 or cleaning.most_frequent(df, "k") == 1.0
+    assert {r.value for r in distribution.describe_frequency(df, "k").collect()} == {"1.0", "2.0"}
+    assert {r.label for r in distribution.analyze_composition(df, "k").collect()} == {"1.0", "2.0"}
+    assert {r.group for r in relationship.group_boxplot(df, "k", "v").collect()} == {2.0}
+    assert [r.k for r in prepare.majority_share(df, "k", "v", 100.0).collect()] == [2.0, 1.0]
+    assert distribution.eda_exploratory(df.select(F.lit("x").alias("s"))).count() == 0
+
+
+def test_scatter_takes_even_places(spark):
+    df = spark.range(100).select(F.col("id").cast("double").alias("x"), (F.col("id") * 2.0).alias("y"))
+    assert relationship.scatter_points(df, "x", "y").count() == 100
+    xs = sorted(r.x for r in relationship.scatter_points(df, "x", "y", ["x"], limit=10).collect())
+    assert len(xs) == 10 and {b - a for a, b in zip(xs, xs[1:])} == {10.0}
+
+
+def test_several_models_need_keys(spark):
+    features = spark.createDataFrame([("a", 2.0, 0.0, 1.0)], "feature string, coefficient double, min double, max double")
+    with pytest.raises(ValueError):
+        whatif.optimize(features, spark.createDataFrame([(1.0,), (2.0,)], "intercept double"))
