@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from loupe.frames import col, is_numeric
 from loupe.session import shared_folder
@@ -66,20 +66,43 @@ def detect_encoding(spark: SparkSession, *paths: str) -> DataFrame:
     )
 
 
-def _transcoded(spark: SparkSession, paths: Sequence[str], encoding: str, header: bytes) -> str:
-    """Write the data lines as UTF-8 to the shared folder; Spark's reader has no GBK."""
+def _transcoded(spark: SparkSession, paths: Sequence[str], encoding: str) -> str:
+    """Write the data lines as UTF-8 to the shared folder; Spark's reader has no GBK.
 
-    @F.pandas_udf("string")
-    def decode(lines: pd.Series) -> pd.Series:
-        return lines.map(lambda raw: raw.decode(encoding))
+    A task reads the lines of a file in order, so the first one of a file's
+    start is its header, and only that is left out.
+    """
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        before = None
+        for batch in batches:
+            previous = batch["file"].shift(1)
+            if len(batch):
+                previous.iloc[0] = before
+                before = batch["file"].iloc[-1]
+            data = batch.loc[~(batch["at_start"] & (batch["file"] != previous)), "raw"]
+            yield pd.DataFrame({"value": data.map(lambda raw: bytes(raw).decode(encoding))}, dtype=object)
 
     folder = f"{shared_folder(spark).rstrip('/')}/loupe-csv-{uuid.uuid4().hex}"
-    raw = F.col("line").cast("binary")
-    data = _lines(spark, paths).where(raw != F.lit(bytearray(header)))
-    data.select(decode(raw).alias("value")).write.text(folder)
+    lines = _lines(spark, paths).select("file", "at_start", F.col("line").cast("binary").alias("raw"))
+    lines.mapInPandas(decode, "value string").write.text(folder)
     return folder
 
 
+def _read_with_header(spark: SparkSession, files: Sequence[str], infer: bool, options: dict) -> DataFrame:
+    """Spark's reader, which leaves data lines that equal the header out of its inference: their columns are text."""
+    found = spark.read.csv(files, header=True, inferSchema=infer, **options)
+    typed = [f for f in found.schema.fields if not isinstance(f.dataType, T.StringType)]
+    if not typed:
+        return found
+    text = spark.read.csv(files, header=True, inferSchema=False, **options)
+    repeated = text.where(reduce(Column.__and__, [col(c) == F.lit(c) for c in text.columns])).limit(1).count()
+    if not repeated:
+        return found
+    schema = T.StructType([T.StructField(f.name, T.StringType()) if f in typed else f for f in found.schema.fields])
+    return spark.read.csv(files, header=True, schema=schema, **options)
+
+
 def read_csv(spark: SparkSession, *paths: str, infer_schema: bool = True, **options) -> DataFrame:
     """Read CSV files with a header line, whatever mix of encodings they are in.
 
@@ -95,15 +118,13 @@ def read_csv(spark: SparkSession, *paths: str, infer_schema: bool = True, **opti
     parts = []
     for (encoding, header), files in sorted(groups.items()):
         if encoding in _SPARK_NAME:
-            part = spark.read.csv(
-                sorted(files), header=True, inferSchema=infer_schema, encoding=_SPARK_NAME[encoding], **options
-            )
+            part = _read_with_header(spark, sorted(files), infer_schema, {"encoding": _SPARK_NAME[encoding], **options})
         else:
             names = spark.read.csv(
                 _transcoded_header(spark, header, encoding), header=True, **options
             ).columns
             part = spark.read.csv(
-                _transcoded(spark, files, encoding, header), header=False, inferSchema=infer_schema, **options
+                _transcoded(spark, files, encoding), header=False, inferSchema=infer_schema, **options
             ).toDF(*names)
         parts.append(part)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), _aligned(parts))

@@ -45,3 +45,13 @@ def test_size_needs_no_contents(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "y.bin").write_bytes(b"0" * 1024 * 1024)
     assert tuple(tables.size_mb(spark, str(tmp_path)).first()) == (2, 4.0)
+
+
+def test_only_the_first_line_is_the_header(spark, tmp_path):
+    (tmp_path / "g.csv").write_bytes("名,值\n中文,1\n名,值\n数据,2\n".encode("gbk"))
+    (tmp_path / "u").mkdir()
+    (tmp_path / "u" / "h.csv").write_bytes("name,n\nx,1\nname,n\ny,2\n".encode())
+    gbk = csv.read_csv(spark, str(tmp_path / "g.csv"))
+    assert [tuple(r) for r in gbk.collect()] == [("中文", "1"), ("名", "值"), ("数据", "2")]
+    plain = csv.read_csv(spark, str(tmp_path / "u"))
+    assert [tuple(r) for r in plain.collect()] == [("x", "1"), ("name", "n"), ("y", "2")]
