@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from loupe.frames import attach_row, col, number, numeric_columns, require, share, single
+from loupe.frames import attach_row, col, known_value, number, numeric_columns, require, share, single
 from loupe.functions.normal import normal_cdf, normal_ppf
 from loupe.functions.tails import kolmogorov_p
 from loupe.operators.cleaning import iqr_fences
@@ -151,6 +151,9 @@ def _summary(v: Column, suffix: str) -> list[Column]:
 def eda_exploratory(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row per numeric column: count, mean, std, quartiles, skewness, kurtosis."""
     names = list(numeric_columns(df) if columns is None else columns)
+    if not names:
+        kinds = {"column": "string", "count": "long"} | dict.fromkeys([*_SUMMARY[1:], "q25", "q50", "q75"], "double")
+        return df.sparkSession.createDataFrame([], ", ".join(f"`{n}` {t}" for n, t in kinds.items()))
     quartiles = column_quantiles(df, names, [0.25, 0.5, 0.75])
     # a few columns per pass: Spark compiles an aggregate of up to 100 buffers
     parts = [names[i : i + 4] for i in range(0, len(names), 4)]
@@ -321,7 +324,8 @@ def qq_points(df: DataFrame, column: str, points: int = 500, standard: bool = Fa
 
 def _category_counts(df: DataFrame, column: str) -> DataFrame:
     require(df, column)
-    return df.where(col(column).isNotNull()).groupBy(col(column).alias("v")).agg(F.count("*").alias("count"))
+    known = df.select(known_value(df, column).alias("v")).where(F.col("v").isNotNull())
+    return known.groupBy("v").agg(F.count("*").alias("count"))
 
 
 def _head(counts: DataFrame, n: int) -> DataFrame:
@@ -399,8 +403,8 @@ def composition_stats(df: DataFrame, column: str, top_n: int = 10) -> DataFrame:
     )
 
 
-def eda_categorical(df: DataFrame, columns: Sequence[str] | None = None, top_n: int = 5, first: int = 4) -> DataFrame:
-    """(column, rank, value, count, pct): top values of the first 4 categorical columns.
+def eda_categorical(df: DataFrame, columns: Sequence[str] | None = None, top_n: int = 5, first: int | None = None) -> DataFrame:
+    """(column, rank, value, count, pct): top values of the categorical columns, or the first of them.
 
     The share is of the values shown.
     """
@@ -568,13 +572,13 @@ def segment_profile(
 ) -> DataFrame:
     """(column, segment_mean, rest_mean, diff_pct): the n rows highest or lowest by metric against the rest.
 
-    Compares up to 10 numeric columns, largest difference first.  ``order_by``
+    Compares all numeric columns, or the given ones, largest difference first.  ``order_by``
     breaks ties in the metric.  The rest's sums are the table's less the segment's.
     """
     require(df, metric, *order_by)
     if direction not in ("top", "bottom"):
         raise ValueError("direction is 'top' or 'bottom'")
-    names = [c for c in (numeric_columns(df) if compare_cols is None else compare_cols) if c in df.columns and c != metric][:10]
+    names = [c for c in (numeric_columns(df) if compare_cols is None else compare_cols) if c in df.columns and c != metric]
     order = F.desc("_m") if direction == "top" else F.asc("_m")
     columns = [number(c).alias(f"c{i}") for i, c in enumerate(names)]
     ties = [F.asc(f"_t{i}") for i in range(len(order_by))]

@@ -404,11 +404,11 @@ def is_missing(df: DataFrame, name: str) -> Column:
     return _known(df.schema[name]).isNull()
 
 
-def missing_patterns(df: DataFrame, first: int = 15) -> DataFrame:
+def missing_patterns(df: DataFrame, first: int | None = None) -> DataFrame:
     """Column pairs where one is mostly missing when the other is.
 
-    Looks at columns missing in some but less than 95 % of at least 20 rows,
-    the first 15 of them against all later ones.
+    Looks at columns missing in some but less than 95 % of at least 20 rows;
+    ``first`` sets only so many of them against all later ones.
     """
     counted = df.agg(F.count("*"), *[F.count_if(is_missing(df, c)) for c in df.columns]).first()
     rows, missing = counted[0], dict(zip(df.columns, counted[1:]))

@@ -7,11 +7,11 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loupe.frames import attach_row, col, number, pick_numeric, require
+from loupe.frames import attach_row, col, known_value, number, pick_numeric, require
 from loupe.functions.tails import chi2_p, f_p, t_p
 from loupe.moments import moments
 from loupe.operators.profiling import is_missing
-from loupe.ordered import Sort, sort_columns, with_running_sum
+from loupe.ordered import POSITION, Sort, with_position, with_running_sum
 from loupe.quantiles import group_quantiles
 from loupe.session import durable
 
@@ -93,10 +93,15 @@ def trend_line(df: DataFrame, x: str, y: str, points: int = 50) -> DataFrame:
     return spread.select(at.alias("x"), (F.col("slope") * at + F.col("intercept")).alias("y"))
 
 
-def scatter_points(df: DataFrame, x: str, y: str, order_by: Sort, limit: int = 2000) -> DataFrame:
-    """The first complete pairs in the given order, for a chart."""
+def scatter_points(df: DataFrame, x: str, y: str, order_by: Sort = (), limit: int | None = None) -> DataFrame:
+    """The complete pairs, for a chart; ``limit`` takes as many at even places of the given order."""
     require(df, x, y)
-    known = df.where(number(x).isNotNull() & number(y).isNotNull()).orderBy(*sort_columns(order_by)).limit(limit)
+    known = df.where(number(x).isNotNull() & number(y).isNotNull())
+    if limit is not None:
+        rows = known.count()
+        placed = with_position(known, order_by)
+        part = lambda at: F.floor(at * F.lit(limit) / F.lit(max(1, rows)))
+        known = placed.where(part(F.col(POSITION) + 1) > part(F.col(POSITION))) if rows > limit else known
     return known.select(number(x).alias("x"), number(y).alias("y"))
 
 
@@ -108,18 +113,19 @@ def _cells(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.na.drop(subset=[x, y]).groupBy(col(x).alias("x"), col(y).alias("y")).agg(F.count("*").alias("count"))
 
 
-def cross_tabulate(df: DataFrame, x: str, y: str, dense: bool = True) -> DataFrame:
+def cross_tabulate(df: DataFrame, x: str, y: str, dense: bool = True, max_levels: int = DENSE_LEVELS) -> DataFrame:
     """(x, y, count), empty cells included.
 
-    The levels of y are listed for every level of x, so there may be at most
-    1000 of them; ``dense=False`` leaves empty cells out and has no bound.
+    The levels of y are listed for every level of x, so more than
+    ``max_levels`` are refused; ``dense=False`` leaves empty cells out and has
+    no bound.
     """
     cells = _cells(df, x, y)
     if not dense:
         return cells
     levels = cells.groupBy("y").agg(F.lit(1).alias("_one"))
-    if len(levels.limit(DENSE_LEVELS + 1).select("_one").collect()) > DENSE_LEVELS:
-        raise ValueError(f"{y!r} has more than {DENSE_LEVELS} levels; use dense=False, where absent cells are 0")
+    if len(levels.limit(max_levels + 1).select("_one").collect()) > max_levels:
+        raise ValueError(f"{y!r} has more than {max_levels} levels; use dense=False, where absent cells are 0")
     every = levels.agg(F.collect_list("y").alias("_ys"))
     grid = attach_row(cells.select("x").distinct(), every).select("x", F.explode("_ys").alias("y"))
     return grid.join(cells, ["x", "y"], "left").select("x", "y", F.coalesce("count", F.lit(0)).alias("count"))
@@ -173,8 +179,8 @@ def _groups(df: DataFrame, group: str, value: str, least: int = 3) -> DataFrame:
     require(df, group, value)
     v = number(value)
     return (
-        df.where(col(group).isNotNull()).groupBy(col(group).alias("g"))
-        .agg(F.count(v).alias("n"), F.avg(v).alias("mean"), (F.var_pop(v) * F.count(v)).alias("ss"))
+        df.select(known_value(df, group).alias("g"), v.alias("_v")).where(F.col("g").isNotNull()).groupBy("g")
+        .agg(F.count("_v").alias("n"), F.avg("_v").alias("mean"), (F.var_pop("_v") * F.count("_v")).alias("ss"))
         .where(F.col("n") >= least)
     )
 
@@ -182,7 +188,7 @@ def _groups(df: DataFrame, group: str, value: str, least: int = 3) -> DataFrame:
 def group_boxplot(df: DataFrame, group: str, value: str) -> DataFrame:
     """(group, min, q1, median, q3, max, mean, std, count) of groups with 3 values or more; std divides by n."""
     require(df, group, value)
-    known = df.where(col(group).isNotNull()).select(col(group).alias("group"), number(value).alias("v"))
+    known = df.select(known_value(df, group).alias("group"), number(value).alias("v")).where(F.col("group").isNotNull())
     stats = known.groupBy("group").agg(
         F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"),
         F.stddev_pop("v").alias("std"), F.count("v").alias("count"),
@@ -255,18 +261,18 @@ def compare_groups(df: DataFrame, group: str, value: str) -> DataFrame:
     )
 
 
-def compare_pairs(df: DataFrame, group: str, value: str, max_groups: int = 20) -> DataFrame:
+def compare_pairs(df: DataFrame, group: str, value: str, max_groups: int | None = None) -> DataFrame:
     """(group_a, group_b, diff, statistic, p_value, p_bonferroni, significant): t-tests of all pairs.
 
     The t-test pools the variances of the two groups and its p is not
-    corrected; the Bonferroni column is.  More than 20 groups are refused, as
-    their pairs would say little; the limit is a parameter.
+    corrected; the Bonferroni column is.  With ``max_groups``, more groups are
+    refused.
     """
     groups = _groups(df, group, value).withColumn("g", F.col("g").cast("string"))
     k = groups.count()
-    if k > max_groups:
+    if max_groups is not None and k > max_groups:
         raise ValueError(f"{k} groups are too many to compare in pairs (at most {max_groups})")
-    a, b = groups.alias("a"), F.broadcast(groups.alias("b"))  # max_groups rows
+    a, b = groups.alias("a"), groups.alias("b")  # one row a group
     pairs = a.join(b, F.col("a.g") < F.col("b.g"))
     diff = F.col("a.mean") - F.col("b.mean")
     dof = F.col("a.n") + F.col("b.n") - 2
@@ -301,9 +307,9 @@ def _complete(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def correlation_matrix(
-    df: DataFrame, columns: Sequence[str] | None = None, method: str = "pearson", max_columns: int = 15
+    df: DataFrame, columns: Sequence[str] | None = None, method: str = "pearson", max_columns: int | None = None
 ) -> DataFrame:
-    """(a, b, r) over the rows with all columns known, for the first 15 columns."""
+    """(a, b, r) over the rows with all columns known; ``max_columns`` takes the first ones only."""
     names = pick_numeric(df, columns)[:max_columns]
     if len(names) < 2:
         raise ValueError("a correlation matrix needs two numeric columns")
@@ -332,7 +338,7 @@ def related(df: DataFrame, columns: Sequence[str] | None = None, r: float = 0.3,
     """(a, b, r, p_value) of the column pairs with |r| > 0.3 and p < 0.05."""
     names = pick_numeric(df, columns)
     n = _complete(df, names).count()
-    pairs = correlation_pairs(correlation_matrix(df, names, max_columns=len(names))).where(F.abs("r") > r)
+    pairs = correlation_pairs(correlation_matrix(df, names)).where(F.abs("r") > r)
     rest = F.nullif(F.greatest(1 - F.col("r") * F.col("r"), F.lit(0.0)), F.lit(0.0))
     t = F.coalesce(F.col("r") * F.sqrt(F.lit(float(n - 2)) / rest), F.lit(float("inf")))
     return pairs.withColumn("p_value", t_p(t, F.lit(float(n - 2)))).where(F.col("p_value") < p)

@@ -120,11 +120,14 @@ def best_values(features: DataFrame, direction: str = "max", by: Sequence[str] =
 def optimize(features: DataFrame, intercepts: DataFrame, direction: str = "max", by: Sequence[str] = ()) -> DataFrame:
     """(keys, prediction, values): the best prediction of each model and the values that give it.
 
-    ``intercepts`` has one ``intercept`` per model, named by the keys.
+    ``intercepts`` has one ``intercept`` per model, named by the keys; without
+    keys there is one model.
     """
+    if not by and len(intercepts.limit(2).collect()) > 1:
+        raise ValueError("several models need keys that tell them apart")
     best = best_values(features, direction, by).groupBy(*[col(b) for b in by]).agg(
         F.sum(F.col("coefficient") * F.col("value")).alias("_moved"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("feature", "value")))).alias("values"),
     )
-    joined = best.join(intercepts, list(by)) if by else best.crossJoin(F.broadcast(intercepts.limit(1)))
+    joined = best.join(intercepts, list(by)) if by else best.crossJoin(F.broadcast(intercepts))
     return joined.select(*[col(b) for b in by], (F.col("intercept") + F.col("_moved")).alias("prediction"), "values")

@@ -77,13 +77,13 @@ def status(df: DataFrame, steps: Sequence[Step]) -> DataFrame:
     )
 
 
-def auto_eda(df: DataFrame, order_by: Sequence[str] | None = None, sample_rows: int | None = None, seed: int = 42) -> dict[str, DataFrame]:
-    """Summaries of every numeric column, and charts of the first few columns.
+def auto_eda(df: DataFrame, order_by: Sequence[str] | None = None, sample_rows: int | None = None, seed: int = 42, first: int | None = None) -> dict[str, DataFrame]:
+    """Summaries and charts of every column.
 
-    Keys: exploratory, histograms (4 numeric columns), correlation (10 numeric
-    columns), categorical (4 columns) and timeseries (first date by first
-    number); parts without suitable columns are left out.  ``sample_rows``
-    takes a random part for the numeric summaries; by default all rows count.
+    Keys: exploratory, histograms, correlation, categorical and timeseries
+    (first date by first number); parts without suitable columns are left out.
+    ``first`` draws only so many columns of a kind.  ``sample_rows`` takes a
+    random part for the numeric summaries; by default all rows count.
     """
     types = profiling.semantic_types(df, order_by)
     of = lambda kind: [c for c, t in types.items() if t == kind]
@@ -95,11 +95,11 @@ def auto_eda(df: DataFrame, order_by: Sequence[str] | None = None, sample_rows:
     result: dict[str, DataFrame] = {}
     if numeric:
         result["exploratory"] = distribution.eda_exploratory(rows, numeric)
-        result["histograms"] = distribution.histograms(rows, numeric[:4])
+        result["histograms"] = distribution.histograms(rows, numeric[:first])
     if len(numeric) >= 2:
-        result["correlation"] = profiling.pairwise_correlation(rows, numeric[:10])
+        result["correlation"] = profiling.pairwise_correlation(rows, numeric[:first])
     if categories:
-        result["categorical"] = distribution.eda_categorical(df, categories[:4])
+        result["categorical"] = distribution.eda_categorical(df, categories[:first])
     if dates and numeric:
         result["timeseries"] = trend.eda_timeseries(df, dates[0], numeric[0])
     return result

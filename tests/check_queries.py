@@ -61,8 +61,9 @@ def compare(spark, con, folder, name, run, sql):
     if not rows:
         return "no rows"
     if rows != want:
-        extra = [r for r in rows if r not in set(want)][:3]
-        lacking = [r for r in want if r not in set(rows)][:3]
+        found, wanted = set(rows), set(want)
+        extra = [r for r in rows if r not in wanted][:3]
+        lacking = [r for r in want if r not in found][:3]
         return f"{len(rows)} rows against {len(want)}\n  columns {columns}\n  spark {extra}\n  sql   {lacking}"
     return None
 
