@@ -6,55 +6,60 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from loupe.frames import col, require
 
+#: a string literal in either kind of quotes, or a comma that nothing but a closing bracket follows
+_LITERAL_OR_COMMA = r"""("[^"\\]*+(?:\\.[^"\\]*+)*+"|'[^'\\]*+(?:\\.[^'\\]*+)*+')|,(?=\s*[}\]])"""
+#: what Spark's JSON reader forgives: quotes of the other kind, or none around names
+_LENIENT = {"allowSingleQuotes": "true", "allowUnquotedFieldNames": "true", "allowBackslashEscapingAnyCharacter": "true"}
 
-def _unfenced(text: Column) -> Column:
-    """Without a leading Markdown fence line and a closing one."""
-    inner = F.regexp_replace(F.regexp_replace(text, r"^```[^\n]*\n?", ""), r"\n[ \t]*```[ \t]*$", "")
-    return F.when(text.startswith("```"), F.trim(inner)).otherwise(text)
 
+def _object_in(text: Column) -> Column:
+    """The text between the outermost braces, or all of it without a pair; commas too many are left out.
 
-def _braced(text: Column) -> Column:
-    """From the first opening to the last closing brace, if there are such."""
-    cut = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    return F.when(cut != "", cut).otherwise(text)
+    Commas inside string literals are text.
+    """
+    opened, reversed_ = F.instr(text, "{"), F.reverse(text)
+    closed = F.length(text) - F.instr(reversed_, "}") + 1
+    inner = F.when((opened > 0) & (F.instr(reversed_, "}") > 0) & (closed > opened), F.substr(text, opened, closed - opened + 1)).otherwise(text)
+    return F.regexp_replace(inner, _LITERAL_OR_COMMA, "$1")
 
 
-def _is_json(text: Column) -> Column:
-    """One JSON object or array and nothing after it.
+def _only_value(listed: Column, text: Column) -> Column:
+    """The list, if it was read as one object or array alone.
 
-    The parser stops after the first value, so the text is read as the only
-    element of an array.
+    The reader stops behind the first value, so texts are read as the only
+    element of a list.
     """
-    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    alone = F.try_variant_get(wrapped, "$[1]", "string").isNull()
-    return text.rlike(r"^[{\[]") & wrapped.isNotNull() & alone
+    alone = F.try_variant_get(listed, "$[0]", "variant").isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
+    return F.when(alone & text.rlike(r"^\s*[{\[]"), listed)
 
 
 def salvage_json(df: DataFrame, text: str, schema: T.StructType | str, out: str = "json") -> DataFrame:
     """Add ``<out>`` (the parsed object), ``<out>_text`` and ``<out>_status``.
 
-    Fences, text around the object and trailing commas are removed; if that is
-    not JSON, single-quoted keys and values are tried.  The status is clean,
-    repaired, requoted or failed; what failed is NULL.
+    The status is clean for text that is JSON; repaired if its outermost
+    braces hold JSON once commas too many are gone; requoted if they do for a
+    reader that forgives single quotes and names without any; else failed,
+    with NULL.  A later reading is only tried where the earlier ones fail.
     """
     require(df, text)
-    trimmed = F.trim(col(text), F.lit(" \t\r\n"))
-    repaired = F.regexp_replace(_braced(_unfenced(trimmed)), r",(\s*[}\]])", "$1")
-    keys = F.regexp_replace(F.col("_repaired"), r"'([^']*)':", '"$1":')
-    requoted = F.regexp_replace(keys, r":\s*'([^']*)'", ': "$1"')
-    staged = df.withColumn("_trimmed", trimmed).withColumn("_repaired", repaired).withColumn("_requoted", requoted)
-    status = (
-        F.when(_is_json(F.col("_trimmed")), "clean")
-        .when(_is_json(F.col("_repaired")), "repaired")
-        .when(_is_json(F.col("_requoted")), "requoted")
-        .otherwise("failed")
+    listed = lambda name: F.concat(F.lit("["), F.col(name), F.lit("]"))
+    clean, repaired, requoted = F.col("_clean").isNotNull(), F.col("_repaired").isNotNull(), F.col("_requoted").isNotNull()
+    read = (
+        df.withColumn("_text", F.trim(col(text), F.lit(" \t\r\n")))
+        .withColumn("_clean", F.try_parse_json(listed("_text")))
+        .withColumn("_clean", _only_value(F.col("_clean"), F.col("_text")))
+        .withColumn("_inner", F.when(~clean, _object_in(F.col("_text"))))
+        .withColumn("_repaired", F.try_parse_json(listed("_inner")))
+        .withColumn("_repaired", _only_value(F.col("_repaired"), F.col("_inner")))
+        .withColumn("_requoted", F.when(~clean & ~repaired, F.from_json(listed("_inner"), "variant", _LENIENT)))
+        .withColumn("_requoted", _only_value(F.col("_requoted"), F.col("_inner")))
     )
-    kept = staged.withColumn(f"{out}_status", status)
-    chosen = (
-        F.when(F.col(f"{out}_status") == "clean", F.col("_trimmed"))
-        .when(F.col(f"{out}_status") == "repaired", F.col("_repaired"))
-        .when(F.col(f"{out}_status") == "requoted", F.col("_requoted"))
+    status = F.when(clean, "clean").when(repaired, "repaired").when(requoted, "requoted").otherwise("failed")
+    chosen = F.when(clean, F.col("_text")).when(repaired, F.col("_inner")).when(
+        requoted, F.to_json(F.try_variant_get("_requoted", "$[0]", "variant"))
     )
-    return kept.withColumn(f"{out}_text", chosen).withColumn(out, F.from_json(f"{out}_text", schema)).drop(
-        "_trimmed", "_repaired", "_requoted"
+    return (
+        read.withColumn(f"{out}_status", status).withColumn(f"{out}_text", chosen)
+        .withColumn(out, F.from_json(f"{out}_text", schema))
+        .drop("_text", "_clean", "_inner", "_repaired", "_requoted")
     )

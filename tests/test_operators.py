@@ -539,6 +539,10 @@ def test_runs_collapse_to_their_last_row(spark):
         ('```json\n{"a": 1}\n```', "repaired", 1),
         ('Sure: {"a": 1,} and more', "repaired", 1),
         ("{'a': 1, 'b': 'x'}", "requoted", 1),
+        ("{'a': 2, 'b': 'it\\'s'}", "requoted", 2),
+        ("so: {'l': ['x', 'y',], a: 3}", "requoted", 3),
+        ('{"a": 4, "b": "it\'s, ]"}', "clean", 4),
+        ('x {"a": 5, "b": "keeps ,] and ,}",}', "repaired", 5),
         ('{"a": 1', "failed", None),
         ('{"a": 1} {"a": 2}', "failed", None),
         ("no json", "failed", None),
@@ -620,3 +624,8 @@ def test_several_models_need_keys(spark):
     features = spark.createDataFrame([("a", 2.0, 0.0, 1.0)], "feature string, coefficient double, min double, max double")
     with pytest.raises(ValueError):
         whatif.optimize(features, spark.createDataFrame([(1.0,), (2.0,)], "intercept double"))
+
+
+def test_salvage_keeps_commas_in_strings(spark):
+    df = spark.createDataFrame([('x {"a": 5, "b": "keeps ,] and ,}",}',)], "t string")
+    assert jsontext.salvage_json(df, "t", "a long, b string").first().json.b == "keeps ,] and ,}"
