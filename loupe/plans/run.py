@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import inspect
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark import StorageLevel
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
@@ -36,20 +37,33 @@ def _missing(params: Mapping[str, Any], columns: Sequence[str]) -> list[str]:
 
 
 def run_plan(
-    df: DataFrame, actions: Sequence[Mapping[str, Any]], mappings: Sequence[Mapping[str, Any]] = (), cache: bool = False
+    df: DataFrame, actions: Sequence[Mapping[str, Any]], mappings: Sequence[Mapping[str, Any]] = (), cache: bool = False,
+    execute: bool = False,
 ) -> list[Step]:
     """Run ``{function, params, chart}`` actions after adding the mapped columns.
 
     Unknown parameters are dropped.  An unknown function, a column that does
     not exist or a failing analysis gives a step with an error; the others
-    still run.  ``cache`` keeps the columns in use for plans with several
+    still run.  Tables are lazy, so what only fails on the data fails where
+    they are read; ``execute`` runs every table once, which makes that an error
+    of its step too.  ``cache`` keeps the columns in use for plans with several
     actions; unpersist the returned tables' source with
     ``spark.catalog.clearCache()`` when done.
     """
     table = apply_mappings(df, mappings)
     if cache and len(actions) > 1:
         table = table.persist(StorageLevel.MEMORY_AND_DISK)
-    return [_run(table, place, action) for place, action in enumerate(actions, start=1)]
+    steps = [_run(table, place, action) for place, action in enumerate(actions, start=1)]
+    return [_executed(step) for step in steps] if execute else steps
+
+
+def _executed(step: Step) -> Step:
+    try:
+        for result in step.tables.values():
+            result.write.format("noop").mode("overwrite").save()
+    except (PySparkException, Py4JJavaError) as problem:
+        return replace(step, tables={}, error=str(problem))
+    return step
 
 
 def _run(table: DataFrame, place: int, action: Mapping[str, Any]) -> Step:

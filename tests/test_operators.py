@@ -629,3 +629,23 @@ def test_several_models_need_keys(spark):
 def test_salvage_keeps_commas_in_strings(spark):
     df = spark.createDataFrame([('x {"a": 5, "b": "keeps ,] and ,}",}',)], "t string")
     assert jsontext.salvage_json(df, "t", "a long, b string").first().json.b == "keeps ,] and ,}"
+
+
+def test_executed_plans_report_failures_on_the_data(spark):
+    bad = F.when(F.col("id") > 3, F.raise_error(F.lit("broken row"))).otherwise(F.col("id")).cast("double")
+    df = spark.range(6).select(F.lit("x").alias("g"), bad.alias("v"), F.col("id").cast("double").alias("w"))
+    actions = [{"function": "describe_frequency", "params": {"column": c}} for c in ("v", "w")]
+    steps = run.run_plan(df, actions, execute=True)
+    assert [s.error is None for s in steps] == [False, True] and "broken row" in steps[0].error and not steps[0].tables
+
+
+def test_scopes_delete_their_copies(spark):
+    import os
+
+    from loupe import session
+
+    with session.scope(spark):
+        copy = session.durable(spark.range(10))
+        path = copy.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+        assert copy.count() == 10 and os.path.isdir(path)
+    assert not os.path.exists(path)
