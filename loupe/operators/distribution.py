@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import statistics
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
@@ -173,21 +173,30 @@ def _explored(df: DataFrame, names: Sequence[str], quartiles: dict[str, list[flo
     return wide.select(F.inline(F.array(*rows)))
 
 
-def describe_distribution(df: DataFrame, column: str) -> DataFrame:
+def _chosen(test: str | None, by_size: Callable[[DataFrame, str], DataFrame]) -> Callable[[DataFrame, str], DataFrame]:
+    """The test of a name, or the one that goes with the number of values."""
+    named = {"shapiro": shapiro_wilk, "ks": kolmogorov_smirnov, "k2": dagostino_pearson}
+    if test is not None and test not in named:
+        raise ValueError(f"unknown test {test!r}; use one of {sorted(named)}")
+    return named[test] if test else by_size
+
+
+def describe_distribution(df: DataFrame, column: str, test: str | None = None) -> DataFrame:
     """One row: summary, quartiles, iqr and a normality test.
 
-    Kolmogorov-Smirnov against the fitted normal from 2000 values on (its p is
-    too large, as mean and std come from the same data), else Shapiro-Wilk.
+    ``test`` is shapiro, ks or k2.  By default it is Kolmogorov-Smirnov against
+    the fitted normal from 2000 values on (its p is too large, as mean and std
+    come from the same data), else Shapiro-Wilk.
     """
     values = single(df, column)
     summary = eda_exploratory(values, ["v"]).drop("column").withColumn("iqr", F.col("q75") - F.col("q25"))
     n = values.count()
     if n < 5:
         return summary.where(F.lit(False))
-    test = kolmogorov_smirnov(df, column) if n >= SHAPIRO_ROWS else shapiro_wilk(df, column)
+    tested = _chosen(test, kolmogorov_smirnov if n >= SHAPIRO_ROWS else shapiro_wilk)(df, column)
     return attach_row(
         summary,
-        test.select(
+        tested.select(
             F.col("test").alias("normality_test"),
             F.col("statistic").alias("normality_stat"),
             F.col("p_value").alias("normality_p"),
@@ -291,8 +300,12 @@ def dagostino_pearson(df: DataFrame, column: str) -> DataFrame:
     return k2.select(F.lit("D'Agostino-Pearson").alias("test"), "statistic", F.exp(-F.col("statistic") / 2).alias("p_value"))
 
 
-def test_normality(df: DataFrame, column: str) -> DataFrame:
-    """One row: Shapiro-Wilk up to 2000 values, K2 beyond, with skewness and kurtosis."""
+def test_normality(df: DataFrame, column: str, test: str | None = None) -> DataFrame:
+    """One row: a normality test with skewness and kurtosis.
+
+    ``test`` is shapiro, ks or k2; by default Shapiro-Wilk up to 2000 values
+    and K2 beyond.
+    """
     values = single(df, column)
     n = values.count()
     shape = values.agg(sample_skewness(F.col("v")).alias("skewness"), sample_kurtosis(F.col("v")).alias("kurtosis"))
@@ -302,7 +315,7 @@ def test_normality(df: DataFrame, column: str) -> DataFrame:
             F.lit("").alias("test"), F.lit(0.0).alias("statistic"), F.lit(0.0).alias("p_value"),
             F.lit(False).alias("is_normal"), "skewness", "kurtosis",
         )
-    result = shapiro_wilk(df, column) if n <= SHAPIRO_ROWS else dagostino_pearson(df, column)
+    result = _chosen(test, shapiro_wilk if n <= SHAPIRO_ROWS else dagostino_pearson)(df, column)
     return attach_row(result.withColumn("is_normal", F.col("p_value") > 0.05), shape)
 
 

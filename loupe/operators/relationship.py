@@ -240,14 +240,19 @@ def kruskal_wallis(df: DataFrame, group: str, value: str) -> DataFrame:
     )
 
 
-def compare_groups(df: DataFrame, group: str, value: str) -> DataFrame:
-    """One row: ANOVA if every group has 30 values, else Kruskal-Wallis, and eta squared.
+def compare_groups(df: DataFrame, group: str, value: str, test: str | None = None) -> DataFrame:
+    """One row: a test of the groups' difference, and eta squared.
 
-    Groups need 3 values; with fewer than 2 groups there is no row.
+    ``test`` is anova or kruskal; by default ANOVA if every group has 30
+    values, else Kruskal-Wallis.  Groups need 3 values; with fewer than 2
+    groups there is no row.
     """
+    if test not in (None, "anova", "kruskal"):
+        raise ValueError("test is 'anova' or 'kruskal'")
     groups = _groups(df, group, value)
     smallest, k = groups.agg(F.min("n"), F.count("*")).first()
-    test = anova if k >= 2 and smallest >= 30 else kruskal_wallis
+    parametric = test == "anova" or test is None and k >= 2 and smallest >= 30
+    chosen = anova if parametric else kruskal_wallis
     sums = _between(groups).where(F.col("n_groups") >= 2)
     eta = F.coalesce(F.try_divide(F.col("ssb"), F.col("ssb") + F.col("ssw")), F.lit(0.0))
     if k < 2:
@@ -255,7 +260,7 @@ def compare_groups(df: DataFrame, group: str, value: str) -> DataFrame:
             F.lit("").alias("test"), F.lit(0.0).alias("statistic"), F.lit(0.0).alias("p_value"),
             F.lit(False).alias("significant"), eta.alias("eta_squared"), "n_groups", "total_n",
         )
-    return attach_row(sums, test(df, group, value)).select(
+    return attach_row(sums, chosen(df, group, value)).select(
         "test", "statistic", "p_value", (F.col("p_value") < 0.05).alias("significant"),
         eta.alias("eta_squared"), "n_groups", "total_n",
     )

@@ -649,3 +649,14 @@ def test_scopes_delete_their_copies(spark):
         path = copy.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
         assert copy.count() == 10 and os.path.isdir(path)
     assert not os.path.exists(path)
+
+
+def test_tests_can_be_chosen(spark):
+    df = spark.range(60).select((F.col("id") % 3).cast("string").alias("g"), F.pow(F.col("id").cast("double"), F.lit(1.5)).alias("v"))
+    names = {t: distribution.describe_distribution(df, "v", t).first().normality_test for t in (None, "shapiro", "ks", "k2")}
+    assert names == {None: "Shapiro-Wilk", "shapiro": "Shapiro-Wilk", "ks": "Kolmogorov-Smirnov", "k2": "D'Agostino-Pearson"}
+    assert distribution.test_normality(df, "v", "k2").first().test == "D'Agostino-Pearson"
+    assert relationship.compare_groups(df, "g", "v").first().test == "Kruskal-Wallis"
+    assert relationship.compare_groups(df, "g", "v", "anova").first().test == "ANOVA"
+    with pytest.raises(ValueError):
+        relationship.compare_groups(df, "g", "v", "t")
