@@ -4,8 +4,10 @@ import pytest
 
 import __spark_entry__ as entry
 from check_queries import compare, duck
+from loupe import suite
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+#: the optional operators have tests of their own
+QUERIES, SQL = suite.QUERIES, suite.SQL
 #: plans over all analyses and cluster searches, run on the smallest tables
 LONG = {"run_plan_all", "cluster_analysis"}
 
@@ -34,6 +36,10 @@ def test_sql_has_a_query_for_every_key():
     assert set(SQL) <= set(QUERIES)
 
 
+def test_all_are_registered():
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql()) <= set(entry.queries())
+
+
 def test_flagship(spark):
     rows = entry.entry(spark).collect()
     assert rows and {"rank", "label", "value", "cum_pct"} <= set(rows[0].asDict())
