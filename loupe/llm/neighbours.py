@@ -94,13 +94,14 @@ def learn(sample, length: float, k: int = K) -> Codes:
         turns.append(main @ turn)
     codes.turn = np.column_stack(turns)[:, :BITS]
     if len(sample) > k:
-        asked = sample[:SAMPLE_QUERIES]
-        scores = asked @ sample.T
-        scores[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
-        near = np.argpartition(-scores, k - 1, axis=1)[:, :k]
-        own, other = codes.encode(asked, True), codes.encode(sample)
-        distances = np.bitwise_count(own[:, None, :] ^ other[near]).sum(axis=2)
-        codes.radius = int(np.quantile(distances, COVER, method="higher"))
+        other, distances = codes.encode(sample), []
+        for first in range(0, min(len(sample), SAMPLE_QUERIES), 100):
+            asked = sample[first : min(first + 100, SAMPLE_QUERIES)]
+            scores = -(asked @ sample.T)
+            scores[np.arange(len(asked)), np.arange(first, first + len(asked))] = np.inf
+            near = np.argpartition(scores, k - 1, axis=1)[:, :k]
+            distances.append(np.bitwise_count(codes.encode(asked, True)[:, None, :] ^ other[near]).sum(axis=2).ravel())
+        codes.radius = int(np.quantile(np.concatenate(distances), COVER, method="higher"))
     return codes
 
 
@@ -250,7 +251,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = K, radius: int | None
         F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)).alias("square"),
     ).first()
     sample = entries.orderBy(F.xxhash64("vector"), "vector").limit(SAMPLE).select("vector").toPandas()["vector"]  # bounded
-    codes = learn(np.array(sample.tolist(), dtype=np.float64), float(np.sqrt(facts["square"])), k)
+    codes = learn(np.stack(sample.to_list()), float(np.sqrt(facts["square"])), k)
     n_shards = -(-facts["n"] // SHARD)
 
     def pack(batches: Iterator) -> Iterator:
