@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from loupe.frames import col, require
 from loupe.llm.rows import fresh, row_hash, text_of
+from loupe.session import durable
 
 #: fixed values: public notices by licence identifier
 TEMPLATES = [
@@ -131,7 +132,8 @@ def classify(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD
     known = F.broadcast(spark.createDataFrame(list(idf.items()), "word string, idf double"))
 
     marker = f"(?<![a-z0-9])(?:{'|'.join(anchors(weights, threshold))})(?![a-z0-9])"
-    suspects = pieces.where(lowered(F.col("passage")).rlike(marker)).distinct()
+    # few, and read several times below
+    suspects = durable(pieces.where(lowered(F.col("passage")).rlike(marker)).distinct())
     counted = suspects.select("row", "at", F.explode(tokens(F.col("passage"))).alias("word")).groupBy("row", "at", "word").agg(F.count("*").alias("n"))
     weighed = counted.join(known, "word", "left").withColumn("x", F.col("n") * F.coalesce("idf", F.lit(rarest)))
     norms = weighed.groupBy("row", "at").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
