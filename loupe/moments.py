@@ -6,13 +6,19 @@ regressions and their diagnostics are algebra on those.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+#: columns from which on products are summed as matrices; each pair's own expression would make plans too large
+_WIDE = 25
+#: rows of the matrix that travel together
+_STRIP = 64
+
+
 @dataclass
 class Moments:
     """Of the rows with no NULL among the columns."""
@@ -55,8 +61,10 @@ def moments_by(
         centre = known.agg(*[F.avg(c) for c in columns]).first()
     if centre[0] is None:
         return {}
-    shifted = [F.col(c) - F.lit(float(m)) for c, m in zip(columns, centre)]
     p = len(columns)
+    if p >= _WIDE:
+        return _wide(known, columns, np.array(centre, dtype=float))
+    shifted = [F.col(c) - F.lit(float(m)) for c, m in zip(columns, centre)]
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
     rows = (
         known.groupBy("_by")
@@ -77,6 +85,44 @@ def moments_by(
     return result
 
 
+def _wide(known: DataFrame, columns: Sequence[str], centre: np.ndarray) -> dict[object, Moments]:
+    """Batches leave their matrix of products; strips of the matrices are added up in streams."""
+    p = len(columns)
+    kind = known.schema["_by"].dataType.simpleString()
+    schema = f"_by {kind}, strip int, sums binary"
+
+    def products(batches: Iterator) -> Iterator:
+        totals: dict = {}
+        for batch in batches:
+            for by, part in batch.groupby("_by", dropna=False):
+                z = np.column_stack([part[list(columns)].to_numpy(dtype=float) - centre, np.ones(len(part))])
+                totals[by] = totals.get(by, 0) + z.T @ z
+        yield strips({(by, k): m[k : k + _STRIP] for by, m in totals.items() for k in range(0, p + 1, _STRIP)})
+
+    def add(batches: Iterator) -> Iterator:
+        totals: dict = {}
+        for batch in batches:
+            for by, k, sums in zip(batch["_by"], batch["strip"], batch["sums"]):
+                totals[by, k] = totals.get((by, k), 0) + np.frombuffer(sums)
+        yield strips(totals)
+
+    def strips(totals: dict):
+        import pandas as pd
+
+        return pd.DataFrame([(by, k, np.ascontiguousarray(m).tobytes()) for (by, k), m in totals.items()], columns=["_by", "strip", "sums"])
+
+    parts = known.mapInPandas(products, schema).repartition("_by", "strip").mapInPandas(add, schema)
+    found: dict = {}
+    for row in parts.orderBy("strip").collect():  # one row per strip and value of by
+        found.setdefault(row["_by"], []).append(np.frombuffer(row["sums"]).reshape(-1, p + 1))
+    result = {}
+    for by, rows in found.items():
+        total = np.concatenate(rows)
+        n, offset = int(round(total[p, p])), total[:p, p] / total[p, p]
+        result[by] = Moments(n, centre + offset, total[:p, :p] - n * np.outer(offset, offset))
+    return result
+
+
 def moments(values: DataFrame, columns: Sequence[str]) -> Moments | None:
     """Moments of the rows with every column known; None without such rows."""
     return moments_by(values, columns).get(0)

@@ -335,9 +335,22 @@ def vectors(spark, d, n: int = 8):
     return table(spark, d, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(n)])
 
 
-@query("dimension_reduce_embeddings")
+# All dimensions: axes have length 1 and are orthogonal, scores have the variance of their eigenvalue.
+@query("dimension_reduce_embeddings", """
+SELECT count(*) AS n_samples, 64 AS variables, 1.0 AS length_1, 1.0 AS length_2, 0.0 AS product, 1.0 AS scaled_1, 1.0 AS scaled_2, true AS falling
+FROM embeddings""")
 def dimension_reduce_embeddings(spark, d):
-    return multivariate.dimension_reduce(vectors(spark, d), [f"e{i}" for i in range(8)], 2).loadings
+    found = multivariate.dimension_reduce(vectors(spark, d, 64), [f"e{i}" for i in range(64)], 2)
+    one, two = found.variance.orderBy("component").collect()
+    axes = found.loadings.agg(
+        F.count("*").cast("int").alias("variables"), digits(F.sum(F.col("pc1") * F.col("pc1")), 6).alias("length_1"),
+        digits(F.sum(F.col("pc2") * F.col("pc2")), 6).alias("length_2"), digits(F.sum(F.col("pc1") * F.col("pc2")), 6).alias("product"),
+    )
+    first = found.scores.agg(
+        F.count("*").alias("n_samples"), digits(F.var_samp("pc1") / one.eigenvalue, 2).alias("scaled_1"), F.lit(one.eigenvalue >= two.eigenvalue).alias("falling")
+    )
+    second = found.scores.agg(digits(F.var_samp("pc2") / two.eigenvalue, 2).alias("scaled_2"))
+    return axes.crossJoin(first).crossJoin(second)  # one row each
 
 
 # Scores have mean 0, are uncorrelated and vary less from one component to the next.

@@ -660,3 +660,17 @@ def test_tests_can_be_chosen(spark):
     assert relationship.compare_groups(df, "g", "v", "anova").first().test == "ANOVA"
     with pytest.raises(ValueError):
         relationship.compare_groups(df, "g", "v", "t")
+
+
+def test_moments_of_many_columns(spark):
+    from loupe.moments import moments_by
+
+    data = np.random.default_rng(1).normal(size=(500, 70)) * 3 + 1e6
+    rows = [(i % 2, *map(float, row)) for i, row in enumerate(data)]
+    names = [f"c{i}" for i in range(70)]
+    df = spark.createDataFrame(rows, "k long, " + ", ".join(f"{c} double" for c in names)).repartition(4)
+    got = moments_by(df, names, F.col("k"))
+    for k in (0, 1):
+        part = data[k::2]
+        off = part - part.mean(axis=0)
+        assert got[k].n == 250 and np.allclose(got[k].means, part.mean(axis=0)) and np.allclose(got[k].cross, off.T @ off)
