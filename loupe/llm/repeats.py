@@ -21,7 +21,8 @@ Hot anchors: what occurs several times within a batch of documents is known to
 repeat and passes by step 1, and equal runs meet as one in step 2, so a
 passage in a third of all documents costs a share one entry a batch.  Runs
 around a passage whose anchor occurs more than ``HOT`` times are dealt string
-by string instead, by the hash of the string.
+by string instead, by the hash of the string.  That is decided once an anchor,
+by its count in the corpus, and holds for its runs in every batch.
 
 Texts are packed into batches of some megabytes, compressed, and written once.
 
@@ -190,7 +191,7 @@ def runs_of(texts: bytes, sizes, length: int, part: int):
     return tuple(np.concatenate(c) for c in zip(*found)), np.concatenate(occurring)
 
 
-RUN = [("anchor", "<u8"), ("doc", "<u4"), ("start", "<u4"), ("strings", "u1"), ("hot", "u1")]
+RUN = [("anchor", "<u8"), ("doc", "<u4"), ("start", "<u4"), ("strings", "u1")]
 
 
 def packed(records) -> bytes:
@@ -221,22 +222,21 @@ def unpacked(data: bytes, kind):
     return records
 
 
-def chosen_runs(runs, at, hot=None) -> bytes:
+def chosen_runs(runs, at) -> bytes:
     import numpy as np
 
     out = np.zeros(len(at), dtype=RUN)
     for name, values in zip(("anchor", "doc", "start", "strings"), runs):
         out[name] = values[at]
-    if hot is not None:
-        out["hot"] = hot
     return packed(out)
 
 
 def shared_runs(batches: DataFrame, length: int, part: int, shares: int, hot: int) -> DataFrame:
-    """Step 1: (batch, runs), the runs whose anchor occurs again.
+    """Step 1: (batch, runs, hot), the runs whose anchor occurs again and the batch's hot anchors.
 
     A share's entries are ``runs`` that are alone in their batch and ``known``
-    anchors with their counts, that occur more often in one.
+    anchors with their counts, that occur more often in one.  A share holds all
+    counts of its anchors, so it tells every batch which of its anchors are hot.
     """
 
     def deal(frames: Iterator) -> Iterator:
@@ -265,8 +265,7 @@ def shared_runs(batches: DataFrame, length: int, part: int, shares: int, hot: in
                 # what repeats within the batch needs no other: it is passed on by any share
                 more = np.flatnonzero(~alone)
                 if len(more):
-                    very = (counts[where[more]] > hot).astype(np.uint8)
-                    rows.append((-1 - int(batch) % shares, batch, chosen_runs(runs, more, very), b""))
+                    rows.append((-1 - int(batch) % shares, batch, chosen_runs(runs, more), b""))
                 yield pd.DataFrame(rows, columns=["share", "batch", "runs", "known"])
 
     def meet(share):
@@ -274,25 +273,24 @@ def shared_runs(batches: DataFrame, length: int, part: int, shares: int, hot: in
         import pandas as pd
 
         if share["share"].iloc[0] < 0:
-            return share[["batch", "runs"]]
+            return share[["batch", "runs"]].assign(hot=b"")
         own = [unpacked(r, RUN) for r in share["runs"]]
-        known = np.frombuffer(b"".join(share["known"]), dtype=[("anchor", "<u8"), ("count", "<u8")])
-        everything = np.concatenate([*[r["anchor"] for r in own], known["anchor"]])
-        weights = np.concatenate([np.ones(len(everything) - len(known), dtype=np.int64), known["count"].astype(np.int64)])
+        known = [np.frombuffer(k, dtype=[("anchor", "<u8"), ("count", "<u8")]) for k in share["known"]]
+        everything = np.concatenate([r["anchor"] for r in own + known])
+        weights = np.concatenate([*[np.ones(len(r), dtype=np.int64) for r in own], *[k["count"].astype(np.int64) for k in known]])
         marks, where = np.unique(everything, return_inverse=True)
-        counts = np.bincount(where, weights=weights)[where]
-        rows, at = [], 0
-        for batch, runs in zip(share["batch"], own):
-            n = counts[at : at + len(runs)]
-            at += len(runs)
-            if (n > 1).any():
-                kept = runs[n > 1]
-                kept["hot"] = n[n > 1] > hot
-                rows.append((batch, packed(kept)))
-        return pd.DataFrame(rows, columns=["batch", "runs"])
+        counts = np.bincount(where, weights=weights)
+        often = marks[counts > hot]
+        rows = []
+        for batch, runs, also in zip(share["batch"], own, known):
+            kept = runs[counts[np.searchsorted(marks, runs["anchor"])] > 1]
+            mine = np.intersect1d(often, np.concatenate([kept["anchor"], also["anchor"]]))
+            if len(kept) or len(mine):
+                rows.append((batch, packed(kept), mine.tobytes()))
+        return pd.DataFrame(rows, columns=["batch", "runs", "hot"])
 
     dealt = batches.select("batch", "sizes", "texts").mapInPandas(deal, "share int, batch long, runs binary, known binary")
-    return dealt.groupBy("share").applyInPandas(meet, "batch long, runs binary")
+    return dealt.groupBy("share").applyInPandas(meet, "batch long, runs binary, hot binary")
 
 
 #: a run's place in the corpus, which also is its order
@@ -374,39 +372,55 @@ def repeated_spans(batches: DataFrame, shared: DataFrame, length: int, part: int
         import zstandard
 
         compress = zstandard.ZstdCompressor(level=3).compress
+        def placed(runs, batch, ids, hashes):
+            places = np.zeros(len(runs), dtype=PLACE)
+            for name in ("doc", "start", "strings"):
+                places[name] = runs[name]
+            places["doc_id"], places["hash"], places["batch"] = ids[runs["doc"]], hashes[runs["doc"]], batch
+            return places
+
         for frame in frames:
-            for batch, ids, hashes, sizes, texts, parts in zip(frame["batch"], frame["doc_ids"], frame["hashes"], frame["sizes"], frame["texts"], frame["runs"]):
+            for batch, ids, hashes, sizes, texts, parts, often in zip(frame["batch"], frame["doc_ids"], frame["hashes"], frame["sizes"], frame["texts"], frame["runs"], frame["hot"]):
                 runs = np.concatenate([unpacked(p, RUN) for p in parts])
-                sizes = np.frombuffer(sizes, dtype=np.int64)
+                often = np.frombuffer(b"".join(often), dtype=np.uint64)
+                ids, hashes, sizes = (np.frombuffer(x, dtype=np.int64) for x in (ids, hashes, sizes))
                 begins = np.cumsum(sizes[: len(sizes) // 2]) - sizes[: len(sizes) // 2]
                 whole = inflate(texts)
-                if runs["hot"].any():
-                    n = np.where(runs["hot"] > 0, runs["strings"], 1).astype(np.int64)
-                    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    runs = np.repeat(runs, n)
-                    runs["start"] += step.astype(np.uint32)
-                    runs["strings"][runs["hot"] > 0] = 1
-                low = begins[runs["doc"]] + runs["start"]
-                high = low + runs["strings"] + length - 1
-                strings = [whole[a:b] for a, b in zip(low.tolist(), high.tolist())]
-                anchor = runs["anchor"].copy()
-                for i in np.flatnonzero(runs["hot"]).tolist():
-                    anchor[i] = xxhash.xxh3_64_intdigest(strings[i])
-                places = np.zeros(len(runs), dtype=PLACE)
-                for name in ("doc", "start", "strings"):
-                    places[name] = runs[name]
-                places["doc_id"], places["hash"] = np.frombuffer(ids, dtype=np.int64)[runs["doc"]], np.frombuffer(hashes, dtype=np.int64)[runs["doc"]]
-                places["batch"] = batch
+
+                def bytes_of(runs):
+                    low = begins[runs["doc"]] + runs["start"]
+                    high = low + runs["strings"] + length - 1
+                    return [whole[a:b] for a, b in zip(low.tolist(), high.tolist())]
+
+                strings, places = bytes_of(runs), placed(runs, batch, ids, hashes)
                 first, others = earliest_of_equal(strings, places)
+                repeated = [places[others]]
+                strings, places, anchor = [strings[i] for i in first.tolist()], places[first], runs["anchor"][first]
+                very = np.isin(anchor, often)
+                if very.any():
+                    # equal runs are one by now; the strings of those left may still be equal
+                    n = runs["strings"][first[very]].astype(np.int64)
+                    single = np.repeat(runs[first[very]], n)
+                    single["start"] += (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.uint32)
+                    single["strings"] = 1
+                    pieces, at = bytes_of(single), placed(single, batch, ids, hashes)
+                    first, others = earliest_of_equal(pieces, at)
+                    repeated.append(at[others])
+                    pieces = [pieces[i] for i in first.tolist()]
+                    cold = np.flatnonzero(~very)
+                    strings = [strings[i] for i in cold.tolist()] + pieces
+                    places = np.concatenate([places[cold], at[first]])
+                    anchor = np.concatenate([anchor[cold], np.array([xxhash.xxh3_64_intdigest(p) for p in pieces], dtype=np.uint64)])
+                others = np.concatenate(repeated)
                 rows = []
                 if len(others):
-                    rows.append((-1 - int(batch) % shares, batch, spans_of(*each_string(places[others])[1:], length).tobytes(), b"", b""))
-                share = anchor[first] % np.uint64(shares)
+                    rows.append((-1 - int(batch) % shares, batch, spans_of(*each_string(others)[1:], length).tobytes(), b"", b""))
+                share = anchor % np.uint64(shares)
                 order = np.argsort(share, kind="stable")
-                first, share = first[order], share[order]
+                share = share[order]
                 edges = np.searchsorted(share, np.arange(shares + 1))
                 for s in range(shares):
-                    own = first[edges[s] : edges[s + 1]]
+                    own = order[edges[s] : edges[s + 1]]
                     if len(own):
                         rows.append((s, batch, packed(places[own]), anchor[own].tobytes(), compress(b"".join([strings[i] for i in own.tolist()]))))
                 yield pd.DataFrame(rows, columns=["share", "batch", "places", "anchors", "texts"])
@@ -462,7 +476,7 @@ def repeated_spans(batches: DataFrame, shared: DataFrame, length: int, part: int
             rows.append((int(batch[a]), spans_of(doc[a:b], start[a:b], length).tobytes()))
         return pd.DataFrame(rows, columns=["batch", "spans"])
 
-    together = shared.groupBy("batch").agg(F.collect_list("runs").alias("runs"))  # bounded by the batch's size
+    together = shared.groupBy("batch").agg(F.collect_list("runs").alias("runs"), F.collect_list("hot").alias("hot"))  # bounded by the batch's size
     joined = batches.select("batch", "doc_ids", "hashes", "sizes", "texts").join(together, "batch")
     dealt = joined.mapInPandas(deal, "share int, batch long, places binary, anchors binary, texts binary")
     return dealt.groupBy("share").applyInPandas(meet, "batch long, spans binary")

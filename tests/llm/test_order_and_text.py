@@ -115,6 +115,21 @@ def test_repeats_across_batches(spark, monkeypatch):
     assert {r.doc_id: (r.n_bytes, r.n_removed, bytes(r.kept)) for r in got} == {i: x for (i, _), x in zip(rows, expected_removals(rows))}
 
 
+def test_hot_anchors_are_the_same_in_every_batch(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "BATCH_BYTES", 2000)
+    passage = prose(5000, 40)
+    # the passage is once in the first batch and three times in others, a stretch of equal bytes long in one and short in others
+    texts = [prose(6000, 200) + passage, prose(6001, 400)]
+    for k in range(2):
+        texts += [passage + prose(6010 + 10 * k + i, 10) for i in range(3)] + [prose(6100 + k, 400)]
+    texts += ["y" * 110 + prose(6200, 400), "y" * 400 + prose(6201, 400), "y" * 130 + prose(6202, 400)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    for hot in (4, 50):
+        got = repeats.remove_repeats(docs, hot=hot).collect()
+        assert {r.doc_id: (r.n_bytes, r.n_removed, bytes(r.kept)) for r in got} == {i: x for (i, _), x in zip(rows, expected_removals(rows))}
+
+
 def test_repeats_of_nothing(none):
     assert repeats.remove_repeats(none).count() == 0
 
