@@ -1,7 +1,11 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance by directory.
 
-Every line of a file, and a licence file as a whole, is a passage.  Passages
-and templates are vectors of word counts times inverse document frequency,
+Every line of a file, neighbouring lines together, and a licence file as a
+whole, are passages.  Lines without a word don't count as lines between, so a
+notice wrapped in a comment is put together; the longest template's words
+bound the lines, as each holds one, and twice as many the words.  A licence
+file as a whole is also compared with whole licence texts.  Passages and
+templates are vectors of word counts times inverse document frequency,
 which is counted over all lines for the words of the templates; any other word
 weighs as much as the rarest of those.  A passage's licence is the template of
 the largest cosine, if that reaches the threshold.
@@ -21,11 +25,13 @@ score, then path; repeated rows are answered each; no rows give no rows.
 
 from __future__ import annotations
 
+import json
 import math
+import pkgutil
 import re
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from loupe.frames import col, require
 from loupe.llm.rows import fresh, row_hash, text_of
@@ -69,6 +75,12 @@ def lowered(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def whole_texts() -> list[tuple[str, dict[str, int]]]:
+    """(licence, its words with their counts) of whole licence texts."""
+    lines = pkgutil.get_data("loupe.llm", "licence_words.jsonl").decode().splitlines()
+    return [(x["license"], x["words"]) for x in map(json.loads, lines)]
+
+
 def vocabulary(templates=TEMPLATES) -> list[str]:
     return sorted(set().union(*(words(t) for _, t in templates)))
 
@@ -90,6 +102,30 @@ def passages(files: DataFrame) -> DataFrame:
     return files.select(row_hash(files).alias("row"), F.inline(F.concat(lines, F.coalesce(whole, F.array().cast("array<struct<at:int,passage:string>>")))))
 
 
+def wrapped(files: DataFrame, marker: str, longest: int) -> DataFrame:
+    """(row, at, lines, passage): two or more neighbouring lines with a marker among them.
+
+    ``lines`` is how many lines with words are put together, ``at`` the place
+    of the first.  They are at most ``longest``, and of twice as many words.
+    """
+    most = 2 * longest
+    marked = files.select(row_hash(files).alias("row"), text_of().alias("text")).where(lowered(F.col("text")).rlike(marker)).dropDuplicates(["row"])
+    each = marked.select("row", F.posexplode(F.split("text", "\n")).alias("at", "line")).withColumn("n", F.size(tokens(F.col("line")))).where("n > 0")
+    # a line of too many words is in no passage, so its text isn't needed
+    fits = F.col("n") <= most
+    each = each.withColumn("marked", fits & lowered(F.col("line")).rlike(marker)).withColumn("line", F.when(fits, F.col("line")))
+    ahead = W.partitionBy("row").orderBy("at").rowsBetween(0, longest - 1)
+    near = each.select(
+        "row", "at", F.max("marked").over(ahead).alias("near"), F.collect_list(F.struct("line", "n", "marked")).over(ahead).alias("next")
+    ).where(F.col("near") & (F.size("next") > 1))
+    window = F.slice("next", F.lit(1), F.col("lines"))
+    held = F.aggregate(window, F.lit(0), lambda total, x: total + x["n"]) <= most
+    counted = near.select("row", "at", "next", F.explode(F.sequence(F.lit(2), F.size("next"))).alias("lines"))
+    return counted.where(held & F.exists(window, lambda x: x["marked"])).select(
+        "row", "at", "lines", F.array_join(F.transform(window, lambda x: x["line"]), "\n").alias("passage")
+    )
+
+
 def inverse_frequencies(pieces: DataFrame, known: list[str]) -> dict[str, float]:
     """ln((1 + passages) / (1 + passages with the word)) + 1 for each of the known words."""
     here = F.array_intersect(tokens(F.col("passage")), F.array(*[F.lit(w) for w in known]))
@@ -122,23 +158,28 @@ def classify(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD
     pieces = passages(files)
     idf = inverse_frequencies(pieces, vocabulary(templates))
     rarest = max(idf.values())
-    weights = []
-    for _, text in templates:
-        vector = {w: c * idf[w] for w, c in words(text).items()}
+    weights, everywhere = [], [(name, words(text)) for name, text in templates]
+    for _, counts in everywhere + whole_texts():
+        vector = {w: c * idf.get(w, rarest) for w, c in counts.items()}
         norm = math.sqrt(sum(x * x for x in vector.values()))
         weights.append({w: x / norm for w, x in vector.items()})
-    postings = [(w, name, k, x) for k, ((name, _), v) in enumerate(zip(templates, weights)) for w, x in v.items()]
-    posted = F.broadcast(spark.createDataFrame(postings, "word string, license string, template int, weight double"))
+    # whole texts are compared with licence files as a whole
+    named = [(name, False) for name, _ in everywhere] + [(name, True) for name, _ in whole_texts()]
+    postings = [(w, name, k, x, whole) for k, ((name, whole), v) in enumerate(zip(named, weights)) for w, x in v.items()]
+    posted = F.broadcast(spark.createDataFrame(postings, "word string, license string, template int, weight double, whole boolean"))
     known = F.broadcast(spark.createDataFrame(list(idf.items()), "word string, idf double"))
 
-    marker = f"(?<![a-z0-9])(?:{'|'.join(anchors(weights, threshold))})(?![a-z0-9])"
+    marker = f"(?<![a-z0-9])(?:{'|'.join(anchors(weights[: len(everywhere)], threshold))})(?![a-z0-9])"
     # few, and read several times below
-    suspects = durable(pieces.where(lowered(F.col("passage")).rlike(marker)).distinct())
-    counted = suspects.select("row", "at", F.explode(tokens(F.col("passage"))).alias("word")).groupBy("row", "at", "word").agg(F.count("*").alias("n"))
+    alone = pieces.where((F.col("at") < 0) | lowered(F.col("passage")).rlike(marker)).distinct().withColumn("lines", F.lit(1))
+    suspects = durable(alone.unionByName(wrapped(files, marker, max(c.total() for _, c in everywhere))))
+    place = ["row", "at", "lines"]
+    counted = suspects.select(*place, F.explode(tokens(F.col("passage"))).alias("word")).groupBy(*place, "word").agg(F.count("*").alias("n"))
     weighed = counted.join(known, "word", "left").withColumn("x", F.col("n") * F.coalesce("idf", F.lit(rarest)))
-    norms = weighed.groupBy("row", "at").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = weighed.join(posted, "word").groupBy("row", "at", "template", "license").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
-    scores = dots.join(norms, ["row", "at"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), DIGITS)).where(F.col("score") >= threshold)
+    norms = weighed.groupBy(*place).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    met = weighed.join(posted, "word").where(~F.col("whole") | (F.col("at") < 0))
+    dots = met.groupBy(*place, "template", "license").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
+    scores = dots.join(norms, place).withColumn("score", F.round(F.col("dot") / F.col("norm"), DIGITS)).where(F.col("score") >= threshold)
     rank = F.struct(-F.col("score"), "license", "at")
     return scores.groupBy("row").agg(
         F.min_by("license", rank).alias("license"), F.max("score").alias("score"), (F.min_by("at", rank) <= 0).alias("header")

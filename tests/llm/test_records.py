@@ -265,6 +265,25 @@ def test_licences_and_inheritance(spark):
     assert Counter(r.SCORE for r in clash.collect()) == Counter(r[2] for r in rows)
 
 
+def test_wrapped_notices_and_whole_licence_files(spark):
+    gpl = ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by",
+           "the Free Software Foundation, either version 3 of the License, or", "(at your option) any later version."]
+    isc = ["Permission to use, copy, modify, and/or distribute", "this software for any purpose with or without fee", "is hereby granted, provided that"]
+    counts = dict(licenses.whole_texts())
+    whole = lambda name: "\n".join(f"{w} " * n for w, n in counts[name].items())
+    rows = [
+        ("a/gpl.c", "/*\n * " + "\n *\n * ".join(gpl) + "\n */\nint main() {}"), ("a/isc.c", "\n".join(f"// {x}" for x in isc) + "\nint f;"),
+        ("a/narrow", "\n".join(" ".join(gpl).split())), ("a/part", "\n".join(gpl[:1]) + "\nbut nothing more is said here"),
+        ("b/COPYING", whole("GPL-3.0")), ("b/x.c", "int x;"), ("c/LICENSE", whole("LGPL-2.1")), ("d/LICENSE", whole("MPL-2.0")), ("d/e/LICENSE", "all rights reserved"),
+        ("f/copying.c", whole("GPL-3.0")),
+    ]
+    got = {r.path: (r.license, r.origin) for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == {
+        "a/gpl.c": ("GPL-3.0", "own"), "a/isc.c": ("ISC", "own"), "a/narrow": ("GPL-3.0", "own"), "a/part": (None, None), "b/COPYING": ("GPL-3.0", "own"),
+        "b/x.c": ("GPL-3.0", "inherited"), "c/LICENSE": ("LGPL-2.1", "own"), "d/LICENSE": ("MPL-2.0", "own"), "d/e/LICENSE": ("MPL-2.0", "inherited"), "f/copying.c": ("GPL-3.0", "own"),
+    }
+
+
 def test_anchors_can_not_be_missed():
     weights = [{"a": 0.8, "b": 0.6}, {"c": 0.5, "d": 0.5, "e": 0.5, "f": 0.5}]
     chosen = set(licenses.anchors(weights, 0.8))
