@@ -1,16 +1,19 @@
 """Document fingerprints: Merkle trees over sections and paragraphs.
 
-A text falls into leaves of at most eight words (of one, in texts under
-``SHORT`` characters) that end with a sentence or a line, leaves form paragraphs (lines) and paragraphs form sections.  A section
+A text falls into leaves of at most eight words that end with a sentence or a
+line, leaves form paragraphs (lines) and paragraphs form sections.  In texts
+under ``SHORT`` characters each word of a leaf has a digest too.  A section
 ends at an empty line or after a paragraph whose digest says so, hence an edit
 moves no border but those beside it.  Leaves cover every character; a node's
 digest is that of its children's digests, so equal roots mean equal texts.
 
 A fingerprint is one string, ``root|section/section...`` with
 ``section = digest:paragraph;paragraph...``, ``paragraph = digest=leaf,leaf...``
-and ``leaf = digest`` (8 digits) and its length in characters (hexadecimal).
-Two fingerprints are compared from the top: equal branches count whole, only
-differing ones are opened, down to the leaves that hold the edits.
+and ``leaf = digest`` (8 digits) and its length in characters (hexadecimal); a
+leaf of a short text is followed by its words, ``leaf~word~word...``, written
+alike.  Two fingerprints are compared from the top: equal branches count whole,
+only differing ones are opened, down to the leaves that hold the edits and, if
+both texts are short, to their words.
 
 Defined results: NULL is the empty text, whose likeness to an empty one is 1
 and to any other 0; documents of equal doc_id go by their text's hash; a NULL
@@ -32,7 +35,7 @@ from loupe.llm.rows import text_of
 
 #: up to seven words that end no sentence, then any word, with the blanks behind
 LEAF = r"(?:\S{0,31}[^\s.!?][^\S\n]+){0,7}\S{1,32}[^\S\n]*\n*|\s+"
-SHORT, SHORT_LEAF = 256, r"\S{1,32}[^\S\n]*\n*|\s+"
+SHORT, WORD = 256, r"\S{1,32}[^\S\n]*\n*|\s+"
 #: one in so many paragraphs ends a section
 SECTION = 8
 
@@ -41,6 +44,14 @@ def node(digests: list[bytes]) -> bytes:
     return blake2b(b"".join(digests), digest_size=16).digest()
 
 
+def digest_of(text: str) -> bytes:
+    return blake2b(text.encode(), digest_size=16).digest()
+
+
+def named(text: str) -> str:
+    return f"{digest_of(text)[:4].hex()}{len(text):x}"
+
+
 def fingerprint(text: str) -> str:
     sections: list[tuple[bytes, str]] = []
     paragraphs: list[tuple[bytes, str]] = []
@@ -60,10 +71,11 @@ def fingerprint(text: str) -> str:
         sections.append((digest, f"{digest[:4].hex()}:{';'.join(s for _, s in paragraphs)}"))
         paragraphs.clear()
 
-    for leaf in re.findall(SHORT_LEAF if len(text) < SHORT else LEAF, text):
-        digest = blake2b(leaf.encode(), digest_size=16).digest()
+    for leaf in re.findall(LEAF, text):
+        digest = digest_of(leaf)
         digests.append(digest)
-        names.append(f"{digest[:4].hex()}{len(leaf):x}")
+        name = f"{digest[:4].hex()}{len(leaf):x}"
+        names.append("~".join([name, *map(named, re.findall(WORD, leaf))]) if len(text) < SHORT else name)
         if leaf[-1] == "\n":
             end_paragraph(leaf.endswith("\n\n"))
     if digests:
@@ -86,10 +98,23 @@ def leaves_of(paragraph: str) -> list[str]:
     return paragraph.partition("=")[2].split(",")
 
 
+def whole_leaf(leaf: str) -> list[str]:
+    return [leaf.partition("~")[0]]
+
+
+def words_of(leaf: str) -> list[str]:
+    return leaf.split("~")[1:]
+
+
+def finest(a: str, b: str):
+    """What opens a leaf: its words if both fingerprints have them."""
+    return words_of if "~" in a and "~" in b else whole_leaf
+
+
 def differing(a: str, b: str) -> tuple[list[str], list[str]]:
-    """The leaves of either fingerprint that the other lacks."""
+    """The leaves, or words if both have them, of either fingerprint that the other lacks."""
     left, right = branches(a), branches(b)
-    for opened in (paragraphs_of, leaves_of, None):
+    for opened in (paragraphs_of, leaves_of, finest(a, b), None):
         common = Counter(left) & Counter(right)
         left, right = without(left, common), without(right, common)
         if opened:
@@ -112,7 +137,7 @@ def without(items: list[str], common: Counter) -> list[str]:
 
 
 def characters(leaves: list[str]) -> int:
-    return sum(int(x[8:], 16) for x in leaves)
+    return sum(int(x.partition("~")[0][8:], 16) for x in leaves)
 
 
 def likeness(a: str, n_a: int, b: str, n_b: int) -> float:
@@ -125,12 +150,12 @@ def likeness(a: str, n_a: int, b: str, n_b: int) -> float:
 
 def edits(a: str, b: str) -> list[tuple[int, int]]:
     """Character spans of a's text, joined, whose leaves b lacks."""
-    missing = Counter(differing(a, b)[0])
+    missing, opened = Counter(differing(a, b)[0]), finest(a, b)
     spans: list[tuple[int, int]] = []
     at = 0
     for section in branches(a):
         for paragraph in paragraphs_of(section):
-            for leaf in leaves_of(paragraph):
+            for leaf in [x for whole in leaves_of(paragraph) for x in opened(whole)]:
                 n = int(leaf[8:], 16)
                 if missing[leaf] > 0:
                     missing[leaf] -= 1

@@ -237,6 +237,19 @@ def test_edits_are_located():
     assert merkle.likeness(a, len(text), merkle.fingerprint(""), 0) == 0.0
 
 
+def test_texts_on_both_sides_of_short_are_compared():
+    text = prose(77, 100)[:260]
+    near = text[:100] + "x" + text[111:]  # 250 characters
+    assert len(near) < merkle.SHORT <= len(text)
+    a, b = merkle.fingerprint(text), merkle.fingerprint(near)
+    assert 0.6 < merkle.likeness(a, len(text), b, len(near)) < 1 and merkle.likeness(a, len(text), b, len(near)) == merkle.likeness(b, len(near), a, len(text))
+    assert 0 < sum(e - s for s, e in merkle.edits(a, b)) < 120 and 0 < sum(e - s for s, e in merkle.edits(b, a)) < 120
+    cut = merkle.fingerprint(text[: 260 - 260 // 3])  # as where the next document is empty
+    assert merkle.likeness(a, 260, cut, 174) > 0.6
+    word = text[:200].replace(text.split()[3], "edited", 1)  # both short: single words
+    assert merkle.likeness(merkle.fingerprint(text[:200]), 200, merkle.fingerprint(word), len(word)) > 0.9
+
+
 def test_edited_texts_take_the_next_document(docs, none, spark):
     got = merkle.compare_edits(docs).collect()
     # rows of equal doc_id go by hash: leave them out, with their neighbours
