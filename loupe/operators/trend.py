@@ -52,18 +52,19 @@ def resample_sum(df: DataFrame, date_col: str, metric: str, freq: str = "M") ->
     return _resample(_series(df, date_col, metric), freq).drop("start")
 
 
-def _auto(n: int, limits: Sequence[tuple[int, str]], last: str) -> str:
-    return next((f for below, f in limits if n < below), last)
+def _auto(series: DataFrame, limits: Sequence[tuple[int, str]], last: str) -> str:
+    """By the days that the dates span, however many rows there are."""
+    days = series.agg(F.date_diff(F.max("d"), F.min("d"))).first()[0] or 0
+    return next((f for below, f in limits if days < below), last)
 
 
 def timeseries_line(df: DataFrame, date_col: str, metric: str, freq: str = "auto") -> DataFrame:
-    """(period_end, value); D below 60 rows, W below 500, M below 5000, else Q."""
+    """(period_end, value) if there are five rows; D where the dates span fewer than 60 days, W 500, M 5000, else Q."""
     series = _series(df, date_col, metric)
-    n = series.count() if freq == "auto" else len(series.take(5))
     if freq == "auto":
-        freq = _auto(n, [(60, "D"), (500, "W"), (5000, "M")], "Q")
+        freq = _auto(series, [(60, "D"), (500, "W"), (5000, "M")], "Q")
     periods = _resample(series, freq).drop("start")
-    return periods if n >= 5 else periods.where(F.lit(False))
+    return periods if len(series.take(5)) == 5 else periods.where(F.lit(False))
 
 
 def timeseries_stats(df: DataFrame, date_col: str, metric: str, freq: str = "auto") -> DataFrame:
@@ -81,12 +82,11 @@ def timeseries_stats(df: DataFrame, date_col: str, metric: str, freq: str = "aut
     )
 
 
-def eda_timeseries(df: DataFrame, date_col: str, metric: str) -> DataFrame:
-    """Monthly sums; daily below 30 rows, quarterly above 100,000; more than 10 rows needed."""
+def eda_timeseries(df: DataFrame, date_col: str, metric: str, freq: str = "M") -> DataFrame:
+    """Sums per period, monthly by default; more than 10 rows needed."""
     series = _series(df, date_col, metric)
-    n = series.count()
-    periods = _resample(series, "D" if n < 30 else "Q" if n > 100_000 else "M").drop("start")
-    return periods if n > 10 else periods.where(F.lit(False))
+    periods = _resample(series, freq).drop("start")
+    return periods if len(series.take(11)) == 11 else periods.where(F.lit(False))
 
 
 def _growth(df: DataFrame, date_col: str, metric: str, mode: str, freq: str | None) -> DataFrame:
@@ -94,7 +94,7 @@ def _growth(df: DataFrame, date_col: str, metric: str, mode: str, freq: str | No
     if mode == "yoy":
         freq = "Y"
     elif freq is None:
-        freq = "M" if series.count() < 500 else "Q"
+        freq = _auto(series, [(500, "M")], "Q")
     before = F.lag("value").over(W.orderBy("period_end"))  # one row per period
     periods = _resample(series, freq).select("period_end", "value", before.alias("base"))
     return periods.withColumn("growth", F.try_divide(F.col("value") - F.col("base"), F.col("base")))
@@ -103,7 +103,7 @@ def _growth(df: DataFrame, date_col: str, metric: str, mode: str, freq: str | No
 def timeseries_growth(df: DataFrame, date_col: str, metric: str, mode: str = "auto", freq: str | None = None) -> DataFrame:
     """(period_end, value, growth_pct) against the period before; yearly for ``yoy``.
 
-    Months below 500 rows, else quarters.  A zero base has no growth rate.
+    Months where the dates span fewer than 500 days, else quarters.  A zero base has no growth rate.
     """
     growth = _growth(df, date_col, metric, mode, freq)
     return growth.where(F.col("growth").isNotNull()).select("period_end", "value", (F.col("growth") * 100).alias("growth_pct"))

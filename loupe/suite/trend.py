@@ -43,7 +43,7 @@ def resample_sum_gaps(spark, d):
 
 @query("timeseries_line", f"SELECT period_end, {R('value', 2)} AS value FROM ({periods_sql('orders', 'o_orderdate', 'o_totalprice', 'Q')})")
 def timeseries_line(spark, d):
-    return rounded(dated(trend.timeseries_line(table(spark, d, "orders"), "o_orderdate", "o_totalprice")), 2)
+    return rounded(dated(trend.timeseries_line(table(spark, d, "orders"), "o_orderdate", "o_totalprice", "Q")), 2)
 
 
 @query("timeseries_stats", f"""
@@ -58,7 +58,7 @@ def timeseries_stats(spark, d):
 
 @query("eda_timeseries", f"SELECT period_end, {R('value', 2)} AS value FROM ({periods_sql('events', 'ts', 'value', 'M')})")
 def eda_timeseries(spark, d):
-    return rounded(dated(trend.eda_timeseries(table(spark, d, "events"), "ts", "value")), 2)
+    return rounded(dated(trend.eda_timeseries(table(spark, d, "events"), "ts", "value", "M")), 2)
 
 
 def growth_sql(freq: str) -> str:
@@ -70,7 +70,7 @@ h AS (SELECT *, (value - base) / nullif(base, 0) AS growth FROM g)"""
 @query("timeseries_growth", f"""
 WITH {growth_sql("Q")} SELECT period_end, {R("value", 2)} AS value, {R("growth * 100")} AS growth_pct FROM h WHERE growth IS NOT NULL""")
 def timeseries_growth(spark, d):
-    return rounded(dated(trend.timeseries_growth(table(spark, d, "orders"), "o_orderdate", "o_totalprice")), value=2)
+    return rounded(dated(trend.timeseries_growth(table(spark, d, "orders"), "o_orderdate", "o_totalprice", freq="Q")), value=2)
 
 
 @query("timeseries_growth_yoy", f"""
@@ -84,7 +84,7 @@ WITH {growth_sql("Q")} SELECT {R("avg(growth) * 100")} AS mean_growth, {R("stdde
   count(*) FILTER (WHERE growth > 0) AS positive_periods, count(*) FILTER (WHERE growth < 0) AS negative_periods,
   {R("stddev(growth) / greatest(abs(avg(growth)), 1e-10)")} AS volatility, count(*) FILTER (WHERE base = 0) AS zero_bases FROM h""")
 def growth_stats(spark, d):
-    return rounded(trend.growth_stats(table(spark, d, "orders"), "o_orderdate", "o_totalprice"))
+    return rounded(trend.growth_stats(table(spark, d, "orders"), "o_orderdate", "o_totalprice", freq="Q"))
 
 
 @query("fast_growth", f"""

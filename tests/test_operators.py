@@ -376,6 +376,15 @@ def test_growth_over_zero(gaps):
     assert trend.growth_stats(gaps, "d", "v", freq="Q").first().zero_bases == 1
 
 
+def test_periods_do_not_depend_on_the_number_of_rows(spark):
+    few = spark.range(20).selectExpr("date_add(DATE'2024-01-01', CAST(id * 10 AS INT)) AS d", "1.0 AS v")
+    many = few.crossJoin(spark.range(6000).select())  # 120,000 rows on the same days
+    for made in (trend.eda_timeseries, trend.timeseries_line, trend.timeseries_growth):
+        ends = [[r.period_end for r in made(df, "d", "v").orderBy("period_end").collect()] for df in (few, many)]
+        assert ends[0] == ends[1] and len(ends[0]) >= 6
+    assert trend.eda_timeseries(few, "d", "v", "Q").count() == 3
+
+
 def test_short_series_give_nothing(gaps):
     assert trend.timeseries_line(gaps, "d", "v").count() == 0
     assert trend.eda_timeseries(gaps, "d", "v").count() == 0
