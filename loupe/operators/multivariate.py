@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -128,7 +127,7 @@ def cluster_analysis(
         .select("features")
     )
     evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
-    fit = lambda k, steps: KMeans(k=k, seed=seed, maxIter=steps).fit(vectors)
+    fit = lambda k: KMeans(k=k, seed=seed, maxIter=40).fit(vectors)
 
     def silhouette(model) -> float | None:
         return evaluator.evaluate(model.transform(vectors)) if len(model.clusterCenters()) > 1 else None
@@ -136,13 +135,10 @@ def cluster_analysis(
     vectors.persist(StorageLevel.MEMORY_AND_DISK)  # read by every iteration of every fit
     try:
         if n_clusters is None:
-            # a few steps are enough to rank the candidates, which run side by side
-            candidates = range(2, min(max_clusters, found.n // 2) + 1)
-            rate = inheritable_thread_target(df.sparkSession)(lambda k: silhouette(fit(k, 10)))
-            with ThreadPoolExecutor(len(candidates)) as pool:
-                scores = dict(zip(candidates, pool.map(rate, candidates)))
+            # rated as they would be returned
+            scores = {k: silhouette(fit(k)) for k in range(2, min(max_clusters, found.n // 2) + 1)}
             n_clusters = max(scores, key=lambda k: -2 if scores[k] is None else scores[k])
-        model = fit(n_clusters, 40)
+        model = fit(n_clusters)
         score = silhouette(model)
         sizes = {r.prediction: r["count"] for r in model.transform(vectors).groupBy("prediction").count().collect()}
     finally:

@@ -338,6 +338,15 @@ def test_components_against_svd(spark):
     assert np.allclose(np.sort(np.abs(found.scores.toPandas()["pc1"])), np.sort(np.abs(z @ vt[0])))
 
 
+def test_candidates_are_fitted_like_the_result(spark, monkeypatch):
+    steps = []
+    made = multivariate.KMeans
+    monkeypatch.setattr(multivariate, "KMeans", lambda **given: steps.append((given["k"], given["maxIter"])) or made(**given))
+    df = spark.range(12).selectExpr("CAST(id AS DOUBLE) AS x", "CAST(id % 5 AS DOUBLE) AS y")
+    found = multivariate.cluster_analysis(df, ["x", "y"])
+    assert steps == [(k, 40) for k in (*range(2, 7), found.n_clusters)]
+
+
 def test_clusters_of_separate_blobs(spark):
     rng = np.random.default_rng(7)
     centres = [(0, 0), (50, 0), (0, 500)]
