@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loupe.llm import chat, licenses, merkle, mixing, neighbours, packing, quality, repeats, simhash, warc
+from loupe.llm import chat, decontaminate, licenses, merkle, mixing, neighbours, packing, quality, repeats, simhash, warc
 from loupe.session import durable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -220,3 +220,43 @@ def op6_licenses(spark: SparkSession, folder: str) -> DataFrame:
     path = F.concat_ws("/", "source", *up, F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     files = table(spark, folder, "documents").select("doc_id", path.alias("path"), "text")
     return licenses.scan(files, speaks=F.col("header"))
+
+
+#: words of documents and items in order, windows of items, and where documents hold them
+LEAK_SQL = rf"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{decontaminate.WORD}') AS words
+  FROM documents
+), item_words AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{decontaminate.WORD}') AS words
+  FROM benchmark
+), item_windows AS (
+  SELECT DISTINCT item_id, least(len(words), {decontaminate.WINDOW}) AS size,
+         array_to_string(words[k : k + least(len(words), {decontaminate.WINDOW}) - 1], ' ') AS passage
+  FROM (SELECT *, unnest(range(1, greatest(len(words) - {decontaminate.WINDOW} + 1, 1) + 1)) AS k FROM item_words WHERE len(words) > 0)
+), sizes AS (
+  SELECT DISTINCT size FROM item_windows
+), places AS (
+  SELECT doc_id, size, k, array_to_string(words[k : k + size - 1], ' ') AS passage
+  FROM (SELECT doc_id, words, size, unnest(range(1, len(words) - size + 2)) AS k FROM words, sizes WHERE len(words) >= size)
+), found AS (
+  SELECT doc_id, size, k, item_id FROM places JOIN item_windows USING (size, passage)
+), hit AS (
+  SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(k, k + size)) AS place FROM found) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found WHERE item_id IS NOT NULL) GROUP BY doc_id
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
+@query("op11_decontaminate", LEAK_SQL)
+def op11_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.scan(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "found.n_words", "found.n_hit", F.size("found.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("found.items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("found.n_hit") > 0).alias("contaminated"),
+    )
