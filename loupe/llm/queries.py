@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loupe.llm import chat, decontaminate, licenses, merkle, mixing, neighbours, packing, quality, repeats, simhash, warc
+from loupe.llm import chat, collocations, decontaminate, licenses, merkle, mixing, neighbours, packing, quality, repeats, simhash, warc
 from loupe.session import durable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -260,3 +260,43 @@ def op11_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "found.n_words", "found.n_hit", F.size("found.items").cast("long").alias("n_items"),
         F.sha2(F.array_join("found.items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("found.n_hit") > 0).alias("contaminated"),
     )
+
+
+#: phrases of one to three words in pieces, their cuts and what longer ones absorb
+PHRASE_SQL = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, '{collocations.UNKNOWN}') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), words AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces
+), grams AS (
+  SELECT lang, size, array_to_string(words[k : k + size - 1], ' ') AS phrase
+  FROM (SELECT lang, words, size, unnest(range(1, len(words) - size + 2)) AS k FROM words, (SELECT unnest(range(1, {collocations.LONGEST + 1})) AS size) WHERE len(words) >= size)
+), counts AS (
+  SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(f) AS n FROM counts WHERE size = 1 GROUP BY lang
+), candidates AS (
+  SELECT lang, phrase, size, f AS a, string_split(phrase, ' ') AS own FROM counts WHERE size > 1 AND f >= {collocations.LEAST}
+), cuts AS (
+  SELECT *, array_to_string(own[1 : k], ' ') AS first, array_to_string(own[k + 1 : size], ' ') AS rest FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates)
+), scored AS (
+  SELECT c.lang, c.phrase, c.size, c.a, c.k, l.f AS l, r.f AS r, (1000000::HUGEINT * c.a * c.a) // (l.f::HUGEINT * r.f) AS score
+  FROM cuts c JOIN counts l ON l.lang = c.lang AND l.phrase = c.first JOIN counts r ON r.lang = c.lang AND r.phrase = c.rest
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), longer AS (
+  SELECT lang, array_to_string(own[s : s + w - 1], ' ') AS phrase, max(a) AS most
+  FROM (SELECT *, unnest(range(1, size - w + 2)) AS s FROM (SELECT *, unnest(range(2, size)) AS w FROM candidates)) GROUP BY ALL
+)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM best b JOIN totals USING (lang) LEFT JOIN longer g ON g.lang = b.lang AND g.phrase = b.phrase
+WHERE coalesce(100 * most < {collocations.ABSORBED} * a, true)
+QUALIFY rank <= {collocations.TOP}
+"""
+
+
+@query("op12_collocations", PHRASE_SQL)
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))

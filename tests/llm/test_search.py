@@ -2,10 +2,12 @@
 
 import random
 import re
+from collections import Counter
 
+import numpy as np
 import pytest
 
-from loupe.llm import decontaminate
+from loupe.llm import collocations, decontaminate
 
 DOCS = "doc_id long, text string, lang string, _row int, found string"
 
@@ -83,3 +85,65 @@ def test_decontaminated_texts_lose_only_what_is_hit(spark):
     assert decontaminate.decontaminate(docs, items).columns == docs.columns
     assert decontaminate.decontaminate(docs, items.limit(0)).count() == len(leaky())
     assert decontaminate.decontaminate(docs.limit(0), items).count() == 0
+
+
+# collocations
+
+
+def plain_collocations(rows, least, longest, top):
+    """{lang: rows in order} by counting every phrase in a table."""
+    counts, total = Counter(), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        lowered = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        for piece in re.split(r"[.,;:!?\n-\r]", lowered):
+            words = re.findall(r"[^ \t]+", piece)
+            total[lang] += len(words)
+            for size in range(1, longest + 1):
+                counts.update((lang, *words[k : k + size]) for k in range(len(words) - size + 1))
+    out = {}
+    for key, a in counts.items():
+        lang, own = key[0], key[1:]
+        if len(own) < 2 or a < least:
+            continue
+        score, k = min((10**6 * a * a // (counts[key[: k + 1]] * counts[(lang, *own[k:])]), k) for k in range(1, len(own)))
+        inside = [f for other, f in counts.items() if f >= least and other[0] == lang and len(other) > len(key)
+                  and any(other[s : s + len(own)] == own for s in range(1, len(other)))]
+        if not any(100 * f >= 50 * a for f in inside):
+            phrase = " ".join(own)
+            out.setdefault(lang, []).append((-score, -a, phrase.encode(), phrase, a, counts[key[: k + 1]], counts[(lang, *own[k:])], total[lang], score))
+    return {lang: [(rank, *r[3:]) for rank, r in enumerate(sorted(rows)[:top], 1)] for lang, rows in out.items()}
+
+
+def chatter():
+    rows = [(None if k % 7 == 0 else ["en", "fr", "und"][k % 3], prose(k, 300, "a b c dé the of é x|y \"q\" Of THE".split()) + (" hot pair" * 40 if k % 2 else "")) for k in range(12)]
+    # one piece longer than a batch, a text of one word, blanks of every kind, repeated rows
+    rows += [("fr", "a b c " * 2500), ("en", "z" * 40_000), ("en", " \t \n\r\x0b\x0c . "), ("en", None), ("en", ""), (None, None)]
+    return rows + [("de", "eins zwei drei vier")] * 10
+
+
+@pytest.mark.parametrize("longest, batch_bytes, shard_words", [(3, 1 << 23, 1 << 19), (3, 700, 60), (4, 2000, 500), (2, 700, 60)])
+def test_collocations_match_brute_force(spark, longest, batch_bytes, shard_words):
+    rows = chatter()
+    docs = spark.createDataFrame([(k, t, lang, "x") for k, (lang, t) in enumerate(rows)], "a long, text string, lang string, phrase string").repartition(3)
+    found = collocations.collocations(docs, least=10, longest=longest, top=50, batch_bytes=batch_bytes, shard_words=shard_words).collect()
+    got = {}
+    for r in sorted(found, key=lambda r: (r["lang"], r["rank"])):
+        got.setdefault(r["lang"], []).append((r["rank"], r["phrase"], r["a"], r["l"], r["r"], r["n"], r["score"]))
+    assert got == plain_collocations(rows, 10, longest, 50)
+    assert collocations.collocations(docs.limit(0)).count() == 0
+
+
+def test_quicksort_counts_equal_partitions():
+    rng = np.random.default_rng(3)
+    columns = rng.integers(-1, 6, (3, 400))
+    columns[2, columns[1] < 0] = -1
+    weight = rng.integers(1, 4, 400)
+    counts = Counter()
+    for row, n in zip(columns.T.tolist(), weight.tolist()):
+        for depth in range(1, 4):
+            if row[depth - 1] >= 0:
+                counts[tuple(row[:depth])] += n
+    for least in (1, 5, 40):
+        found = {tuple(columns[:depth, p].tolist()): n for depth, p, n in collocations.quicksort(columns, weight, least)}
+        assert found == {k: n for k, n in counts.items() if n >= least and -1 not in k}
