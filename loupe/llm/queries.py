@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loupe.llm import chat, collocations, decontaminate, licenses, merkle, mixing, neighbours, packing, quality, repeats, simhash, warc
+from loupe.llm import chat, collocations, decontaminate, lexical, licenses, merkle, mixing, neighbours, packing, quality, repeats, simhash, warc
 from loupe.session import durable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -300,3 +300,34 @@ QUALIFY rank <= {collocations.TOP}
 @query("op12_collocations", PHRASE_SQL)
 def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(table(spark, folder, "documents"))
+
+
+#: term counts of documents and their scores for items, in whole numbers
+RANKED_SQL = rf"""
+WITH doc_terms AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{lexical.TERM}') AS terms FROM documents
+), sizes AS (
+  SELECT doc_id, len(terms) AS n FROM doc_terms WHERE len(terms) > 0
+), stats AS (
+  SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM sizes
+), items AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{lexical.TERM}')) AS term
+  FROM benchmark
+), postings AS (
+  SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM doc_terms) WHERE term IN (SELECT term FROM items) GROUP BY ALL
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM postings, stats GROUP BY term, n_docs
+), norms AS (
+  SELECT doc_id, 100 - 90 + (90 * n * n_docs) // n_terms AS m FROM sizes, stats
+), scores AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM items JOIN postings USING (term) JOIN weights USING (term) JOIN norms USING (doc_id) GROUP BY item_id, doc_id
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= {lexical.TOP}
+"""
+
+
+@query("op13_lexical", RANKED_SQL)
+def op13_lexical(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

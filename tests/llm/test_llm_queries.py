@@ -21,5 +21,5 @@ def test_same_rows_as_sql(spark, con, name):
 
 def test_one_query_for_each_operator():
     names = set(entry.queries())
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert "pipeline" in names and set(queries.QUERIES) <= names

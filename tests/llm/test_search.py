@@ -1,5 +1,6 @@
 """Operators that search texts: benchmark passages, collocations, ranked documents."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -7,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from loupe.llm import collocations, decontaminate
+from loupe.llm import collocations, decontaminate, lexical
 
 DOCS = "doc_id long, text string, lang string, _row int, found string"
 
@@ -147,3 +148,81 @@ def test_quicksort_counts_equal_partitions():
     for least in (1, 5, 40):
         found = {tuple(columns[:depth, p].tolist()): n for depth, p, n in collocations.quicksort(columns, weight, least)}
         assert found == {k: n for k, n in counts.items() if n >= least and -1 not in k}
+
+
+# ranked documents
+
+
+def plain_ranking(docs, items, top):
+    """[(item_id, [(doc_id, score)...])] per distinct item row, by scoring every document."""
+    terms = [Counter(plain_words(t)) for _, t in docs]
+    sizes = [sum(t.values()) for t in terms]
+    n_docs, total = sum(n > 0 for n in sizes), sum(sizes)
+    df = Counter(t for own in terms for t in own)
+    out = []
+    for item_id, text in sorted(set(items), key=str):
+        scored = []
+        for (doc_id, _), own, n in zip(docs, terms, sizes):
+            if n:
+                m = 100 - 90 + (90 * n * n_docs) // total
+                score = sum(
+                    math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * ((10**9 * own[t]) // (1000 * own[t] + 8 * m))
+                    for t in set(plain_words(text)) if t in own
+                )
+                if score > 0:
+                    scored.append((-score, doc_id is None, doc_id or 0, doc_id))
+        if scored:
+            out.append((item_id, [(d, -s) for s, _, _, d in sorted(scored)[:top]]))
+    return out
+
+
+def library():
+    words = [f"w{k}" for k in range(60)] + ["the", "of"] * 10
+    rows = [(k, prose(k, 5 + k % 90, words)) for k in range(400)]
+    rows += [(1000 + k, prose(7, 40, words)) for k in range(60)] + [(5, prose(5, 10, words))] * 3  # copies of a text, repeated rows
+    rows += [(None, prose(8, 30, words)), (None, prose(8, 30, words)), (2000, None), (2001, ""), (2002, " -- "), (2003, "W1 é w2É " * 30_000)]
+    return rows
+
+
+def searched():
+    words = [f"w{k}" for k in range(60)] + ["the", "of"] * 10
+    items = [(k, prose(100 + k, 12, words)) for k in range(12)] + [(3, "w1 w1 W1"), (3, "w1 w1 W1"), (None, "é of w3"), (50, None), (51, ""), (52, "nowhere")]
+    return items + [(53, prose(7, 40, words))]
+
+
+@pytest.mark.parametrize("block_terms", [1 << 18, 40])
+def test_ranking_matches_brute_force(spark, block_terms):
+    docs = spark.createDataFrame([(i, t, "x") for i, t in library()], "doc_id long, text string, score string").repartition(3)
+    items = spark.createDataFrame([(i, t, "x") for i, t in searched()], "item_id long, text string, doc_id string")
+    found = lexical.search(docs, items, block_terms=block_terms).collect()
+    lists, seen = [], {}
+    for r in sorted(found, key=lambda r: (str(r["item_id"]), r["rank"])):
+        seen.setdefault(r["item_id"], []).append((r["rank"], r["doc_id"], r["score"]))
+    for item_id, want in plain_ranking(library(), searched(), 10):
+        lists.append((item_id, [(k, d, s) for k, (d, s) in enumerate(want, 1)]))
+    assert {i: sorted(r) for i, r in seen.items()} == {i: sorted(x for j, r in lists if j == i for x in r) for i, _ in lists}
+    assert lexical.search(docs.limit(0), items).count() == 0 and lexical.search(docs, items.limit(0)).count() == 0
+
+
+def test_text_ids_are_ranked(spark):
+    docs = spark.createDataFrame([("b", "red fish"), ("a", "red fish"), (None, "red fish"), ("c", "blue")], "doc_id string, text string")
+    found = lexical.search(docs, spark.createDataFrame([("i", "Red!")], "item_id string, text string")).orderBy("rank").collect()
+    assert [r["doc_id"] for r in found] == ["a", "b", None]
+
+
+def test_tree_search_over_several_trees_is_exact(monkeypatch):
+    rng = np.random.default_rng(4)
+    weights = rng.integers(0, 3000, 50)
+    docs = []
+    for i in range(900):
+        ranks = np.flatnonzero(rng.random(50) < 8 / (8 + np.arange(50)))
+        if len(ranks):
+            docs.append((i, int(rng.integers(20, 300)), ranks, rng.integers(1, 4, len(ranks))))
+    monkeypatch.setattr(lexical, "LEAF_DOCS", 2)
+    for wanted in (range(0, 50, 7), [0], [49, 48], range(50)):
+        own = np.where(np.isin(np.arange(50), list(wanted)), weights, 0)
+        best = []
+        for k in range(0, len(docs), 250):
+            best = lexical.Tree(docs[k : k + 250]).search(own, best, 10)
+        scores = sorted((-int((own[r] * lexical.saturated(tf, m)).sum()), i) for i, m, r, tf in docs)
+        assert [(s, i) for s, _, i in best] == [x for x in scores if x[0] < 0][:10]
