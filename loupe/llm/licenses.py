@@ -34,7 +34,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from loupe.frames import col, require
-from loupe.llm.rows import fresh, row_hash, text_of
+from loupe.llm.rows import fresh, row_key, text_of
 from loupe.session import durable
 
 #: fixed values: public notices by licence identifier
@@ -99,7 +99,7 @@ def passages(files: DataFrame) -> DataFrame:
     text = text_of()
     whole = F.when(name_of(F.col("path")).rlike(LICENCE_FILE), F.array(F.struct(F.lit(-1).alias("at"), text.alias("passage"))))
     lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("at"), x.alias("passage")))
-    return files.select(row_hash(files).alias("row"), F.inline(F.concat(lines, F.coalesce(whole, F.array().cast("array<struct<at:int,passage:string>>")))))
+    return files.select(row_key(files).alias("row"), F.inline(F.concat(lines, F.coalesce(whole, F.array().cast("array<struct<at:int,passage:string>>")))))
 
 
 def wrapped(files: DataFrame, marker: str, longest: int) -> DataFrame:
@@ -109,7 +109,7 @@ def wrapped(files: DataFrame, marker: str, longest: int) -> DataFrame:
     of the first.  They are at most ``longest``, and of twice as many words.
     """
     most = 2 * longest
-    marked = files.select(row_hash(files).alias("row"), text_of().alias("text")).where(lowered(F.col("text")).rlike(marker)).dropDuplicates(["row"])
+    marked = files.select(row_key(files).alias("row"), text_of().alias("text")).where(lowered(F.col("text")).rlike(marker)).dropDuplicates(["row"])
     each = marked.select("row", F.posexplode(F.split("text", "\n")).alias("at", "line")).withColumn("n", F.size(tokens(F.col("line")))).where("n > 0")
     # a line of too many words is in no passage, so its text isn't needed
     fits = F.col("n") <= most
@@ -200,7 +200,7 @@ def scan(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, sp
     kept = [c for c in files.columns if c != "text"]
     found = classify(files, templates, threshold).withColumnRenamed("row", row)
     # under names of their own, the files' columns can't clash with what is found
-    given = files.withColumn(row, row_hash(files)).select(*[col(c).alias(f"c{i}") for i, c in enumerate(kept)], "path", row)
+    given = files.withColumn(row, row_key(files)).select(*[col(c).alias(f"c{i}") for i, c in enumerate(kept)], "path", row)
     own = given.join(found, row, "left")
     here = own.withColumns({"home": directory_of(F.col("path")), "speaks": speaks}).withColumnRenamed("path", "where")
 

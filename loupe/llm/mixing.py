@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from loupe.frames import col, require
-from loupe.llm.rows import fresh, row_hash, word_count
+from loupe.llm.rows import fresh, row_key, word_count
 from loupe.ordered import POSITION, with_running_sum
 
 #: weights of the sources in code-point order, repeating
@@ -68,13 +68,13 @@ def plan_mix(
 ) -> DataFrame:
     """One row per distinct row of ``docs``: what the mix takes of it.
 
-    Columns: row (hash), doc_id, source, rows (how often the row occurs), size
+    Columns: row (its key), doc_id, source, rows (how often the row occurs), size
     (words), source_size, target, copies (0 to max_repeats), taken (words of
     each of the rows).
     """
     require(docs, "doc_id", "text", "source")
     items = (
-        docs.select(row_hash(docs).alias("row"), "doc_id", "source", word_count().alias("size"))
+        docs.select(row_key(docs).alias("row"), "doc_id", "source", word_count().alias("size"))
         .groupBy("row", "doc_id", "source", "size")
         .agg(F.count("*").alias("rows"))
     )
@@ -108,6 +108,6 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeats: int =
     row, copies = fresh(docs, "_row"), fresh(docs, "_copies")
     plan = plan_mix(docs, weights, max_repeats, seed).where("copies > 0")
     plan = plan.groupBy(F.col("row").alias(row)).agg(F.max("copies").alias(copies))
-    keyed = docs.withColumn(row, row_hash(docs))
+    keyed = docs.withColumn(row, row_key(docs))
     repeated = keyed.join(plan, row).withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))))
     return repeated.select(*[col(c) for c in docs.columns])

@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loupe.frames import col
-from loupe.llm.rows import text_of
+from loupe.llm.rows import fresh, text_of
 
 FOURIER, RIDGE, SEED = 512, 1.0, 3
 #: rows of the normal equations in a strip; bins of the calibration
@@ -190,7 +190,7 @@ def fit(train: DataFrame, calibrate: DataFrame, fourier: int = FOURIER, ridge: f
 
 
 def scored(df: DataFrame, model: Model, given: str = "features", name: str = "score") -> DataFrame:
-    """Add the score from a column of statistics."""
+    """Add the score from a column of statistics, as ``name`` or, where a column has it, with ``_`` behind."""
 
     @F.pandas_udf("double")
     def of(rows):  # noqa: ANN001
@@ -198,7 +198,7 @@ def scored(df: DataFrame, model: Model, given: str = "features", name: str = "sc
 
         return pd.Series(model.score(matrix(rows)))
 
-    return df.withColumn(name, of(col(given)))
+    return df.withColumn(fresh(df, name), of(col(given)))
 
 
 def remainder(doc_id: str = "doc_id") -> Column:

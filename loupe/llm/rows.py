@@ -10,9 +10,29 @@ from loupe.frames import col
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: what JSON needs to tell all values apart
+EXACT_JSON = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def row_parts(df: DataFrame) -> list[Column]:
+    """For each column whether it is NULL, and its value; hashes skip NULLs, within nested values too."""
+    parts = []
+    for f in df.schema.fields:
+        value = col(f.name)
+        if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+            value = F.to_json(F.struct(value.alias("v")), EXACT_JSON)
+        parts += [col(f.name).isNull(), value]
+    return parts
+
+
 def row_hash(df: DataFrame) -> Column:
-    """64 bits of the whole row; rows repeated whole share it."""
-    return F.xxhash64(*[col(f.name) for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))])
+    """64 bits of the whole row, to order by; rows repeated whole share it."""
+    return F.xxhash64(*row_parts(df))
+
+
+def row_key(df: DataFrame) -> Column:
+    """128 bits of the whole row, to tell rows apart; rows repeated whole share it."""
+    return F.struct(F.xxhash64(*row_parts(df)).alias("a"), F.xxhash64(F.lit(1), *row_parts(df)).alias("b"))
 
 
 def text_of(name: str = "text") -> Column:

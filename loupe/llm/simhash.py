@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from loupe.frames import col, require
 from loupe.llm.graph import components
-from loupe.llm.rows import fresh, row_hash, text_of
+from loupe.llm.rows import fresh, row_key, text_of
 from loupe.session import durable
 
 WORDS, RADIUS, SEED = 4, 4, 42
@@ -213,26 +213,30 @@ def links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, row, fingerprint, component_id) of every row; ``row`` is the row's hash."""
+    """(doc_id, row, fingerprint, group, component_id) of every row.
+
+    ``row`` is the row's key, ``group`` a fingerprint that names the component:
+    unlike texts of one doc_id share a component_id, but not a group.
+    """
     require(docs, "doc_id", "text")
-    marked = docs.select("doc_id", row_hash(docs).alias("row"), fingerprint(text_of(), words).alias("fingerprint"))
+    marked = docs.select("doc_id", row_key(docs).alias("row"), fingerprint(text_of(), words).alias("fingerprint"))
     marked = durable(marked)
     points = durable(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
     groups = components(durable(links(points.select("fingerprint"), radius)))
-    grouped = points.join(groups, F.col("fingerprint") == F.col("node"), "left").select(
-        "fingerprint", "least", F.coalesce("component", "fingerprint").alias("group")
+    # only what links is grouped: a fingerprint without links is a group of its own
+    groups = durable(groups.withColumnsRenamed({"node": "fingerprint", "component": "group"}))
+    linked = points.join(groups, "fingerprint")
+    names = linked.groupBy("group").agg(F.min("least").alias("component_id"))
+    named = linked.join(names, "group").select("fingerprint", "group", "component_id").unionByName(
+        points.join(groups, "fingerprint", "left_anti").select("fingerprint", F.col("fingerprint").alias("group"), F.col("least").alias("component_id"))
     )
-    names = grouped.groupBy("group").agg(F.min("least").alias("component_id"))
-    named = grouped.join(names, "group").select("fingerprint", "component_id")
     return marked.join(named, "fingerprint")
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """Of each group the document with the smallest doc_id, once, with all its columns."""
     found = near_duplicates(docs, words, radius)
-    # groups of NULL doc_ids alone are told apart by their fingerprint
-    group = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("alone")]
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")).alias("first")
     row = fresh(docs, "_row")
-    kept = found.groupBy(*group).agg(first).select(F.col("first.row").alias(row)).distinct()
-    return docs.withColumn(row, row_hash(docs)).join(kept, row).dropDuplicates([row]).select(*[col(c) for c in docs.columns])
+    kept = found.groupBy("group").agg(first).select(F.col("first.row").alias(row)).distinct()
+    return docs.withColumn(row, row_key(docs)).join(kept, row).dropDuplicates([row]).select(*[col(c) for c in docs.columns])
