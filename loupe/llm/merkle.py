@@ -1,24 +1,23 @@
 """Document fingerprints: Merkle trees over sections and paragraphs.
 
-A text falls into leaves of at most eight words that end with a sentence or a
-line, leaves form paragraphs (lines) and paragraphs form sections.  In texts
-under ``SHORT`` characters each word of a leaf has a digest too.  A section
-ends at an empty line or after a paragraph whose digest says so, hence an edit
-moves no border but those beside it.  Leaves cover every character; a node's
-digest is that of its children's digests, so equal roots mean equal texts.
+A text falls into leaves of a few words, leaves form paragraphs (lines) and
+paragraphs form sections.  All borders are found by content: a leaf ends with a
+line, a sentence, or after a word whose last character says so (its number is 1
+modulo 4), a section at an empty line or after a paragraph whose digest says
+so.  So an edit moves no border but those beside it, in texts of every length.
+Stretches without blanks are cut by character in the same way.  Leaves cover every character; a node's digest is
+that of its children's digests, so equal roots mean equal texts.
 
 A fingerprint is one string, ``root|section/section...`` with
 ``section = digest:paragraph;paragraph...``, ``paragraph = digest=leaf,leaf...``
-and ``leaf = digest`` (8 digits) and its length in characters (hexadecimal); a
-leaf of a short text is followed by its words, ``leaf~word~word...``, written
-alike.  Two fingerprints are compared from the top: equal branches count whole,
-only differing ones are opened, down to the leaves that hold the edits and, if
-both texts are short, to their words.
+and ``leaf = digest`` (8 digits) and its length in characters (hexadecimal).
+Two fingerprints are compared from the top: equal branches count whole, only
+differing ones are opened, down to the leaves that hold the edits.
 
 Defined results: NULL is the empty text, whose likeness to an empty one is 1
-and to any other 0; documents of equal doc_id go by their text's hash; a NULL
-doc_id comes after all others; the only document's next one is itself; no rows
-give no rows.
+and to any other 0; doc_ids are whole numbers, others raise; documents
+of equal doc_id go by their text's hash; a NULL doc_id comes after all others;
+the only document's next one is itself; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -31,11 +30,16 @@ from hashlib import blake2b
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from loupe.frames import require
-from loupe.llm.rows import text_of
+from loupe.llm.rows import fresh, text_of
 
-#: up to seven words that end no sentence, then any word, with the blanks behind
-LEAF = r"(?:\S{0,31}[^\s.!?][^\S\n]+){0,7}\S{1,32}[^\S\n]*\n*|\s+"
-SHORT, WORD = 256, r"\S{1,32}[^\S\n]*\n*|\s+"
+#: up to 15 words that end no leaf and then any word, with the blanks behind; or the part of a long word up to a
+#: character that cuts it.  What ends or cuts hangs on a character's number alone, so borders move with the text.
+def numbered(modulus: int) -> str:
+    return "".join(re.escape(chr(n)) for n in range(0x21, 0x2000) if n % modulus == 1)
+
+
+ENDS, CUTS = numbered(4) + ".!?", numbered(16)
+LEAF = rf"(?:\S{{1,32}}+(?<![{ENDS}])(?!\S)[^\S\n]+){{0,15}}(?:\S{{1,32}}+(?!\S)|[^\s{CUTS}]{{0,62}}\S)[^\S\n]*\n*|\s+"
 #: one in so many paragraphs ends a section
 SECTION = 8
 
@@ -48,8 +52,9 @@ def digest_of(text: str) -> bytes:
     return blake2b(text.encode(), digest_size=16).digest()
 
 
-def named(text: str) -> str:
-    return f"{digest_of(text)[:4].hex()}{len(text):x}"
+def leaves(text: str) -> list[str]:
+    """The leaves in order."""
+    return re.findall(LEAF, text)
 
 
 def fingerprint(text: str) -> str:
@@ -71,11 +76,10 @@ def fingerprint(text: str) -> str:
         sections.append((digest, f"{digest[:4].hex()}:{';'.join(s for _, s in paragraphs)}"))
         paragraphs.clear()
 
-    for leaf in re.findall(LEAF, text):
+    for leaf in leaves(text):
         digest = digest_of(leaf)
         digests.append(digest)
-        name = f"{digest[:4].hex()}{len(leaf):x}"
-        names.append("~".join([name, *map(named, re.findall(WORD, leaf))]) if len(text) < SHORT else name)
+        names.append(f"{digest[:4].hex()}{len(leaf):x}")
         if leaf[-1] == "\n":
             end_paragraph(leaf.endswith("\n\n"))
     if digests:
@@ -98,23 +102,10 @@ def leaves_of(paragraph: str) -> list[str]:
     return paragraph.partition("=")[2].split(",")
 
 
-def whole_leaf(leaf: str) -> list[str]:
-    return [leaf.partition("~")[0]]
-
-
-def words_of(leaf: str) -> list[str]:
-    return leaf.split("~")[1:]
-
-
-def finest(a: str, b: str):
-    """What opens a leaf: its words if both fingerprints have them."""
-    return words_of if "~" in a and "~" in b else whole_leaf
-
-
 def differing(a: str, b: str) -> tuple[list[str], list[str]]:
-    """The leaves, or words if both have them, of either fingerprint that the other lacks."""
+    """The leaves of either fingerprint that the other lacks."""
     left, right = branches(a), branches(b)
-    for opened in (paragraphs_of, leaves_of, finest(a, b), None):
+    for opened in (paragraphs_of, leaves_of, None):
         common = Counter(left) & Counter(right)
         left, right = without(left, common), without(right, common)
         if opened:
@@ -137,7 +128,7 @@ def without(items: list[str], common: Counter) -> list[str]:
 
 
 def characters(leaves: list[str]) -> int:
-    return sum(int(x.partition("~")[0][8:], 16) for x in leaves)
+    return sum(int(x[8:], 16) for x in leaves)
 
 
 def likeness(a: str, n_a: int, b: str, n_b: int) -> float:
@@ -150,12 +141,12 @@ def likeness(a: str, n_a: int, b: str, n_b: int) -> float:
 
 def edits(a: str, b: str) -> list[tuple[int, int]]:
     """Character spans of a's text, joined, whose leaves b lacks."""
-    missing, opened = Counter(differing(a, b)[0]), finest(a, b)
+    missing = Counter(differing(a, b)[0])
     spans: list[tuple[int, int]] = []
     at = 0
     for section in branches(a):
         for paragraph in paragraphs_of(section):
-            for leaf in [x for whole in leaves_of(paragraph) for x in opened(whole)]:
+            for leaf in leaves_of(paragraph):
                 n = int(leaf[8:], 16)
                 if missing[leaf] > 0:
                     missing[leaf] -= 1
@@ -168,13 +159,13 @@ def edits(a: str, b: str) -> list[tuple[int, int]]:
 
 
 def with_fingerprint(docs: DataFrame, name: str = "fingerprint") -> DataFrame:
-    """Add the fingerprint of every text."""
+    """Add the fingerprint of every text, as ``name`` or, where a column has it, with ``_`` behind."""
 
     @F.pandas_udf("string")
     def of(texts):  # noqa: ANN001
         return texts.map(fingerprint)
 
-    return docs.withColumn(name, of(text_of()))
+    return docs.withColumn(fresh(docs, name), of(text_of()))
 
 
 def beside_next(docs: DataFrame) -> DataFrame:
