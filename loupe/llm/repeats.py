@@ -27,7 +27,8 @@ by its count in the corpus, and holds for its runs in every batch.
 Texts are packed into batches of some megabytes, compressed, and written once.
 
 Defined results: NULL is the empty text; documents under ``length`` bytes hold
-no string; a NULL doc_id comes after all others; rows of equal doc_id go by
+no string; doc_ids are whole numbers,
+others raise; a NULL doc_id comes after all others; rows of equal doc_id go by
 their hash, and of rows repeated whole one comes first and the others repeat
 it; no rows give no rows.
 """
@@ -54,45 +55,59 @@ HOT = 1 << 16
 ORDER_BYTES = 1 << 20
 #: fixed: an odd multiplier, its inverse modulo 2**64, and that of the mixing step
 BASE, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-LAST = (1 << 63) - 1
 
-BATCHES = "doc_ids binary, hashes binary, sizes binary, texts binary, others binary"
+BATCHES = "doc_ids binary, unknown binary, hashes binary, sizes binary, texts binary, others binary"
 
 
 def pack_batches(docs: DataFrame) -> DataFrame:
-    """The corpus in batches: packed ids, row hashes, text sizes and, compressed, the texts and other columns."""
+    """The corpus in batches: packed ids (and which are NULL), row hashes, text sizes and, compressed, the texts.
+
+    ``others`` has the other columns as an Arrow stream, so that every type
+    comes back as it was.
+    """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rest = F.to_json(F.struct(*[col(c).alias(f"c{i}") for i, c in enumerate(others)])) if others else F.lit("")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash(docs).alias("hash"), text_of().alias("text"), rest.alias("rest"))
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), row_hash(docs).alias("hash"), text_of().alias("text"),
+        *[col(c).alias(f"c{i}") for i, c in enumerate(others)],
+    )
 
     def pack(batches: Iterator) -> Iterator:
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
         import zstandard
 
         compress = zstandard.ZstdCompressor(level=6).compress
-
-        def row(ids, hashes, texts, rests):
-            sizes = np.array([[len(t) for t in texts], [len(r) for r in rests]], dtype=np.int64)
-            return (np.array(ids, dtype=np.int64).tobytes(), np.array(hashes, dtype=np.int64).tobytes(), sizes.tobytes(), compress(b"".join(texts)), compress(b"".join(rests)))
-
-        ids, hashes, texts, rests, held = [], [], [], [], 0
+        names = [f.split(" ")[0] for f in BATCHES.split(", ")]
+
+        def row(ids, hashes, texts, parts):
+            sizes = np.array([len(t) for t in texts], dtype=np.int64)
+            sink = pa.BufferOutputStream()
+            if others:
+                with pa.ipc.new_stream(sink, parts[0].schema) as stream:
+                    for part in parts:
+                        stream.write_batch(part)
+            known = np.array([0 if i is None else i for i in ids], dtype=np.int64)
+            unknown = np.array([i is None for i in ids], dtype=np.uint8)
+            values = (known.tobytes(), unknown.tobytes(), np.array(hashes, dtype=np.int64).tobytes(), sizes.tobytes(), compress(b"".join(texts)), compress(sink.getvalue().to_pybytes()))
+            return pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in values], names=names)
+
+        ids, hashes, texts, parts, held = [], [], [], [], 0
         for batch in batches:
-            out = []
-            for doc_id, h, text, other in zip(batch["doc_id"].astype(object), batch["hash"], batch["text"], batch["rest"]):
-                ids.append(LAST if pd.isna(doc_id) else int(doc_id))
+            given, first = batch.select([f"c{i}" for i in range(len(others))]), 0
+            for i, (doc_id, h, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("hash").to_pylist(), batch.column("text"))):
+                ids.append(doc_id)
                 hashes.append(h)
-                texts.append(text.encode())
-                rests.append(other.encode())
+                texts.append(text.as_buffer().to_pybytes())
                 held += len(texts[-1])
                 if held >= BATCH_BYTES:
-                    out.append(row(ids, hashes, texts, rests))
-                    ids, hashes, texts, rests, held = [], [], [], [], 0
-            yield pd.DataFrame(out, columns=[f.split(" ")[0] for f in BATCHES.split(", ")])
+                    yield row(ids, hashes, texts, [*parts, given.slice(first, i + 1 - first)])
+                    ids, hashes, texts, parts, held, first = [], [], [], [], 0, i + 1
+            if first < batch.num_rows:
+                parts.append(given.slice(first))
         if ids:
-            yield pd.DataFrame([row(ids, hashes, texts, rests)], columns=[f.split(" ")[0] for f in BATCHES.split(", ")])
+            yield row(ids, hashes, texts, parts)
 
-    return durable(rows.mapInPandas(pack, BATCHES).withColumn("batch", F.monotonically_increasing_id()))
+    return durable(rows.mapInArrow(pack, BATCHES).withColumn("batch", F.monotonically_increasing_id()))
 
 
 def inflate(packed: bytes) -> bytes:
@@ -246,7 +261,7 @@ def shared_runs(batches: DataFrame, length: int, part: int, shares: int, hot: in
         for frame in frames:
             for batch, sizes, texts in zip(frame["batch"], frame["sizes"], frame["texts"]):
                 sizes = np.frombuffer(sizes, dtype=np.int64)
-                runs, occurring = runs_of(inflate(texts), sizes[: len(sizes) // 2], length, part)
+                runs, occurring = runs_of(inflate(texts), sizes, length, part)
                 marks, counts = np.unique(occurring, return_counts=True)
                 where = np.searchsorted(marks, runs[0])
                 alone = counts[where] == 1
@@ -294,7 +309,7 @@ def shared_runs(batches: DataFrame, length: int, part: int, shares: int, hot: in
 
 
 #: a run's place in the corpus, which also is its order
-PLACE = [("doc_id", "<i8"), ("hash", "<i8"), ("batch", "<i8"), ("doc", "<u4"), ("start", "<u4"), ("strings", "u1")]
+PLACE = [("unknown", "u1"), ("doc_id", "<i8"), ("hash", "<i8"), ("batch", "<i8"), ("doc", "<u4"), ("start", "<u4"), ("strings", "u1")]
 SPAN = [("doc", "<u4"), ("start", "<u4"), ("end", "<u4")]
 
 
@@ -327,7 +342,7 @@ def earliest_of_equal(strings: list[bytes], places):
     """(first, others): the places that come first with their bytes, and all the others."""
     import numpy as np
 
-    order = np.lexsort([places[n] for n in ("start", "doc", "batch", "hash", "doc_id")])
+    order = np.lexsort([places[n] for n in ("start", "doc", "batch", "hash", "doc_id", "unknown")])
     seen, others = {}, []
     for i in order.tolist():
         if strings[i] in seen:
@@ -349,9 +364,9 @@ def ordered_repeats(strings: list[bytes], places, length: int):
     member = same | np.append(same[1:], False)
     string, offset, group = string[member], offset[member], group[member]
     # documents by number in order
-    order = np.lexsort([places[n] for n in ("start", "doc", "batch", "hash", "doc_id")])
+    order = np.lexsort([places[n] for n in ("start", "doc", "batch", "hash", "doc_id", "unknown")])
     other = np.zeros(len(places), dtype=bool)
-    for name in ("doc_id", "hash", "batch", "doc"):
+    for name in ("unknown", "doc_id", "hash", "batch", "doc"):
         column = places[name][order]
         other[1:] |= column[1:] != column[:-1]
     rank = np.empty(len(places), dtype=np.int64)
@@ -372,19 +387,21 @@ def repeated_spans(batches: DataFrame, shared: DataFrame, length: int, part: int
         import zstandard
 
         compress = zstandard.ZstdCompressor(level=3).compress
-        def placed(runs, batch, ids, hashes):
+
+        def placed(runs, batch, ids, unknown, hashes):
             places = np.zeros(len(runs), dtype=PLACE)
             for name in ("doc", "start", "strings"):
                 places[name] = runs[name]
-            places["doc_id"], places["hash"], places["batch"] = ids[runs["doc"]], hashes[runs["doc"]], batch
+            places["doc_id"], places["unknown"], places["hash"], places["batch"] = ids[runs["doc"]], unknown[runs["doc"]], hashes[runs["doc"]], batch
             return places
 
         for frame in frames:
-            for batch, ids, hashes, sizes, texts, parts, often in zip(frame["batch"], frame["doc_ids"], frame["hashes"], frame["sizes"], frame["texts"], frame["runs"], frame["hot"]):
+            for batch, ids, unknown, hashes, sizes, texts, parts, often in zip(frame["batch"], frame["doc_ids"], frame["unknown"], frame["hashes"], frame["sizes"], frame["texts"], frame["runs"], frame["hot"]):
                 runs = np.concatenate([unpacked(p, RUN) for p in parts])
                 often = np.frombuffer(b"".join(often), dtype=np.uint64)
                 ids, hashes, sizes = (np.frombuffer(x, dtype=np.int64) for x in (ids, hashes, sizes))
-                begins = np.cumsum(sizes[: len(sizes) // 2]) - sizes[: len(sizes) // 2]
+                unknown = np.frombuffer(unknown, dtype=np.uint8)
+                begins = np.cumsum(sizes) - sizes
                 whole = inflate(texts)
 
                 def bytes_of(runs):
@@ -392,7 +409,7 @@ def repeated_spans(batches: DataFrame, shared: DataFrame, length: int, part: int
                     high = low + runs["strings"] + length - 1
                     return [whole[a:b] for a, b in zip(low.tolist(), high.tolist())]
 
-                strings, places = bytes_of(runs), placed(runs, batch, ids, hashes)
+                strings, places = bytes_of(runs), placed(runs, batch, ids, unknown, hashes)
                 first, others = earliest_of_equal(strings, places)
                 repeated = [places[others]]
                 strings, places, anchor = [strings[i] for i in first.tolist()], places[first], runs["anchor"][first]
@@ -403,7 +420,7 @@ def repeated_spans(batches: DataFrame, shared: DataFrame, length: int, part: int
                     single = np.repeat(runs[first[very]], n)
                     single["start"] += (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.uint32)
                     single["strings"] = 1
-                    pieces, at = bytes_of(single), placed(single, batch, ids, hashes)
+                    pieces, at = bytes_of(single), placed(single, batch, ids, unknown, hashes)
                     first, others = earliest_of_equal(pieces, at)
                     repeated.append(at[others])
                     pieces = [pieces[i] for i in first.tolist()]
@@ -477,7 +494,7 @@ def repeated_spans(batches: DataFrame, shared: DataFrame, length: int, part: int
         return pd.DataFrame(rows, columns=["batch", "spans"])
 
     together = shared.groupBy("batch").agg(F.collect_list("runs").alias("runs"), F.collect_list("hot").alias("hot"))  # bounded by the batch's size
-    joined = batches.select("batch", "doc_ids", "hashes", "sizes", "texts").join(together, "batch")
+    joined = batches.select("batch", "doc_ids", "unknown", "hashes", "sizes", "texts").join(together, "batch")
     dealt = joined.mapInPandas(deal, "share int, batch long, places binary, anchors binary, texts binary")
     return dealt.groupBy("share").applyInPandas(meet, "batch long, spans binary")
 
@@ -497,24 +514,30 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, part: int = PART, hot:
     shared = shared_runs(batches, length, part, shares, hot)
     spans = repeated_spans(batches, shared, length, part, shares)
     together = spans.groupBy("batch").agg(F.collect_list("spans").alias("spans"))  # bounded by the batch's size
-    joined = batches.select("batch", "doc_ids", "sizes", "texts", "others").join(together, "batch", "left")
+    joined = batches.select("batch", "doc_ids", "unknown", "sizes", "texts", "others").join(together, "batch", "left")
 
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    names = ["doc_id", "text", "rest", "kept", "n_bytes", "n_removed", "removed"]
+    schema = T.StructType.fromDDL("doc_id long, text string, kept binary, n_bytes long, n_removed long, removed array<struct<start: long, end: long>>")
+    schema = T.StructType(schema.fields + [T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(others)])
 
     def cut(frames: Iterator) -> Iterator:
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
 
+        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        types = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.int64(), span]
         for frame in frames:
-            for ids, sizes, texts, rests, parts in zip(frame["doc_ids"], frame["sizes"], frame["texts"], frame["others"], frame["spans"]):
-                found = np.frombuffer(b"".join(parts if parts is not None else []), dtype=SPAN)
+            for ids, unknown, sizes, texts, rest, parts in zip(*(frame.column(c).to_pylist() for c in ("doc_ids", "unknown", "sizes", "texts", "others", "spans"))):
+                found = np.frombuffer(b"".join(parts or []), dtype=SPAN)
                 found = found[np.lexsort((found["start"], found["doc"]))]
                 edges = np.searchsorted(found["doc"], np.arange(len(ids) // 8 + 1))
-                whole, rest = inflate(texts), inflate(rests)
-                low = other = 0
-                rows, held = [], 0
-                for i, (doc_id, size, more) in enumerate(zip(np.frombuffer(ids, dtype=np.int64).tolist(), *np.frombuffer(sizes, dtype=np.int64).reshape(2, -1).tolist())):
+                whole = inflate(texts)
+                given = pa.ipc.open_stream(inflate(rest)).read_all().combine_chunks() if others else None
+                low = first = held = 0
+                rows = []
+                unknown = np.frombuffer(unknown, dtype=np.uint8)
+                sizes = np.frombuffer(sizes, dtype=np.int64).tolist()
+                for i, (doc_id, size) in enumerate(zip(np.frombuffer(ids, dtype=np.int64).tolist(), sizes)):
                     text = whole[low : low + size]
                     own: list[list[int]] = []
                     for a, b in found[edges[i] : edges[i + 1]][["start", "end"]].tolist():
@@ -525,24 +548,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, part: int = PART, hot:
                     bounds = [0, *[x for span in own for x in span], size]
                     kept = b"".join([text[a:b] for a, b in zip(bounds[::2], bounds[1::2])])
                     rows.append((
-                        None if doc_id == LAST else doc_id, kept.decode(errors="ignore"), rest[other : other + more].decode(), kept, size,
-                        size - len(kept), [{"start": a, "end": b} for a, b in own],
+                        None if unknown[i] else doc_id, kept.decode(errors="ignore"), kept, size, size - len(kept), [{"start": a, "end": b} for a, b in own],
                     ))
-                    low, other, held = low + size, other + more, held + size
-                yield made(rows)
-
-    def made(rows):
-        import pandas as pd
-
-        frame = pd.DataFrame(rows, columns=names)
-        frame["doc_id"] = frame["doc_id"].astype("Int64")
-        return frame
-
-    schema = "doc_id long, text string, rest string, kept binary, n_bytes long, n_removed long, removed array<struct<start: long, end: long>>"
-    result = joined.mapInPandas(cut, schema)
-    types = T.StructType([T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(others)])
+                    low, held = low + size, held + size
+                    if held > 4 << 20 or i == len(sizes) - 1:
+                        more = [given.column(k).slice(first, len(rows)).combine_chunks() for k in range(len(others))]
+                        more = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in more]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)] + more, names=schema.names)
+                        rows, held, first = [], 0, i + 1
+
+    result = joined.mapInArrow(cut, schema)
     fields = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.col("text")}
-    fields |= {c: F.col("read")[f"c{i}"] for i, c in enumerate(others)}
-    extra = [F.col(name).alias(fresh(docs, name)) for name in names[3:]]
-    read = result.withColumn("read", F.from_json("rest", types)) if others else result
-    return read.select(*[fields[c].alias(c) for c in docs.columns], *extra)
+    fields |= {c: F.col(f"c{i}") for i, c in enumerate(others)}
+    extra = [F.col(name).alias(fresh(docs, name)) for name in ("kept", "n_bytes", "n_removed", "removed")]
+    return result.select(*[fields[c].alias(c) for c in docs.columns], *extra)
