@@ -178,6 +178,11 @@ def split_records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], byt
         del held[:total]
 
 
+def one_task_each(files: DataFrame) -> DataFrame:
+    """Rows of a path in a partition each; a number that is given isn't merged however small the rows are."""
+    return files.repartitionByRange(max(1, files.count()), "path")
+
+
 def normalise(archives: DataFrame) -> DataFrame:
     """Archives with a gzip member per record, and the index of each.
 
@@ -210,7 +215,7 @@ def normalise(archives: DataFrame) -> DataFrame:
                 rows.append((target, index, records, offset))
             yield pd.DataFrame(rows, columns=["path", "index_path", "records", "bytes"])
 
-    return durable(archives.select("path").repartition("path").mapInPandas(rewrite, NORMALISED))
+    return durable(one_task_each(archives.select("path")).mapInPandas(rewrite, NORMALISED))
 
 
 def read_records(normalised: DataFrame, with_payload: bool = True) -> DataFrame:
@@ -260,7 +265,7 @@ def read_records(normalised: DataFrame, with_payload: bool = True) -> DataFrame:
                             rows, held = [], 0
                 yield pd.DataFrame(rows, columns=names)
 
-    return normalised.select("path", "index_path").repartition("path").mapInPandas(read, RECORDS)
+    return one_task_each(normalised.select("path", "index_path")).mapInPandas(read, RECORDS)
 
 
 def page_of(record_id: str):
