@@ -30,8 +30,9 @@ from loupe.session import durable
 CAPACITY = 2048
 END_ID = 0
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
-#: entries of a worker's memos of tokens, and the longest key
-MEMO_ENTRIES, MEMO_CHARS = 1 << 19, 64
+DIGESTS = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: characters of a window that needs a blank, or words are long
+WINDOW = 512
 
 
 def worker_memory(name: str, make):
@@ -45,90 +46,103 @@ def worker_memory(name: str, make):
     return kept[name]
 
 
-def unit_encoder(tokenizer_path: str):
-    """A function from text to its token ids as little-endian unsigned 32-bit.
+def byte_encoding(tokenizer_path: str):
+    """A byte-pair encoding by ranks that gives the tokenizer's own ids, or None if the file isn't of that kind.
 
-    A byte-level BPE with this kind of pattern never joins a character with
-    white space behind it, so a text may be encoded in units that start at a
-    blank after a character.  Units and the words in them repeat, so their
-    tokens are remembered; the tokenizer's own steps do the rest.  A text that
-    holds one of its special tokens is encoded as a whole.
+    Merging by rank of the merged bytes is merging by the list of pairs if ids
+    rise with the list and every token is what its own text encodes to.
     """
-    import re
+    import json
 
-    import numpy as np
+    import tiktoken
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(tokenizer_path)
-    words_of, model = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model.tokenize
-
-    def packed(ids: list[int]) -> bytes:
-        return np.array(ids, dtype="<u4").tobytes()
-
-    class Memo(dict):
-        """Values by string; forgets all when full."""
-
-        def __init__(self, value):
-            self.value = value
-
-        def __missing__(self, key: str) -> bytes:
-            code = self.value(key)
-            if len(key) <= MEMO_CHARS:
-                if len(self) >= MEMO_ENTRIES:
-                    self.clear()
-                self[key] = code
-            return code
-
-    word = Memo(lambda w: packed([t.id for t in model(w)])).__getitem__
-    # a word of ASCII letters and punctuation behind it: two steps of the pattern, written as themselves
-    plain = re.compile(r"([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+    with open(tokenizer_path, encoding="utf-8") as file:
+        given = json.load(file)
+    model, split = given["model"], given["pre_tokenizer"] or {}
+    if (
+        given.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True)
+        or model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "byte_fallback", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix"))
+    ):
+        return None
+    # bytes are written as themselves or, where they can't be shown, as characters from 256 on
+    shown = {b: chr(b) for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174}
+    shown |= {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
+    byte = {c: b for b, c in shown.items()}
+    vocabulary, tokenize = model["vocab"], Tokenizer.from_file(tokenizer_path).model.tokenize
+    merged = ["".join(pair if isinstance(pair, list) else pair.split(" ")) for pair in model["merges"]]
+    ids = [vocabulary[m] for m in merged]
+    if any(a >= b for a, b in zip(ids, ids[1:])) or any(len(tokenize(m)) != 1 for m in merged) or not set(shown.values()) <= set(vocabulary):
+        return None
+    ranks = {bytes(byte[c] for c in m): vocabulary[m] for m in [*shown.values(), *merged]}
+    pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+def text_encoder(tokenizer_path: str):
+    """A function from text to its token ids as little-endian unsigned 32-bit.
 
-    def encode(unit: str) -> bytes:
-        return b"".join([word(w) for w, _ in words_of(unit)])
+    Where the tokenizer is a byte-level BPE, its merges are run by the much
+    faster library for such encodings.  The two might class a character
+    differently, so each character is tried between others when it is first
+    met; texts with one that differs, with a special token, or with a stretch
+    without blanks are left to the tokenizer itself.
+    """
+    import re
+    from array import array
 
-    def encode_after_blank(unit: str) -> bytes:
-        if found := plain(unit):
-            letters, rest = found.groups()
-            return word("\u0120" + letters) + word(rest) if rest else word("\u0120" + letters)
-        return encode(" " + unit)
+    from tokenizers import Tokenizer
 
-    recall = Memo(encode_after_blank).__getitem__
-    joined = re.compile(r"\s ").search
-    split = re.compile(r"(?<=\S) ").split
+    tokenizer, fast = Tokenizer.from_file(tokenizer_path), byte_encoding(tokenizer_path)
     special = re.compile("|".join(re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()) or r"(?!)").search
+    alike: set[str] = set()
+    unlike: set[str] = set()
+
+    def slow(text: str) -> list[int]:
+        return tokenizer.encode(text, add_special_tokens=False).ids
+
+    def plain(text: str) -> bool:
+        if fast is None or special(text):
+            return False
+        for c in set(text) - alike:
+            if c not in unlike:
+                probe = f"a{c}a {c} 1{c}1 !{c}! {c}{c} {c}\n{c}"
+                (alike if fast.encode_ordinary(probe) == slow(probe) else unlike).add(c)
+        # its merges take a time that grows with the square of a word's length
+        windows = (text[k : k + WINDOW] for k in range(0, len(text) - WINDOW, WINDOW))
+        return not any(" " not in w or w.isspace() for w in windows) and (not unlike or unlike.isdisjoint(text))
 
     def ids(text: str) -> bytes:
-        if special(text):
-            return packed(tokenizer.encode(text, add_special_tokens=False).ids)
-        first, *rest = split(text) if joined(text) else text.split(" ")
-        return encode(first) + b"".join(map(recall, rest))
+        return array("I", fast.encode_ordinary(text) if plain(text) else slow(text)).tobytes()
 
     return ids
 
 
-def tokenise(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """The pieces of every document: doc_id, piece, start, length, ids.
+def tokenise(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, digests: bool = False) -> DataFrame:
+    """The pieces of every document: doc_id, piece, start, length, ids; with ``digests`` their CRC-32 instead.
 
     ``ids`` holds unsigned 32-bit little-endian numbers, as training loaders
     map them; :func:`numpy.frombuffer` reads them.  The end token counts as the
     document's last.
     """
     require(docs, "doc_id", "text")
+    schema = DIGESTS if digests else PIECES
 
     def cut(batches: Iterator) -> Iterator:
-        import pandas as pd
+        import zlib
 
-        encode = worker_memory(tokenizer_path, lambda: unit_encoder(tokenizer_path))
+        encode = worker_memory(tokenizer_path, lambda: text_encoder(tokenizer_path))
         end = end_id.to_bytes(4, "little")
-        names = [f.split(" ")[0] for f in PIECES.split(", ")]
+        names = [f.split(" ")[0] for f in schema.split(", ")]
+        given = zlib.crc32 if digests else bytes
         for batch in batches:
             rows, held = [], 0
             for doc_id, text in zip(batch["doc_id"].astype("Int64"), batch["text"]):
                 code = encode(text) + end if text else end
                 n = len(code) // 4
                 edges = [0, *range((n - 1) % capacity + 1, n + 1, capacity)] if n > capacity else [0, n]
-                rows += [(doc_id, k, a, b - a, code[4 * a : 4 * b]) for k, (a, b) in enumerate(zip(edges, edges[1:]))]
-                held += len(code)
+                rows += [(doc_id, k, a, b - a, given(code[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(edges, edges[1:]))]
+                held += 64 + len(code) * (not digests)
                 if held > 8 << 20:
                     yield frame(rows, names)
                     rows, held = [], 0
@@ -142,7 +156,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end
         return made
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return texts.mapInPandas(cut, PIECES)
+    return texts.mapInPandas(cut, schema)
 
 
 def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, dict[int, int]]]:

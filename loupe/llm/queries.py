@@ -118,9 +118,8 @@ def tokenizer_file(name: str) -> str:
 
 @query("op1_packing")
 def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
-    tokens = packing.tokenise(table(spark, folder, "documents"), tokenizer_file("byte_bpe_50k.json"))
-    digests = tokens.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    pieces = durable(digests.withColumn("key", F.monotonically_increasing_id()))
+    tokens = packing.tokenise(table(spark, folder, "documents"), tokenizer_file("byte_bpe_50k.json"), digests=True)
+    pieces = durable(tokens.withColumn("key", F.monotonically_increasing_id()))
     return pieces.join(packing.pack(pieces, "key"), "key").drop("key")
 
 

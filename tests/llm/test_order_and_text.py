@@ -13,7 +13,8 @@ import xxhash
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
-from loupe.llm import bwt, graph, merkle, mixing, packing, repeats, simhash
+from loupe.llm import bwt, graph, merkle, mixing, packing, quality, repeats, simhash
+from loupe.llm.rows import row_key
 
 DOCS = "doc_id long, text string, source string, _row int, size string"
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -130,6 +131,25 @@ def test_hot_anchors_are_the_same_in_every_batch(spark, monkeypatch):
         assert {r.doc_id: (r.n_bytes, r.n_removed, bytes(r.kept)) for r in got} == {i: x for (i, _), x in zip(rows, expected_removals(rows))}
 
 
+def test_other_columns_come_back_as_they_were(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "BATCH_BYTES", 300)
+    docs = spark.sql("""
+        SELECT id AS doc_id, repeat(concat('some words of text ', id % 3), 9) AS text, timestamp_micros(1700000000123456 + id) AS at, map(CAST(id AS INT), 'v') AS m,
+               array(NULL, id) AS a, CAST(id AS DECIMAL(20,3)) AS c0, if(id % 2 = 0, NULL, struct(id AS kept)) AS kept, X'00FF' AS raw FROM range(20)
+    """)
+    found = repeats.remove_repeats(docs)
+    assert found.columns == [*docs.columns, "kept_", "n_bytes", "n_removed", "removed"] and found.schema["m"].dataType == docs.schema["m"].dataType
+    others = [c for c in docs.columns if c != "text"]
+    assert sorted(map(str, found.select(others).collect())) == sorted(map(str, docs.select(others).collect()))
+
+
+def test_the_largest_id_comes_before_a_null(spark):
+    text, last = prose(7000, 60), (1 << 63) - 1
+    for rows in ([(None, text), (last, text)], [(last, text), (None, text)]):
+        got = {r.doc_id: r.n_removed for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+        assert got == {last: 0, None: len(text.encode())}
+
+
 def test_repeats_of_nothing(none):
     assert repeats.remove_repeats(none).count() == 0
 
@@ -197,12 +217,36 @@ def test_links_survive_many_shards(spark, monkeypatch):
 def test_keep_one_keeps_columns_and_one_of_each(docs, none):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    found = {r.component_id: r for r in simhash.near_duplicates(docs).collect() if r.component_id is not None}
+    # unlike texts that share a doc_id are groups of their own
+    found = {(r.component_id, r.group) for r in simhash.near_duplicates(docs).collect() if r.component_id is not None}
     ids = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
-    assert ids == sorted(found)
+    assert ids == sorted(i for i, _ in found) and ids.count(9) == 2
     assert simhash.keep_one(none).count() == 0 and simhash.near_duplicates(none).count() == 0
 
 
+def test_rows_that_differ_in_which_column_is_null(spark):
+    rows = [(None, "x"), ("x", None), (None, "x"), (None, None)]
+    frame = spark.createDataFrame([(*r, [None, 1], {1: "a"}) for r in rows] + [(None, None, [1, None], {1: "b"})], "a string, b string, c array<int>, d map<int,string>")
+    keys = [tuple(r.key) for r in frame.select(row_key(frame).alias("key")).collect()]
+    assert keys[0] == keys[2] and len(set(keys)) == 4
+    stamps = spark.sql("SELECT array(timestamp_micros(n)) AS t FROM VALUES (1L), (2L) AS v(n)")
+    assert stamps.select(row_key(stamps).alias("key")).distinct().count() == 2
+
+
+def test_mix_tells_rows_apart_by_null(spark):
+    docs = spark.createDataFrame([(1, "a b c d e", None, "s"), (1, "a b c d e", "s", None)], "doc_id long, text string, lang string, source string")
+    plan = mixing.plan_mix(docs)
+    assert plan.count() == 2 and mixing.mix(docs).count() == plan.agg({"copies": "sum"}).first()[0]
+
+
+def test_results_leave_clashing_columns_alone(spark):
+    frame = spark.createDataFrame([("some text", "mine")], "text string, fingerprint string")
+    assert merkle.with_fingerprint(frame).first().fingerprint == "mine"
+    model = quality.Model(0.0, 1.0, None, None)
+    rows = spark.createDataFrame([([1.0], "mine")], "features array<double>, score string")
+    assert quality.scored(rows, model).first().score == "mine"
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(100)] + [(2000, 2000 + i) for i in range(50)]
@@ -237,17 +281,43 @@ def test_edits_are_located():
     assert merkle.likeness(a, len(text), merkle.fingerprint(""), 0) == 0.0
 
 
-def test_texts_on_both_sides_of_short_are_compared():
+def test_texts_of_every_length_are_cut_alike():
     text = prose(77, 100)[:260]
     near = text[:100] + "x" + text[111:]  # 250 characters
-    assert len(near) < merkle.SHORT <= len(text)
     a, b = merkle.fingerprint(text), merkle.fingerprint(near)
     assert 0.6 < merkle.likeness(a, len(text), b, len(near)) < 1 and merkle.likeness(a, len(text), b, len(near)) == merkle.likeness(b, len(near), a, len(text))
     assert 0 < sum(e - s for s, e in merkle.edits(a, b)) < 120 and 0 < sum(e - s for s, e in merkle.edits(b, a)) < 120
     cut = merkle.fingerprint(text[: 260 - 260 // 3])  # as where the next document is empty
     assert merkle.likeness(a, 260, cut, 174) > 0.6
-    word = text[:200].replace(text.split()[3], "edited", 1)  # both short: single words
-    assert merkle.likeness(merkle.fingerprint(text[:200]), 200, merkle.fingerprint(word), len(word)) > 0.9
+    word = text[:200].replace(text.split()[3], "edited", 1)
+    assert merkle.likeness(merkle.fingerprint(text[:200]), 200, merkle.fingerprint(word), len(word)) > 0.8
+
+    def changed(n):
+        total = 0
+        for seed in range(40):
+            words = prose(seed, 200)[:n].split(" ")
+            other = list(words)
+            for k in random.Random(seed).sample(range(len(words)), 4):
+                other[k] = "changed"
+            x, y = " ".join(words), " ".join(other)
+            total += merkle.likeness(merkle.fingerprint(x), len(x), merkle.fingerprint(y), len(y))
+        return total / 40
+
+    assert abs(changed(239) - changed(267)) < 0.1
+
+
+def test_an_inserted_word_moves_no_border_but_its_own():
+    line = " ".join(prose(8, 1_000).replace(".", "").split())[:5_000]
+    stretch = "".join(random.Random(9).choices("abcdefgh中文", k=5_000))
+    for text in (line, stretch):
+        a = merkle.fingerprint(text)
+        for at in (0, 1, 255, 2_500, 4_990):
+            at = text.rfind(" ", 0, at) + 1 if text is line else at
+            edited = text[:at] + "inserted " * (text is line) + "i" * (text is stretch) + text[at:]
+            b = merkle.fingerprint(edited)
+            assert merkle.likeness(a, len(text), b, len(edited)) > 0.9
+            spans = merkle.edits(b, a)
+            assert spans[0][0] <= at < spans[-1][1] and sum(e - s for s, e in spans) < 300
 
 
 def test_edited_texts_take_the_next_document(docs, none, spark):
@@ -309,13 +379,51 @@ def test_two_replace_the_smallest():
     assert packing.plan_bins({60: 1, 30: 1, 22: 1, 18: 1}, 100)[0] == (1, {60: 1, 22: 1, 18: 1})
 
 
-def test_units_encode_like_the_whole():
-    tokenizer, encode = Tokenizer.from_file(PATH), packing.unit_encoder(PATH)
+def test_texts_encode_like_the_tokenizer():
+    tokenizer, encode = Tokenizer.from_file(PATH), packing.text_encoder(PATH)
+    assert packing.byte_encoding(PATH) is not None
     rng = random.Random(1)
-    pieces = ["a", "b", " ", "  ", "\n", "\t", "é", "!", "'s", "9", " ", "　", "\x1c", "<|endoftext|>", "the", " \n", "😀"]
+    pieces = ["a", "ing", " thor", "Ü", "ß", "\u0301", "中文", "\u0378", "½", "١", "'ll", "\u200d", "\U000323af", "\x00", "\u2028", "\r", "b", " ", "  ", "\n", "\t", "é", "!", "'s", "9", " ", "　", "\x1c", "<|endoftext|>", "the", " \n", "😀"]
     for _ in range(3000):
         text = "".join(rng.choices(pieces, k=rng.randint(0, 12)))
         assert np.frombuffer(encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    for text in ("x" * 20_000, " " * 5_000 + "a", prose(3, 2_000) + "中" * 3_000, prose(4, 3_000), "ab" * 400 + " " + "c " * 700):
+        assert np.frombuffer(encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_other_kinds_of_tokenizers_keep_their_own_steps(tmp_path):
+    from tokenizers import models, pre_tokenizers
+
+    other = Tokenizer(models.WordLevel({"a": 0, "b": 1, "?": 2}, unk_token="?"))
+    other.pre_tokenizer = pre_tokenizers.Whitespace()
+    other.save(str(tmp_path / "t.json"))
+    assert packing.byte_encoding(str(tmp_path / "t.json")) is None
+    assert np.frombuffer(packing.text_encoder(str(tmp_path / "t.json"))("a b c"), "<u4").tolist() == [0, 1, 2]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.dictionaries(st.integers(1, 20), st.integers(1, 6), min_size=1, max_size=8), st.integers(20, 40))
+def test_bins_are_those_of_a_fill_step_by_step(counts, capacity):
+    left, bins = Counter(counts), Counter()
+    while left := +left:
+        used, gap = Counter(), capacity
+        while fits := [n for n in left if n <= gap and left[n] > used[n]]:
+            used[max(fits)] += 1
+            gap -= max(fits)
+        if gap:
+            small = min(+used)
+            spare = left - used
+            pairs = [(a + b, a, b) for a in spare for b in spare if small not in (a, b) and small < a + b <= gap + small and (a > b or a == b and spare[a] > 1)]
+            if pairs:
+                _, a, b = max(pairs)
+                used.subtract([small])
+                used.update([a, b])
+        bins[tuple(sorted((+used).items()))] += 1
+        left -= used
+    planned = Counter()
+    for times, used in packing.plan_bins(counts, capacity):
+        planned[tuple(sorted(used.items()))] += times
+    assert planned == bins
 
 
 # mixing

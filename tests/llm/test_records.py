@@ -62,6 +62,13 @@ def test_archives_round_trip(spark, roll):
             assert f"WARC-Record-ID: {record_id}\r\n" in record and f"WARC-Type: {kind}\r\n" in record
 
 
+def test_every_archive_has_a_task(spark):
+    files = spark.createDataFrame([(f"/a/{k * k}.warc.gz",) for k in range(12)], "path string").coalesce(2)
+    tasks = warc.one_task_each(files).groupBy(F.spark_partition_id()).count().collect()
+    assert [r["count"] for r in tasks] == [1] * 12
+    assert warc.one_task_each(files.limit(0)).count() == 0
+
+
 def test_small_payloads_are_all_responses(spark):
     rows = spark.createDataFrame(pages(), PAGES)
     kinds = warc.read_records(warc.normalise(warc.write_warc(rows, min_bytes=12))).groupBy("record_type").count().collect()
@@ -265,6 +272,12 @@ def test_licences_and_inheritance(spark):
     assert Counter(r.SCORE for r in clash.collect()) == Counter(r[2] for r in rows)
 
 
+def test_a_licence_stays_with_its_row(spark):
+    mit = "Released under the MIT License."
+    files = spark.createDataFrame([(mit, None), (None, mit)], "path string, text string")
+    assert {(r.path, r.license) for r in licenses.scan(files).collect()} == {(mit, None), (None, "MIT")}
+
+
 def test_wrapped_notices_and_whole_licence_files(spark):
     gpl = ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by",
            "the Free Software Foundation, either version 3 of the License, or", "(at your option) any later version."]
@@ -345,7 +358,7 @@ def test_stages_on_the_small_tables(spark):
     total = sum(map(words, third))
     assert 0.95 * total <= sum(map(words, mixed)) <= total
 
-    encode = packing.unit_encoder(PATH)
+    encode = packing.text_encoder(PATH)
     pieces = {}
     for r in packed:
         pieces.setdefault(r.doc_id, []).append((r.piece, bytes(r.ids)))
