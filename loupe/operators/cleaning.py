@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Mapping, Sequence
-from functools import reduce
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 
 from loupe.frames import col, is_numeric, known_value, number, require
 from loupe.operators import prepare
 from loupe.ordered import Sort, fill_in_order
 from loupe.quantiles import column_quantiles
+from loupe.session import durable
 
 log = logging.getLogger(__name__)
 
@@ -34,6 +35,20 @@ def most_frequent(df: DataFrame, column: str) -> Any:
     return top["v"] if top else None
 
 
+@dataclass(frozen=True)
+class Change:
+    """What a step does to a table of the same columns, its figures already read.
+
+    A step that ``moves`` rows shuffles them or writes them itself.
+    """
+
+    apply: Callable[[DataFrame], DataFrame]
+    moves: bool = False
+
+
+UNCHANGED = Change(lambda table: table)
+
+
 def fill_missing(
     df: DataFrame, column: str, method: str = "median", value: Any = None,
     order_by: Sort = (), partition_by: Sequence[str] = (),
@@ -43,25 +58,34 @@ def fill_missing(
     A method that does not apply falls back to the median for numbers and the
     mode for anything else.  An unknown column leaves the table as it is.
     """
+    return _fill(df, column, method, value, order_by, partition_by).apply(df)
+
+
+def _fill(df: DataFrame, column: str, method: str, value: Any, order_by: Sort, partition_by: Sequence[str]) -> Change:
     if column not in df.columns:
         log.info("skipped: no column %r", column)
-        return df
+        return UNCHANGED
     kind = df.schema[column].dataType
     numeric = is_numeric(kind)
     if method in ("forward", "backward"):
-        return fill_in_order(df, column, order_by, partition_by, forward=method == "forward")
+        return Change(lambda table: fill_in_order(table, column, order_by, partition_by, forward=method == "forward"), moves=True)
     if method == "mean" and numeric:
-        return _fill_number(df, column, df.agg(F.avg(number(column))).first()[0])
+        return _fill_number(column, df.agg(F.avg(number(column))).first()[0])
     if method == "custom" and value is not None:
-        return df.withColumn(column, F.coalesce(known_value(df, column), F.lit(value).cast(kind)))
+        return _fill_value(column, value, kind)
     if method == "mode" or not numeric:
-        top = most_frequent(df, column)
-        return df if top is None else df.withColumn(column, F.coalesce(known_value(df, column), F.lit(top).cast(kind)))
-    return _fill_number(df, column, column_quantiles(df, [column], [0.5])[column][0])
+        return _fill_value(column, most_frequent(df, column), kind)
+    return _fill_number(column, column_quantiles(df, [column], [0.5])[column][0])
+
+
+def _fill_value(column: str, fill: Any, kind: T.DataType) -> Change:
+    if fill is None:
+        return UNCHANGED
+    return Change(lambda table: table.withColumn(column, F.coalesce(known_value(table, column), F.lit(fill).cast(kind))))
 
 
-def _fill_number(df: DataFrame, column: str, fill: float | None) -> DataFrame:
-    return df if fill is None else df.withColumn(column, F.coalesce(number(column), F.lit(float(fill))))
+def _fill_number(column: str, fill: float | None) -> Change:
+    return UNCHANGED if fill is None else Change(lambda table: table.withColumn(column, F.coalesce(number(column), F.lit(float(fill)))))
 
 
 def handle_outliers(df: DataFrame, column: str, method: str = "keep") -> DataFrame:
@@ -69,16 +93,20 @@ def handle_outliers(df: DataFrame, column: str, method: str = "keep") -> DataFra
 
     Removing also drops rows without a value.  Fewer than 5 values: no change.
     """
+    return _limit(df, column, method).apply(df)
+
+
+def _limit(df: DataFrame, column: str, method: str) -> Change:
     if column not in df.columns or method not in ("cap", "remove"):
-        return df
+        return UNCHANGED
     known = df.select(number(column).alias("v")).where(F.col("v").isNotNull())
     if len(known.take(5)) < 5:
-        return df
+        return UNCHANGED
     _, _, lower, upper = iqr_fences(df, column)
     if method == "remove":
-        return df.where(col(column).between(F.lit(lower), F.lit(upper)))
+        return Change(lambda table: table.where(col(column).between(F.lit(lower), F.lit(upper))))
     clipped = F.greatest(F.least(number(column), F.lit(upper)), F.lit(lower))
-    return df.withColumn(column, F.when(number(column).isNotNull(), clipped))
+    return Change(lambda table: table.withColumn(column, F.when(number(column).isNotNull(), clipped)))
 
 
 def drop_duplicates(
@@ -133,70 +161,87 @@ def drop_missing_rows(df: DataFrame, *columns: str) -> DataFrame:
     return df.na.drop(subset=list(columns))
 
 
-def _apply(df: DataFrame, step: Mapping[str, Any]) -> DataFrame:
+def _change(df: DataFrame, step: Mapping[str, Any]) -> Change:
+    """The step with the figures it needs of the table."""
     kind = step.get("type", "")
     if kind == "drop_columns":
-        return prepare.drop_columns(df, step.get("columns", []))
+        return Change(lambda table: prepare.drop_columns(table, step.get("columns", [])))
     if kind == "fill_missing":
-        return fill_missing(
+        return _fill(
             df, step.get("column", ""), step.get("method", "median"), step.get("fill_value"),
             step.get("order_by", ()), step.get("partition_by", ()),
         )
     if kind == "handle_outliers":
-        return handle_outliers(df, step.get("column", ""), step.get("method", "keep"))
+        return _limit(df, step.get("column", ""), step.get("method", "keep"))
     if kind == "drop_duplicates":
-        return drop_duplicates(df, step.get("keep", "first"), step.get("subset"), step.get("order_by", ()))
+        return Change(lambda table: drop_duplicates(table, step.get("keep", "first"), step.get("subset"), step.get("order_by", ())), moves=True)
     if kind == "drop_constant_columns":
-        return drop_constant_columns(df, step.get("columns"))
+        constant = constant_columns(df, step.get("columns"))
+        return Change(lambda table: table.drop(*constant))
     if kind == "drop_missing_rows":
-        return drop_missing_rows(df, step["column"])
+        return Change(lambda table: drop_missing_rows(table, step["column"]))
     log.warning("skipped: unknown cleaning step %r", kind)
-    return df
+    return UNCHANGED
+
+
+_AUDIT = (
+    "step int, type string, column string, method string, rows_before long, rows_after long, "
+    "rows_removed long, cols_before int, cols_after int, cells_filled long"
+)
 
 
 def apply_cleaning(df: DataFrame, steps: Sequence[Mapping[str, Any]]) -> tuple[DataFrame, DataFrame]:
     """Apply the steps in turn; returns the cleaned table and its audit.
 
     The audit has one row per step: rows and columns before and after, and the
-    number of cells filled in the step's column.
+    number of cells filled in the step's column.  The cleaned table is written
+    once to the shared folder, and that run counts the rows and known cells of
+    every state it passes through.  Such counts are exact only where a task
+    hands in its result once, however often it is run again, which is in a
+    job's last stage; so a table is also written before a step that moves rows.
     """
-    states = [df]
-    for step in steps:
-        states.append(_apply(states[-1], step))
     if not steps:
         return df, df.sparkSession.createDataFrame([], _AUDIT)
-    audits = [
-        _audit_row(number_, step, before, after)
-        for number_, (step, before, after) in enumerate(zip(steps, states, states[1:]), start=1)
+    plain, counted, counts = df, *_counted(df, steps, 0)
+    states, seen = [df], [counts]
+    for place, step in enumerate(steps, start=1):
+        change = _change(plain, step)
+        if change.moves:
+            plain = change.apply(durable(counted))
+            counted = plain
+        else:
+            plain, counted = change.apply(plain), change.apply(counted)
+        counted, counts = _counted(counted, steps, place)
+        states.append(plain)
+        seen.append(counts)
+    cleaned = durable(counted)
+    rows = [
+        _audit_row(place, step, before, after, was.get, now.get)
+        for place, (step, before, after, was, now) in enumerate(zip(steps, states, states[1:], seen, seen[1:]), start=1)
     ]
-    return states[-1], reduce(DataFrame.unionByName, audits)
-
-
-_AUDIT = (
-    "step int, type string, column string, method string, rows_before long, rows_after long, "
-    "rows_removed long, cols_before int, cols_after int, cells_filled long"
-)
-
-
-def _audit_row(place: int, step: Mapping[str, Any], before: DataFrame, after: DataFrame) -> DataFrame:
-    kind, column = str(step.get("type", "")), str(step.get("column", ""))
-    counts = []
-    for side, table in (("before", before), ("after", after)):
-        known = F.count(known_value(table, column)) if column in table.columns else F.lit(0).cast("long")
-        counts.append(table.agg(F.count("*").alias(f"rows_{side}"), known.alias(f"known_{side}")))
-    filled = F.col("known_after") - F.col("known_before") if kind == "fill_missing" else F.lit(0).cast("long")
-    # two one-row aggregates
-    return counts[0].crossJoin(F.broadcast(counts[1])).select(
-        F.lit(place).alias("step"),
-        F.lit(kind).alias("type"),
-        F.lit(column).alias("column"),
-        F.lit(str(step.get("method", step.get("keep", "")))).alias("method"),
-        "rows_before",
-        "rows_after",
-        (F.col("rows_before") - F.col("rows_after")).alias("rows_removed"),
-        F.lit(len(before.columns)).alias("cols_before"),
-        F.lit(len(after.columns)).alias("cols_after"),
-        filled.alias("cells_filled"),
+    return cleaned, df.sparkSession.createDataFrame(rows, _AUDIT)
+
+
+def _counted(table: DataFrame, steps: Sequence[Mapping[str, Any]], place: int) -> tuple[DataFrame, Observation]:
+    """The table after ``place`` steps, with its rows and the known cells that the steps on either side ask for."""
+    observation = Observation()
+    known = lambda step: F.count(known_value(table, c)) if (c := step.get("column", "")) in table.columns else F.lit(0).cast("long")
+    metrics = [F.count(F.lit(1)).alias("rows")]
+    if place:
+        metrics.append(known(steps[place - 1]).alias("after"))
+    if place < len(steps):
+        metrics.append(known(steps[place]).alias("before"))
+    return table.observe(observation, *metrics), observation
+
+
+def _audit_row(place: int, step: Mapping[str, Any], before: DataFrame, after: DataFrame, was: Mapping, now: Mapping) -> tuple:
+    kind = str(step.get("type", ""))
+    # a table without partitions leaves no counts
+    rows_before, rows_after = was.get("rows", 0), now.get("rows", 0)
+    return (
+        place, kind, str(step.get("column", "")), str(step.get("method", step.get("keep", ""))),
+        rows_before, rows_after, rows_before - rows_after, len(before.columns), len(after.columns),
+        now.get("after", 0) - was.get("before", 0) if kind == "fill_missing" else 0,
     )
 
 

@@ -192,3 +192,27 @@ UNION ALL SELECT 4, 'handle_outliers', 'l_extendedprice', 'remove', b, c, b - c,
 UNION ALL SELECT 5, 'drop_constant_columns', '', '', c, c, 0, 10, 10, 0 FROM n""")
 def apply_cleaning_audit(spark, d):
     return cleaning.apply_cleaning(line_gaps(spark, d), STEPS)[1]
+
+
+MOVING = [
+    {"type": "fill_missing", "column": "value", "method": "forward", "order_by": ["ts", "event_id"]},
+    {"type": "drop_duplicates", "subset": ["user_id", "event_type"], "order_by": ["event_id"]},
+    {"type": "fill_missing", "column": "value", "method": "mean"},
+    {"type": "drop_missing_rows", "column": "value"},
+]
+
+
+@query("apply_cleaning_audit_moves", """
+WITH e AS (SELECT event_id, ts, user_id, event_type, CASE WHEN event_type <> 'error' THEN value END AS value FROM events),
+a AS (SELECT * REPLACE (last_value(value IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS value) FROM e),
+b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1),
+n AS (SELECT (SELECT count(*) FROM e) AS e, (SELECT count(*) FROM b) AS b, (SELECT count(value) FROM e) AS known, (SELECT count(value) FROM a) AS filled,
+  (SELECT count(*) FROM b WHERE value IS NULL) AS holes)
+SELECT 1 AS step, 'fill_missing' AS type, 'value' AS "column", 'forward' AS method, e AS rows_before, e AS rows_after, 0 AS rows_removed,
+       5 AS cols_before, 5 AS cols_after, filled - known AS cells_filled FROM n
+UNION ALL SELECT 2, 'drop_duplicates', '', '', e, b, e - b, 5, 5, 0 FROM n
+UNION ALL SELECT 3, 'fill_missing', 'value', 'mean', b, b, 0, 5, 5, holes FROM n
+UNION ALL SELECT 4, 'drop_missing_rows', 'value', '', b, b, 0, 5, 5, 0 FROM n""")
+def apply_cleaning_audit_moves(spark, d):
+    events = table(spark, d, "events").select("event_id", "ts", "user_id", "event_type", F.when(F.col("event_type") != "error", F.col("value")).alias("value"))
+    return cleaning.apply_cleaning(events, MOVING)[1]

@@ -127,6 +127,56 @@ def test_unknown_cleaning_step_is_skipped(spark):
     assert [r.cells_filled for r in audit.orderBy("step").collect()] == [0, 1]
 
 
+def scanned(spark, rows, schema, partitions=3):
+    """(table, number of times it was read so far)"""
+    reads = spark.sparkContext.accumulator(0)
+
+    def read(batches):
+        for batch in batches:
+            yield batch
+        reads.add(1)
+
+    source = spark.createDataFrame(rows, schema).repartition(partitions, "i")
+    return source.mapInPandas(read, schema), lambda: reads.value / partitions
+
+
+CLEANING = [
+    {"type": "drop_missing_rows", "column": "k"}, {"type": "fill_missing", "column": "v", "method": "custom", "fill_value": 7.0},
+    {"type": "drop_columns", "columns": ["w"]}, {"type": "fill_missing", "column": "nowhere"}, {"type": "handle_outliers", "column": "v"},
+]
+MOVING = [
+    {"type": "drop_duplicates", "subset": ["k"], "order_by": ["i"]}, {"type": "drop_missing_rows", "column": "k"},
+    {"type": "fill_missing", "column": "v", "method": "forward", "order_by": ["i"]}, {"type": "drop_missing_rows", "column": "v"},
+]
+
+
+def test_the_audit_comes_from_one_run(spark):
+    rows = [(i, f"k{i % 30}" if i % 7 else None, float(i) if i % 3 else None, "w") for i in range(200)]
+    schema = "i int, k string, v double, w string"
+    for steps, most in ((CLEANING, 1), (CLEANING + MOVING, 3), (MOVING, 3)):
+        df, reads = scanned(spark, rows, schema)
+        cleaned, audit = cleaning.apply_cleaning(df, steps)
+        got = [tuple(r) for r in audit.orderBy("step").select("step", "rows_before", "rows_after", "rows_removed", "cells_filled").collect()]
+        assert cleaned.count() == got[-1][2] and reads() <= most
+        # step by step, every state counted by itself
+        state, want = df, []
+        for k, step in enumerate(steps, 1):
+            after = cleaning.apply_cleaning(state, [step])[0]
+            name = step.get("column")
+            filled = after.where(f"{name} IS NOT NULL").count() - state.where(f"{name} IS NOT NULL").count() if step["type"] == "fill_missing" and name in state.columns else 0
+            want.append((k, state.count(), after.count(), state.count() - after.count(), filled))
+            state = after
+        assert got == want
+        assert sorted(map(str, cleaned.collect())) == sorted(map(str, state.collect()))
+
+
+def test_the_audit_of_nothing(spark):
+    for empty in (table(spark, {"i": [], "k": [], "v": [], "w": []}, "i int, k string, v double, w string"), spark.range(0).selectExpr("id AS i", "'x' AS k", "1.0 AS v", "'w' AS w")):
+        cleaned, audit = cleaning.apply_cleaning(empty, CLEANING + MOVING)
+        assert cleaned.count() == 0 and {(r.rows_before, r.rows_after, r.cells_filled) for r in audit.collect()} == {(0, 0, 0)}
+    assert cleaning.apply_cleaning(empty, [])[1].count() == 0
+
+
 # ------------------------------------------------------------------ profiling
 
 
