@@ -1,10 +1,12 @@
-"""Exact quantiles with linear interpolation, at any size.
+"""Exact quantiles with linear interpolation, at any size, by one algorithm.
 
-``percentile`` keeps every distinct value of a group in one task, so it is
-used only where those are few, however many rows there are.  Beyond that, one
-column's order statistics are found by narrowing: each pass counts rows in
-equal slices of the bracket that holds the wanted rank and keeps that slice.
-Groups with too many values are ranked with the distributed running sum.
+A first pass over all columns (or groups) leaves a mergeable quantile sketch of
+each, which brackets every wanted rank by values a few ranks away.  A second
+pass counts, exactly, the rows below the brackets and in equal slices of each
+bracket.  A wanted rank whose slice holds one or two distinct places is found;
+what is left, as in huge tables, is narrowed by further passes that read only
+the rows of its slice.  A sketch only proposes: a rank that the counts don't
+put into its bracket is looked for between the minimum and the maximum.
 """
 
 from __future__ import annotations
@@ -12,191 +14,253 @@ from __future__ import annotations
 import math
 import sys
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Row, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from loupe.frames import col, number
-from loupe.ordered import with_running_sum
+from loupe.session import durable
 
-#: (estimated) distinct values per group up to which ``percentile`` holds them in one task
-PERCENTILE_VALUES = 100_000
+#: the sketch's ranks are right to 1/_ACCURACY of the rows
+_ACCURACY = 10_000
+#: shares of the rows on either side of a wanted rank that brackets may span; the least that is safe is taken
+_REACHES = (0.0003, 0.003, 0.03)
 _SLICES = 4096
-#: groups up to which narrowing serves all of them in the same passes
-_FEW_GROUPS = 64
+#: the number of the slice of rows below a bracket, and between it and the one before
+_BELOW = -2
 
+_MOST = sys.float_info.max
 
-def column_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], percentile_values: int | None = None
-) -> dict[str, list[float | None]]:
+
+def _shares(probs: Sequence[float]) -> list[float]:
+    """The shares of the rows whose sketched values may bound a bracket."""
+    return sorted({min(1.0, max(0.0, p + side * reach)) for p in probs for reach in _REACHES for side in (-1, 1)})
+
+
+def _reach(n: int) -> float | None:
+    """Ranks lie up to one beside n * p, and sketched ones n / _ACCURACY beside that."""
+    return next((r for r in _REACHES if n * (r - 1 / _ACCURACY) >= 4), None)
+
+
+def _slice(v: Column, low: Column, high: Column) -> Column:
+    """The number of the equal slice of [low, high] that holds v; an infinite value is a slice of its own."""
+    # halves, as the difference of two large numbers may overflow
+    least, most = F.greatest(low, F.lit(-_MOST)), F.least(high, F.lit(_MOST))
+    part = F.floor(F.try_divide(v / 2 - least / 2, most / 2 - least / 2) * _SLICES)
+    inner = F.when(most > least, F.least(part, F.lit(_SLICES - 1).cast("long"))).otherwise(F.lit(0).cast("long"))
+    return F.when(v == float("inf"), F.lit(_SLICES)).when(v == float("-inf"), F.lit(-1)).otherwise(inner).cast("int")
+
+
+def _between(low: float, high: float, share: float) -> float:
+    """Linear interpolation; equal ends, infinite ones too, are themselves."""
+    return low if share == 0 or low == high else low + (high - low) * share
+
+
+# whole columns
+
+
+def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
     """Quantiles of whole columns, as plain numbers (len(columns) * len(probs) of them).
 
     Known bounds become literals, so that later filters on them reach the scan.
     """
-    limit = PERCENTILE_VALUES if percentile_values is None else percentile_values
     columns, probs = list(columns), [float(p) for p in probs]
     if not columns:
         return {}
     values = df.select([number(c).alias(f"c{i}") for i, c in enumerate(columns)])
-    facts = _facts(values)
-    few = [f.i for f in facts if f.distinct <= limit]
-    result: dict[str, list[float | None]] = {}
-    if few:
-        wanted = F.array(*[F.lit(p) for p in probs])
-        row = values.agg(*[F.percentile(f"c{i}", wanted) for i in few]).first()
-        result = {columns[i]: list(q) if q is not None else [None] * len(probs) for i, q in zip(few, row)}
-    many = {f.i: (f.n, f.low, f.high) for f in facts if f.i not in few}
-    result |= {columns[i]: q for i, q in _narrowed(values, many, probs).items()}
-    return {c: result[c] for c in columns}
-
-
-def _facts(values: DataFrame) -> list[Row]:
-    """(i, n, distinct, low, high) of each column c0, c1, ...; the distinct values are estimated to 10 %.
-
-    A few columns per branch: Spark compiles an aggregate of up to 100 buffers.
-    """
-    branches = []
-    for start in range(0, len(values.columns), 5):
-        part = list(enumerate(values.columns))[start : start + 5]
-        kinds = {"n": F.count, "distinct": lambda c: F.approx_count_distinct(c, 0.1), "low": F.min, "high": F.max}
-        wide = values.agg(*[f(c).alias(f"{k}{i}") for i, c in part for k, f in kinds.items()])
-        rows = [F.struct(F.lit(i).alias("i"), *[F.col(f"{k}{i}").alias(k) for k in kinds]) for i, _ in part]
-        branches.append(wide.select(F.inline(F.array(*rows))))
-    return sorted(reduce(DataFrame.unionAll, branches).collect(), key=lambda row: row.i)
-
-
-def _narrowed(
-    values: DataFrame, series: dict[int, tuple[int, float, float]], probs: Sequence[float], grouped: bool = False
-) -> dict[int, list[float]]:
-    """Quantiles per series, given each one's row count, minimum and maximum.
-
-    Series i is column ``c{i}``, or with ``grouped`` the values ``c0`` of the
-    rows with ``_g`` = i.
+    facts = _facts(values, probs)
+    found = _narrowed(values, [f for f in facts if f.n], probs)
+    return {c: found.get(i, [None] * len(probs)) for i, c in enumerate(columns)}
+
+
+def _branches(values: DataFrame, parts: Sequence[list], make) -> list[Row]:
+    """Rows of the branches, each over a few columns: Spark compiles an aggregate of up to 100 buffers.
+
+    Over a columnar file each branch reads its own columns, so that all of
+    them read the file once.
     """
-    places = {i: [(n - 1) * p for p in probs] for i, (n, _, _) in series.items()}
-    # (series, rank) -> lowest value, highest value, rows below
-    brackets = {
-        (i, r): (*series[i][1:], 0) for i, row in places.items() for h in row for r in (math.floor(h), math.ceil(h))
-    }
+    return reduce(DataFrame.unionAll, [make(values, part) for part in parts]).collect()
+
+
+def _facts(values: DataFrame, probs: Sequence[float]) -> list[Row]:
+    """(i, n, low, high, sketch) of each column c0, c1, ..."""
+    shares = F.array(*[F.lit(s) for s in _shares(probs)])
+    kinds = {"n": F.count, "low": F.min, "high": F.max, "sketch": lambda c: F.percentile_approx(c, shares, _ACCURACY)}
+
+    def make(values: DataFrame, part: list[int]) -> DataFrame:
+        wide = values.agg(*[f(f"c{i}").alias(f"{k}{i}") for i in part for k, f in kinds.items()])
+        return wide.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), *[F.col(f"{k}{i}").alias(k) for k in kinds]) for i in part])))
+
+    everything = list(range(len(values.columns)))
+    return sorted(_branches(values, [everything[k : k + 4] for k in range(0, len(everything), 4)], make), key=lambda row: row.i)
+
+
+def _narrowed(values: DataFrame, facts: Sequence[Row], probs: Sequence[float]) -> dict[int, list[float]]:
+    """Quantiles per column, given its number of rows, minimum, maximum and sketch."""
+    shares = _shares(probs)
+    places = {f.i: [(f.n - 1) * p for p in probs] for f in facts}
+    ends = {f.i: (f.low, f.high, 0) for f in facts}
+    # (column, rank) -> lowest value, highest value, rows below or None if they aren't counted yet
+    brackets: dict[tuple[int, int], tuple[float, float, int | None]] = {}
+    for f in facts:
+        reach = _reach(f.n)
+        for p, h in zip(probs, places[f.i]):
+            low = f.low if reach is None or p <= reach else f.sketch[shares.index(max(0.0, p - reach))]
+            high = f.high if reach is None or p + reach >= 1 else f.sketch[shares.index(min(1.0, p + reach))]
+            for rank in (math.floor(h), math.ceil(h)):
+                brackets[f.i, rank] = (low, high, 0 if low == f.low else None)
     found: dict[tuple[int, int], float] = {}
     while True:
-        found.update({k: b[0] for k, b in brackets.items() if b[0] == b[1]})
+        found |= {k: b[0] for k, b in brackets.items() if b[0] == b[1] and b[2] is not None}
         brackets = {k: b for k, b in brackets.items() if k not in found}
         if not brackets:
             break
-        counted: dict[tuple, list] = {}
-        for row in _count_slices(values, sorted({(i, b[0], b[1]) for (i, _), b in brackets.items()}), grouped):
-            counted.setdefault(row[0], []).append(row[1])
-        narrower = {k: _slice_of(k[1], b[2], counted[k[0], b[0], b[1]]) for k, b in brackets.items()}
-        if narrower == brackets:
-            raise RuntimeError(f"no order statistic can be told apart within {brackets}")
-        brackets = narrower
+        counted = _count_slices(values, brackets)
+        for (i, rank), bracket in list(brackets.items()):
+            hit = next((s for s in counted[i] if s.below <= rank < s.below + s.n), None)
+            if hit is None or hit.slice == _BELOW:
+                if bracket == ends[i]:
+                    raise RuntimeError("the table changed between two passes over it")
+                brackets[i, rank] = ends[i]
+            elif hit.n == 2:
+                found[i, rank] = hit.low if rank == hit.below else hit.high
+            elif (hit.low, hit.high, hit.below) == bracket:
+                raise RuntimeError(f"no order statistic can be told apart within {bracket}")
+            else:
+                brackets[i, rank] = (hit.low, hit.high, hit.below)
+        brackets = {k: b for k, b in brackets.items() if k not in found}
     return {
         i: [_between(found[i, math.floor(h)], found[i, math.ceil(h)], h - math.floor(h)) for h in row]
         for i, row in places.items()
     }
 
 
-def _between(low: float, high: float, share: float) -> float:
-    """Linear interpolation; equal ends, infinite ones too, are themselves."""
-    return low if share == 0 or low == high else low + (high - low) * share
+@dataclass
+class _Counted:
+    """A slice of a bracket: its rows, its lowest and highest value, and the rows of its column below it."""
 
-
-def _slice_of(rank: int, below: int, slices) -> tuple[float, float, int]:
-    """The slice that holds the rank: its lowest and highest value, and the rows below it."""
-    for row in slices:
-        if rank < below + row.n:
-            return row.low, row.high, below
-        below += row.n
-    raise RuntimeError("the table changed between two passes over it")
+    slice: int
+    n: int
+    low: float
+    high: float
+    below: int
 
 
-def _count_slices(values: DataFrame, brackets: Sequence[tuple[int, float, float]], grouped: bool):
-    """Rows, minimum and maximum per slice of each bracket, in order.
+def _count_slices(values: DataFrame, brackets: dict) -> dict[int, list[_Counted]]:
+    """Per column the slices of its brackets in order, overlapping brackets as one.
 
-    A series' brackets do not overlap, so a value is in one of them at most.
+    In a column with a bracket of which it isn't known how many rows lie below,
+    the rows before and between the brackets are counted, too.
     """
-    inside, entries = F.lit(False), []
-    for column in sorted({0 if grouped else i for i, _, _ in brackets}):
-        v, number_, slice_ = F.col(f"c{column}"), F.lit(None).cast("int"), F.lit(None).cast("long")
-        for place, (i, low, high) in enumerate(brackets):
-            if not grouped and i != column:
-                continue
-            within = v.between(low, high) & (F.col("_g") == i) if grouped else v.between(low, high)
-            # halves, as the difference of two large numbers may overflow
-            least, most = max(low, -sys.float_info.max), min(high, sys.float_info.max)
-            part = F.floor((v / 2 - least / 2) / (most / 2 - least / 2) * _SLICES) if most > least else F.lit(0)
-            # an infinite value is a slice of its own
-            part = F.when(v == float("inf"), _SLICES).when(v == float("-inf"), -1).otherwise(F.least(part, F.lit(_SLICES - 1)))
-            number_ = F.when(within, place).otherwise(number_)
-            slice_ = F.when(within, part).otherwise(slice_)
-            inside |= within
-        entries.append(F.struct(number_.alias("b"), slice_.alias("slice"), v.alias("v")))
-    rows = (
-        values.where(inside)
-        .select(F.inline(F.array(*entries)))
-        .where(F.col("b").isNotNull())
-        .groupBy("b", "slice")
-        .agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-        .orderBy("b", "slice")
-        .collect()  # at most _SLICES rows per bracket
-    )
-    return [(brackets[r.b], r) for r in rows]
+    wanted: dict[int, list[list]] = {}
+    for (i, _), (low, high, below) in sorted(brackets.items(), key=lambda x: (x[0][0], x[1][0], x[1][1])):
+        own = wanted.setdefault(i, [])
+        if own and low <= own[-1][1]:
+            own[-1][1] = max(high, own[-1][1])
+        else:
+            own.append([low, high, below])
+    uncounted = {i for (i, _), b in brackets.items() if b[2] is None}
+
+    def make(values: DataFrame, part: list[int]) -> DataFrame:
+        entries, inside = [], F.lit(False)
+        for i in part:
+            v, place, slice_ = F.col(f"c{i}"), F.lit(None).cast("int"), F.lit(None).cast("int")
+            for k, (low, high, _) in reversed(list(enumerate(wanted[i]))):
+                within, before = v.between(low, high), v < low
+                place = F.when(within, F.lit(k)).when(before, F.lit(k if i in uncounted else None).cast("int")).otherwise(place)
+                slice_ = F.when(within, _slice(v, F.lit(float(low)), F.lit(float(high)))).when(before, F.lit(_BELOW)).otherwise(slice_)
+                inside |= within if i not in uncounted else v <= high
+            entries.append(F.struct(F.lit(i).alias("i"), place.alias("b"), slice_.alias("slice"), v.alias("v")))
+        return (
+            values.where(inside).select(F.inline(F.array(*entries))).where(F.col("b").isNotNull())
+            .groupBy("i", "b", "slice").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        )
+
+    rows = _branches(values, [list(wanted)[k : k + 8] for k in range(0, len(wanted), 8)], make)  # at most _SLICES + 3 a bracket
+    out: dict[int, list[_Counted]] = {i: [] for i in wanted}
+    below, last = 0, None
+    for row in sorted(rows, key=lambda r: (r.i, r.b, r.slice)):
+        if last is None or last[0] != row.i:
+            below = 0
+        if last != (row.i, row.b) and row.i not in uncounted:
+            below = wanted[row.i][row.b][2]
+        last = row.i, row.b
+        out[row.i].append(_Counted(row.slice, row.n, row.low, row.high, below))
+        below += row.n
+    return out
+
+
+# groups
 
 
 def group_quantiles(
     df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str],
-    percentile_values: int | None = None,
 ) -> DataFrame:
-    """One row per group with the quantiles of ``value`` (NULLs ignored)."""
-    limit = PERCENTILE_VALUES if percentile_values is None else percentile_values
+    """One row per group with the quantiles of ``value`` (NULLs ignored).
+
+    The same passes, with a row a group instead of numbers at the driver; the
+    wanted ranks, twice ``probs`` a group, are joined to the rows.
+    """
+    probs, shares = [float(p) for p in probs], _shares([float(p) for p in probs])
     keys = [col(b) for b in by]
-    values = df.select(*keys, number(value).alias("_v")).where(F.col("_v").isNotNull())
-    facts = values.groupBy(*keys).agg(
-        F.approx_count_distinct("_v", 0.1).alias("_d"), F.count("_v").alias("_n"), F.min("_v").alias("_a"), F.max("_v").alias("_b")
-    )
-    rows = facts.take(_FEW_GROUPS + 1)
-    few = len(rows) <= _FEW_GROUPS
-    largest = max((r["_d"] for r in rows), default=0) if few else facts.agg(F.max("_d")).first()[0]
-    if largest <= limit:
-        return values.groupBy(*keys).agg(
-            *[F.percentile("_v", F.lit(float(p))).alias(n) for p, n in zip(probs, names)]
+    values = df.select(F.struct(F.lit(1).alias("one"), *keys).alias("_key"), number(value).alias("_v")).where(F.col("_v").isNotNull())
+    facts = durable(values.groupBy("_key").agg(
+        F.count("*").alias("n"), F.min("_v").alias("least"), F.max("_v").alias("most"),
+        F.percentile_approx("_v", F.array(*[F.lit(s) for s in shares]), _ACCURACY).alias("sketch"),
+    ))
+    reach = lambda value: F.coalesce(*[F.when(F.col("n") * (r - 1 / _ACCURACY) >= 4, value(r)) for r in _REACHES], value(None))
+    at = lambda share: F.get("sketch", F.lit(shares.index(share)))
+    pieces = []
+    for j, p in enumerate(probs):
+        low = reach(lambda r, p=p: F.col("least") if r is None or p <= r else at(max(0.0, p - r)))
+        high = reach(lambda r, p=p: F.col("most") if r is None or p + r >= 1 else at(min(1.0, p + r)))
+        h = (F.col("n") - 1) * F.lit(p)
+        pieces += [F.struct(F.lit(2 * j + k).alias("id"), rank.cast("long").alias("rank"), low.alias("low"), high.alias("high")) for k, rank in enumerate((F.floor(h), F.ceil(h)))]
+    wanted = facts.select("_key", "n", "least", "most", F.inline(F.array(*pieces)))
+    wanted = wanted.withColumn("below", F.when(F.col("low") == F.col("least"), F.lit(0).cast("long")))
+    found = None
+    while True:
+        wanted = durable(wanted)
+        done = wanted.where("low = high AND below IS NOT NULL").select("_key", "id", F.col("low").alias("v"))
+        left = wanted.where("NOT (low = high AND below IS NOT NULL)")
+        found = done if found is None else found.unionByName(done)
+        if left.isEmpty():
+            break
+        # a bracket's ranks share its counts
+        ranks = F.collect_list(F.struct("id", "rank", "least", "most")).alias("ranks")
+        open_ = durable(left.groupBy("_key", "low", "high", "below").agg(ranks).withColumn("bracket", F.monotonically_increasing_id()))
+        v, low, high = F.col("_v"), F.col("low"), F.col("high")
+        in_reach = (v <= high) & ((v >= low) | F.col("below").isNull())
+        met = values.join(open_.select(F.col("_key").alias("_k"), "bracket", "low", "high", "below"), F.col("_key").eqNullSafe(F.col("_k")) & in_reach)
+        slices = met.withColumn("slice", F.when(v < low, F.lit(_BELOW)).otherwise(_slice(v, low, high))).groupBy("bracket", "slice").agg(
+            F.count("*").alias("n"), F.min("_v").alias("first"), F.max("_v").alias("last")
         )
-    if few:
-        schema = values.select(*keys).schema
-        spark = df.sparkSession
-        named = [tuple(r[b] for b in by) for r in rows]
-        index = spark.createDataFrame([(i, k) for i, k in enumerate(named)], T.StructType([T.StructField("_g", T.IntegerType()), T.StructField("_k", schema)]))
-        numbered = values.select(F.struct(*keys).alias("_key"), F.col("_v").alias("c0")).join(
-            F.broadcast(index), F.col("_key").eqNullSafe(F.col("_k"))  # _FEW_GROUPS rows
+        # at most _SLICES + 3 rows a bracket
+        listed = slices.groupBy("bracket").agg(F.array_sort(F.collect_list(F.struct("slice", "n", "first", "last"))).alias("cells"))
+        counted = listed.join(open_, "bracket").select("_key", "below", F.explode("ranks").alias("r"), "cells")
+        counted = counted.withColumn("start", F.coalesce("below", F.lit(0).cast("long")))
+        step = F.aggregate(
+            "cells", F.struct(F.col("start").alias("below"), F.lit(None).cast("struct<slice:int,n:bigint,first:double,last:double>").alias("hit")),
+            lambda state, cell: F.when(state["hit"].isNotNull(), state).otherwise(F.struct(
+                F.when(F.col("r.rank") < state["below"] + cell["n"], state["below"]).otherwise(state["below"] + cell["n"]).alias("below"),
+                F.when(F.col("r.rank") < state["below"] + cell["n"], cell).alias("hit"),
+            )),
         )
-        found = _narrowed(numbered, {i: (r["_n"], r["_a"], r["_b"]) for i, r in enumerate(rows)}, [float(p) for p in probs], grouped=True)
-        columns = T.StructType(schema.fields + [T.StructField(n, T.DoubleType()) for n in names])
-        return spark.createDataFrame([(*k, *found[i]) for i, k in enumerate(named)], columns)
-    # Equal values collapse before the sort; a value covers the places
-    # [running - n, running) of the whole order.
-    counted = values.groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
-    ranked = with_running_sum(counted, "_n", [*by, "_v"])
-    key = F.struct(F.lit(1), *keys)
-    totals = ranked.groupBy(*keys).agg(
-        F.sum("_n").alias("_rows"), F.min(F.col("_running") - F.col("_n")).alias("_first")
-    )
-    pieces = [
-        F.struct(F.lit(j).alias("_j"), place.cast("long").alias("_rank"), weight.alias("_w"))
-        for j, p in enumerate(probs)
-        for h in [(F.col("_rows") - 1) * F.lit(float(p))]
-        for place, weight in (
-            (F.floor(h) + F.col("_first"), 1 - (h - F.floor(h))),
-            (F.ceil(h) + F.col("_first"), h - F.floor(h)),
+        hit = counted.select("_key", "r.*", step.alias("s")).select("_key", "id", "rank", "least", "most", "s.below", "s.hit")
+        missed = F.col("hit").isNull() | (F.col("hit.slice") == _BELOW)
+        two = F.col("hit.n") == 2
+        pick = F.when(F.col("rank") == F.col("below"), F.col("hit.first")).otherwise(F.col("hit.last"))
+        end = lambda name, side: F.when(missed, F.col(name)).when(two, pick).otherwise(F.col(f"hit.{side}"))
+        wanted = hit.select(
+            "_key", "id", "rank", "least", "most", end("least", "first").alias("low"), end("most", "last").alias("high"),
+            F.when(missed, F.lit(0).cast("long")).otherwise(F.col("below")).alias("below"),
         )
-    ]
-    wanted = totals.select(key.alias("_key"), F.explode(F.array(*pieces)).alias("_p")).select("_key", "_p.*")
-    hits = ranked.withColumn("_key", key).join(
-        wanted.withColumnRenamed("_key", "_wanted"),
-        (F.col("_key") == F.col("_wanted"))
-        & (F.col("_rank") >= F.col("_running") - F.col("_n"))
-        & (F.col("_rank") < F.col("_running")),
-    )
-    return hits.groupBy(*keys).agg(
-        *[F.sum(F.when(F.col("_j") == j, F.col("_v") * F.col("_w"))).alias(n) for j, n in enumerate(names)]
-    )
+    row = found.groupBy("_key").agg(*[F.max(F.when(F.col("id") == k, F.col("v"))).alias(f"v{k}") for k in range(2 * len(probs))])
+    joined = row.join(facts.select(F.col("_key").alias("_k"), "n"), F.col("_key").eqNullSafe(F.col("_k")))
+    results = []
+    for j, (p, name) in enumerate(zip(probs, names)):
+        a, b, h = F.col(f"v{2 * j}"), F.col(f"v{2 * j + 1}"), (F.col("n") - 1) * F.lit(p)
+        share = h - F.floor(h)
+        results.append(F.when((share == 0) | (a == b), a).otherwise(a + (b - a) * share).alias(name))
+    return joined.select(*[F.col("_key")[b].alias(b) for b in by], *results)

@@ -107,7 +107,7 @@ def test_quantiles_of_infinite_values(spark):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     probs = [0.0, 0.001, 0.25, 0.5, 0.75, 0.99, 1.0]
     few = quantiles.column_quantiles(df, ["v"], probs)["v"]
-    assert quantiles.column_quantiles(df, ["v"], probs, percentile_values=1)["v"] == few
+    assert few == [r if abs(r) < inf else r for r in df.agg(F.percentile("v", F.array(*[F.lit(p) for p in probs]))).first()[0]]
     assert few[0] == -inf and few[-1] == inf and few[3] == 257.0
 
 
@@ -116,18 +116,67 @@ def test_column_quantiles_by_narrowing(spark):
     frame = pd.DataFrame({"a": rng.lognormal(0, 6, 3000), "b": np.repeat([1.0, 2.0, 3.0], 1000)})
     df = spark.createDataFrame(frame)
     probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
-    for limit in (10**9, 10):
-        got = quantiles.column_quantiles(df, ["a", "b"], probs, percentile_values=limit)
-        for c in frame:
-            assert np.allclose(got[c], np.quantile(frame[c], probs), rtol=1e-12)
+    got = quantiles.column_quantiles(df, ["a", "b"], probs)
+    for c in frame:
+        assert np.allclose(got[c], np.quantile(frame[c], probs), rtol=1e-12)
 
 
-@pytest.mark.parametrize("limit, few", [(10**9, 64), (3, 64), (3, 5), (10**9, 5)])
-def test_group_quantiles(series, monkeypatch, limit, few):
+def awkward_columns(n, seed):
+    rng = np.random.default_rng(seed)
+    return pd.DataFrame({
+        "normal": rng.normal(1e9, 1e-3, n), "ties": rng.integers(0, 4, n).astype(float), "heavy": rng.standard_cauchy(n) ** 3, "one": np.full(n, 2.5),
+        "holes": np.where(rng.random(n) < 0.3, np.nan, rng.random(n)), "none": np.full(n, np.nan), "spike": np.where(rng.random(n) < 0.4, 7.0, rng.exponential(1, n)),
+    })
+
+
+@pytest.mark.parametrize("n, slices", [(1, 4096), (2, 4096), (7, 4096), (150, 8), (2000, 4096), (50_000, 16), (50_000, 4096)])
+def test_quantiles_by_sketch_and_count(spark, monkeypatch, n, slices):
+    monkeypatch.setattr(quantiles, "_SLICES", slices)
+    frame, probs = awkward_columns(n, n + slices), [0.0, 0.0001, 0.01, 0.25, 0.5, 0.5001, 0.75, 0.99, 1.0]
+    got = quantiles.column_quantiles(spark.createDataFrame(frame).repartition(4), list(frame), probs)
+    for c in frame:
+        known = frame[c].dropna()
+        assert got[c] == ([None] * len(probs) if known.empty else pytest.approx(np.quantile(known, probs).tolist(), rel=1e-12)), c
+
+
+def test_a_wrong_sketch_is_noticed(spark, monkeypatch):
+    monkeypatch.setattr(quantiles.F, "percentile_approx", lambda c, shares, accuracy: F.transform(shares, lambda s: s * 0 + F.max(c)))
+    frame = awkward_columns(3000, 5)[["normal", "spike"]]
+    got = quantiles.column_quantiles(spark.createDataFrame(frame), list(frame), [0.25, 0.5])
+    assert all(got[c] == pytest.approx(np.quantile(frame[c], [0.25, 0.5]).tolist(), rel=1e-12) for c in frame)
+    df = spark.createDataFrame(frame.assign(k=np.arange(3000) % 2))
+    found = quantiles.group_quantiles(df, ["k"], "spike", [0.5], ["m"]).toPandas().set_index("k")["m"]
+    assert np.allclose(found.loc[[0, 1]], [frame["spike"][0::2].median(), frame["spike"][1::2].median()])
+
+
+def test_two_passes_over_the_data(spark):
+    passes = spark.sparkContext.accumulator(0)
+
+    def read(batches):
+        yield from batches
+        passes.add(1)
+
+    rng = np.random.default_rng(8)
+    frame = pd.DataFrame({f"c{k}": rng.integers(0, 50, 30_000).astype(float) for k in range(4)})
+    df = spark.createDataFrame(frame).coalesce(1).mapInPandas(read, "c0 double, c1 double, c2 double, c3 double")
+    got = quantiles.column_quantiles(df, list(frame), [0.25, 0.5, 0.75])
+    assert passes.value == 2 and all(got[c] == np.quantile(frame[c], [0.25, 0.5, 0.75]).tolist() for c in frame)
+
+
+def test_quantiles_of_many_groups(spark):
+    rng = np.random.default_rng(9)
+    frame = pd.DataFrame({"k": np.where(rng.random(9000) < 0.3, 0, rng.integers(0, 700, 9000)), "v": rng.lognormal(0, 4, 9000)})
+    frame.loc[frame["k"] == 5, "v"] = np.nan
+    expected = frame.groupby("k")["v"].quantile([0.1, 0.5, 0.9]).unstack().dropna()
+    got = quantiles.group_quantiles(spark.createDataFrame(frame).repartition(3), ["k"], "v", [0.1, 0.5, 0.9], ["a", "b", "c"]).toPandas().set_index("k")
+    assert sorted(got.index) == sorted(expected.index)
+    assert np.allclose(got.loc[expected.index], expected, rtol=1e-12)
+
+
+def test_group_quantiles(series):
     frame, df = series
-    monkeypatch.setattr(quantiles, "_FEW_GROUPS", few)
     expected = frame.groupby("k")["v"].quantile([0.25, 0.5]).unstack()
-    got = quantiles.group_quantiles(df, ["k"], "v", [0.25, 0.5], ["a", "b"], percentile_values=limit).toPandas()
+    got = quantiles.group_quantiles(df, ["k"], "v", [0.25, 0.5], ["a", "b"]).toPandas()
     got = got.set_index("k").loc[expected.index]
     assert np.allclose(got["a"], expected[0.25]) and np.allclose(got["b"], expected[0.5])
 
