@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from loupe.frames import attach_row, col, known_value, number, pick_numeric, require
 from loupe.functions.tails import chi2_p, f_p, t_p
-from loupe.moments import moments
+from loupe.moments import moments, moments_by
 from loupe.operators.profiling import is_missing
 from loupe.ordered import POSITION, Sort, with_position, with_running_sum
 from loupe.quantiles import group_quantiles
@@ -19,6 +19,55 @@ from loupe.session import durable
 DENSE_LEVELS = 1000
 
 
+#: distinct values of a column up to which its ranks, 16 bytes each, are broadcast
+BROADCAST_RANKS = 100_000
+
+
+def column_ranks(values: DataFrame) -> tuple[DataFrame, int]:
+    """(rows with each value replaced by its average rank in its column, number of rows).
+
+    The values are numbers without NULLs.  All columns are counted and ranked in
+    one sorted run over (column, value, n): every column has as many rows, so
+    its ranks start where the running sum has passed that many times its
+    number.  Columns of few values look their ranks up in a broadcast table of
+    that checked size; the others are looked up as (row, column, value) in one
+    join, and put together by row.  Written are the rows, the sorted run and the
+    ranks, whatever the number of columns.
+    """
+    names = values.columns
+    rows = durable(values.withColumn("_row", F.monotonically_increasing_id()))
+    n = rows.count()
+
+    def long(columns: Sequence[int], *more: str) -> DataFrame:
+        entries = [F.struct(F.lit(k).alias("_column"), col(names[k]).alias("_value")) for k in columns]
+        return rows.select(*more, F.inline(F.array(*entries)))
+
+    counted = long(range(len(names))).groupBy("_column", "_value").agg(F.count("*").alias("_n"))
+    ranked = with_running_sum(counted, "_n", ["_column", "_value"])
+    rank = F.col("_running") - F.col("_column") * F.lit(n) - (F.col("_n") - 1) / 2
+    ranks = durable(ranked.select("_column", "_value", rank.alias("_rank")))
+    sizes = {r["_column"]: r["count"] for r in ranks.groupBy("_column").count().collect()}  # a row a column
+    few = [k for k in range(len(names)) if sizes.get(k, 0) <= BROADCAST_RANKS]
+    many = [k for k in range(len(names)) if k not in few]
+    found = rows
+    for k in few:
+        own = ranks.where(F.col("_column") == k).select(F.col("_value").alias(names[k]), F.col("_rank").alias(f"_r{k}"))
+        found = found.join(F.broadcast(own), names[k])
+    if many:
+        looked_up = long(many, "_row").join(ranks.where(F.col("_column").isin(many)), ["_column", "_value"])
+        by_row = looked_up.groupBy("_row").agg(*[F.max(F.when(F.col("_column") == k, F.col("_rank"))).alias(f"_r{k}") for k in many])
+        found = found.join(by_row, "_row") if few else by_row
+    return found.select(*[F.col(f"_r{k}").alias(c) for k, c in enumerate(names)]), n
+
+
+def rank_correlations(values: DataFrame) -> np.ndarray:
+    """Spearman's r of all pairs of columns; NaN where a column does not vary."""
+    ranks, n = column_ranks(values)
+    middle = [(n + 1) / 2] * len(values.columns)
+    found = moments_by(ranks, ranks.columns, centre=middle).get(0) if n else None
+    return found.correlation() if found else np.full((len(middle), len(middle)), np.nan)
+
+
 def average_ranks(counted: DataFrame, value: str, n: str) -> DataFrame:
     """(value, rank) from (value, n): ties share the mean of their places."""
     totals = counted.groupBy(col(value).alias(value)).agg(F.sum(n).alias("_t"))
@@ -49,21 +98,8 @@ def correlate(df: DataFrame, x: str, y: str, method: str = "pearson") -> DataFra
     if method == "pearson":
         row = pairs.agg(F.count("*").alias("n"), F.corr("x", "y").alias("_r"), *_fit("x", "y"))
     elif method == "spearman":
-        # Equal pairs collapse first; the ranks of a hot value are looked up
-        # once per distinct pair, and adaptive execution splits skewed joins.
-        # Both rankings and the join read the counts, so they are kept.
-        counted = durable(pairs.groupBy("x", "y").agg(F.count("*").alias("_n")))
-        ranked = (
-            counted.join(average_ranks(counted, "x", "_n").withColumnRenamed("rank", "_rx"), "x")
-            .join(average_ranks(counted, "y", "_n").withColumnRenamed("rank", "_ry"), "y")
-        )
-        size = counted.agg(F.sum("_n").alias("_size"))
-        middle = (F.col("_size") + 1) / 2
-        dx, dy, n = F.col("_rx") - middle, F.col("_ry") - middle, F.col("_n")
-        r = attach_row(ranked, size).agg(
-            F.try_divide(F.sum(n * dx * dy), F.sqrt(F.sum(n * dx * dx) * F.sum(n * dy * dy))).alias("_r")
-        )
-        row = attach_row(pairs.agg(F.count("*").alias("n"), *_fit("x", "y")), r)
+        r = float(rank_correlations(pairs)[0, 1])
+        row = pairs.agg(F.count("*").alias("n"), *_fit("x", "y")).withColumn("_r", F.lit(r))
     else:
         raise ValueError("method is 'pearson' or 'spearman'")
     r, n = F.col("r"), F.col("n")
@@ -322,12 +358,10 @@ def correlation_matrix(
         raise ValueError("method is 'pearson' or 'spearman'")
     values = _complete(df, names)
     if method == "spearman":
-        values = durable(values)
-        for c in values.columns:
-            counted = values.groupBy(c).agg(F.count("*").alias("_n"))
-            values = values.join(average_ranks(counted, c, "_n"), c).drop(c).withColumnRenamed("rank", c)
-    found = moments(values, [f"c{i}" for i in range(len(names))])
-    matrix = found.correlation() if found else np.full((len(names), len(names)), np.nan)
+        matrix = rank_correlations(values)
+    else:
+        found = moments(values, [f"c{i}" for i in range(len(names))])
+        matrix = found.correlation() if found else np.full((len(names), len(names)), np.nan)
     return _matrix_rows(df, names, matrix)
 
 

@@ -317,6 +317,27 @@ def test_correlation_p_value(spark):
     assert row.p_value == pytest.approx(0.05, abs=2e-4)
 
 
+@pytest.mark.parametrize("few", [0, 40, 100_000])
+def test_ranks_of_many_columns_in_three_writes(spark, monkeypatch, few):
+    from loupe import session
+
+    monkeypatch.setattr(relationship, "BROADCAST_RANKS", few)
+    rng = np.random.default_rng(12)
+    frame = pd.DataFrame({f"v{k}": rng.integers(0, 10 ** (k + 1), 400) - 5.0 for k in range(4)} | {"zero": np.where(rng.random(400) < 0.5, -0.0, 0.0), "hot": np.where(rng.random(400) < 0.4, 7.0, rng.random(400))})
+    df = spark.createDataFrame(frame).repartition(3)
+    with session.scope(spark):
+        got = relationship.correlation_matrix(df, method="spearman").toPandas()
+        assert len(session._SCOPES[-1]) == 3
+    want = frame.corr("spearman")
+    for r in got.itertuples():
+        assert (np.isnan(r.r) and np.isnan(want.loc[r.a, r.b])) or r.r == pytest.approx(want.loc[r.a, r.b], abs=1e-12)
+    ranks, n = relationship.column_ranks(df.select(*frame))
+    assert n == 400 and sorted(ranks.toPandas()["hot"]) == pytest.approx(sorted(frame["hot"].rank()))
+    with pytest.raises(ValueError):
+        relationship.correlation_matrix(df, ["v1"], "spearman")
+    assert all(r.r is None or np.isnan(r.r) for r in relationship.correlation_matrix(df.limit(0), method="spearman").collect())
+
+
 def test_spearman_with_ties(spark):
     frame = pd.DataFrame({"x": [1, 2, 2, 3, 5, 5, 5, 9], "y": [3, 1, 4, 4, 4, 8, 9, 7]}).astype(float)
     row = relationship.correlate(spark.createDataFrame(frame), "x", "y", "spearman").first()
