@@ -6,7 +6,7 @@ regressions and their diagnostics are algebra on those.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 _WIDE = 25
 #: rows of the matrix that travel together
 _STRIP = 64
+#: pairs of columns that are summed in one pass each with expressions of its own
+_PAIRS = 100
 
 
 @dataclass
@@ -86,41 +88,100 @@ def moments_by(
 
 
 def _wide(known: DataFrame, columns: Sequence[str], centre: np.ndarray) -> dict[object, Moments]:
-    """Batches leave their matrix of products; strips of the matrices are added up in streams."""
+    """Moments from one product of matrices a batch."""
     p = len(columns)
+
+    def products(values: np.ndarray) -> np.ndarray:
+        z = np.column_stack([values - centre, np.ones(len(values))])
+        return z.T @ z
+
+    result = {}
+    for by, total in _summed(known, columns, products).items():
+        n, offset = int(round(total[p, p])), total[:p, p] / total[p, p]
+        result[by] = Moments(n, centre + offset, total[:p, :p] - n * np.outer(offset, offset))
+    return result
+
+
+def _summed(known: DataFrame, columns: Sequence[str], products: Callable[[np.ndarray], np.ndarray]) -> dict[object, np.ndarray]:
+    """Per value of ``_by`` the sum of what ``products`` makes of each batch's rows, NULLs as NaN.
+
+    Batches leave their matrix; strips of the matrices are added up in streams.
+    """
     kind = known.schema["_by"].dataType.simpleString()
-    schema = f"_by {kind}, strip int, sums binary"
+    schema = f"_by {kind}, strip int, width int, sums binary"
 
-    def products(batches: Iterator) -> Iterator:
+    def multiply(batches: Iterator) -> Iterator:
         totals: dict = {}
         for batch in batches:
             for by, part in batch.groupby("_by", dropna=False):
-                z = np.column_stack([part[list(columns)].to_numpy(dtype=float) - centre, np.ones(len(part))])
-                totals[by] = totals.get(by, 0) + z.T @ z
-        yield strips({(by, k): m[k : k + _STRIP] for by, m in totals.items() for k in range(0, p + 1, _STRIP)})
+                totals[by] = totals.get(by, 0) + products(part[list(columns)].to_numpy(dtype=float))
+        yield strips({(by, k): m[k : k + _STRIP] for by, m in totals.items() for k in range(0, len(m), _STRIP)})
 
     def add(batches: Iterator) -> Iterator:
         totals: dict = {}
         for batch in batches:
-            for by, k, sums in zip(batch["_by"], batch["strip"], batch["sums"]):
-                totals[by, k] = totals.get((by, k), 0) + np.frombuffer(sums)
+            for by, k, width, sums in zip(batch["_by"], batch["strip"], batch["width"], batch["sums"]):
+                totals[by, k] = totals.get((by, k), 0) + np.frombuffer(sums).reshape(-1, width)
         yield strips(totals)
 
     def strips(totals: dict):
         import pandas as pd
 
-        return pd.DataFrame([(by, k, np.ascontiguousarray(m).tobytes()) for (by, k), m in totals.items()], columns=["_by", "strip", "sums"])
+        rows = [(by, k, m.shape[1], np.ascontiguousarray(m).tobytes()) for (by, k), m in totals.items()]
+        return pd.DataFrame(rows, columns=["_by", "strip", "width", "sums"])
 
-    parts = known.mapInPandas(products, schema).repartition("_by", "strip").mapInPandas(add, schema)
+    parts = known.mapInPandas(multiply, schema).repartition("_by", "strip").mapInPandas(add, schema)
     found: dict = {}
     for row in parts.orderBy("strip").collect():  # one row per strip and value of by
-        found.setdefault(row["_by"], []).append(np.frombuffer(row["sums"]).reshape(-1, p + 1))
-    result = {}
-    for by, rows in found.items():
-        total = np.concatenate(rows)
-        n, offset = int(round(total[p, p])), total[:p, p] / total[p, p]
-        result[by] = Moments(n, centre + offset, total[:p, :p] - n * np.outer(offset, offset))
-    return result
+        found.setdefault(row["_by"], []).append(np.frombuffer(row["sums"]).reshape(-1, row["width"]))
+    return {by: np.concatenate(rows) for by, rows in found.items()}
+
+
+def gaps_together(flags: DataFrame) -> np.ndarray:
+    """For each pair of 0/1 columns, the rows with both; the diagonal has those of each."""
+    names = flags.columns
+    found = _summed(flags.withColumn("_by", F.lit(0)), names, lambda z: z.T @ z)
+    return np.rint(found.get(0, np.zeros((len(names), len(names))))).astype(np.int64)
+
+
+def pairwise_correlations(values: DataFrame) -> np.ndarray:
+    """r of every pair of columns over the rows with both known, in one pass whatever the gaps.
+
+    Missing values are filled with the centre, so that a product of the filled
+    values, of their squares or of the values' presence sums what the pair's
+    common rows hold.  NaN where a column does not vary on them, or has an
+    infinite value there.  Pairs on whose rows a column varies little beside
+    its distance from the centre would lose digits; the few there are, are
+    summed again around means of their own.
+    """
+    names = values.columns
+    p = len(names)
+    finite = lambda c: F.when(F.abs(F.col(c)) < float("inf"), F.col(c))
+    centre = np.array([m or 0.0 for m in values.agg(*[F.avg(finite(c)) for c in names]).first()])
+
+    def products(x: np.ndarray) -> np.ndarray:
+        known, endless = (~np.isnan(x)).astype(float), np.isinf(x).astype(float)
+        z = np.where(np.isfinite(x), x - centre, 0.0)
+        return np.vstack([known.T @ known, z.T @ known, (z * z).T @ known, z.T @ z, endless.T @ known])
+
+    total = _summed(values.withColumn("_by", F.lit(0)), names, products).get(0)
+    if total is None:
+        return np.full((p, p), np.nan)
+    n, sums, squares, cross, endless = total.reshape(5, p, p)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        spread = squares - sums * sums / n
+        narrow = (squares > 0) & (spread < 1e-8 * squares)
+        spread = np.where(spread > 0, spread, np.nan)
+        r = (cross - sums * sums.T / n) / np.sqrt(spread * spread.T)
+    r = np.where((endless > 0) | (endless.T > 0) | ~np.isfinite(r), np.nan, np.clip(r, -1, 1))
+    again = [(a, b) for a in range(p) for b in range(a + 1, p) if (narrow[a, b] or narrow[b, a]) and not endless[a, b] + endless[b, a]]
+    for start in range(0, len(again), _PAIRS):
+        part = again[start : start + _PAIRS]
+        both = [(F.when(F.col(names[b]).isNotNull(), F.col(names[a])), F.when(F.col(names[a]).isNotNull(), F.col(names[b]))) for a, b in part]
+        row = values.agg(*[F.corr(x, y).alias(f"r{k}") for k, (x, y) in enumerate(both)]).first()
+        for (a, b), found in zip(part, row):
+            r[a, b] = r[b, a] = np.nan if found is None else np.clip(found, -1, 1)
+    return r
 
 
 def moments(values: DataFrame, columns: Sequence[str]) -> Moments | None:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Row, Window as W, functions as F, typ
 
 from loupe.frames import attach_row, col, is_numeric, number, numeric_columns, quoted, require
 from loupe.functions.coerce import to_moment
-from loupe.moments import moments
+from loupe.moments import gaps_together, pairwise_correlations
 from loupe.ordered import Sort, sort_columns
 from loupe.quantiles import column_quantiles
 
@@ -27,7 +27,6 @@ BOOLEAN_TEXT = ["True", "False", "true", "false"]
 BOOLEAN_PAIRS = [["是", "否"], ["yes", "no"], ["y", "n"], ["true", "false"], ["t", "f"], ["1", "0"]]
 
 _LONGEST_DATE = 40
-_SUMS_PER_PASS = 400
 
 
 def _kind(data_type: T.DataType) -> str:
@@ -377,29 +376,6 @@ def suggest_types(df: DataFrame, profile: DataFrame, order_by: Sequence[str] | N
     return found
 
 
-def _pair_table(df: DataFrame, pairs, aggregates, fields: str) -> DataFrame:
-    """Evaluate several aggregates per column pair, a bounded number per pass."""
-    spark = df.sparkSession
-    per_pass = max(1, _SUMS_PER_PASS // max(1, len(aggregates)))
-    result = None
-    for start in range(0, len(pairs), per_pass):
-        part = pairs[start : start + per_pass]
-        wide = df.agg(*[a(x, y).alias(f"p{i}_{n}") for i, (x, y) in enumerate(part) for n, a in aggregates.items()])
-        rows = wide.select(
-            F.inline(
-                F.array(
-                    *[
-                        F.struct(F.lit(x).alias("column_a"), F.lit(y).alias("column_b"),
-                                 *[F.col(f"p{i}_{n}").alias(n) for n in aggregates])
-                        for i, (x, y) in enumerate(part)
-                    ]
-                )
-            )
-        )
-        result = rows if result is None else result.unionByName(rows)
-    return result if result is not None else spark.createDataFrame([], f"column_a string, column_b string, {fields}")
-
-
 def is_missing(df: DataFrame, name: str) -> Column:
     return _known(df.schema[name]).isNull()
 
@@ -413,18 +389,13 @@ def missing_patterns(df: DataFrame, first: int | None = None) -> DataFrame:
     counted = df.agg(F.count("*"), *[F.count_if(is_missing(df, c)) for c in df.columns]).first()
     rows, missing = counted[0], dict(zip(df.columns, counted[1:]))
     partly = [c for c in df.columns if 0 < missing[c] < 0.95 * rows] if rows >= 20 else []
-    pairs = [(a, b) for i, a in enumerate(partly[:first]) for b in partly[i + 1 :]]
-    joint = _pair_table(
-        df, pairs, {"joint_missing": lambda a, b: F.count_if(is_missing(df, a) & is_missing(df, b))}, "joint_missing long"
-    )
-    if not pairs:
-        return joint.withColumns({c: F.lit(None).cast("double") for c in ("a_when_b_missing_rate", "b_when_a_missing_rate")})
-    of = F.create_map(*[F.lit(x) for c in partly for x in (c, missing[c])])
-    rates = joint.withColumns(
-        {
-            "a_when_b_missing_rate": F.col("joint_missing") / of[F.col("column_b")],
-            "b_when_a_missing_rate": F.col("joint_missing") / of[F.col("column_a")],
-        }
+    together = gaps_together(df.select(*[is_missing(df, c).cast("double").alias(f"c{i}") for i, c in enumerate(partly)])) if partly else None
+    pairs = [
+        (a, b, int(together[i, j]), *(float(together[i, j]) / missing[x] for x in (b, a)))
+        for i, a in enumerate(partly[:first]) for j, b in enumerate(partly) if j > i
+    ]
+    rates = df.sparkSession.createDataFrame(
+        pairs, "column_a string, column_b string, joint_missing long, a_when_b_missing_rate double, b_when_a_missing_rate double"
     )
     return rates.where(
         (F.col("joint_missing") > 0) & ((F.col("a_when_b_missing_rate") > 0.8) | (F.col("b_when_a_missing_rate") > 0.8))
@@ -432,32 +403,14 @@ def missing_patterns(df: DataFrame, first: int | None = None) -> DataFrame:
 
 
 def pairwise_correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column_a, column_b, r) over the rows where both columns are known.
-
-    Pairs of columns without gaps share one pass of plain product sums; only
-    pairs with gaps need sums of their own.
-    """
+    """(column_a, column_b, r) over the rows where both columns are known; one pass over the data for all pairs."""
     names = list(columns) if columns is not None else numeric_columns(df)
-    values = df.select(*[number(c).alias(f"c{i}") for i, c in enumerate(names)])
-    counted = values.agg(F.count("*"), *[F.count(c) for c in values.columns]).first()
-    full = [i for i in range(len(names)) if counted[i + 1] == counted[0]]
-    r: dict[tuple[str, str], float | None] = {}
-    if len(full) > 1:
-        whole = moments(values, [f"c{i}" for i in full])
-        matrix = whole.correlation() if whole else np.full((len(full), len(full)), np.nan)
-        for a, b in combinations(range(len(full)), 2):
-            found = float(matrix[a, b])
-            r[names[full[a]], names[full[b]]] = None if np.isnan(found) else found
-    pairs = list(combinations(names, 2))
-    known = [(a, b, r[a, b]) for a, b in pairs if (a, b) in r]
-    result = df.sparkSession.createDataFrame(known, "column_a string, column_b string, r double")
-    gaps = [p for p in pairs if p not in r]
-
-    def corr(a: str, b: str) -> Column:
-        both = number(a).isNotNull() & number(b).isNotNull()
-        return F.nanvl(F.corr(F.when(both, number(a)), F.when(both, number(b))), F.lit(None).cast("double"))
-
-    return result.unionByName(_pair_table(df, gaps, {"r": corr}, "r double")) if gaps else result
+    matrix = pairwise_correlations(df.select(*[number(c).alias(f"c{i}") for i, c in enumerate(names)]))
+    rows = [
+        (names[a], names[b], None if np.isnan(matrix[a, b]) else float(matrix[a, b]))
+        for a, b in combinations(range(len(names)), 2)
+    ]
+    return df.sparkSession.createDataFrame(rows, "column_a string, column_b string, r double")
 
 
 def duplicate_columns(df: DataFrame, columns: Sequence[str] | None = None, above: float = 0.999) -> DataFrame:

@@ -272,3 +272,33 @@ def recommend_cleaning(spark, d):
     lines = line_gaps(spark, d).select("l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag")
     lines = lines.withColumn("fixed", F.lit("x"))
     return cleaning.recommend_cleaning(profiling.profile_columns(lines), profiling.profile_table(lines))
+
+
+#: all dimensions of the vectors, with values missing by a rule
+VECTOR_GAPS = """
+  SELECT vec_id, i, CASE WHEN (vec_id + i) % 7 <> 0 AND NOT (i > 60 AND vec_id % 3 = 0) THEN CAST(embedding[i] AS DOUBLE) END AS x
+  FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)"""
+
+
+def vector_gaps(spark, d):
+    vectors = table(spark, d, "embeddings")
+    present = lambda i: ((F.col("vec_id") + i) % 7 != 0) & ~((F.lit(i) > 60) & (F.col("vec_id") % 3 == 0))
+    width = vectors.agg(F.max(F.size("embedding"))).first()[0]
+    return vectors.select(*[F.when(present(i), F.get("embedding", F.lit(i - 1))).cast("double").alias(f"e{i}") for i in range(1, width + 1)])
+
+
+@query("pairwise_correlation_gaps", f"""
+WITH v AS ({VECTOR_GAPS})
+SELECT 'e' || a.i AS column_a, 'e' || b.i AS column_b, {R("corr(a.x, b.x)", 6)} AS r
+FROM v a JOIN v b USING (vec_id) WHERE a.i < b.i AND a.x IS NOT NULL AND b.x IS NOT NULL GROUP BY a.i, b.i""")
+def pairwise_correlation_gaps(spark, d):
+    return rounded(profiling.pairwise_correlation(vector_gaps(spark, d)), 6)
+
+
+@query("missing_patterns_wide", f"""
+WITH v AS ({VECTOR_GAPS}), g AS (SELECT vec_id, i FROM v WHERE x IS NULL), n AS (SELECT i, count(*) AS n FROM g GROUP BY i),
+p AS (SELECT a.i AS a, b.i AS b, count(*) AS joint FROM g a JOIN g b USING (vec_id) WHERE a.i < b.i GROUP BY a.i, b.i)
+SELECT 'e' || a AS column_a, 'e' || b AS column_b, joint AS joint_missing, {R("joint / nb.n")} AS a_when_b_missing_rate, {R("joint / na.n")} AS b_when_a_missing_rate
+FROM p JOIN n na ON na.i = a JOIN n nb ON nb.i = b WHERE joint / nb.n > 0.8 OR joint / na.n > 0.8""")
+def missing_patterns_wide(spark, d):
+    return rounded(profiling.missing_patterns(vector_gaps(spark, d)))

@@ -317,6 +317,60 @@ def test_correlation_p_value(spark):
     assert row.p_value == pytest.approx(0.05, abs=2e-4)
 
 
+def test_pairs_with_gaps_in_one_pass(spark):
+    passes = spark.sparkContext.accumulator(0)
+
+    def read(batches):
+        yield from batches
+        passes.add(1)
+
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(600, 1))
+    frame = pd.DataFrame(base * rng.normal(size=200) + rng.normal(size=(600, 200)) + 1e6, columns=[f"c{k}" for k in range(200)])
+    frame = frame.where(rng.random(frame.shape) > np.linspace(0, 0.6, 200))
+    df = spark.createDataFrame(frame.astype(object).where(frame.notna(), None), ", ".join(f"{c} double" for c in frame)).coalesce(1)
+    df = df.mapInPandas(read, df.schema)
+    got = profiling.pairwise_correlation(df).toPandas()
+    assert len(got) == 19_900 and passes.value == 2  # the means, and all products
+    want = frame.corr()
+    assert np.allclose(got["r"], [want.loc[a, b] for a, b in zip(got["column_a"], got["column_b"])], atol=1e-9)
+
+
+def test_awkward_pairs(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [
+        # far: varies by 1 at 1e9 where near is known; alone: infinite only where others are missing
+        (1e9 + k if k < 50 else 0.0, float(k % 7) if k < 50 else None, inf if k == 70 else float(k), 3.0, nan if k % 2 else float(k), None, inf if k == 60 else float(k) if k > 40 else None)
+        for k in range(100)
+    ]
+    frame = pd.DataFrame(rows, columns=["far", "near", "alone", "fixed", "odd", "none", "endless"], dtype=float)
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in frame))
+    got = {(r.column_a, r.column_b): r.r for r in profiling.pairwise_correlation(df).collect()}
+    for (a, b), r in got.items():
+        both = frame[[a, b]].dropna()
+        with np.errstate(all="ignore"):
+            want = np.nan if np.isinf(both).any(axis=None) or len(both) < 2 or (both.nunique() < 2).any() else np.corrcoef(both[a], both[b])[0, 1]
+        assert (r is None) if np.isnan(want) else r == pytest.approx(want, abs=1e-9), (a, b)
+    assert got["far", "near"] is not None and got["near", "alone"] is not None and got["far", "alone"] is None
+    assert profiling.pairwise_correlation(df.limit(0)).where("r IS NOT NULL").count() == 0
+
+
+def test_missing_patterns_of_many_columns(spark):
+    rng = np.random.default_rng(6)
+    frame = pd.DataFrame({f"c{k}": np.where(rng.random(300) < 0.02 * k, np.nan, 1.0) for k in range(40)})
+    frame["twin"] = frame["c30"]
+    got = profiling.missing_patterns(spark.createDataFrame(frame.astype(object).where(frame.notna(), None), ", ".join(f"{c} double" for c in frame))).collect()
+    gone = frame.isna()
+    want = {}
+    partly = [c for c in frame if 0 < gone[c].sum() < 0.95 * 300]
+    for i, a in enumerate(partly):
+        for b in partly[i + 1 :]:
+            joint = int((gone[a] & gone[b]).sum())
+            if joint and max(joint / gone[a].sum(), joint / gone[b].sum()) > 0.8:
+                want[a, b] = (joint, joint / gone[b].sum(), joint / gone[a].sum())
+    assert {(r.column_a, r.column_b): (r.joint_missing, r.a_when_b_missing_rate, r.b_when_a_missing_rate) for r in got} == want
+
+
 @pytest.mark.parametrize("few", [0, 40, 100_000])
 def test_ranks_of_many_columns_in_three_writes(spark, monkeypatch, few):
     from loupe import session
