@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loupe.frames import col, number, pick_numeric, spread
 from loupe.moments import Moments, moments
+from loupe.session import durable
 
 
 @dataclass
@@ -103,14 +100,147 @@ class Clusters:
     assignments: DataFrame  # the key columns, the columns and cluster, pc1, pc2
 
 
+#: Lloyd steps of every number of clusters, and rows that give the starts
+STEPS, START_ROWS = 40, 2048
+
+
+def distances(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances, summed column by column as the plan's expressions do."""
+    total = np.zeros((len(rows), len(centres)))
+    for j in range(rows.shape[1]):
+        apart = rows[:, j, None] - centres[None, :, j]
+        total += apart * apart
+    return total
+
+
+def _starts(sample: np.ndarray, numbers: Sequence[int], seed: int) -> dict[int, np.ndarray]:
+    """Starting centres for each number: k-means++ and a few steps on the sample.
+
+    Copies of one point are one centre, so there may be fewer.
+    """
+    starts = {}
+    for k in numbers:
+        choose = np.random.default_rng(seed)
+        centres = sample[[choose.integers(len(sample))]]
+        while len(centres) < k:
+            gap = distances(sample, centres).min(axis=1)
+            if not gap.sum() > 0:
+                break
+            centres = np.vstack([centres, sample[choose.choice(len(sample), p=gap / gap.sum())]])
+        for _ in range(10):
+            own = distances(sample, centres).argmin(axis=1)
+            centres = np.array([sample[own == c].mean(axis=0) if (own == c).any() else centres[c] for c in range(len(centres))])
+        starts[k] = centres
+    return starts
+
+
+def _sums(vectors: DataFrame, make: Callable[[np.ndarray], dict[tuple, float]]) -> dict[tuple[int, int, int], float]:
+    """Totals over all rows of what ``make`` finds in a batch, by (number, cluster, what)."""
+
+    def totals(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        found: dict[tuple, float] = {}
+        for batch in batches:
+            if len(batch):
+                for key, value in make(batch.to_numpy(dtype=float)).items():
+                    found[key] = found.get(key, 0.0) + value
+        yield pd.DataFrame([(*k, v) for k, v in found.items()], columns=["k", "cluster", "what", "total"])
+
+    parts = vectors.mapInPandas(totals, "k int, cluster int, what int, total double")
+    rows = parts.groupBy("k", "cluster", "what").agg(F.sum("total").alias("total")).collect()  # a few for each centre and column
+    return {(r["k"], r["cluster"], r["what"]): r["total"] for r in rows}
+
+
+#: what is summed besides the columns: rows, squared lengths, silhouettes
+_ROWS, _SQUARES, _SHAPE = -1, -2, -3
+
+
+def _moved(vectors: DataFrame, centres: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each number, of the rows nearest to each centre: how many, the sum of their squared lengths, and their sums."""
+
+    def make(rows: np.ndarray) -> dict[tuple, float]:
+        found, lengths = {}, (rows * rows).sum(axis=1)
+        for k, own in centres.items():
+            nearest = distances(rows, own).argmin(axis=1)
+            n = np.bincount(nearest, minlength=len(own))
+            for what, weights in [(_ROWS, None), (_SQUARES, lengths), *enumerate(rows.T)]:
+                total = n if weights is None else np.bincount(nearest, weights=weights, minlength=len(own))
+                found |= {(k, c, what): float(total[c]) for c in np.flatnonzero(n)}
+        return found
+
+    totals = _sums(vectors, make)
+    width = len(vectors.columns)
+    of = lambda k, what: np.array([totals.get((k, c, what), 0.0) for c in range(len(centres[k]))])
+    return {k: (of(k, _ROWS), of(k, _SQUARES), np.column_stack([of(k, j) for j in range(width)])) for k in centres}
+
+
+def _silhouettes(vectors: DataFrame, centres: dict[int, np.ndarray], sums: dict[int, tuple], n: int) -> dict[int, float | None]:
+    """Mean silhouette for each number, by squared distance.
+
+    A row's mean squared distance to the rows of a cluster follows from the
+    cluster's size, sum and squared lengths, so no two rows ever meet.
+    """
+
+    def make(rows: np.ndarray) -> dict[tuple, float]:
+        found, lengths = {}, (rows * rows).sum(axis=1)[:, None]
+        at = np.arange(len(rows))
+        for k, own in centres.items():
+            size, squares, total = sums[k]
+            filled = size > 0
+            if filled.sum() < 2:
+                continue
+            nearest = distances(rows, own).argmin(axis=1)
+            safe = np.where(filled, size, 1.0)
+            mean = np.where(filled, lengths + squares / safe - 2 * rows @ (total / safe[:, None]).T, np.inf)
+            alone = size[nearest] <= 1
+            inside = np.maximum(mean[at, nearest], 0) * size[nearest] / np.where(alone, 1.0, size[nearest] - 1)
+            mean[at, nearest] = np.inf
+            outside = np.maximum(mean.min(axis=1), 0)
+            larger = np.maximum(inside, outside)
+            shape = np.where(alone | (larger == 0), 0.0, (outside - inside) / np.where(larger > 0, larger, 1.0))
+            found[k, 0, _SHAPE] = float(shape.sum())
+        return found
+
+    totals = _sums(vectors, make)
+    return {k: totals[k, 0, _SHAPE] / n if (k, 0, _SHAPE) in totals else None for k in centres}
+
+
+def k_means(vectors: DataFrame, numbers: Sequence[int], n: int, seed: int = 42, steps: int = STEPS):
+    """(centres, sums, silhouettes) for each number of clusters, all fitted in the same passes.
+
+    The starts come from ``START_ROWS`` rows, those with the smallest hashes;
+    every step, the sizes and the silhouettes come from all rows.  A number
+    whose centres stay where they are leaves the later passes.
+    """
+    sample = vectors.orderBy(F.xxhash64(*vectors.columns), *vectors.columns).limit(START_ROWS).toPandas().to_numpy(dtype=float)
+    centres = _starts(sample, numbers, seed)
+    moving, sums = dict(centres), {}
+    for _ in range(steps):
+        if not moving:
+            break
+        for k, found in _moved(vectors, moving).items():
+            size, _, total = found
+            means = np.where(size[:, None] > 0, total / np.where(size > 0, size, 1.0)[:, None], moving[k])
+            centres[k], sums[k] = moving[k], found  # the sums are those of the rows nearest to these centres
+            if np.abs(means - moving[k]).max() <= 1e-12:
+                del moving[k]
+            else:
+                moving[k] = means
+    return centres, sums, _silhouettes(vectors, centres, sums, n)
+
+
 def cluster_analysis(
     df: DataFrame, columns: Sequence[str] | None = None, n_clusters: int | None = None, keys: Sequence[str] = (),
-    seed: int = 42, max_clusters: int = 8,
+    seed: int = 42, max_clusters: int = 8, steps: int = STEPS,
 ) -> Clusters:
     """K-means over the scaled columns of the complete rows.
 
     Without ``n_clusters``, the number from 2 to 8 with the best silhouette
-    (squared Euclidean distance) is taken.  Clusters are numbered by size.
+    (squared Euclidean distance) is taken; all of them are fitted in the same
+    passes over the data.  A cluster's centre is the mean of its rows; after
+    ``steps`` steps each row is in the cluster that was nearest in the last one.
+    Clusters are numbered by size.
     """
     names = pick_numeric(df, columns)
     if len(names) < 2:
@@ -121,49 +251,30 @@ def cluster_analysis(
         raise ValueError("clusters need ten complete rows")
     scaled = _scaled(found)
     zs = [f"z{i}" for i in range(len(names))]
-    vectors = spread(
-        VectorAssembler(inputCols=zs, outputCol="features")
-        .transform(known.select(*[z.alias(n) for n, z in zip(zs, scaled)]))
-        .select("features")
-    )
-    evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
-    fit = lambda k: KMeans(k=k, seed=seed, maxIter=40).fit(vectors)
-
-    def silhouette(model) -> float | None:
-        return evaluator.evaluate(model.transform(vectors)) if len(model.clusterCenters()) > 1 else None
-
-    vectors.persist(StorageLevel.MEMORY_AND_DISK)  # read by every iteration of every fit
-    try:
-        if n_clusters is None:
-            # rated as they would be returned
-            scores = {k: silhouette(fit(k)) for k in range(2, min(max_clusters, found.n // 2) + 1)}
-            n_clusters = max(scores, key=lambda k: -2 if scores[k] is None else scores[k])
-        model = fit(n_clusters)
-        score = silhouette(model)
-        sizes = {r.prediction: r["count"] for r in model.transform(vectors).groupBy("prediction").count().collect()}
-    finally:
-        vectors.unpersist()
+    vectors = durable(spread(known.select(*[z.alias(n) for n, z in zip(zs, scaled)])))  # read by every step
+    numbers = [n_clusters] if n_clusters is not None else list(range(2, min(max_clusters, found.n // 2) + 1))
+    fitted, sums, scores = k_means(vectors, numbers, found.n, seed, steps)
+    best = max(numbers, key=lambda k: -2 if scores[k] is None else scores[k])
+    sizes, _, totals = sums[best]
 
     stds = np.where(found.std(ddof=0) > 0, found.std(ddof=0), 1.0)
-    centres = [np.asarray(c) * stds + found.means for c in model.clusterCenters()]
-    order = sorted(range(len(centres)), key=lambda k: (-sizes.get(k, 0), *centres[k]))
+    filled = np.flatnonzero(sizes > 0)
+    centres = {c: totals[c] / sizes[c] * stds + found.means for c in filled}
+    order = sorted(filled, key=lambda c: (-sizes[c], *centres[c]))
     spark = df.sparkSession
     clusters = spark.createDataFrame(
-        [
-            (rank, sizes.get(k, 0), sizes.get(k, 0) * 100.0 / found.n, *map(float, centres[k]))
-            for rank, k in enumerate(order)
-        ],
+        [(rank, int(sizes[c]), float(sizes[c] * 100.0 / found.n), *map(float, centres[c])) for rank, c in enumerate(order)],
         "cluster int, size long, pct double, " + ", ".join(f"`{c}` double" for c in names),
     )
-    # the nearest centre, as an expression over the table
-    distance = lambda k: sum(
-        ((z - F.lit(float(c))) * (z - F.lit(float(c))) for z, c in zip([F.col(n) for n in zs], model.clusterCenters()[k])),
+    # the nearest of the fitted centres, as an expression over the table; ties go to the first, as in the fit
+    distance = lambda c: sum(
+        ((z - F.lit(float(m))) * (z - F.lit(float(m))) for z, m in zip([F.col(n) for n in zs], fitted[best][c])),
         F.lit(0.0),
     )
-    nearest = F.array_min(F.array(*[F.struct(distance(k).alias("d"), F.lit(rank).alias("cluster")) for rank, k in enumerate(order)]))
+    nearest = F.array_min(F.array(*[F.struct(distance(c).alias("d"), F.lit(int(c)).alias("place"), F.lit(order.index(c)).alias("cluster")) for c in filled]))
     _, axes, _ = _axes(found, 2)
     placed = known.select("*", *[z.alias(n) for n, z in zip(zs, scaled)]).select(
         *[col(k) for k in keys], *[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], nearest["cluster"].alias("cluster"),
         *_project([F.col(z) for z in zs], axes),
     )
-    return Clusters(len(centres), score, clusters, placed)
+    return Clusters(len(order), scores[best], clusters, placed)

@@ -369,12 +369,38 @@ def dimension_reduce_identity(spark, d):
     )
 
 
-@query("cluster_analysis")
+def invariants(found, rows, names):
+    """One row: rows, rows in clusters and in assignments, sizes and centres that aren't those of the assigned rows, rows nearer to another centre."""
+    groups = found.assignments.groupBy("cluster").agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m_{c}") for c in names])
+    off = sum((F.when(F.abs(F.col(f"m_{c}") - F.col(c)) > 1e-6 * (1 + F.abs(F.col(c))), 1).otherwise(0) for c in names), F.lit(0))
+    sizes = found.clusters.join(groups, "cluster", "full").agg(
+        F.sum("size").alias("clustered"), F.sum("n").alias("assigned"), F.sum(F.when(F.col("size") == F.col("n"), 0).otherwise(1)).alias("wrong_sizes"),
+        F.sum(F.coalesce(off, F.lit(1))).alias("wrong_centres"),
+    )
+    spread = found.assignments.agg(*[F.stddev_pop(c).alias(f"s_{c}") for c in names])
+    centres = found.clusters.select(F.col("cluster").alias("other"), *[F.col(c).alias(f"c_{c}") for c in names])
+    apart = sum((((F.col(c) - F.col(f"c_{c}")) / F.col(f"s_{c}")) ** 2 for c in names), F.lit(0.0))
+    # every row beside each of the few centres
+    beside = found.assignments.crossJoin(F.broadcast(spread)).crossJoin(F.broadcast(centres)).withColumn("d", apart)
+    near = beside.groupBy("row").agg(F.min("d").alias("least"), F.max(F.when(F.col("other") == F.col("cluster"), F.col("d"))).alias("own"))
+    far = near.agg(F.sum(F.when(F.col("own") > F.col("least") + 1e-2, 1).otherwise(0)).alias("far_rows"))
+    return rows.agg(F.count("*").alias("rows")).crossJoin(sizes).crossJoin(far)
+
+
+def invariant_sql(source):
+    return f"SELECT count(*) AS rows, count(*) AS clustered, count(*) AS assigned, 0 AS wrong_sizes, 0 AS wrong_centres, 0 AS far_rows FROM {source}"
+
+
+@query("cluster_analysis", invariant_sql("lineitem"))
 def cluster_analysis(spark, d):
-    return multivariate.cluster_analysis(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"]).clusters
+    names = ["l_quantity", "l_extendedprice", "l_discount"]
+    lines = table(spark, d, "lineitem").withColumn("row", F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"))
+    found = multivariate.cluster_analysis(lines, names, keys=["row"])
+    return invariants(found, lines, names)
 
 
-@query("cluster_analysis_assignments")
+@query("cluster_analysis_assignments", invariant_sql("customer"))
 def cluster_analysis_assignments(spark, d):
-    found = multivariate.cluster_analysis(table(spark, d, "customer"), ["c_acctbal", "c_nationkey"], 3, keys=["c_custkey"])
-    return found.assignments.select("c_custkey", "cluster")
+    names = ["c_acctbal", "c_nationkey"]
+    customers = table(spark, d, "customer").withColumn("row", F.col("c_custkey"))
+    return invariants(multivariate.cluster_analysis(customers, names, 3, keys=["row"], steps=100), customers, names)

@@ -464,12 +464,48 @@ def test_components_against_svd(spark):
 
 
 def test_candidates_are_fitted_like_the_result(spark, monkeypatch):
-    steps = []
-    made = multivariate.KMeans
-    monkeypatch.setattr(multivariate, "KMeans", lambda **given: steps.append((given["k"], given["maxIter"])) or made(**given))
-    df = spark.range(12).selectExpr("CAST(id AS DOUBLE) AS x", "CAST(id % 5 AS DOUBLE) AS y")
+    calls, moved = [], multivariate._moved
+    monkeypatch.setattr(multivariate, "_moved", lambda vectors, centres: calls.append(sorted(centres)) or moved(vectors, centres))
+    df = spark.range(40).selectExpr("CAST(id AS DOUBLE) AS x", "CAST(id * id % 11 AS DOUBLE) AS y")
     found = multivariate.cluster_analysis(df, ["x", "y"])
-    assert steps == [(k, 40) for k in (*range(2, 7), found.n_clusters)]
+    # every number in the same passes, which end with the last one's steps
+    assert calls[0] == list(range(2, 9)) and len(calls) <= 40
+    alone = multivariate.cluster_analysis(df, ["x", "y"], found.n_clusters)
+    assert alone.silhouette == pytest.approx(found.silhouette) and alone.n_clusters == found.n_clusters
+    assert alone.clusters.orderBy("cluster").collect() == found.clusters.orderBy("cluster").collect()
+
+
+@pytest.mark.parametrize("k, steps", [(2, 40), (4, 40), (5, 1), (6, 40)])
+def test_clusters_against_numpy(spark, k, steps):
+    rng = np.random.default_rng(k)
+    frame = pd.DataFrame(rng.normal(size=(300, 3)) * [1, 50, 0.01] + rng.integers(0, 3, (300, 1)) * [4, 100, 0.05], columns=list("abc")).assign(i=range(300))
+    frame.loc[0, "a"] = np.nan
+    found = multivariate.cluster_analysis(spark.createDataFrame(frame.astype(object).where(frame.notna(), None), "a double, b double, c double, i long").repartition(3), list("abc"), k, ["i"], steps=steps)
+    rows = found.assignments.toPandas().sort_values("i")
+    clusters = found.clusters.toPandas().set_index("cluster")
+    assert len(rows) == 299 and rows["cluster"].value_counts().to_dict() == clusters["size"].to_dict() and clusters["size"].is_monotonic_decreasing
+    assert np.allclose(rows.groupby("cluster")[list("abc")].mean(), clusters[list("abc")], rtol=1e-9)
+    known = frame.dropna()[list("abc")]
+    z = ((known - known.mean()) / known.std(ddof=0)).to_numpy()
+    own = rows["cluster"].to_numpy()
+    square = ((z[:, None] - z[None]) ** 2).sum(axis=2)
+    shape = []
+    for i in range(len(z)):
+        mean = {c: square[i, own == c].sum() / ((own == c).sum() - (c == own[i])) for c in set(own) if (own == c).sum() > (c == own[i])}
+        inside, outside = mean.get(own[i]), min(v for c, v in mean.items() if c != own[i])
+        shape.append(0.0 if inside is None else (outside - inside) / max(outside, inside))
+    assert found.silhouette == pytest.approx(np.mean(shape), abs=1e-9)
+    if steps > 1:  # settled: each row is nearest to its centre
+        centres = np.array([z[own == c].mean(axis=0) for c in range(k)])
+        assert (((z[:, None] - centres) ** 2).sum(axis=2).argmin(axis=1) == own).all()
+
+
+def test_clusters_of_few_points(spark):
+    df = spark.createDataFrame([(float(i % 2), 5.0) for i in range(20)], "x double, y double")
+    found = multivariate.cluster_analysis(df, ["x", "y"], 6)
+    assert found.n_clusters == 2 and found.silhouette == pytest.approx(1.0)
+    same = multivariate.cluster_analysis(spark.createDataFrame([(1.0, 5.0)] * 20, "x double, y double"), ["x", "y"])
+    assert same.n_clusters == 1 and same.silhouette is None and same.clusters.first()["size"] == 20
 
 
 def test_clusters_of_separate_blobs(spark):
