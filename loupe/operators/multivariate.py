@@ -100,8 +100,8 @@ class Clusters:
     assignments: DataFrame  # the key columns, the columns and cluster, pc1, pc2
 
 
-#: Lloyd steps of every number of clusters, and rows that give the starts
-STEPS, START_ROWS = 40, 2048
+#: Lloyd steps of every number of clusters, how far a settled centre may still move (scaled), and rows that give the starts
+STEPS, SETTLED, START_ROWS = 40, 1e-4, 2048
 
 
 def distances(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -127,7 +127,7 @@ def _starts(sample: np.ndarray, numbers: Sequence[int], seed: int) -> dict[int,
             if not gap.sum() > 0:
                 break
             centres = np.vstack([centres, sample[choose.choice(len(sample), p=gap / gap.sum())]])
-        for _ in range(10):
+        for _ in range(STEPS):
             own = distances(sample, centres).argmin(axis=1)
             centres = np.array([sample[own == c].mean(axis=0) if (own == c).any() else centres[c] for c in range(len(centres))])
         starts[k] = centres
@@ -211,7 +211,7 @@ def k_means(vectors: DataFrame, numbers: Sequence[int], n: int, seed: int = 42,
 
     The starts come from ``START_ROWS`` rows, those with the smallest hashes;
     every step, the sizes and the silhouettes come from all rows.  A number
-    whose centres stay where they are leaves the later passes.
+    whose centres have settled leaves the later passes.
     """
     sample = vectors.orderBy(F.xxhash64(*vectors.columns), *vectors.columns).limit(START_ROWS).toPandas().to_numpy(dtype=float)
     centres = _starts(sample, numbers, seed)
@@ -223,7 +223,7 @@ def k_means(vectors: DataFrame, numbers: Sequence[int], n: int, seed: int = 42,
             size, _, total = found
             means = np.where(size[:, None] > 0, total / np.where(size > 0, size, 1.0)[:, None], moving[k])
             centres[k], sums[k] = moving[k], found  # the sums are those of the rows nearest to these centres
-            if np.abs(means - moving[k]).max() <= 1e-12:
+            if np.sqrt(((means - moving[k]) ** 2).sum(axis=1)).max() <= SETTLED:
                 del moving[k]
             else:
                 moving[k] = means

@@ -383,7 +383,7 @@ def invariants(found, rows, names):
     # every row beside each of the few centres
     beside = found.assignments.crossJoin(F.broadcast(spread)).crossJoin(F.broadcast(centres)).withColumn("d", apart)
     near = beside.groupBy("row").agg(F.min("d").alias("least"), F.max(F.when(F.col("other") == F.col("cluster"), F.col("d"))).alias("own"))
-    far = near.agg(F.sum(F.when(F.col("own") > F.col("least") + 1e-2, 1).otherwise(0)).alias("far_rows"))
+    far = near.agg(F.sum(F.when(F.col("own") > F.col("least") + 1e-3, 1).otherwise(0)).alias("far_rows"))
     return rows.agg(F.count("*").alias("rows")).crossJoin(sizes).crossJoin(far)
 
 
@@ -395,7 +395,7 @@ def invariant_sql(source):
 def cluster_analysis(spark, d):
     names = ["l_quantity", "l_extendedprice", "l_discount"]
     lines = table(spark, d, "lineitem").withColumn("row", F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"))
-    found = multivariate.cluster_analysis(lines, names, keys=["row"])
+    found = multivariate.cluster_analysis(lines, names, keys=["row"], steps=100)
     return invariants(found, lines, names)
 
 
