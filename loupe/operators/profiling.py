@@ -26,7 +26,8 @@ IDENTIFIER_NAME = re.compile(r"(^|_)(id|no|编号|序号|code|编码|key)$")
 BOOLEAN_TEXT = ["True", "False", "true", "false"]
 BOOLEAN_PAIRS = [["是", "否"], ["yes", "no"], ["y", "n"], ["true", "false"], ["t", "f"], ["1", "0"]]
 
-_LONGEST_DATE = 40
+#: shares of a column's values that read as dates from which it is dates, or text that was perhaps meant as dates
+DATES, PERHAPS_DATES = 0.8, 0.5
 
 
 def _kind(data_type: T.DataType) -> str:
@@ -96,23 +97,11 @@ def _columns_table(df: DataFrame) -> DataFrame:
 
 
 def _reads_as_date(value: Column) -> Column:
-    return (F.length(value) <= _LONGEST_DATE) & to_moment(value).isNotNull()
+    # every layout starts with a digit
+    return value.rlike("^ *[0-9]") & to_moment(value).isNotNull()
 
 
-def leading_values(df: DataFrame, columns: Sequence[str], order_by: Sequence[str], n: int) -> DataFrame:
-    """The first n known values of each column, in the given order.
-
-    Every task passes on no more than ``n`` rows per column.
-    """
-    require(df, *order_by)
-    place = F.struct(*[col(o).alias(f"o{i}") for i, o in enumerate(order_by)]).alias("_o")
-    texts = [F.struct(F.lit(c).alias("column"), col(c).alias("value")) for c in columns]
-    long = df.select(place, F.inline(F.array(*texts))).where(F.col("value").isNotNull())
-    ranked = long.withColumn("place", F.row_number().over(W.partitionBy("column").orderBy("_o")))
-    return ranked.where(F.col("place") <= n)
-
-
-def _facts(df: DataFrame, order_by: Sequence[str] | None, with_tops: bool = False) -> DataFrame:
+def _facts(df: DataFrame, with_tops: bool = False) -> DataFrame:
     """One row per column: counts, lengths, parse rates and, if asked, top values."""
     text_columns = [f.name for f in df.schema.fields if _kind(f.dataType) == "text"]
     number_columns = numeric_columns(df)
@@ -129,19 +118,8 @@ def _facts(df: DataFrame, order_by: Sequence[str] | None, with_tops: bool = Fals
         ).alias("not_boolean"),
         (F.sum(F.length("value") * n) / F.sum("n")).alias("avg_length"),
     ]
-    if order_by is None:
-        aggregates.append((F.sum(F.when(is_text & _reads_as_date(value), n).otherwise(0)) / F.sum("n")).alias("date_share"))
-        aggregates.append(F.sum("n").alias("date_tried"))
+    aggregates.append((F.sum(F.when(is_text & _reads_as_date(value), n).otherwise(0)) / F.sum("n")).alias("date_share"))
     facts = counts.groupBy("column").agg(*aggregates)
-    if order_by is not None:
-        if text_columns:
-            sample = leading_values(df, text_columns, order_by, 200)
-            dates = sample.groupBy("column").agg(
-                F.avg(_reads_as_date(value).cast("int")).alias("date_share"), F.count("*").alias("date_tried")
-            )
-            facts = facts.join(dates, "column", "left")
-        else:
-            facts = facts.withColumns({"date_share": F.lit(None).cast("double"), "date_tried": F.lit(0)})
     if with_tops:
         tops = top_values(counts).groupBy("column").agg(
             F.array_sort(F.collect_list(F.struct("rank", "value", "n"))).alias("tops")
@@ -170,7 +148,7 @@ def _semantic(identifier_integral_only: bool) -> Column:
         .when((kind == "number") & near_unique, "identifier")
         .when(kind == "number", "numeric")
         .when(kind == "datetime", "datetime")
-        .when((kind == "text") & (F.col("date_share") >= 0.8) & (F.col("date_tried") >= 3), "datetime")
+        .when((kind == "text") & (F.col("date_share") >= DATES) & (known >= 3), "datetime")
         .when((kind == "text") & (unique > 50) & (ratio >= 0.2) & (F.col("avg_length") > 80), "text")
         .when((kind == "text") & ((unique <= 50) | (ratio < 0.2)), "categorical")
         .when(kind == "text", "text")
@@ -178,22 +156,17 @@ def _semantic(identifier_integral_only: bool) -> Column:
     )
 
 
-def infer_semantic_types(
-    df: DataFrame, order_by: Sequence[str] | None = None, identifier_integral_only: bool = False
-) -> DataFrame:
+def infer_semantic_types(df: DataFrame, identifier_integral_only: bool = False) -> DataFrame:
     """(ordinal, column, spark_type, semantic_type), one row per column.
 
-    Text counts as dates when 80 % of its values read as dates: of the first
-    200 in ``order_by``, or of all values when no order is given.
+    Text counts as dates when 80 % of all its values read as dates.
     """
-    return _facts(df, order_by).select(
-        "ordinal", "column", "spark_type", _semantic(identifier_integral_only).alias("semantic_type")
-    )
+    return _facts(df).select("ordinal", "column", "spark_type", _semantic(identifier_integral_only).alias("semantic_type"))
 
 
-def semantic_types(df: DataFrame, order_by: Sequence[str] | None = None, identifier_integral_only: bool = False) -> dict[str, str]:
+def semantic_types(df: DataFrame, identifier_integral_only: bool = False) -> dict[str, str]:
     """Column name to semantic type, in column order."""
-    rows = infer_semantic_types(df, order_by, identifier_integral_only).orderBy("ordinal").collect()
+    rows = infer_semantic_types(df, identifier_integral_only).orderBy("ordinal").collect()
     return {r.column: r.semantic_type for r in rows}
 
 
@@ -236,14 +209,14 @@ def _top_map(wanted: Column) -> Column:
     ).alias("top_values")
 
 
-def describe_schema(df: DataFrame, order_by: Sequence[str] | None = None, identifier_integral_only: bool = False) -> DataFrame:
+def describe_schema(df: DataFrame, identifier_integral_only: bool = False) -> DataFrame:
     """One row per column: type, missing and unique values, and its statistics.
 
     Numbers get min, max, mean and std; categories, booleans and identifiers
     their five most frequent values.
     """
     rows = df.agg(F.count("*").alias("rows"))
-    facts = attach_row(_facts(df, order_by, with_tops=True), rows)
+    facts = attach_row(_facts(df, with_tops=True), rows)
     typed = facts.withColumn("semantic_type", _semantic(identifier_integral_only))
     joined = typed.join(_numeric_summary(df), "column", "left")
     is_number = F.col("semantic_type") == "numeric"
@@ -259,13 +232,13 @@ def sample_rows(df: DataFrame, order_by: Sort, n: int = 3) -> DataFrame:
     return df.orderBy(*sort_columns(order_by)).limit(n)
 
 
-def profile_columns(df: DataFrame, order_by: Sequence[str] | None = None, identifier_integral_only: bool = False) -> DataFrame:
+def profile_columns(df: DataFrame, identifier_integral_only: bool = False) -> DataFrame:
     """``describe_schema`` with quartiles and the number of IQR outliers.
 
     The semantic types (one row per column) are read first, so that quartiles
     are computed for numeric columns only.
     """
-    facts = _facts(df, order_by, with_tops=True).withColumn("semantic_type", _semantic(identifier_integral_only))
+    facts = _facts(df, with_tops=True).withColumn("semantic_type", _semantic(identifier_integral_only))
     known: list[Row] = facts.collect()
     numeric = [r.column for r in known if r.semantic_type == "numeric" and r.non_null >= 5]
     quartiles = column_quantiles(df, numeric, [0.25, 0.5, 0.75])
@@ -348,10 +321,10 @@ def potential_outliers(profile: DataFrame) -> DataFrame:
     )
 
 
-def suggest_types(df: DataFrame, profile: DataFrame, order_by: Sequence[str] | None = None) -> DataFrame:
+def suggest_types(df: DataFrame, profile: DataFrame) -> DataFrame:
     """Columns whose type should perhaps change: (column, current, suggested).
 
-    Text whose first 20 values in ``order_by`` all read as dates suggests
+    Text of which half the values, and at least 5, read as dates suggests
     datetime, text with the two values of a yes/no pair boolean, and numbers
     with 2 to 5 distinct values categorical.
     """
@@ -367,11 +340,12 @@ def suggest_types(df: DataFrame, profile: DataFrame, order_by: Sequence[str] | N
     )
     found = categorical.unionByName(boolean)
     texts = [f.name for f in df.schema.fields if _kind(f.dataType) == "text"]
-    if order_by is not None and texts:
-        dated = leading_values(df, texts, order_by, 20).groupBy("column").agg(
-            F.min(_reads_as_date(F.col("value")).cast("int")).alias("all_dates"), F.count("*").alias("tried")
-        ).where((F.col("all_dates") == 1) & (F.col("tried") >= 5))
-        candidates = profile.where((kind == "text") & (unique > 3)).join(F.broadcast(dated), "column", "left_semi")
+    if texts:
+        value, n = F.col("value"), F.col("n")
+        dates = F.sum(F.when(_reads_as_date(value), n).otherwise(0))
+        dated = value_counts(df, texts).groupBy("column").agg(dates.alias("dates"), F.sum("n").alias("known"))
+        dated = dated.where((F.col("dates") >= 5) & (F.col("dates") >= PERHAPS_DATES * F.col("known")))
+        candidates = profile.where((kind == "text") & (unique > 3)).join(F.broadcast(dated), "column", "left_semi")  # a row a column
         found = found.unionByName(suggest(candidates, "datetime"))
     return found
 

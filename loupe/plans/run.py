@@ -91,7 +91,7 @@ def status(df: DataFrame, steps: Sequence[Step]) -> DataFrame:
     )
 
 
-def auto_eda(df: DataFrame, order_by: Sequence[str] | None = None, sample_rows: int | None = None, seed: int = 42, first: int | None = None) -> dict[str, DataFrame]:
+def auto_eda(df: DataFrame, sample_rows: int | None = None, seed: int = 42, first: int | None = None) -> dict[str, DataFrame]:
     """Summaries and charts of every column.
 
     Keys: exploratory, histograms, correlation, categorical and timeseries
@@ -99,7 +99,7 @@ def auto_eda(df: DataFrame, order_by: Sequence[str] | None = None, sample_rows:
     ``first`` draws only so many columns of a kind.  ``sample_rows`` takes a
     random part for the numeric summaries; by default all rows count.
     """
-    types = profiling.semantic_types(df, order_by)
+    types = profiling.semantic_types(df)
     of = lambda kind: [c for c, t in types.items() if t == kind]
     numeric, dates, categories = of("numeric"), of("datetime"), of("categorical")
     rows = df

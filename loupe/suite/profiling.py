@@ -10,7 +10,7 @@ ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderda
 # What the rules need, per column, as SQL over a table.
 
 
-def facts_sql(source: str, columns: list[tuple[str, str]], order_by: str | None = None) -> str:
+def facts_sql(source: str, columns: list[tuple[str, str]]) -> str:
     """columns: (name, kind) with kind one of number, text, datetime."""
     parts = []
     for place, (name, kind) in enumerate(columns):
@@ -19,11 +19,6 @@ def facts_sql(source: str, columns: list[tuple[str, str]], order_by: str | None
             "text": f"count(DISTINCT {name}) <= 2 AND bool_and({name} IN ('True', 'False', 'true', 'false'))",
         }.get(kind, "false")
         dated = f"avg(CASE WHEN TRY_CAST({name} AS TIMESTAMP) IS NOT NULL THEN 1 ELSE 0 END) FILTER (WHERE {name} IS NOT NULL) >= 0.8"
-        if kind == "text" and order_by:
-            dated = (
-                f"(SELECT avg(CASE WHEN TRY_CAST({name} AS TIMESTAMP) IS NOT NULL THEN 1 ELSE 0 END) FROM "
-                f"(SELECT {name} FROM t WHERE {name} IS NOT NULL ORDER BY {order_by} LIMIT 200)) >= 0.8"
-            )
         parts.append(
             f"SELECT {place} AS ordinal, '{name}' AS \"column\", '{kind}' AS kind, count(*) AS n_rows, "
             f"count({name}) AS known, count(DISTINCT {name}) AS uniq, coalesce({boolean}, false) AS bool_like, "
@@ -74,10 +69,21 @@ def infer_semantic_types_lines(spark, d):
     return profiling.infer_semantic_types(line_gaps(spark, d)).drop("spark_type")
 
 
+#: the first customers have dates, all others a name
+LEADING = """SELECT c_custkey AS ref, CASE WHEN c_custkey < 300 THEN strftime(DATE '2024-01-01' + CAST(c_custkey AS INT), '%Y-%m-%d') ELSE c_name END AS due
+  FROM customer ORDER BY c_custkey"""
+
+
 @query("infer_semantic_types_leading", f"""
-WITH {facts_sql(DOC_SOURCE, DOC_COLUMNS, order_by="ref")} SELECT ordinal, "column", semantic_type FROM typed""")
+WITH {facts_sql(LEADING, [("ref", "number"), ("due", "text")])} SELECT ordinal, "column", semantic_type FROM typed""")
 def infer_semantic_types_leading(spark, d):
-    return profiling.infer_semantic_types(docs(spark, d), order_by=["ref"]).drop("spark_type")
+    return profiling.infer_semantic_types(dated(table(spark, d, "customer"), F.col("c_custkey") < 300).select("ref", "due")).drop("spark_type")
+
+
+def dated(customers, when):
+    """Customers with a date for some and a name for the others."""
+    day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), F.col("c_custkey").cast("int")), "yyyy-MM-dd")
+    return customers.withColumn("ref", F.col("c_custkey")).withColumn("due", F.when(when, day).otherwise(F.col("c_name")))
 
 
 @query("type_counts", f"""
@@ -213,26 +219,21 @@ def potential_outliers(spark, d):
 
 @query("suggest_types", """
 WITH t AS (SELECT c_custkey, n_regionkey AS region, CASE WHEN c_acctbal > 0 THEN 'Yes' ELSE 'no' END AS paid,
-  CASE WHEN c_custkey < 30 THEN strftime(DATE '2024-01-01' + CAST(c_custkey AS INT), '%Y-%m-%d') ELSE c_name END AS due
+  CASE WHEN c_custkey % 10 < 7 THEN strftime(DATE '2024-01-01' + CAST(c_custkey AS INT), '%Y-%m-%d') ELSE c_name END AS due,
+  CASE WHEN c_custkey % 10 < 4 THEN strftime(DATE '2024-01-01' + CAST(c_custkey AS INT), '%Y-%m-%d') ELSE c_name END AS seldom
   FROM customer JOIN nation ON c_nationkey = n_nationkey),
-f AS (SELECT due FROM t ORDER BY c_custkey LIMIT 20)
+f AS (SELECT 'due' AS "column", TRY_CAST(due AS DATE) AS day FROM t UNION ALL SELECT 'seldom', TRY_CAST(seldom AS DATE) FROM t)
 SELECT 'region' AS "column", 'numeric' AS current, 'categorical' AS suggested FROM t HAVING count(DISTINCT region) BETWEEN 2 AND 5
 UNION ALL SELECT 'paid', 'categorical', 'boolean' FROM t HAVING count(DISTINCT paid) BETWEEN 2 AND 4 AND bool_and(lower(paid) IN ('yes', 'no'))
-UNION ALL SELECT 'due', 'text', 'datetime' FROM f HAVING count(*) >= 5 AND bool_and(TRY_CAST(due AS DATE) IS NOT NULL)""")
+UNION ALL SELECT "column", 'text', 'datetime' FROM f GROUP BY "column" HAVING count(day) >= 5 AND count(day) >= 0.5 * count(*)""")
 def suggest_types(spark, d):
-    customers = (
-        table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
-        .select(
-            F.col("c_custkey").alias("customer"),
-            F.col("n_regionkey").alias("region"),
-            F.when(F.col("c_acctbal") > 0, "Yes").otherwise("no").alias("paid"),
-            # dates at first, then free text: too few dates for a datetime column
-            F.when(F.col("c_custkey") < 30, F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), F.col("c_custkey").cast("int")), "yyyy-MM-dd"))
-            .otherwise(F.col("c_name")).alias("due"),
-        )
+    customers = dated(table(spark, d, "customer"), F.col("c_custkey") % 10 < 7)
+    seldom = F.when(F.col("c_custkey") % 10 < 4, F.col("due")).otherwise(F.col("c_name"))
+    customers = customers.join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.col("c_custkey").alias("customer"), F.col("n_regionkey").alias("region"), F.when(F.col("c_acctbal") > 0, "Yes").otherwise("no").alias("paid"),
+        "due", seldom.alias("seldom"),
     )
-    profile = profiling.profile_columns(customers, order_by=["customer"])
-    return profiling.suggest_types(customers, profile, order_by=["customer"])
+    return profiling.suggest_types(customers, profiling.profile_columns(customers))
 
 
 GAP_PAIRS = [("l_discount", "l_tax"), ("l_discount", "l_returnflag"), ("l_tax", "l_returnflag")]

@@ -208,11 +208,16 @@ def test_semantic_types(spark):
     assert counts["text"] == 2
 
 
-def test_leading_values_decide_dates(spark):
-    df = table(spark, {"i": list(range(400)), "j": list(range(400, 0, -1)), "s": ["2024-01-01"] * 180 + ["x"] * 220})
-    assert profiling.semantic_types(df)["s"] == "categorical"
-    assert profiling.semantic_types(df, order_by=["i"])["s"] == "datetime"  # 180 of the first 200
-    assert profiling.semantic_types(df, order_by=["j"])["s"] == "categorical"
+def test_all_values_decide_dates(spark):
+    table_of = lambda dates: table(spark, {"i": list(range(400)), "s": ["2024-01-01"] * dates + ["x"] * (400 - dates)})
+    # wherever the dates stand
+    assert profiling.semantic_types(table_of(180))["s"] == "categorical"
+    assert profiling.semantic_types(table_of(319))["s"] == "categorical" and profiling.semantic_types(table_of(320))["s"] == "datetime"
+    days = [str(d) for d in pd.date_range("2020-01-01", periods=400).date]
+    for dates, suggested in ((150, False), (200, True), (300, True)):
+        df = table(spark, {"s": [f"no date {k}" for k in range(400 - dates)] + days[:dates]})
+        found = profiling.suggest_types(df, profiling.profile_columns(df))
+        assert [tuple(r) for r in found.collect()] == [("s", "text", "datetime")] * suggested
 
 
 def test_top_values_are_limited_before_the_shuffle(spark):
