@@ -20,8 +20,6 @@ from loupe.operators.profiling import semantic_types, top_values, value_counts
 from loupe.ordered import POSITION, Sort, at_steps, sort_columns, with_position, with_running_sum
 from loupe.quantiles import column_quantiles
 
-SHAPIRO_ROWS = 2000
-
 
 # ------------------------------------------------------------------ shapes
 
@@ -173,27 +171,26 @@ def _explored(df: DataFrame, names: Sequence[str], quartiles: dict[str, list[flo
     return wide.select(F.inline(F.array(*rows)))
 
 
-def _chosen(test: str | None, by_size: Callable[[DataFrame, str], DataFrame]) -> Callable[[DataFrame, str], DataFrame]:
-    """The test of a name, or the one that goes with the number of values."""
+def _chosen(test: str) -> Callable[[DataFrame, str], DataFrame]:
     named = {"shapiro": shapiro_wilk, "ks": kolmogorov_smirnov, "k2": dagostino_pearson}
-    if test is not None and test not in named:
+    if test not in named:
         raise ValueError(f"unknown test {test!r}; use one of {sorted(named)}")
-    return named[test] if test else by_size
+    return named[test]
 
 
-def describe_distribution(df: DataFrame, column: str, test: str | None = None) -> DataFrame:
+def describe_distribution(df: DataFrame, column: str, test: str = "ks") -> DataFrame:
     """One row: summary, quartiles, iqr and a normality test.
 
-    ``test`` is shapiro, ks or k2.  By default it is Kolmogorov-Smirnov against
-    the fitted normal from 2000 values on (its p is too large, as mean and std
-    come from the same data), else Shapiro-Wilk.
+    ``test`` is shapiro, ks or k2, whatever the number of values; by default
+    Kolmogorov-Smirnov against the fitted normal (its p is too large, as mean
+    and std come from the same data).  Fewer than 5 values give no row.
     """
     values = single(df, column)
     summary = eda_exploratory(values, ["v"]).drop("column").withColumn("iqr", F.col("q75") - F.col("q25"))
     n = values.count()
     if n < 5:
         return summary.where(F.lit(False))
-    tested = _chosen(test, kolmogorov_smirnov if n >= SHAPIRO_ROWS else shapiro_wilk)(df, column)
+    tested = _chosen(test)(df, column)
     return attach_row(
         summary,
         tested.select(
@@ -237,22 +234,26 @@ def _polynomial(coefficients: Sequence[float], x: float) -> float:
 
 
 def shapiro_wilk(df: DataFrame, column: str) -> DataFrame:
-    """One row (test, statistic, p_value); for 4 to 5000 values.
+    """One row (test, statistic, p_value); for 4 values or more.
 
-    The bound makes sorting in one task safe.
+    Royston checked the p-value's polynomials up to 5000 values; beyond, they
+    are carried on.
     """
     values = single(df, column)
     n = values.count()
-    if not 4 <= n <= 5000:
-        raise ValueError(f"Shapiro-Wilk needs 4 to 5000 values, there are {n}")
-    score = statistics.NormalDist().inv_cdf
-    scores = [score((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)]
-    total, root = sum(m * m for m in scores), 1 / math.sqrt(n)
-    last = scores[-1] / math.sqrt(total) + _polynomial(_ROYSTON_LAST, root)
-    outer, given = [last], scores[-1] ** 2
+    if n < 4:
+        raise ValueError(f"Shapiro-Wilk needs 4 values, there are {n}")
+    score = lambda i: statistics.NormalDist().inv_cdf((i - 0.375) / (n + 0.25))
+    if n <= 5000:
+        total = sum(score(i) ** 2 for i in range(1, n + 1))
+    else:
+        m = normal_ppf((F.col("id") - 0.375) / F.lit(n + 0.25))
+        total = df.sparkSession.range(1, n + 1).agg(F.sum(m * m)).first()[0]
+    root = 1 / math.sqrt(n)
+    outer, given = [score(n) / math.sqrt(total) + _polynomial(_ROYSTON_LAST, root)], score(n) ** 2
     if n > 5:
-        outer.append(scores[-2] / math.sqrt(total) + _polynomial(_ROYSTON_SECOND, root))
-        given += scores[-2] ** 2
+        outer.append(score(n - 1) / math.sqrt(total) + _polynomial(_ROYSTON_SECOND, root))
+        given += score(n - 1) ** 2
     scale = math.sqrt((total - 2 * given) / (1 - 2 * sum(a * a for a in outer)))
 
     place = F.col(POSITION) + 1
@@ -300,11 +301,11 @@ def dagostino_pearson(df: DataFrame, column: str) -> DataFrame:
     return k2.select(F.lit("D'Agostino-Pearson").alias("test"), "statistic", F.exp(-F.col("statistic") / 2).alias("p_value"))
 
 
-def test_normality(df: DataFrame, column: str, test: str | None = None) -> DataFrame:
+def test_normality(df: DataFrame, column: str, test: str = "k2") -> DataFrame:
     """One row: a normality test with skewness and kurtosis.
 
-    ``test`` is shapiro, ks or k2; by default Shapiro-Wilk up to 2000 values
-    and K2 beyond.
+    ``test`` is shapiro, ks or k2, whatever the number of values; by default
+    K2.  Fewer than 8 values give no row.
     """
     values = single(df, column)
     n = values.count()
@@ -315,7 +316,7 @@ def test_normality(df: DataFrame, column: str, test: str | None = None) -> DataF
             F.lit("").alias("test"), F.lit(0.0).alias("statistic"), F.lit(0.0).alias("p_value"),
             F.lit(False).alias("is_normal"), "skewness", "kurtosis",
         )
-    result = _chosen(test, shapiro_wilk if n <= SHAPIRO_ROWS else dagostino_pearson)(df, column)
+    result = _chosen(test)(df, column)
     return attach_row(result.withColumn("is_normal", F.col("p_value") > 0.05), shape)
 
 
@@ -586,30 +587,40 @@ def segment_profile(
     """(column, segment_mean, rest_mean, diff_pct): the n rows highest or lowest by metric against the rest.
 
     Compares all numeric columns, or the given ones, largest difference first.  ``order_by``
-    breaks ties in the metric.  The rest's sums are the table's less the segment's.
+    breaks ties in the metric, a hash of the compared columns what is left.
+    Nothing is subtracted: a value outside the segment is summed with the rest,
+    so large and infinite ones in the segment leave the rest as it is.
     """
     require(df, metric, *order_by)
     if direction not in ("top", "bottom"):
         raise ValueError("direction is 'top' or 'bottom'")
     names = [c for c in (numeric_columns(df) if compare_cols is None else compare_cols) if c in df.columns and c != metric]
-    order = F.desc("_m") if direction == "top" else F.asc("_m")
+    m = number(metric)
     columns = [number(c).alias(f"c{i}") for i, c in enumerate(names)]
-    ties = [F.asc(f"_t{i}") for i in range(len(order_by))]
-    chosen = (
-        df.select(number(metric).alias("_m"), *[col(c).alias(f"_t{i}") for i, c in enumerate(order_by)], *columns)
-        .where(F.col("_m").isNotNull()).orderBy(order, *ties).limit(top_n)
-    )
-    sums = lambda side: [a for i in range(len(names)) for a in (F.sum(f"c{i}").alias(f"{side}s{i}"), F.count(f"c{i}").alias(f"{side}n{i}"))]
-    both = attach_row(df.select(*columns).agg(*sums("all_")), chosen.agg(*sums("seg_")))
-    zero = F.lit(0.0)
+    values = df.select(m.alias("_m"), *columns, *[col(c).alias(f"_t{i}") for i, c in enumerate(order_by)])
+    parts = [p for i in range(len(names)) for p in (F.isnull(f"c{i}"), F.col(f"c{i}"))]
+    sort = F.struct((-F.col("_m") if direction == "top" else F.col("_m")).alias("m"), *[F.col(f"_t{i}") for i in range(len(order_by))], F.xxhash64(F.lit(1), *parts).alias("h"))
+    values = values.withColumn("_place", F.when(F.col("_m").isNotNull(), sort))
+    # the segment's last place; of rows that share it as many belong as are left, and they hold the same values
+    edge = values.where(F.col("_place").isNotNull()).orderBy("_place").limit(top_n).agg(F.max("_place").alias("_last"), F.count("*").alias("_n"))
+    before, at = F.coalesce(F.col("_place") < F.col("_last"), F.lit(False)), F.coalesce(F.col("_place") == F.col("_last"), F.lit(False))
+    sums = [F.first("_n").alias("_n"), F.count_if(before).alias("_before"), F.count_if(at).alias("_at")]
+    for i in range(len(names)):
+        v = F.col(f"c{i}")
+        for side, rows in (("b", before), ("r", ~before & ~at)):
+            sums += [F.sum(F.when(rows, v)).alias(f"{side}s{i}"), F.count(F.when(rows, v)).alias(f"{side}n{i}")]
+        sums.append(F.max(F.when(at, v)).alias(f"at{i}"))
+    both = attach_row(values, edge).agg(*sums)
+    own = F.col("_n") - F.col("_before")
+
+    def mean(side: str, i: int, shared: Column) -> Column:
+        v = F.col(f"at{i}")
+        more = F.when((shared > 0) & v.isNotNull(), shared * v)
+        n = F.col(f"{side}n{i}") + F.when(v.isNotNull(), shared).otherwise(0)
+        return F.when(n > 0, F.coalesce(F.col(f"{side}s{i}") + more, f"{side}s{i}", more) / n)
+
     rows = [
-        F.struct(
-            F.lit(c).alias("column"),
-            F.try_divide(F.col(f"seg_s{i}"), F.col(f"seg_n{i}")).alias("segment_mean"),
-            F.try_divide(
-                F.col(f"all_s{i}") - F.coalesce(F.col(f"seg_s{i}"), zero), F.col(f"all_n{i}") - F.col(f"seg_n{i}")
-            ).alias("rest_mean"),
-        )
+        F.struct(F.lit(c).alias("column"), mean("b", i, own).alias("segment_mean"), mean("r", i, F.col("_at") - own).alias("rest_mean"))
         for i, c in enumerate(names)
     ]
     rest = F.col("rest_mean")

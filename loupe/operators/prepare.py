@@ -166,18 +166,7 @@ def data_lookup(
     require(df, column, *order_by, *(columns or ()))
     if limit is not None and not order_by:
         raise ValueError("a limit needs order_by: without an order the rows would be arbitrary")
-    try:
-        sought = float(value)
-    except ValueError:
-        sought = None
-    if sought is not None and is_numeric(df.schema[column].dataType):
-        matched = df.where(col(column) == F.lit(sought))
-    else:
-        text = col(column).cast("string")
-        if literal:
-            matched = df.where(F.contains(F.lower(text), F.lower(F.lit(str(value)))))
-        else:
-            matched = df.where(text.rlike("(?i)" + str(value)))
+    matched = df.where(_matches(df, column, value, literal))
     if order_by:
         matched = matched.orderBy(*[col(c) for c in order_by])
     if limit is not None:
@@ -185,6 +174,25 @@ def data_lookup(
     return matched.select(*[col(c) for c in columns or df.columns])
 
 
+def _matches(df: DataFrame, column: str, value: str, literal: bool) -> Column:
+    try:
+        sought = float(value)
+    except ValueError:
+        sought = None
+    if sought is not None and is_numeric(df.schema[column].dataType):
+        return col(column) == F.lit(sought)
+    text = col(column).cast("string")
+    if literal:
+        return F.contains(F.lower(text), F.lower(F.lit(str(value))))
+    return text.rlike("(?i)" + str(value))
+
+
+def lookup_stats(df: DataFrame, column: str, value: str, literal: bool = False) -> DataFrame:
+    """One row (matched, total): the rows that :func:`data_lookup` finds without a limit, and all rows."""
+    require(df, column)
+    return df.agg(F.count_if(_matches(df, column, value, literal)).alias("matched"), F.count("*").alias("total"))
+
+
 def drop_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Drop the columns that exist."""
     return df.drop(*[c for c in columns if c in df.columns])

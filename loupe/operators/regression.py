@@ -313,12 +313,12 @@ def _share_of(prepared: Prepared, keys: Sequence[str], seed: int, parts: int) ->
 def cross_val_r2(model: LinearModel, folds: int = 5, keys: Sequence[str] = (), seed: int = 42) -> DataFrame:
     """(fold, n, r2): each fold predicted by a model of the others, from one pass of sums.
 
-    Rows fall into folds by a hash of ``keys``, or of their values.
+    Rows fall into folds by a hash of ``keys``, or of their values.  Fewer than
+    two rows a fold give no result.
     """
     p = len(model.features)
-    folds = folds if model.n >= 2 * folds else min(3, model.n // 2)
     schema = "fold long, n long, r2 double"
-    if folds < 2:
+    if folds < 2 or model.n < 2 * folds:
         return model.spark.createDataFrame([], schema)
     parts = moments_by(model.prepared.data, [*model.prepared.xs, "y"], _share_of(model.prepared, keys, seed, folds), model.fitted.means)
     rows = []
@@ -357,8 +357,8 @@ def _lasso(r: np.ndarray, rho: np.ndarray, alpha: float, steps: int = 5000) -> n
 def compare_models(model: LinearModel, keys: Sequence[str] = (), seed: int = 42, alpha: float = 1.0) -> DataFrame:
     """(model, n_train, n_test, r2, rmse) on a fifth of the rows held out by hash.
 
-    Linear, and with more than three features Ridge (alpha 1) and Lasso (alpha
-    0.1) on columns scaled by the training rows.  Fewer than 10 rows: no result.
+    Linear, and Ridge (alpha 1) and Lasso (alpha 0.1) on columns scaled by the
+    training rows.  Fewer than 10 rows: no result.
     """
     p = len(model.features)
     schema = "model string, n_train long, n_test long, r2 double, rmse double"
@@ -374,9 +374,8 @@ def compare_models(model: LinearModel, keys: Sequence[str] = (), seed: int = 42,
     gram = train.cross[:p, :p] / np.outer(scale, scale)
     with_y = train.cross[:p, p] / scale
     weights = {"Linear": _solve(train.cross[:p, :p], train.cross[:p, p]) * scale}
-    if p > 3:
-        weights["Ridge"] = np.linalg.solve(gram + alpha * np.eye(p), with_y)
-        weights["Lasso"] = _lasso(gram / train.n, with_y / train.n, alpha / 10)
+    weights["Ridge"] = np.linalg.solve(gram + alpha * np.eye(p), with_y)
+    weights["Lasso"] = _lasso(gram / train.n, with_y / train.n, alpha / 10)
     rows = []
     for name, w in weights.items():
         b = w / scale

@@ -15,10 +15,6 @@ from loupe.ordered import POSITION, Sort, with_position, with_running_sum
 from loupe.quantiles import group_quantiles
 from loupe.session import durable
 
-#: most levels of y for which a contingency table lists its empty cells
-DENSE_LEVELS = 1000
-
-
 #: distinct values of a column up to which its ranks, 16 bytes each, are broadcast
 BROADCAST_RANKS = 100_000
 
@@ -149,12 +145,11 @@ def _cells(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.na.drop(subset=[x, y]).groupBy(col(x).alias("x"), col(y).alias("y")).agg(F.count("*").alias("count"))
 
 
-def cross_tabulate(df: DataFrame, x: str, y: str, dense: bool = True, max_levels: int = DENSE_LEVELS) -> DataFrame:
-    """(x, y, count), empty cells included.
+def cross_tabulate(df: DataFrame, x: str, y: str, dense: bool = False, max_levels: int = 1000) -> DataFrame:
+    """(x, y, count) of the cells that occur.
 
-    The levels of y are listed for every level of x, so more than
-    ``max_levels`` are refused; ``dense=False`` leaves empty cells out and has
-    no bound.
+    ``dense`` adds the empty ones: the levels of y are listed for every level
+    of x, so then more than ``max_levels`` are refused.
     """
     cells = _cells(df, x, y)
     if not dense:
@@ -276,19 +271,17 @@ def kruskal_wallis(df: DataFrame, group: str, value: str) -> DataFrame:
     )
 
 
-def compare_groups(df: DataFrame, group: str, value: str, test: str | None = None) -> DataFrame:
+def compare_groups(df: DataFrame, group: str, value: str, test: str = "anova") -> DataFrame:
     """One row: a test of the groups' difference, and eta squared.
 
-    ``test`` is anova or kruskal; by default ANOVA if every group has 30
-    values, else Kruskal-Wallis.  Groups need 3 values; with fewer than 2
-    groups there is no row.
+    ``test`` is anova or kruskal, whatever the groups' sizes.  Groups need 3
+    values; with fewer than 2 groups there is no row.
     """
-    if test not in (None, "anova", "kruskal"):
+    if test not in ("anova", "kruskal"):
         raise ValueError("test is 'anova' or 'kruskal'")
     groups = _groups(df, group, value)
-    smallest, k = groups.agg(F.min("n"), F.count("*")).first()
-    parametric = test == "anova" or test is None and k >= 2 and smallest >= 30
-    chosen = anova if parametric else kruskal_wallis
+    k = groups.count()
+    chosen = anova if test == "anova" else kruskal_wallis
     sums = _between(groups).where(F.col("n_groups") >= 2)
     eta = F.coalesce(F.try_divide(F.col("ssb"), F.col("ssb") + F.col("ssw")), F.lit(0.0))
     if k < 2:

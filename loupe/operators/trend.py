@@ -134,13 +134,13 @@ def _row_order(tie_by: Sequence[str]) -> list:
 
 
 def moving_average(
-    df: DataFrame, date_col: str, metric: str, window: int = 0, tie_by: Sequence[str] = (),
+    df: DataFrame, date_col: str, metric: str, window: int = 7, tie_by: Sequence[str] = (),
     partition_by: Sequence[str] = (),
 ) -> DataFrame:
     """(keys, date, ties, original, moving_avg): centred mean of ``window`` rows in date order.
 
     NULL where the window is not full.  For an even window the extra row lies
-    before.  0 takes a twentieth of the rows, 3 at least.  ``tie_by`` orders
+    before.  A window of 0 asks for a twentieth of the rows, 3 at least.  ``tie_by`` orders
     rows of one date, the value itself what is left; ``partition_by`` smooths
     each series alone.
     """

@@ -27,7 +27,7 @@ ANALYSES: dict[str, Analysis] = {}
 #: parameters that name columns
 COLUMN_PARAMETERS = {
     "column", "columns", "x", "y", "group_col", "value_col", "date_col", "metric_col", "label_col", "subset",
-    "context_cols", "agg_column", "group_by", "compare_cols", "order_by", "tie_by",
+    "context_cols", "agg_column", "group_by", "compare_cols", "order_by", "tie_by", "partition_by",
 }
 
 
@@ -40,9 +40,9 @@ def analysis(category: str, chart: str):
 
 
 @analysis("distribution", "histogram")
-def describe_distribution(df, column: str) -> Tables:
+def describe_distribution(df, column: str, test: str = "ks") -> Tables:
     return {
-        "stats": distribution.describe_distribution(df, column),
+        "stats": distribution.describe_distribution(df, column, test),
         "histogram": distribution.histogram(df, column),
         "kde": distribution.kde(df, column),
     }
@@ -65,8 +65,8 @@ def detect_outliers(df, column: str, method: str = "both") -> Tables:
 
 
 @analysis("distribution", "qq")
-def test_normality(df, column: str) -> Tables:
-    return {"stats": distribution.test_normality(df, column), "qq": distribution.qq_points(df, column)}
+def test_normality(df, column: str, test: str = "k2") -> Tables:
+    return {"stats": distribution.test_normality(df, column, test), "qq": distribution.qq_points(df, column)}
 
 
 @analysis("distribution", "donut")
@@ -83,14 +83,14 @@ def correlate(df, x: str, y: str, method: str = "pearson") -> Tables:
 
 
 @analysis("relationship", "stacked_bar")
-def cross_tabulate(df, x: str, y: str) -> Tables:
-    return {"stats": relationship.cross_stats(df, x, y), "table": relationship.cross_tabulate(df, x, y)}
+def cross_tabulate(df, x: str, y: str, dense: bool = False) -> Tables:
+    return {"stats": relationship.cross_stats(df, x, y), "table": relationship.cross_tabulate(df, x, y, dense)}
 
 
 @analysis("relationship", "boxplot")
-def compare_groups(df, group_col: str, value_col: str) -> Tables:
+def compare_groups(df, group_col: str, value_col: str, test: str = "anova") -> Tables:
     return {
-        "stats": relationship.compare_groups(df, group_col, value_col),
+        "stats": relationship.compare_groups(df, group_col, value_col, test),
         "table": relationship.group_boxplot(df, group_col, value_col),
     }
 
@@ -128,10 +128,12 @@ def timeseries_line(df, date_col: str, metric_col: str, freq: str = "auto") -> T
 
 
 @analysis("trend", "line")
-def timeseries_decompose(df, date_col: str, metric_col: str, period: int = 12, tie_by: Sequence[str] = ()) -> Tables:
+def timeseries_decompose(
+    df, date_col: str, metric_col: str, period: int = 12, tie_by: Sequence[str] = (), partition_by: Sequence[str] = (), freq: str | None = None,
+) -> Tables:
     return {
-        "stats": trend.decompose_stats(df, date_col, metric_col, period, tie_by),
-        "table": trend.timeseries_decompose(df, date_col, metric_col, period, tie_by),
+        "stats": trend.decompose_stats(df, date_col, metric_col, period, tie_by, partition_by, freq),
+        "table": trend.timeseries_decompose(df, date_col, metric_col, period, tie_by, partition_by, freq),
     }
 
 
@@ -144,8 +146,12 @@ def timeseries_growth(df, date_col: str, metric_col: str, mode: str = "auto") ->
 
 
 @analysis("trend", "line")
-def moving_average(df, date_col: str, metric_col: str, window: int = 0, tie_by: Sequence[str] = ()) -> Tables:
-    return {"table": trend.moving_average(df, date_col, metric_col, window, tie_by)}
+def moving_average(
+    df, date_col: str, metric_col: str, window: int = 7, tie_by: Sequence[str] = (), partition_by: Sequence[str] = (), freq: str | None = None,
+) -> Tables:
+    series = df if freq is None else trend.resample_sum(df, date_col, metric_col, freq)
+    names = (date_col, metric_col) if freq is None else ("period_end", "value")
+    return {"table": trend.moving_average(series, *names, window, tie_by if freq is None else (), partition_by if freq is None else ())}
 
 
 @analysis("trend", "horizontal_bar")
@@ -177,7 +183,7 @@ def profile_duplicates(df, subset: Sequence[str] | None = None) -> Tables:
 
 @analysis("trend", "table")
 def data_lookup(df, column: str, value: str, limit: int | None = None, order_by: Sequence[str] = ()) -> Tables:
-    return {"table": prepare.data_lookup(df, column, str(value), limit, order_by)}
+    return {"stats": prepare.lookup_stats(df, column, str(value)), "table": prepare.data_lookup(df, column, str(value), limit, order_by)}
 
 
 @analysis("distribution", "bar")

@@ -69,7 +69,7 @@ def describe_distribution(spark, d):
 SELECT {summary_sql("s_acctbal")}, {R("quantile_cont(s_acctbal, 0.75) - quantile_cont(s_acctbal, 0.25)")} AS iqr,
        'Shapiro-Wilk' AS normality_test FROM supplier""")
 def describe_distribution_small(spark, d):
-    row = dist.describe_distribution(table(spark, d, "supplier"), "s_acctbal").drop("normality_stat", "normality_p")
+    row = dist.describe_distribution(table(spark, d, "supplier"), "s_acctbal", "shapiro").drop("normality_stat", "normality_p")
     return rounded(row, skewness=3, kurtosis=3)
 
 
@@ -355,3 +355,33 @@ def segment_profile(spark, d):
 def segment_profile_bottom(spark, d):
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     return rounded(dist.segment_profile(table(spark, d, "lineitem"), "l_extendedprice", SEGMENT, "bottom", 100, keys))
+
+
+#: the segment holds one value of 1e18 and one that is infinite
+SPIKES = """SELECT * REPLACE (CASE WHEN rn = 1 THEN 1e18 ELSE l_quantity END AS l_quantity, CASE WHEN rn = 2 THEN CAST('Infinity' AS DOUBLE) ELSE l_tax END AS l_tax)
+  FROM (SELECT *, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS rn FROM lineitem)"""
+
+
+@query("segment_profile_spikes", f"""WITH t AS ({SPIKES}), p AS (""" + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", avg({c}) FILTER (WHERE rn <= 100) AS s, avg({c}) FILTER (WHERE rn > 100) AS r FROM t" for c in SEGMENT
+) + f""") SELECT "column", CASE WHEN s < 1e15 THEN {R("s")} END AS segment_mean, s > 1e15 AS spike, {R("r")} AS rest_mean FROM p""")
+def segment_profile_spikes(spark, d):
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    lines = table(spark, d, "lineitem")
+    first = lines.orderBy(F.desc("l_extendedprice"), *keys).limit(2).select(*keys).collect()
+    is_row = lambda r: sum((F.when(F.col(k) == r[k], 1).otherwise(0) for k in keys), F.lit(0)) == len(keys)
+    spiked = lines.withColumns({
+        "l_quantity": F.when(is_row(first[0]), 1e18).otherwise(F.col("l_quantity")),
+        "l_tax": F.when(is_row(first[1]), float("inf")).otherwise(F.col("l_tax")),
+    })
+    found = dist.segment_profile(spiked, "l_extendedprice", SEGMENT, "top", 100, keys)
+    mean = F.col("segment_mean")
+    return rounded(found.select("column", F.when(mean < 1e15, mean).alias("segment_mean"), (mean > 1e15).alias("spike"), "rest_mean"))
+
+
+@query("test_normality_shapiro", """
+SELECT 'Shapiro-Wilk' AS test, count(*) > 5000 AS many FROM events""")
+def test_normality_shapiro(spark, d):
+    events = table(spark, d, "events")
+    found = dist.test_normality(events, "value", "shapiro").where("statistic BETWEEN 0.5 AND 1 AND NOT is_normal").select("test")
+    return found.crossJoin(events.agg((F.count("*") > 5000).alias("many")))

@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, functions as F
 from loupe.operators import history, jsontext
 from loupe.plans import run
 from loupe.plans.analyses import ANALYSES
+from loupe.suite.distribution import histogram_sql
 from loupe.suite.registry import R, query, rounded, table
+from loupe.suite.trend import periods_sql
 
 
 @query("keep_latest_n", """
@@ -113,3 +115,41 @@ HAVING NOT (count(DISTINCT {c}) > 50 AND count(DISTINCT {c}) / count(*) > 0.9)""
 def auto_eda(spark, d):
     found = run.auto_eda(table(spark, d, "lineitem"))
     return rounded(found["exploratory"].select("column", "count", "mean"), 8)
+
+
+EDA = ["l_quantity", "l_linenumber", "l_discount", "l_tax"]
+EDA_STATS = {"count": "count({})", "mean": "avg({})", "std": "stddev({})", "q25": "quantile_cont({}, 0.25)", "q50": "quantile_cont({}, 0.5)", "max": "max({})"}
+
+
+def eda_parts_sql() -> str:
+    parts = [
+        f"SELECT 'exploratory' AS part, '{c} {name}' AS key, CAST({of.format(f'CAST({c} AS DOUBLE)')} AS DOUBLE) AS value FROM lineitem"
+        for c in EDA for name, of in EDA_STATS.items()
+    ]
+    parts += [
+        f"SELECT 'histograms', '{c} ' || bin, CAST(count AS DOUBLE) FROM ({histogram_sql('(SELECT CAST(' + c + ' AS DOUBLE) AS ' + c + ' FROM lineitem)', c, 30)})"
+        for c in EDA
+    ]
+    parts += [f"SELECT 'correlation', '{a} {b}', corr({a}, {b}) FROM lineitem" for i, a in enumerate(EDA) for b in EDA[i + 1 :]]
+    parts += [
+        f"SELECT 'categorical', '{c} ' || v, CAST(n AS DOUBLE) FROM (SELECT {c} AS v, count(*) AS n FROM lineitem GROUP BY ALL ORDER BY n DESC, v LIMIT 5)"
+        for c in ("l_returnflag", "l_linestatus")
+    ]
+    parts.append(f"SELECT 'timeseries', period_end, value FROM ({periods_sql('lineitem', 'l_shipdate', 'l_quantity', 'M')})")
+    return f"SELECT part, key, {R('value', 6)} AS value FROM ({' UNION ALL '.join(parts)})"
+
+
+@query("auto_eda_parts", eda_parts_sql())
+def auto_eda_parts(spark, d):
+    """Every part of the automatic summary, over the whole table."""
+    found = run.auto_eda(table(spark, d, "lineitem").select(*EDA, "l_returnflag", "l_linestatus", "l_shipdate"))
+    key = lambda *names: F.concat_ws(" ", *[F.col(n).cast("string") for n in names]).alias("key")
+    stats = found["exploratory"].unpivot(["column"], [F.col(s).cast("double").alias(s) for s in EDA_STATS], "stat", "value")
+    rows = [
+        ("exploratory", stats.select(key("column", "stat"), "value")),
+        ("histograms", found["histograms"].select(key("column", "bin"), F.col("count").cast("double").alias("value"))),
+        ("correlation", found["correlation"].select(key("column_a", "column_b"), F.col("r").alias("value"))),
+        ("categorical", found["categorical"].select(key("column", "value"), F.col("count").cast("double").alias("value"))),
+        ("timeseries", found["timeseries"].select(F.date_format("period_end", "yyyy-MM-dd").alias("key"), "value")),
+    ]
+    return rounded(reduce(DataFrame.unionByName, [df.withColumn("part", F.lit(name)) for name, df in rows]), 6)

@@ -158,6 +158,14 @@ def data_lookup(spark, d):
     return prepare.data_lookup(table(spark, d, "pages"), "url", "/FR/.*page=[0-9]", limit=20, order_by=["page_id"])
 
 
+@query("lookup_stats", """
+SELECT 'page' AS sought, count(*) FILTER (WHERE regexp_matches(lower(url), '/fr/.*page=[0-9]')) AS matched, count(*) AS total FROM pages
+UNION ALL SELECT 'size', count(*) FILTER (WHERE p_size = 11), count(*) FROM part""")
+def lookup_stats(spark, d):
+    pages = prepare.lookup_stats(table(spark, d, "pages"), "url", "/FR/.*page=[0-9]").withColumn("sought", F.lit("page"))
+    return pages.unionByName(prepare.lookup_stats(table(spark, d, "part"), "p_size", "11.0").withColumn("sought", F.lit("size")))
+
+
 @query("data_lookup_number", """
 SELECT * FROM part WHERE p_size = 11""")
 def data_lookup_number(spark, d):

@@ -72,14 +72,14 @@ WITH c AS (SELECT l_shipdate AS x, l_returnflag AS y, count(*) AS n FROM lineite
 SELECT strftime(x, '%Y-%m-%d') AS x, y, coalesce(n, 0) AS count
 FROM (SELECT DISTINCT x FROM c) CROSS JOIN (SELECT DISTINCT y FROM c) LEFT JOIN c USING (x, y)""")
 def cross_tabulate(spark, d):
-    cells = rel.cross_tabulate(table(spark, d, "lineitem"), "l_shipdate", "l_returnflag")
+    cells = rel.cross_tabulate(table(spark, d, "lineitem"), "l_shipdate", "l_returnflag", dense=True)
     return cells.withColumn("x", F.date_format("x", "yyyy-MM-dd"))
 
 
 @query("cross_tabulate_sparse", """
 SELECT p_brand AS x, p_type AS y, count(*) AS count FROM part GROUP BY ALL""")
 def cross_tabulate_sparse(spark, d):
-    return rel.cross_tabulate(table(spark, d, "part"), "p_brand", "p_type", dense=False)
+    return rel.cross_tabulate(table(spark, d, "part"), "p_brand", "p_type")
 
 
 def chi2_sql(source: str, x: str, y: str) -> str:
@@ -144,8 +144,7 @@ WITH {groups_sql("orders", "o_custkey", "o_totalprice")}, {KRUSKAL}
 SELECT 'Kruskal-Wallis' AS test, {R("h")} AS statistic, {R("ssb / (ssb + ssw)", 6)} AS eta_squared,
   k AS n_groups, CAST(n AS BIGINT) AS total_n FROM s, h""")
 def compare_groups_ranks(spark, d):
-    """Customers with few orders, so that the rank test is chosen."""
-    row = rel.compare_groups(table(spark, d, "orders"), "o_custkey", "o_totalprice").drop("p_value", "significant")
+    row = rel.compare_groups(table(spark, d, "orders"), "o_custkey", "o_totalprice", "kruskal").drop("p_value", "significant")
     return rounded(row, 6, statistic=4)
 
 

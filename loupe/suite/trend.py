@@ -31,13 +31,13 @@ def resample_sum(spark, d):
     return rounded(dated(result), 2)
 
 
-# A series with gaps: days without events of one kind, summed per day
-ERRORS = "(SELECT ts, value FROM events WHERE event_type = 'error' AND value > 60)"
+# A series with gaps: every event is moved to the last day before it that is a multiple of three days after the year began
+MOVED = "(SELECT ts - INTERVAL 1 DAY * (date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) % 3) AS ts, value FROM events)"
 
 
-@query("resample_sum_gaps", f"SELECT period_end, {R('value', 2)} AS value FROM ({periods_sql(ERRORS, 'ts', 'value', 'D')})")
+@query("resample_sum_gaps", f"SELECT period_end, {R('value', 2)} AS value FROM ({periods_sql(MOVED, 'ts', 'value', 'D')})")
 def resample_sum_gaps(spark, d):
-    events = table(spark, d, "events").where("event_type = 'error' AND value > 60")
+    events = table(spark, d, "events").withColumn("ts", F.expr("ts - make_dt_interval(datediff(ts, DATE'2024-01-01') % 3)"))
     return rounded(dated(trend.resample_sum(events, "ts", "value", "D")), 2)
 
 

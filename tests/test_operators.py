@@ -268,6 +268,31 @@ def test_shapiro_wilk_published_example(spark):
     assert row.p_value == pytest.approx(0.006704, abs=1e-4)
 
 
+def test_shapiro_has_no_upper_bound(spark):
+    rng = np.random.default_rng(3)
+    df = table(spark, {"a": rng.normal(5, 2, 6000).tolist(), "b": rng.uniform(0, 1, 6000).tolist()})
+    assert distribution.shapiro_wilk(df, "a").first().statistic > 0.999 > 0.97 > distribution.shapiro_wilk(df, "b").first().statistic > 0.9
+
+
+def test_the_rest_of_a_segment_is_summed_alone(spark):
+    inf = float("inf")
+    for top, mean in ((1e18, 1e18), (inf, inf), (None, None), (-inf, -inf)):
+        df = table(spark, {"m": [1.0] * 99 + [2.0, None], "v": [1.0] * 99 + [top, 1.0]}, "m double, v double")
+        row = distribution.segment_profile(df, "m", ["v"]).first()
+        assert (row.segment_mean, row.rest_mean) == (mean, 1.0)
+        low = distribution.segment_profile(df, "m", ["v"], "bottom", 99).first()
+        assert (low.segment_mean, low.rest_mean) == (1.0, pytest.approx((1.0 if top is None else (top + 1.0) / 2)))
+    # rows that are alike up to the edge: as many as are left
+    df = table(spark, {"m": [5.0] * 10 + [1.0] * 10, "v": [4.0] * 10 + [6.0] * 10})
+    assert tuple(distribution.segment_profile(df, "m", ["v"], top_n=4).first())[1:3] == (4.0, pytest.approx((6 * 4 + 60) / 16))
+    assert tuple(distribution.segment_profile(df, "m", ["v"], top_n=12).first())[1:3] == (pytest.approx((40 + 12) / 12), 6.0)
+    assert tuple(distribution.segment_profile(df, "m", ["v"], top_n=50).first())[1:3] == (5.0, None)
+    frame = pd.DataFrame({"m": np.arange(200) % 13, "t": np.arange(200), "v": np.random.default_rng(1).normal(size=200)})
+    ranked = frame.sort_values(["m", "t"], ascending=[False, True])
+    row = distribution.segment_profile(spark.createDataFrame(frame), "m", ["v"], top_n=37, order_by=["t"]).first()
+    assert (row.segment_mean, row.rest_mean) == (pytest.approx(ranked["v"][:37].mean()), pytest.approx(ranked["v"][37:].mean()))
+
+
 def test_normal_data_pass_and_skewed_data_fail(spark):
     rng = np.random.default_rng(2)
     for n in (500, 3000):
@@ -416,7 +441,7 @@ def test_yates_correction(spark):
 def test_empty_cells_count(spark):
     rows = [("a", "x")] * 10 + [("b", "y")] * 6 + [("b", "z")] * 4
     df = spark.createDataFrame(rows, ["x", "y"])
-    cells = {(r.x, r.y): r["count"] for r in relationship.cross_tabulate(df, "x", "y").collect()}
+    cells = {(r.x, r.y): r["count"] for r in relationship.cross_tabulate(df, "x", "y", dense=True).collect()}
     assert len(cells) == 6 and cells["a", "z"] == 0
     row = relationship.cross_stats(df, "x", "y").first()
     assert (row.chi2, row.dof, row.cramers_v) == (pytest.approx(20.0), 2, pytest.approx(1.0))
@@ -428,7 +453,7 @@ def test_empty_cells_count(spark):
 def test_kruskal_wallis_published_example(spark):
     groups = {"x": [2.9, 3.0, 2.5, 2.6, 3.2], "y": [3.8, 2.7, 4.0, 2.4], "z": [2.8, 3.4, 3.7, 2.2, 2.0], "few": [9.0, 9.5]}
     rows = [(g, v) for g, vs in groups.items() for v in vs]
-    row = relationship.compare_groups(spark.createDataFrame(rows, ["g", "v"]), "g", "v").first()
+    row = relationship.compare_groups(spark.createDataFrame(rows, ["g", "v"]), "g", "v", "kruskal").first()
     assert (row.test, row.n_groups, row.total_n) == ("Kruskal-Wallis", 3, 14)
     assert row.statistic == pytest.approx(0.77143, abs=1e-5)
     assert row.p_value == pytest.approx(0.68, abs=1e-3)
@@ -837,11 +862,15 @@ def test_scopes_delete_their_copies(spark):
 
 def test_tests_can_be_chosen(spark):
     df = spark.range(60).select((F.col("id") % 3).cast("string").alias("g"), F.pow(F.col("id").cast("double"), F.lit(1.5)).alias("v"))
-    names = {t: distribution.describe_distribution(df, "v", t).first().normality_test for t in (None, "shapiro", "ks", "k2")}
-    assert names == {None: "Shapiro-Wilk", "shapiro": "Shapiro-Wilk", "ks": "Kolmogorov-Smirnov", "k2": "D'Agostino-Pearson"}
+    names = {t: distribution.describe_distribution(df, "v", t).first().normality_test for t in ("shapiro", "ks", "k2")}
+    # the defaults are the same at every size
+    for few in (df, df.limit(20), df.crossJoin(spark.range(100).withColumnRenamed("id", "j"))):
+        assert distribution.describe_distribution(few, "v").first().normality_test == "Kolmogorov-Smirnov"
+        assert distribution.test_normality(few, "v").first().test == "D'Agostino-Pearson"
+        assert relationship.compare_groups(few, "g", "v").first().test == "ANOVA"
+    assert names == {"shapiro": "Shapiro-Wilk", "ks": "Kolmogorov-Smirnov", "k2": "D'Agostino-Pearson"}
     assert distribution.test_normality(df, "v", "k2").first().test == "D'Agostino-Pearson"
-    assert relationship.compare_groups(df, "g", "v").first().test == "Kruskal-Wallis"
-    assert relationship.compare_groups(df, "g", "v", "anova").first().test == "ANOVA"
+    assert relationship.compare_groups(df, "g", "v", "kruskal").first().test == "Kruskal-Wallis"
     with pytest.raises(ValueError):
         relationship.compare_groups(df, "g", "v", "t")
 
