@@ -305,9 +305,14 @@ def _test_errors(test: Moments, b: np.ndarray, intercept: float) -> tuple[float,
 
 
 def _share_of(prepared: Prepared, keys: Sequence[str], seed: int, parts: int) -> Column:
-    """A part from 0 to parts-1 that depends on the row's values only."""
+    """A part from 0 to parts-1 that depends on the row's values only.
+
+    It is the MD5 of the seed and the values as text, which other engines have
+    as well, so that a split can be made again elsewhere.
+    """
     columns = [col(k) for k in keys] or [F.col("y"), *[F.col(x) for x in prepared.xs]]
-    return F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(parts))
+    text = F.concat_ws("/", F.lit(str(seed)), *[F.coalesce(c.cast("string"), F.lit("null")) for c in columns])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % F.lit(parts)
 
 
 def cross_val_r2(model: LinearModel, folds: int = 5, keys: Sequence[str] = (), seed: int = 42) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from loupe.operators import regression as reg, whatif
-from loupe.suite.registry import LINE_GAPS, R, digits, line_gaps, query, rounded, table
+from loupe.suite.registry import LINE_GAPS, R, digits, line_gaps, query, rounded, solved_sql, table
 
 # l_extendedprice on l_quantity and l_discount (with gaps, filled with the median)
 FEATURES = ["l_quantity", "l_discount"]
@@ -129,22 +129,82 @@ def durbin_watson(spark, d):
     return rounded(reg.durbin_watson(fitted(spark, d), [*KEYS, "y", "x1"]), 6)
 
 
-@query("cross_val_r2")
-def cross_val_r2(spark, d):
-    return reg.cross_val_r2(fitted(spark, d), keys=KEYS)
+def folds_sql(features: list[str]) -> str:
+    """CTEs over rows (k, y, x0, x1, ...) of ``rows``: ``parts`` with their fold of five, and ``trained`` with the sums of the other folds."""
+    names = [*features, "y"]
+    text = "'42/' || " + " || '/' || ".join(KEYS)
+    covariances = " UNION ALL ".join(
+        f"SELECT f, {i} AS i, {j} AS j, c{i}_{j} AS v FROM trained" for i in range(len(features)) for j in range(len(names))
+    )
+    sums = ", ".join(
+        [f"avg({c}) AS m{i}" for i, c in enumerate(names)]
+        + [f"covar_pop({a}, {b}) * count(*) AS c{i}_{j}" for i, a in enumerate(features) for j, b in enumerate(names)]
+        + [f"stddev_pop({c}) AS s{i}" for i, c in enumerate(features)]
+    )
+    return f"""parts AS (SELECT *, CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT) % 5 AS fold FROM rows),
+trained AS (SELECT f, count(*) AS n, {sums} FROM parts, (SELECT unnest(range(0, 5)) AS f) WHERE fold <> f GROUP BY f),
+equations AS ({covariances})"""
 
 
-@query("cross_val_summary")
-def cross_val_summary(spark, d):
-    return reg.cross_val_summary(reg.cross_val_r2(fitted(spark, d), keys=KEYS))
+CROSS = f"""WITH {MODEL}, rows AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, y, a AS x0, b AS x1 FROM d), {folds_sql(["x0", "x1"])},
+{solved_sql("SELECT * FROM equations", 2)},
+w AS (SELECT f, max(v) FILTER (WHERE i = 0) AS b0, max(v) FILTER (WHERE i = 1) AS b1 FROM g2 WHERE j = 2 GROUP BY f),
+e AS (SELECT fold, y, y - m2 - b0 * (x0 - m0) - b1 * (x1 - m1) AS e FROM parts JOIN trained t ON t.f = fold JOIN w ON w.f = fold),
+r AS (SELECT fold, count(*) AS n, 1 - sum(e * e) / (var_pop(y) * count(*)) AS r2 FROM e GROUP BY fold)"""
 
 
-@query("compare_models")
+@query("cross_val_r2", f"{CROSS} SELECT fold, n, {R('r2', 6)} AS r2 FROM r")
+def cross_val_r2(spark, d):
+    return rounded(reg.cross_val_r2(fitted(spark, d), keys=KEYS), 6)
+
+
+@query("cross_val_summary", f"""{CROSS}
+SELECT {R("avg(r2)", 6)} AS cross_val_r2, {R("stddev_pop(r2)", 6)} AS cross_val_r2_std, count(*) AS folds FROM r""")
+def cross_val_summary(spark, d):
+    return rounded(reg.cross_val_summary(reg.cross_val_r2(fitted(spark, d), keys=KEYS)), 6)
+
+
+COMPARED = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+
+
+def compared_sql() -> str:
+    """The three models by Gauss-Jordan steps and, for Lasso, recursive coordinate descent."""
+    xs = [f"x{i}" for i in range(4)]
+    filled = ", ".join(f"coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM t)) AS x{i}" for i, c in enumerate(COMPARED))
+    g = lambda i, j: f"(c{i}_{j} / n / s{i} / s{j})"
+    rho = lambda i: f"(c{i}_4 / n / s{i})"
+    soft = lambda x, by: f"sign({x}) * greatest(abs({x}) - 0.1, 0) / {by}"
+    inner = "SELECT * FROM lasso WHERE k < 400"
+    for i in range(4):
+        pull = rho(i) + "".join(f" - {g(i, j)} * w{j}" for j in range(4) if j != i)
+        inner = f"SELECT * REPLACE ({soft(f'({pull})', g(i, i))} AS w{i}) FROM ({inner})"
+    weights = lambda source: f"SELECT {', '.join(f'max(v) FILTER (WHERE i = {i}) AS b{i}' for i in range(4))} FROM {source}4 WHERE j = 4"
+    ridge = "SELECT f, i, j, CASE WHEN j = 4 THEN v / s.s ELSE v / s.s / z.s END + CASE WHEN i = j THEN 1.0 ELSE 0.0 END AS v FROM equations JOIN scales s ON s.i0 = i LEFT JOIN scales z ON z.i0 = j WHERE f = 0"
+    ridge_steps = solved_sql(ridge, 4).replace("g0 ", "h0 ")
+    for k in range(5):
+        ridge_steps = ridge_steps.replace(f"g{k} ", f"h{k} ")
+    tested = lambda name, of: f"""SELECT '{name}' AS model, (SELECT n FROM trained WHERE f = 0) AS n_train, count(*) AS n_test,
+  1 - sum(e * e) / (var_pop(y) * count(*)) AS r2, sqrt(avg(e * e)) AS rmse
+  FROM (SELECT y, y - m4 - {" - ".join(f"{of}{i} * (x{i} - m{i})" + (f" / s{i}" if name != "Linear" else "") for i in range(4))} AS e
+    FROM parts, (SELECT * FROM trained WHERE f = 0), {name.lower()}_w WHERE fold = 0)"""
+    return f"""WITH RECURSIVE t AS ({LINE_GAPS}), rows AS (SELECT l_orderkey, l_linenumber AS l_linenumber, l_partkey, l_suppkey, l_extendedprice AS y, {filled} FROM t),
+{folds_sql(xs)},
+scales AS ({" UNION ALL ".join(f"SELECT {i} AS i0, s{i} AS s FROM trained WHERE f = 0" for i in range(4))}),
+{solved_sql("SELECT * FROM equations WHERE f = 0", 4)},
+{ridge_steps},
+lasso AS (
+  SELECT 0 AS k, *, {", ".join(f"0.0::DOUBLE AS w{i}" for i in range(4))} FROM trained WHERE f = 0
+  UNION ALL SELECT * REPLACE (k + 1 AS k) FROM ({inner})
+),
+linear_w AS ({weights("g")}), ridge_w AS ({weights("h")}), lasso_w AS (SELECT {", ".join(f"w{i} AS b{i}" for i in range(4))} FROM lasso WHERE k = 400),
+found AS ({" UNION ALL ".join(tested(name, "b") for name in ("Linear", "Ridge", "Lasso"))})
+SELECT model, n_train, n_test, {R("r2", 6)} AS r2, {R("rmse", 3)} AS rmse FROM found"""
+
+
+@query("compare_models", compared_sql())
 def compare_models(spark, d):
-    model = reg.train_linear_regression(
-        line_gaps(spark, d), "l_extendedprice", ["l_quantity", "l_discount", "l_tax", "l_linenumber"], keys=KEYS
-    )
-    return reg.compare_models(model, keys=KEYS)
+    model = reg.train_linear_regression(line_gaps(spark, d), "l_extendedprice", COMPARED, keys=KEYS)
+    return rounded(reg.compare_models(model, keys=KEYS), 6, rmse=3)
 
 
 @query("predict", f"""

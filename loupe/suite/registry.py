@@ -76,3 +76,44 @@ def wide_sql(statement: str, rows: list[tuple[str, str]], names: tuple[str, str]
     """SQL turning a one-row statement into (name, expression) rows."""
     picks = " UNION ALL ".join(f"SELECT '{n}' AS \"{names[0]}\", {e} AS {names[1]} FROM w" for n, e in rows)
     return f"WITH w AS ({statement}) {picks}"
+
+
+def t_tails_sql(source: str) -> str:
+    """SQL for two-sided p-values of Student's t: the columns of ``source``, which has t and dof, and p.
+
+    The incomplete beta function as a continued fraction, evaluated forwards
+    by recursion over one row a statistic.
+    """
+    return f"""
+SELECT * EXCLUDE (x, flip, a, b, z, k, c, d, h, front),
+  CASE WHEN t IS NULL THEN NULL WHEN flip THEN 1 - front * h / a ELSE front * h / a END AS p FROM (
+  WITH RECURSIVE given AS (
+    SELECT *, dof / (dof + t * t) AS x FROM ({source})
+  ), sides AS (
+    SELECT *, x >= (dof / 2 + 1) / (dof / 2 + 2.5) AS flip FROM given
+  ), parts AS (
+    SELECT *, CASE WHEN flip THEN 0.5 ELSE dof / 2 END AS a, CASE WHEN flip THEN dof / 2 ELSE 0.5 END AS b, CASE WHEN flip THEN 1 - x ELSE x END AS z FROM sides
+  ), steps AS (
+    SELECT *, 0 AS k, 1.0::DOUBLE AS c, 1 / (1 - (a + b) * z / (a + 1)) AS d, 1 / (1 - (a + b) * z / (a + 1)) AS h FROM parts
+    UNION ALL
+    SELECT * EXCLUDE (even, odd, c1, d1) REPLACE (k + 1 AS k, 1 + odd / c1 AS c, 1 / (1 + odd * d1) AS d, h * d1 * c1 * (1 + odd / c1) / (1 + odd * d1) AS h) FROM (
+      SELECT *, 1 + even / c AS c1, 1 / (1 + even * d) AS d1 FROM (
+        SELECT *, (k + 1) * (b - k - 1) * z / ((a + 2 * k + 1) * (a + 2 * k + 2)) AS even,
+          -(a + k + 1) * (a + b + k + 1) * z / ((a + 2 * k + 2) * (a + 2 * k + 3)) AS odd FROM steps WHERE k < 200))
+  )
+  SELECT *, exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * ln(z) + b * ln(1 - z)) AS front FROM steps WHERE k = 200)"""
+
+
+def solved_sql(source: str, size: int) -> str:
+    """CTEs ``g0``, ``g1``, ... that solve linear equations by Gauss-Jordan steps.
+
+    ``source`` has rows (f, i, j, v): per f the matrix, and as column j = size
+    the right side.  The last CTE's column j = size holds the solution.
+    """
+    steps = [f"g0 AS ({source})"]
+    for k in range(size):
+        steps.append(f"""g{k + 1} AS (
+  SELECT a.f, a.i, a.j, CASE WHEN a.i = {k} THEN a.v / p.v ELSE a.v - c.v * r.v / p.v END AS v
+  FROM g{k} a JOIN g{k} p ON p.f = a.f AND p.i = {k} AND p.j = {k} JOIN g{k} r ON r.f = a.f AND r.i = {k} AND r.j = a.j
+  JOIN g{k} c ON c.f = a.f AND c.i = a.i AND c.j = {k})""")
+    return ",\n".join(steps)

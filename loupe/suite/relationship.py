@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from loupe.operators import multivariate, quality, relationship as rel
-from loupe.suite.registry import LINE_GAPS, R, digits, line_gaps, query, rounded, table
+from loupe.suite.registry import LINE_GAPS, R, digits, line_gaps, query, rounded, t_tails_sql, table
 
 GAPS = f"({LINE_GAPS})"
 
@@ -48,9 +48,13 @@ def correlate_spearman(spark, d):
     return rounded(row, 6, slope=4, intercept=4)
 
 
-@query("correlate_p_value")
+@query("correlate_p_value", f"""
+WITH f AS (SELECT count(*) AS n, corr(l_discount, l_tax) AS r FROM lineitem)
+SELECT 'pearson' AS method, n, {R("r", 6)} AS r, {R("p", 6)} AS p_value, p < 0.05 AS significant
+FROM ({t_tails_sql("SELECT n, r, r * sqrt((n - 2) / (1 - r * r)) AS t, CAST(n - 2 AS DOUBLE) AS dof FROM f")})""")
 def correlate_p_value(spark, d):
-    return rel.correlate(table(spark, d, "lineitem"), "l_discount", "l_tax")
+    found = rel.correlate(table(spark, d, "lineitem"), "l_discount", "l_tax")
+    return rounded(found.select("method", "n", "r", "p_value", "significant"), 6)
 
 
 @query("trend_line", f"""
@@ -179,9 +183,16 @@ def compare_pairs(spark, d):
     return rounded(rel.compare_pairs(customers, "n_regionkey", "c_acctbal").drop("p_value", "p_bonferroni", "significant"), statistic=6)
 
 
-@query("compare_pairs_p_value")
+TESTED = """SELECT a.g AS group_a, b.g AS group_b, (a.m - b.m) / sqrt((a.ss + b.ss) / (a.n + b.n - 2) * (1.0 / a.n + 1.0 / b.n)) AS t,
+  CAST(a.n + b.n - 2 AS DOUBLE) AS dof, (SELECT count(*) * (count(*) - 1) // 2 FROM g) AS pairs FROM g a JOIN g b ON a.g < b.g"""
+
+
+@query("compare_pairs_p_value", f"""
+WITH {groups_sql("events", "event_type", "value")}
+SELECT group_a, group_b, {R("t", 6)} AS statistic, {R("p", 6)} AS p_value, {R("least(p * pairs, 1.0)", 6)} AS p_bonferroni, p < 0.05 AS significant
+FROM ({t_tails_sql(TESTED)})""")
 def compare_pairs_p_value(spark, d):
-    return rel.compare_pairs(table(spark, d, "events"), "event_type", "value")
+    return rounded(rel.compare_pairs(table(spark, d, "events"), "event_type", "value").drop("diff"), 6)
 
 
 MATRIX = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
