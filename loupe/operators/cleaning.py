@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
@@ -50,25 +51,38 @@ UNCHANGED = Change(lambda table: table)
 
 
 def fill_missing(
-    df: DataFrame, column: str, method: str = "median", value: Any = None,
+    df: DataFrame, column: str | Sequence[str], method: str = "median", value: Any = None,
     order_by: Sort = (), partition_by: Sequence[str] = (),
 ) -> DataFrame:
     """Fill NULLs by mean, median, mode, forward, backward or a custom value.
 
     A method that does not apply falls back to the median for numbers and the
     mode for anything else.  An unknown column leaves the table as it is.
+    Several columns are filled alike; forward and backward they share one
+    sorted run.
     """
     return _fill(df, column, method, value, order_by, partition_by).apply(df)
 
 
-def _fill(df: DataFrame, column: str, method: str, value: Any, order_by: Sort, partition_by: Sequence[str]) -> Change:
-    if column not in df.columns:
-        log.info("skipped: no column %r", column)
+def _names(column: str | Sequence[str]) -> list[str]:
+    return [column] if isinstance(column, str) else list(column)
+
+
+def _fill(df: DataFrame, column: str | Sequence[str], method: str, value: Any, order_by: Sort, partition_by: Sequence[str]) -> Change:
+    known = [c for c in _names(column) if c in df.columns]
+    if len(known) < len(_names(column)):
+        log.info("skipped: no column among %r", sorted(set(_names(column)) - set(known)))
+    if not known:
         return UNCHANGED
+    if method in ("forward", "backward"):
+        return Change(lambda table: fill_in_order(table, known, order_by, partition_by, forward=method == "forward"), moves=True)
+    changes = [_fill_one(df, c, method, value) for c in known]
+    return Change(lambda table: reduce(lambda t, change: change.apply(t), changes, table))
+
+
+def _fill_one(df: DataFrame, column: str, method: str, value: Any) -> Change:
     kind = df.schema[column].dataType
     numeric = is_numeric(kind)
-    if method in ("forward", "backward"):
-        return Change(lambda table: fill_in_order(table, column, order_by, partition_by, forward=method == "forward"), moves=True)
     if method == "mean" and numeric:
         return _fill_number(column, df.agg(F.avg(number(column))).first()[0])
     if method == "custom" and value is not None:
@@ -225,7 +239,7 @@ def apply_cleaning(df: DataFrame, steps: Sequence[Mapping[str, Any]]) -> tuple[D
 def _counted(table: DataFrame, steps: Sequence[Mapping[str, Any]], place: int) -> tuple[DataFrame, Observation]:
     """The table after ``place`` steps, with its rows and the known cells that the steps on either side ask for."""
     observation = Observation()
-    known = lambda step: F.count(known_value(table, c)) if (c := step.get("column", "")) in table.columns else F.lit(0).cast("long")
+    known = lambda step: sum((F.count(known_value(table, c)) for c in _names(step.get("column", "")) if c in table.columns), F.lit(0).cast("long"))
     metrics = [F.count(F.lit(1)).alias("rows")]
     if place:
         metrics.append(known(steps[place - 1]).alias("after"))
@@ -239,7 +253,7 @@ def _audit_row(place: int, step: Mapping[str, Any], before: DataFrame, after: Da
     # a table without partitions leaves no counts
     rows_before, rows_after = was.get("rows", 0), now.get("rows", 0)
     return (
-        place, kind, str(step.get("column", "")), str(step.get("method", step.get("keep", ""))),
+        place, kind, ", ".join(_names(step.get("column", ""))), str(step.get("method", step.get("keep", ""))),
         rows_before, rows_after, rows_before - rows_after, len(before.columns), len(after.columns),
         now.get("after", 0) - was.get("before", 0) if kind == "fill_missing" else 0,
     )

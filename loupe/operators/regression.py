@@ -193,9 +193,13 @@ def train_linear_regression(df: DataFrame, target: str, features: Sequence[str],
     b = _solve(fitted.cross[:p, :p], fitted.cross[:p, p])
     sse = max(0.0, float(fitted.cross[p, p] - 2 * b @ fitted.cross[:p, p] + b @ fitted.cross[:p, :p] @ b))
     sst = float(fitted.cross[p, p])
+    model = LinearModel(df.sparkSession, prepared, fitted, b, float(fitted.means[p] - b @ fitted.means[:p]), 1.0, sse)
+    if 0 < sst and sse < 1e-6 * sst:
+        # a difference of sums this large has few digits left: sum the residuals themselves
+        model.sse = model.scored().agg(F.sum(F.col("residual") * F.col("residual"))).first()[0]
     # a constant target is fitted exactly
-    r2 = 1 - sse / sst if sst > 0 else 1.0
-    return LinearModel(df.sparkSession, prepared, fitted, b, float(fitted.means[p] - b @ fitted.means[:p]), r2, sse)
+    model.r2 = 1 - model.sse / sst if sst > 0 else 1.0
+    return model
 
 
 def high_cardinality_features(prepared: Prepared, ratio: float = 0.5) -> DataFrame:

@@ -23,6 +23,10 @@ def _series(df: DataFrame, date_col: str, metric: str, extra: Sequence[str] = ()
     return kept.where(F.col("d").isNotNull() & F.col("v").isNotNull())
 
 
+#: periods that are listed in one row
+_STRETCH = 4096
+
+
 def _period_end(start: Column, freq: str) -> Column:
     if freq == "D":
         return start
@@ -39,9 +43,13 @@ def _resample(series: DataFrame, freq: str) -> DataFrame:
     start = F.to_date(F.date_trunc(_UNIT[freq], "d"))
     sums = series.groupBy(start.alias("start")).agg(F.sum("v").alias("total"))
     step = F.expr(f"INTERVAL {_STEP[freq]}")
-    spine = sums.agg(F.min("start").alias("a"), F.max("start").alias("b")).where(F.col("a").isNotNull()).select(
-        F.explode(F.sequence("a", "b", step)).alias("start")
-    )
+    span = sums.agg(F.min("start").alias("a"), F.max("start").alias("b")).where(F.col("a").isNotNull())
+    # stretches of so many periods, so that no row holds millions
+    least = {"D": 1, "W": 7, "M": 28, "Q": 90, "Y": 365}[freq]
+    parts = span.select("b", "a", F.explode(F.sequence(F.lit(0), F.floor(F.datediff("b", "a") / (least * _STRETCH)).cast("int"))).alias("part"))
+    after = lambda n: F.date_add("a", n * least) if freq in "DW" else F.add_months("a", n * {"M": 1, "Q": 3, "Y": 12}[freq])
+    low, high = after(F.col("part") * _STRETCH), after((F.col("part") + 1) * _STRETCH - 1)
+    spine = parts.where(low <= F.col("b")).select(F.explode(F.sequence(low, F.least(high, F.col("b")), step)).alias("start"))
     return spine.join(sums, "start", "left").select(
         "start", _period_end(F.col("start"), freq).alias("period_end"), F.coalesce("total", F.lit(0.0)).alias("value")
     )

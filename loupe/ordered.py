@@ -22,6 +22,8 @@ from loupe.session import durable
 BUCKET, PLACE, POSITION = "_bucket", "_place", "_position"
 #: monotonically_increasing_id() keeps the partition above this many bits
 _ID_BITS = 33
+#: bytes of the files read that a bucket should hold
+BUCKET_BYTES = 128 << 20
 #: frames up to this many rows are computed with copied edge rows
 HALO_ROWS = 65_536
 #: rows of a block of which wider frames are put together
@@ -41,7 +43,9 @@ def in_buckets(df: DataFrame, sort: Sort, keys: Sequence[str] = ()) -> DataFrame
         raise ValueError("an order is needed: rows of a DataFrame have none of their own")
     order.append(_tie_breaker(df))
     tag = F.monotonically_increasing_id()
-    tagged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_tag", tag)
+    buckets = _buckets(df)
+    ranged = df.repartitionByRange(*order) if buckets is None else df.repartitionByRange(buckets, *order)
+    tagged = ranged.sortWithinPartitions(*order).withColumn("_tag", tag)
     return durable(
         tagged.withColumn(BUCKET, F.shiftright("_tag", _ID_BITS))
         .withColumn(PLACE, F.col("_tag").bitwiseAND(F.lit((1 << _ID_BITS) - 1)))
@@ -49,6 +53,14 @@ def in_buckets(df: DataFrame, sort: Sort, keys: Sequence[str] = ()) -> DataFrame
     )
 
 
+def _buckets(df: DataFrame) -> int | None:
+    """How many buckets the tables read need, if the session's shuffle partitions would be too large."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    wanted = sum(s for s in sizes if s < 1 << 62) // BUCKET_BYTES  # what isn't known says the most
+    return wanted if wanted > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
 def _tie_breaker(df: DataFrame) -> Column:
     """A hash of the row: equal keys get a fixed order and may span buckets.
 
@@ -134,30 +146,39 @@ def with_running_sum(df: DataFrame, value: str, sort: Sort, name: str = "_runnin
 
 
 def fill_in_order(
-    df: DataFrame, column: str, sort: Sort, keys: Sequence[str] = (), forward: bool = True
+    df: DataFrame, column: str | Sequence[str], sort: Sort, keys: Sequence[str] = (), forward: bool | Sequence[bool] = True
 ) -> DataFrame:
-    """Replace NULLs, and NaN, by the last (or next) known value of the same key."""
-    bucketed = in_buckets(df.withColumn(column, known_value(df, column)), sort, keys)
-    known = F.struct(col(column).alias("value"), F.struct(F.lit(1), *[col(k) for k in keys]).alias("key"))
-    place = F.when(col(column).isNotNull(), F.col(PLACE))
-    local = W.partitionBy(BUCKET, *[col(k) for k in keys]).orderBy(PLACE)
-    if forward:
-        nearest = F.last(col(column), ignorenulls=True).over(local.rowsBetween(W.unboundedPreceding, 0))
-        edges = _edge_rows(bucketed, F.max(place), known)
-        carried = F.last("_edge", ignorenulls=True).over(_earlier())
-    else:
-        # the last known one, read backwards: a frame to the table's end would be read anew for every row
-        backwards = W.partitionBy(BUCKET, *[col(k) for k in keys]).orderBy(F.desc(PLACE))
-        nearest = F.last(col(column), ignorenulls=True).over(backwards.rowsBetween(W.unboundedPreceding, 0))
-        edges = _edge_rows(bucketed, F.min(place), known)
-        carried = F.last("_edge", ignorenulls=True).over(W.orderBy(F.desc(BUCKET)).rowsBetween(W.unboundedPreceding, -1))
-    edges = edges.select(BUCKET, carried.alias("_carried"))
+    """Replace NULLs, and NaN, by the last (or next) known value of the same key.
+
+    Several columns, each with its own direction, are filled in one sorted run
+    that is written once.
+    """
+    columns = [column] if isinstance(column, str) else list(column)
+    ahead = [forward] * len(columns) if isinstance(forward, bool) else list(forward)
+    bucketed = in_buckets(df.withColumns({c: known_value(df, c) for c in columns}), sort, keys)
     here = F.struct(F.lit(1), *[col(k) for k in keys])
-    carried = F.when(F.col("_carried.key") == here, F.col("_carried.value"))
-    filled = _join_buckets(bucketed.withColumn("_near", nearest), edges)
-    return filled.withColumn(column, F.coalesce(col(column), F.col("_near"), carried)).select(
-        *[col(c) for c in df.columns]
-    )
+    partition = [BUCKET, *[col(k) for k in keys]]
+    until = lambda order: W.partitionBy(*partition).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    # the last known one, backwards read backwards: a frame to the table's end would be read anew for every row
+    onwards, backwards = until(F.asc(PLACE)), until(F.desc(PLACE))
+    near = {f"_near{i}": F.last(col(c), ignorenulls=True).over(onwards if on else backwards) for i, (c, on) in enumerate(zip(columns, ahead))}
+    # of every bucket the row that others may take their value from, column by column
+    places = bucketed.groupBy(BUCKET).agg(*[
+        (F.max if on else F.min)(F.when(col(c).isNotNull(), F.col(PLACE))).alias(f"_p{i}") for i, (c, on) in enumerate(zip(columns, ahead))
+    ])  # one row per bucket
+    at_edge = F.lit(False)
+    for i in range(len(columns)):
+        at_edge |= F.coalesce(F.col(PLACE) == F.col(f"_p{i}"), F.lit(False))
+    held = bucketed.join(F.broadcast(places), BUCKET).where(at_edge)
+    edges = places.select(BUCKET).join(F.broadcast(held.groupBy(BUCKET).agg(*[
+        F.max_by(F.struct(col(c).alias("value"), here.alias("key")), F.when(F.col(PLACE) == F.col(f"_p{i}"), F.col(PLACE))).alias(f"_edge{i}")
+        for i, c in enumerate(columns)
+    ])), BUCKET, "left")
+    later = W.orderBy(F.desc(BUCKET)).rowsBetween(W.unboundedPreceding, -1)
+    edges = edges.select(BUCKET, *[F.last(f"_edge{i}", ignorenulls=True).over(_earlier() if on else later).alias(f"_far{i}") for i, on in enumerate(ahead)])
+    filled = _join_buckets(bucketed.withColumns(near), edges)
+    far = lambda i: F.when(F.col(f"_far{i}.key") == here, F.col(f"_far{i}.value"))
+    return filled.withColumns({c: F.coalesce(col(c), F.col(f"_near{i}"), far(i)) for i, c in enumerate(columns)}).select(*[col(c) for c in df.columns])
 
 
 def with_neighbour(

@@ -643,6 +643,25 @@ def test_exact_line(spark):
         whatif.scenarios(model, {"bad": {"nope": 1.0}})
 
 
+def test_near_exact_fits_keep_their_residuals(spark):
+    rng = np.random.default_rng(10)
+    frame = pd.DataFrame({"a": rng.normal(0, 1e4, 2000)}).assign(y=lambda f: 3 * f["a"] + rng.normal(0, 1e-5, 2000), i=range(2000))
+    model = regression.train_linear_regression(spark.createDataFrame(frame), "y", ["a"], keys=["i"])
+    slope, start = np.polyfit(frame["a"], frame["y"], 1)
+    residuals = frame["y"] - slope * frame["a"] - start
+    assert model.residual_std == pytest.approx(np.sqrt((residuals**2).sum() / 1998), rel=1e-3)
+    row = regression.residual_diagnostics(model).first()
+    assert row.n_outliers == (np.abs(residuals) > 3 * np.sqrt((residuals**2).sum() / 1999)).sum() and row.n_outliers < 30
+
+
+def test_days_of_many_centuries(spark):
+    df = spark.createDataFrame([("0001-01-03", 1.0), ("9999-12-30", 2.0)], "d string, v double").select(F.to_date("d").cast("timestamp").alias("d"), "v")
+    for freq, n in (("D", 3_652_056), ("W", None), ("M", 9999 * 12), ("Q", 9999 * 4), ("Y", 9999)):
+        got = trend.resample_sum(df, "d", "v", freq)
+        row = got.agg(F.count("*").alias("n"), F.countDistinct("period_end").alias("ends"), F.sum("value").alias("total")).first()
+        assert row.total == 3.0 and row.n == row.ends and n in (None, row.n), (freq, row)
+
+
 def test_least_squares_against_numpy(sample):
     frame, df = sample
     model = regression.train_linear_regression(df, "y", list("abcd"))

@@ -149,6 +149,45 @@ def test_a_wrong_sketch_is_noticed(spark, monkeypatch):
     assert np.allclose(found.loc[[0, 1]], [frame["spike"][0::2].median(), frame["spike"][1::2].median()])
 
 
+@pytest.mark.parametrize("buckets", [None, 7])
+def test_fills_of_several_columns_share_a_run(series, monkeypatch, spark, buckets):
+    from loupe import session
+    from loupe.operators import cleaning
+
+    frame, df = series
+    monkeypatch.setattr(ordered, "_buckets", lambda df: buckets)
+    wide = df.withColumns({"b": F.when(F.col("t") % 7 == 0, F.col("v")), "c": F.when(F.col("t") % 11 < 2, F.col("k")), "none": F.lit(None).cast("int")})
+    names, ahead = ["gap", "b", "c", "none"], [True, False, True, False]
+    for keys in ([], ["k"]):
+        with session.scope(spark):
+            got = ordered.fill_in_order(wide, names, ["t"], keys, ahead)
+            assert len(session._SCOPES[-1]) == 1
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            # by bucket for the windows, and small ones for a row per bucket
+            assert sum("hashpartitioning(_bucket" in line and "Aggregate" not in line for line in plan.splitlines()) <= 4
+            found = got.toPandas().sort_values("t", ignore_index=True)
+        want = wide.toPandas().sort_values("t", ignore_index=True)
+        for c, on in zip(names, ahead):
+            part = want.groupby("k")[c] if keys else want[c]
+            expected = part.ffill() if on else part.bfill()
+            assert [None if pd.isna(x) else x for x in found[c]] == [None if pd.isna(x) else x for x in expected], (c, keys)
+    both = cleaning.fill_missing(wide, ["gap", "b", "nowhere"], "forward", order_by=["t"]).toPandas().sort_values("t", ignore_index=True)
+    assert both["gap"].isna().sum() == want["gap"].ffill().isna().sum() and both["b"].isna().sum() == want["b"].ffill().isna().sum()
+    filled = cleaning.fill_missing(wide, ["gap", "b"], "custom", 0.0).select("gap", "b").toPandas()
+    assert not filled.isna().any(axis=None)
+
+
+def test_buckets_follow_the_files(spark, tmp_path, monkeypatch):
+    spark.range(5000).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    assert ordered._buckets(df) is None and ordered._buckets(spark.range(10)) is None and ordered._buckets(df.join(df.withColumnRenamed("id", "j"))) is None
+    monkeypatch.setattr(ordered, "BUCKET_BYTES", 500)
+    n = ordered._buckets(df)
+    assert n > 8
+    placed = ordered.with_position(df, [F.desc("id")])
+    assert placed.where(F.col("id") + F.col(ordered.POSITION) != 4999).count() == 0
+
+
 def test_two_passes_over_the_data(spark):
     passes = spark.sparkContext.accumulator(0)
 
