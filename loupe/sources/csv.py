@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from loupe.frames import col, is_numeric
-from loupe.session import shared_folder
+from loupe.session import durable, shared_folder
 
 #: encodings in the order they are tried (fixed values); latin1 reads anything
 ENCODINGS = ["utf-8", "gbk", "gb18030", "latin1"]
@@ -55,7 +55,7 @@ def detect_encoding(spark: SparkSession, *paths: str) -> DataFrame:
     )
     others = files.where(~F.col("utf8")).select(F.col("file").alias("_other"))
     raw = F.col("line").cast("binary")
-    suspects = lines.join(F.broadcast(others), F.col("file") == F.col("_other"), "left_semi")  # one row per file
+    suspects = lines.join(others, F.col("file") == F.col("_other"), "left_semi")
     tried = suspects.where(~F.col("line").rlike(r"\A[\x00-\x7f]*\z") | ~F.is_valid_utf8("line")).groupBy("file").agg(
         *[F.bool_and(_decodes(e)(raw)).alias(e) for e in ("gbk", "gb18030")]
     )
@@ -109,12 +109,17 @@ def read_csv(spark: SparkSession, *paths: str, infer_schema: bool = True, **opti
     Files are grouped by encoding and header; groups are joined by column name,
     with NULL for columns a file lacks.  Further options go to Spark's reader.
     """
-    found = detect_encoding(spark, *paths).collect()  # one row per file
-    if not found:
+    found = durable(detect_encoding(spark, *paths))
+    kinds = found.select("encoding", "header").distinct().collect()  # one row per encoding and header
+    if not kinds:
         raise ValueError(f"no lines in {paths}")
     groups: dict[tuple[str, bytes], list[str]] = {}
-    for row in found:
-        groups.setdefault((row.encoding, bytes(row.header or b"")), []).append(row.file)
+    if len(kinds) == 1:
+        groups[kinds[0].encoding, bytes(kinds[0].header or b"")] = list(paths)
+    else:
+        # Spark's reader takes the files of a group by name
+        for row in found.toLocalIterator():
+            groups.setdefault((row.encoding, bytes(row.header or b"")), []).append(row.file)
     parts = []
     for (encoding, header), files in sorted(groups.items()):
         if encoding in _SPARK_NAME:

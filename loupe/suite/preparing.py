@@ -36,6 +36,26 @@ def read_csv(spark, d):
     return csv.read_csv(spark, f"{folder}/utf8", f"{folder}/latin1")
 
 
+@query("read_csv_gbk", """
+SELECT n_nationkey AS "编号", '国家 ' || n_name AS "名称" FROM nation
+UNION ALL SELECT s_suppkey, '㐀 ' || s_name FROM supplier""")
+def read_csv_gbk(spark, d):
+    """Nations in GBK and suppliers in GB18030, written line by line as bytes and read back."""
+    folder = f"{shared_folder(spark)}/loupe-csv-{uuid.uuid4().hex}"
+
+    def write(rows, name, encoding):
+        @F.pandas_udf("binary")
+        def encoded(lines):  # noqa: ANN001
+            return lines.map(lambda line: line.encode(encoding))
+
+        lines = spark.createDataFrame([("编号,名称",)], "line string").unionByName(rows.select(F.concat_ws(",", *rows.columns).alias("line"))).coalesce(1)
+        lines.select(encoded("line").cast("string").alias("value")).write.text(f"{folder}/{name}")
+
+    write(table(spark, d, "nation").select("n_nationkey", F.concat(F.lit("国家 "), "n_name").alias("name")), "gbk", "gbk")
+    write(table(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("㐀 "), "s_name").alias("name")), "gb18030", "gb18030")
+    return csv.read_csv(spark, f"{folder}/gbk", f"{folder}/gb18030")
+
+
 @query("write_cleaned", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_acctbal > 0")
 def write_cleaned(spark, d):
     kept = prepare.filter_compare(table(spark, d, "customer"), "c_acctbal", "gt", 0)
