@@ -187,6 +187,18 @@ def quicksort(columns, weight, least: int):
     return found
 
 
+def crowded(columns, weight, least: int):
+    """Which suffixes may begin with a frequent pair of words: those whose bucket by a hash of the pair counts ``least``.
+
+    A bucket that counts less is a partition that can be abandoned before it
+    is sorted at all.
+    """
+    import numpy as np
+
+    bucket = (columns[0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ columns[1].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(44)
+    return (np.bincount(bucket.astype(np.int64), weights=weight) >= least)[bucket.astype(np.int64)]
+
+
 def combined(columns):
     """(distinct columns, counts) of suffixes in the columns, which hold whole numbers from -1."""
     import numpy as np
@@ -274,17 +286,21 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
                     columns, counts, mixed, is_hot = columns[:, kept], counts[kept], mixed[kept], is_hot[kept]
                 # a hot suffix and a cold one never share a shard's row
                 shard = (((mixed ^ (mixed >> np.uint64(32))) % np.uint64(shards)).astype(np.int64) << 1) | is_hot
-                order = np.argsort(shard, kind="stable")
+                order = np.argsort(shard.astype(np.min_scalar_type(2 * shards)), kind="stable")
                 edges = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1))
                 numbers, made = [], []
+                numbered, counts = (columns + 1).astype(np.int32)[:, order], counts[order]
+                place = np.zeros(len(words) + 1, dtype=np.int32)
                 for a, b in zip(edges, edges[1:]):
-                    own = columns[:, order[a:b]]
-                    used, local = np.unique(own, return_inverse=True)
-                    local = local.reshape(own.shape).astype(np.int64) - (used[0] < 0)
-                    text = b" ".join([words[k] for k in used if k >= 0])
-                    n = counts[order[a:b]]
+                    # the shard's words under numbers of its own, 0 for none
+                    own = numbered[:, a:b]
+                    used = np.sort(own, axis=None)
+                    used = used[np.flatnonzero(np.diff(used, prepend=0))]
+                    place[used] = np.arange(1, len(used) + 1)
+                    text = b" ".join([words[k] for k in (used - 1).tolist()])
+                    local, n = place[own].astype(np.min_scalar_type(len(used))), counts[a:b]
                     numbers.append(int(shard[order[a]]))
-                    made.append(pickle.dumps((text, (local + 1).astype(np.min_scalar_type(len(used))), n.astype(np.min_scalar_type(int(n.max()))))))
+                    made.append(pickle.dumps((text, local, n.astype(np.min_scalar_type(int(n.max()))))))
                 yield rows(numbers, lang, [None] * len(made), [None] * len(made), made)
         for (lang, pair), n in hot_counts.items():  # a row of a task and pair
             yield rows([-1 - digest(pair) % shards], lang, [pair], [n], [None])
@@ -313,6 +329,8 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
             columns = np.concatenate(columns, axis=1)
             weight = np.concatenate([n.astype(np.int64) for _, _, n in parts])
             names = every.dictionary.to_pylist()
+            kept = crowded(columns, weight, least)
+            columns, weight = columns[:, kept], weight[kept]
             for depth, pointer, count in quicksort(columns, weight, least):
                 # a hot pair's suffixes are spread by their third word
                 if depth > 1 + hot_rows:
