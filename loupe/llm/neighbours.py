@@ -18,8 +18,9 @@ is indexed.  Queries for which the radius holds too few vectors are searched
 again without one.
 
 Equal vectors are one entry that keeps the k + 1 smallest ids, which is all
-that a result can show of them.  Queries meet the index in blocks, and blocks'
-results are merged in a stream.
+that a result can show of them.  A shard's index is built once, and the blocks
+of queries, which are small beside it, are streamed past it; blocks' results
+are merged in a stream.
 
 Defined results: vectors that are NULL, zero, hold NULL or non-finite numbers
 or have another dimension than most, and rows with NULL ids, take no part;
@@ -32,7 +33,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from loupe.frames import col, require
 from loupe.session import durable
@@ -43,8 +44,8 @@ BITS, SUBSTRING = 256, 16
 SAMPLE, SAMPLE_QUERIES = 20_000, 1_000
 COVER = 0.98
 STEPS = 20
-#: vectors of the index in a shard and queries in a block
-SHARD, BLOCK = 4096, 512
+#: vectors of the index in a shard, at least so many where there are fewer shards than cores, and queries in a block
+SHARD, LEAST_SHARD, BLOCK = 1 << 16, 1 << 12, 512
 
 
 @dataclass
@@ -152,10 +153,11 @@ def usable(name: str) -> Column:
     )
 
 
-def search(queries: DataFrame, shards: DataFrame, codes: Codes, k: int, radius: int | None, n_shards: int) -> DataFrame:
+def search(queries: DataFrame, shards: DataFrame, codes: Codes, k: int, radius: int | None, n_shards: int, kind: str) -> DataFrame:
     """(entry, found): the first k + 1 ids with scores for each query entry.
 
-    ``queries`` are rows (entry, vector, block); ``shards`` packed ones.
+    ``queries`` are rows (entry, vector, block); ``shards`` packed ones, their
+    numbers of the ``kind`` that numpy names.
     """
 
     def pack(batches: Iterator) -> Iterator:
@@ -166,7 +168,7 @@ def search(queries: DataFrame, shards: DataFrame, codes: Codes, k: int, radius:
             rows = []
             for block, part in batch.groupby("block"):
                 vectors = np.array(part["vector"].tolist(), dtype=np.float64)
-                rows.append((block, part["entry"].to_numpy(dtype=np.int64).tobytes(), vectors.tobytes()))
+                rows.append((block, part["entry"].to_numpy(dtype=np.int64).tobytes(), vectors.astype(kind).tobytes()))
             yield pd.DataFrame(rows, columns=["block", "entries", "asked"])
 
     def meet(batches: Iterator) -> Iterator:
@@ -176,18 +178,20 @@ def search(queries: DataFrame, shards: DataFrame, codes: Codes, k: int, radius:
         for batch in batches:
             rows = []
             for block, entries, asked, vectors, ids, sizes in zip(batch["block"], batch["entries"], batch["asked"], batch["vectors"], batch["ids"], batch["sizes"]):
+                if vectors is not None:  # a shard, which comes before the blocks that ask it
+                    ends = np.cumsum(np.frombuffer(sizes, dtype=np.int32)).tolist()
+                    shard = np.frombuffer(vectors, dtype=kind).astype(np.float64).reshape(len(ends), -1)
+                    flat = np.frombuffer(ids, dtype=np.int64).tolist()
+                    ids_of = [flat[a:b] for a, b in zip([0, *ends], ends)]
+                    index = None if radius is None else Index(codes.encode(shard))
+                    continue
                 entries = np.frombuffer(entries, dtype=np.int64)
-                asked = np.frombuffer(asked, dtype=np.float64).reshape(len(entries), -1)
-                vectors = np.frombuffer(vectors, dtype=np.float64).reshape(-1, asked.shape[1])
-                ends = np.cumsum(np.frombuffer(sizes, dtype=np.int32)).tolist()
-                flat = np.frombuffer(ids, dtype=np.int64).tolist()
-                ids_of = [flat[a:b] for a, b in zip([0, *ends], ends)]
-                index, own = Index(codes.encode(vectors)), codes.encode(asked, True)
-                everything = np.arange(len(vectors))
+                asked = np.frombuffer(asked, dtype=kind).astype(np.float64).reshape(len(entries), -1)
+                own, everything = codes.encode(asked, True), np.arange(len(shard))
                 found_entries, found_ids, found_scores = [], [], []
                 for entry, vector, code in zip(entries.tolist(), asked, own):
                     at = everything if radius is None else index.within(code, radius)
-                    pairs = best(vectors[at] @ vector, at, ids_of, k)
+                    pairs = best(shard[at] @ vector, at, ids_of, k)
                     found_entries += [entry] * len(pairs)
                     found_scores += [-s for s, _ in pairs]
                     found_ids += [i for _, i in pairs]
@@ -219,9 +223,12 @@ def search(queries: DataFrame, shards: DataFrame, codes: Codes, k: int, radius:
         yield rows()
 
     blocks = queries.repartition("block").sortWithinPartitions("block").mapInPandas(pack, "block long, entries binary, asked binary")
-    # every block meets every shard, as packed rows: the stated queries against all rows
-    met = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(max(0, n_shards - 1))))).join(shards, "shard")
-    results = met.repartition("block", "shard").mapInPandas(meet, "block long, entries binary, owners binary, ids binary, scores binary")
+    # every block passes every shard, as packed rows: the stated queries against all rows
+    nothing = lambda *names: {n: F.lit(None).cast("binary") for n in names}
+    asking = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(max(0, n_shards - 1))))).withColumns(nothing("vectors", "ids", "sizes"))
+    asked = shards.withColumns({"block": F.lit(-1).cast("long"), **nothing("entries", "asked")}).unionByName(asking)
+    met = asked.repartition(max(1, n_shards), "shard").sortWithinPartitions("shard", "block").select("block", "entries", "asked", "vectors", "ids", "sizes")
+    results = met.mapInPandas(meet, "block long, entries binary, owners binary, ids binary, scores binary")
     return results.repartition("block").sortWithinPartitions("block").mapInPandas(merge, "entry long, found array<struct<vec_id: long, score: double>>")
 
 
@@ -252,7 +259,11 @@ def nearest(vectors: DataFrame, queries: Column, k: int = K, radius: int | None
     ).first()
     sample = entries.orderBy(F.xxhash64("vector"), "vector").limit(SAMPLE).select("vector").toPandas()["vector"]  # bounded
     codes = learn(np.stack(sample.to_list()), float(np.sqrt(facts["square"])), k)
-    n_shards = -(-facts["n"] // SHARD)
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    n_shards = max(-(-facts["n"] // SHARD), min(-(-facts["n"] // LEAST_SHARD), 2 * cores))
+    # single-precision numbers are kept as they are; they are multiplied in double precision
+    single = isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType)
+    kind = "<f4" if single else "<f8"
 
     def pack(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -263,7 +274,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = K, radius: int | None
             part = pd.concat(parts)
             own = np.array(part["vector"].tolist(), dtype=np.float64)
             flat = np.concatenate([np.asarray(i, dtype=np.int64) for i in part["ids"]])
-            return (shard, own.tobytes(), flat.tobytes(), part["ids"].map(len).to_numpy(dtype=np.int32).tobytes())
+            return (shard, own.astype(kind).tobytes(), flat.tobytes(), part["ids"].map(len).to_numpy(dtype=np.int32).tobytes())
 
         here, held = None, []  # rows come sorted by shard
         for batch in batches:
@@ -285,10 +296,10 @@ def nearest(vectors: DataFrame, queries: Column, k: int = K, radius: int | None
     asked = entries.where("asked").select("entry", "vector")
     blocks = -(-max(1, asked.count()) // BLOCK)
     blocked = asked.withColumn("block", F.pmod(F.xxhash64("entry", F.lit(1)), F.lit(blocks)))
-    found = durable(search(blocked, shards, codes, k, codes.radius if radius is None else radius, n_shards))
+    found = durable(search(blocked, shards, codes, k, codes.radius if radius is None else radius, n_shards, kind))
     enough = F.size("found") >= min(k + 1, facts["ids"])
     again = blocked.join(found.where(~enough).select("entry"), "entry", "left_semi")
-    whole = search(again, shards, codes, k, None, n_shards)
+    whole = search(again, shards, codes, k, None, n_shards, kind)
     answers = found.where(enough).unionByName(whole).join(entries.select("entry", "vector"), "entry").select("vector", "found")
     own = rows.where("asked").select(F.col("vec_id").alias("query_id"), "vector").join(answers, "vector")
     others = F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
