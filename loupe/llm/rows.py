@@ -31,8 +31,8 @@ def row_hash(df: DataFrame) -> Column:
 
 
 def row_key(df: DataFrame) -> Column:
-    """128 bits of the whole row, to tell rows apart; rows repeated whole share it."""
-    return F.struct(F.xxhash64(*row_parts(df)).alias("a"), F.xxhash64(F.lit(1), *row_parts(df)).alias("b"))
+    """128 bits of the whole row as text, to tell rows apart; rows repeated whole share it."""
+    return F.concat(F.hex(F.xxhash64(*row_parts(df))), F.lit("-"), F.hex(F.xxhash64(F.lit(1), *row_parts(df))))
 
 
 def text_of(name: str = "text") -> Column:
