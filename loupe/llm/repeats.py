@@ -49,6 +49,8 @@ LENGTH = 100
 PART = 32
 #: bytes of text in a batch, and of those hashed at once
 BATCH_BYTES, CHUNK_BYTES = 8 << 20, 1 << 20
+#: bytes of text a share should hold at most, and shares that a batch is dealt to at most: beyond their product shares grow
+SHARE_BYTES, MOST_SHARES = 16 << 20, 1 << 14
 #: occurrences beyond which an anchor's runs are dealt string by string
 HOT = 1 << 16
 #: bytes that are put in order at once, if one anchor doesn't hold more
@@ -56,7 +58,7 @@ ORDER_BYTES = 1 << 20
 #: fixed: an odd multiplier, its inverse modulo 2**64, and that of the mixing step
 BASE, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
-BATCHES = "doc_ids binary, unknown binary, hashes binary, sizes binary, texts binary, others binary"
+BATCHES = "doc_ids binary, unknown binary, hashes binary, sizes binary, texts binary, others binary, bytes long"
 
 
 def pack_batches(docs: DataFrame) -> DataFrame:
@@ -89,7 +91,7 @@ def pack_batches(docs: DataFrame) -> DataFrame:
             known = np.array([0 if i is None else i for i in ids], dtype=np.int64)
             unknown = np.array([i is None for i in ids], dtype=np.uint8)
             values = (known.tobytes(), unknown.tobytes(), np.array(hashes, dtype=np.int64).tobytes(), sizes.tobytes(), compress(b"".join(texts)), compress(sink.getvalue().to_pybytes()))
-            return pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in values], names=names)
+            return pa.RecordBatch.from_arrays([*[pa.array([v], pa.binary()) for v in values], pa.array([int(sizes.sum())], pa.int64())], names=names)
 
         ids, hashes, texts, parts, held = [], [], [], [], 0
         for batch in batches:
@@ -509,8 +511,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, part: int = PART, hot:
     require(docs, "doc_id", "text")
     if not part < length < 128:
         raise ValueError("part < length < 128 is needed")
-    shares = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     batches = pack_batches(docs)
+    total = batches.agg(F.sum("bytes")).first()[0] or 0
+    shares = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-total // SHARE_BYTES), MOST_SHARES))
     shared = shared_runs(batches, length, part, shares, hot)
     spans = repeated_spans(batches, shared, length, part, shares)
     together = spans.groupBy("batch").agg(F.collect_list("spans").alias("spans"))  # bounded by the batch's size

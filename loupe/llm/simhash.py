@@ -14,9 +14,9 @@ trees are therefore built on three slices of the bits: two fingerprints that
 differ in at most 4 bits differ in at most 1 within some slice, and there the
 border is thin.  Candidates are compared in all 64 bits: the links are exact.
 
-The upper part of the trees is planned on a bounded sample of fingerprints
-(``SAMPLE``); that only decides where shards end, every fingerprint is
-searched.  Equal fingerprints are one point, a shard returns a spanning forest
+The upper part of the trees is planned on a sample of fingerprints that grows
+with their number, ``SAMPLE`` to ``MOST_SAMPLE`` of 8 bytes; that only decides
+where shards end, every fingerprint is searched.  Equal fingerprints are one point, a shard returns a spanning forest
 of its links rather than the links of every pair, and forests are joined by
 :func:`loupe.llm.graph.components`.
 
@@ -38,8 +38,8 @@ from loupe.session import durable
 
 WORDS, RADIUS, SEED = 4, 4, 42
 SLICES = (21, 21, 22)
-#: fingerprints that plan the trees' upper part; points a shard should hold; sampled points a leaf of the plan needs
-SAMPLE, SHARD, LEAST_SAMPLE = 1 << 16, 1 << 16, 16
+#: fingerprints that plan the trees' upper part, at least and at most; points a shard should hold; sampled points a leaf of the plan needs
+SAMPLE, MOST_SAMPLE, SHARD, LEAST_SAMPLE = 1 << 16, 1 << 22, 1 << 16, 16
 #: points that are compared with each other at once
 BLOCK = 256
 
@@ -179,7 +179,8 @@ def links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
     import numpy as np
 
     n = points.count()
-    sample = points.orderBy(F.xxhash64("fingerprint")).limit(SAMPLE).toPandas()["fingerprint"].to_numpy(dtype=np.int64).view(np.uint64)
+    size = min(max(SAMPLE, 4 * LEAST_SAMPLE * (n // SHARD)), MOST_SAMPLE)
+    sample = points.orderBy(F.xxhash64("fingerprint")).limit(size).toPandas()["fingerprint"].to_numpy(dtype=np.int64).view(np.uint64)
     depth = max(0, int(np.ceil(np.log2(max(1, n / SHARD)))) + 2)
     choose = np.random.default_rng(11)
     number = iter(range(1 << 40))
