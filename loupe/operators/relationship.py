@@ -26,9 +26,9 @@ def column_ranks(values: DataFrame) -> tuple[DataFrame, int]:
     one sorted run over (column, value, n): every column has as many rows, so
     its ranks start where the running sum has passed that many times its
     number.  Columns of few values look their ranks up in a broadcast table of
-    that checked size; the others are looked up as (row, column, value) in one
-    join, and put together by row.  Written are the rows, the sorted run and the
-    ranks, whatever the number of columns.
+    that checked size; several others are looked up as (row, column, value) in one
+    join, and put together by row.  Written are the rows, the sorted run and, for
+    more than two columns, the ranks.
     """
     names = values.columns
     rows = durable(values.withColumn("_row", F.monotonically_increasing_id()))
@@ -41,15 +41,17 @@ def column_ranks(values: DataFrame) -> tuple[DataFrame, int]:
     counted = long(range(len(names))).groupBy("_column", "_value").agg(F.count("*").alias("_n"))
     ranked = with_running_sum(counted, "_n", ["_column", "_value"])
     rank = F.col("_running") - F.col("_column") * F.lit(n) - (F.col("_n") - 1) / 2
-    ranks = durable(ranked.select("_column", "_value", rank.alias("_rank")))
+    ranks = ranked.select("_column", "_value", rank.alias("_rank"))
     sizes = {r["_column"]: r["count"] for r in ranks.groupBy("_column").count().collect()}  # a row a column
+    if len(names) > 2:
+        ranks = durable(ranks)
     few = [k for k in range(len(names)) if sizes.get(k, 0) <= BROADCAST_RANKS]
     many = [k for k in range(len(names)) if k not in few]
     found = rows
-    for k in few:
+    for k in few + many * (len(many) == 1):
         own = ranks.where(F.col("_column") == k).select(F.col("_value").alias(names[k]), F.col("_rank").alias(f"_r{k}"))
-        found = found.join(F.broadcast(own), names[k])
-    if many:
+        found = found.join(F.broadcast(own) if k in few else own, names[k])
+    if len(many) > 1:
         looked_up = long(many, "_row").join(ranks.where(F.col("_column").isin(many)), ["_column", "_value"])
         by_row = looked_up.groupBy("_row").agg(*[F.max(F.when(F.col("_column") == k, F.col("_rank"))).alias(f"_r{k}") for k in many])
         found = found.join(by_row, "_row") if few else by_row

@@ -93,7 +93,7 @@ def _facts(values: DataFrame, probs: Sequence[float]) -> list[Row]:
         return wide.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), *[F.col(f"{k}{i}").alias(k) for k in kinds]) for i in part])))
 
     everything = list(range(len(values.columns)))
-    return sorted(_branches(values, [everything[k : k + 4] for k in range(0, len(everything), 4)], make), key=lambda row: row.i)
+    return sorted(_branches(values, [everything[k : k + 3] for k in range(0, len(everything), 3)], make), key=lambda row: row.i)
 
 
 def _narrowed(values: DataFrame, facts: Sequence[Row], probs: Sequence[float]) -> dict[int, list[float]]:
@@ -119,7 +119,7 @@ def _narrowed(values: DataFrame, facts: Sequence[Row], probs: Sequence[float]) -
         counted = _count_slices(values, brackets)
         for (i, rank), bracket in list(brackets.items()):
             hit = next((s for s in counted[i] if s.below <= rank < s.below + s.n), None)
-            if hit is None or hit.slice == _BELOW:
+            if hit is None:
                 if bracket == ends[i]:
                     raise RuntimeError("the table changed between two passes over it")
                 brackets[i, rank] = ends[i]
@@ -163,31 +163,59 @@ def _count_slices(values: DataFrame, brackets: dict) -> dict[int, list[_Counted]
     uncounted = {i for (i, _), b in brackets.items() if b[2] is None}
 
     def make(values: DataFrame, part: list[int]) -> DataFrame:
-        entries, inside = [], F.lit(False)
+        entries, inside, flags = [], F.lit(False), {}
         for i in part:
-            v, place, slice_ = F.col(f"c{i}"), F.lit(None).cast("int"), F.lit(None).cast("int")
-            for k, (low, high, _) in reversed(list(enumerate(wanted[i]))):
-                within, before = v.between(low, high), v < low
-                place = F.when(within, F.lit(k)).when(before, F.lit(k if i in uncounted else None).cast("int")).otherwise(place)
-                slice_ = F.when(within, _slice(v, F.lit(float(low)), F.lit(float(high)))).when(before, F.lit(_BELOW)).otherwise(slice_)
-                inside |= within if i not in uncounted else v <= high
-            entries.append(F.struct(F.lit(i).alias("i"), place.alias("b"), slice_.alias("slice"), v.alias("v")))
-        return (
-            values.where(inside).select(F.inline(F.array(*entries))).where(F.col("b").isNotNull())
-            .groupBy("i", "b", "slice").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-        )
-
-    rows = _branches(values, [list(wanted)[k : k + 8] for k in range(0, len(wanted), 8)], make)  # at most _SLICES + 3 a bracket
+            v, within = F.col(f"c{i}"), F.lit(False)
+            for k, (low, high, _) in enumerate(wanted[i]):
+                if i in uncounted:
+                    flags[f"f{i}_{k}"] = v < low
+                if low == high:  # nothing to slice
+                    flags[f"at{i}_{k}"] = v == low
+            wide = [(k, low, high) for k, (low, high, _) in enumerate(wanted[i]) if low < high]
+            if not wide:
+                continue
+            for _, low, high in wide:
+                within |= v.between(low, high)
+            # the bracket is the one after those that end below the value; its bounds are looked up
+            place = sum((F.when(v > high, 1).otherwise(0) for _, _, high in wide[:-1]), F.lit(0))
+            ends = [(max(low, -_MOST) / 2, min(high, _MOST) / 2) for _, low, high in wide]
+            look = lambda numbers: F.element_at(F.array(*[F.lit(x) for x in numbers]), place + 1)
+            part_of = F.floor((v / 2 - look([low for low, _ in ends])) * look([_SLICES / (high - low) if high > low else 0.0 for low, high in ends]))
+            inner = F.greatest(F.least(part_of, F.lit(_SLICES - 1).cast("long")), F.lit(0).cast("long"))
+            slice_ = F.when(v == float("inf"), F.lit(_SLICES)).when(v == float("-inf"), F.lit(-1)).otherwise(inner).cast("int")
+            entries.append(F.when(within, F.struct(F.lit(i).alias("i"), look([k for k, _, _ in wide]).alias("b"), slice_.alias("slice"), v.alias("v"))))
+            inside |= F.coalesce(within, F.lit(False))
+        # a row gives an entry for each column with the value in a bracket, or none; its first one counts what it is below
+        counts = [f.alias(n) for n, f in flags.items()]
+        if len(entries) > 1:
+            listed = F.when(inside, F.array_compact(F.array(*entries)))
+            rows = values.select(*counts, F.posexplode_outer(listed).alias("at", "e"))
+            first = F.coalesce(F.col("at"), F.lit(0)) == 0
+        else:
+            entry = entries[0] if entries else F.lit(None).cast("struct<i:int,b:int,slice:int,v:double>")
+            rows, first = values.select(*counts, entry.alias("e")), F.lit(True)
+        below = F.map_from_arrays(F.array(*[F.lit(n) for n in flags]).cast("array<string>"), F.array(*[F.col(f"n_{n}") for n in flags]).cast("array<bigint>"))
+        return rows.groupBy("e.i", "e.b", "e.slice").agg(
+            F.count("e").alias("n"), F.min("e.v").alias("low"), F.max("e.v").alias("high"), *[F.count_if(first & F.col(n)).alias(f"n_{n}") for n in flags]
+        ).select("i", "b", "slice", "n", "low", "high", below.alias("below"))
+
+    # at most _SLICES + 2 rows a bracket
+    rows = _branches(values, [list(wanted)[k : k + 3] for k in range(0, len(wanted), 3)], make)
+    counted: dict[str, int] = {}
+    for row in rows:
+        for name, n in row.below.items():
+            counted[name] = counted.get(name, 0) + n
     out: dict[int, list[_Counted]] = {i: [] for i in wanted}
-    below, last = 0, None
-    for row in sorted(rows, key=lambda r: (r.i, r.b, r.slice)):
-        if last is None or last[0] != row.i:
-            below = 0
-        if last != (row.i, row.b) and row.i not in uncounted:
-            below = wanted[row.i][row.b][2]
-        last = row.i, row.b
+    last, below = None, 0
+    for row in sorted((r for r in rows if r.i is not None), key=lambda r: (r.i, r.b, r.slice)):
+        if last != (row.i, row.b):
+            last, below = (row.i, row.b), counted[f"f{row.i}_{row.b}"] if row.i in uncounted else wanted[row.i][row.b][2]
         out[row.i].append(_Counted(row.slice, row.n, row.low, row.high, below))
         below += row.n
+    for i, own in wanted.items():
+        for k, (low, high, below) in enumerate(own):
+            if low == high:
+                out[i].append(_Counted(0, counted[f"at{i}_{k}"], low, high, counted[f"f{i}_{k}"] if i in uncounted else below))
     return out
 
 
