@@ -4,7 +4,7 @@ Best-two-fit: a bin is filled greedily, each time with the longest piece that
 fits; then its smallest piece gives way to two unpacked ones if they fill the
 gap it leaves more tightly.  Lengths are whole numbers up to the capacity, so
 the bins are planned on the histogram of lengths: the same bin is made as often
-as its lengths last, which is what the step by step fill would do.  The plan's
+as a step by step fill would make it, which is until a length runs short.  The plan's
 size depends on the capacity alone, not on the number of documents, and the
 packing is that of the whole corpus.  Pieces then find their place by their
 rank among those of equal length, which comes from the distributed order of
@@ -180,6 +180,7 @@ def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[in
             k = min(gap // n, left[n] - used.get(n, 0))
             used[n] = used.get(n, 0) + k
             gap -= k * n
+        need = dict(used)
         if gap:
             small = min(used)
             room, best, pair = gap + small, small, None
@@ -203,7 +204,8 @@ def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[in
                 for n in pair:
                     used[n] = used.get(n, 0) + 1
         used = {n: k for n, k in used.items() if k}
-        times = min(left[n] // k for n, k in used.items())
+        # the next fill is the same while there are as many of each as this one looked at, the one it gave back included
+        times = min((left[n] - max(k, need.get(n, 0))) // k + 1 for n, k in used.items())
         bins.append((times, used))
         for n, k in used.items():
             left[n] -= times * k

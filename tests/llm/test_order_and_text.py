@@ -10,7 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
-from hypothesis import given, settings, strategies as st
+from hypothesis import example, given, settings, strategies as st
 from tokenizers import Tokenizer
 
 from loupe.llm import bwt, graph, merkle, mixing, packing, quality, repeats, simhash
@@ -401,8 +401,9 @@ def test_other_kinds_of_tokenizers_keep_their_own_steps(tmp_path):
     assert np.frombuffer(packing.text_encoder(str(tmp_path / "t.json"))("a b c"), "<u4").tolist() == [0, 1, 2]
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.dictionaries(st.integers(1, 20), st.integers(1, 6), min_size=1, max_size=8), st.integers(20, 40))
+@settings(max_examples=400, deadline=None)
+@given(st.dictionaries(st.integers(1, 20), st.integers(1, 9), min_size=1, max_size=8), st.integers(20, 40))
+@example({5: 1, 9: 1, 12: 4, 8: 4}, 40)
 def test_bins_are_those_of_a_fill_step_by_step(counts, capacity):
     left, bins = Counter(counts), Counter()
     while left := +left:
