@@ -160,16 +160,12 @@ def quoted_sql(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-#: the template's word counts and the lines of documents, and LICENSE files as a whole, in directories of doc_ids
+#: the template's word counts and the lines of documents as files in directories of doc_ids
 LICENSE_SQL = f"""
 WITH files AS (
-  SELECT doc_id, home, home || '/' || CASE WHEN doc_id % 10 = 0 THEN 'LICENSE' ELSE doc_id || '.txt' END AS path, coalesce(text, '') AS text,
-         string_split(coalesce(text, ''), chr(10)) AS lines
+  SELECT doc_id, home, home || '/' || doc_id || '.txt' AS path, string_split(coalesce(text, ''), chr(10)) AS lines
   FROM (SELECT *, (doc_id // 1000) || '/' || (doc_id // 100) || CASE WHEN doc_id % 100 = 0 THEN '' ELSE '/' || (doc_id // 10) END AS home FROM documents)
 ), pieces AS (
-  SELECT doc_id, -1 AS place, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{licenses.TOKEN}') AS words
-  FROM files WHERE doc_id % 10 = 0
-  UNION ALL
   SELECT doc_id, unnest(range(len(lines))) AS place,
          unnest(list_transform(lines, lambda l: regexp_extract_all(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{licenses.TOKEN}'))) AS words
   FROM files
@@ -201,7 +197,7 @@ WITH files AS (
 ), own AS (
   SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license, place) = 1
 ), declared AS (
-  SELECT home AS directory, license AS said, score AS said_score FROM own JOIN files USING (doc_id) WHERE doc_id % 10 = 0
+  SELECT home AS directory, license AS said, score AS said_score FROM own JOIN files USING (doc_id)
   QUALIFY row_number() OVER (PARTITION BY home ORDER BY score DESC, path) = 1
 ), nearest AS (
   SELECT f.doc_id, d.directory, d.said, d.said_score FROM files f JOIN declared d ON f.home = d.directory OR starts_with(f.home, d.directory || '/')
@@ -216,13 +212,12 @@ FROM files f LEFT JOIN own o USING (doc_id) LEFT JOIN nearest n USING (doc_id)
 
 @query("op6_licenses", LICENSE_SQL)
 def op6_licenses(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents as files in directories of their doc_ids; the first of ten is the directory's LICENSE, the first of a hundred that above."""
+    """Documents as files in directories of ten, the first of a hundred above them; a file's licence speaks for its directory."""
     part = lambda n: F.floor(F.col("doc_id") / n).cast("string")
-    first = lambda n: F.col("doc_id") % n == 0
-    name = F.when(first(10), F.lit("LICENSE")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    path = F.concat_ws("/", part(1000), part(100), F.when(~first(100), part(10)), name)
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
+    path = F.concat_ws("/", part(1000), part(100), F.when(F.col("doc_id") % 100 != 0, part(10)), name)
     files = table(spark, folder, "documents").select("doc_id", path.alias("path"), "text")
-    return licenses.scan(files)
+    return licenses.scan(files, speaks=F.lit(True))
 
 
 #: words of documents and items in order, windows of items, and where documents hold them
