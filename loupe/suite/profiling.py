@@ -69,15 +69,22 @@ def infer_semantic_types_lines(spark, d):
     return profiling.infer_semantic_types(line_gaps(spark, d)).drop("spark_type")
 
 
-#: the first customers have dates, all others a name
+#: the first documents, and the first customers, have dates, all others the source or the name
+LEADING_DOCS = f"""SELECT *, CASE WHEN ref < 300 THEN strftime(DATE '2024-01-01' + CAST(ref AS INT), '%Y-%m-%d') ELSE source END AS due
+  FROM ({DOC_SOURCE})"""
 LEADING = """SELECT c_custkey AS ref, CASE WHEN c_custkey < 300 THEN strftime(DATE '2024-01-01' + CAST(c_custkey AS INT), '%Y-%m-%d') ELSE c_name END AS due
   FROM customer ORDER BY c_custkey"""
 
 
 @query("infer_semantic_types_leading", f"""
-WITH {facts_sql(LEADING, [("ref", "number"), ("due", "text")])} SELECT ordinal, "column", semantic_type FROM typed""")
+SELECT * FROM (WITH {facts_sql(LEADING_DOCS, [*DOC_COLUMNS, ("due", "text")])} SELECT ordinal, "column", semantic_type FROM typed)
+UNION ALL
+SELECT * FROM (WITH {facts_sql(LEADING, [("ref", "number"), ("due", "text")])} SELECT ordinal, "column", semantic_type FROM typed)""")
 def infer_semantic_types_leading(spark, d):
-    return profiling.infer_semantic_types(dated(table(spark, d, "customer"), F.col("c_custkey") < 300).select("ref", "due")).drop("spark_type")
+    day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), F.col("ref").cast("int")), "yyyy-MM-dd")
+    documents = docs(spark, d).withColumn("due", F.when(F.col("ref") < 300, day).otherwise(F.col("source")))
+    customers = dated(table(spark, d, "customer"), F.col("c_custkey") < 300).select("ref", "due")
+    return profiling.infer_semantic_types(documents).unionByName(profiling.infer_semantic_types(customers)).drop("spark_type")
 
 
 def dated(customers, when):

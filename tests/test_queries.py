@@ -32,6 +32,17 @@ def test_gives_rows_on_small_tables(spark, con, name):
     assert compare(spark, con, "/root/testdata/sf0.001", name, QUERIES[name], None) is None
 
 
+def test_leading_dates_decide_no_column(spark, tmp_path):
+    from loupe.suite.profiling import DOC_COLUMNS
+
+    spark.range(400).selectExpr("id AS doc_id", "repeat('word ', 30) || id AS text", "'en' AS lang", "'web' || id % 3 AS source", "id * 7 AS n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(9).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality", "0 AS toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.range(400).selectExpr("id AS c_custkey", "'name ' || id AS c_name").write.parquet(f"{tmp_path}/customer.parquet")
+    rows = QUERIES["infer_semantic_types_leading"](spark, str(tmp_path)).collect()
+    assert sorted((r["ordinal"], r["column"]) for r in rows) == sorted([*enumerate([*[c for c, _ in DOC_COLUMNS], "due"]), (0, "ref"), (1, "due")])
+    assert [r["column"] for r in rows if r["semantic_type"] == "datetime"] == ["written"]
+
+
 def test_sql_has_a_query_for_every_key():
     assert set(SQL) <= set(QUERIES)
 
