@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
@@ -102,6 +103,10 @@ class Clusters:
 
 #: Lloyd steps of every number of clusters, how far a settled centre may still move (scaled), and rows that give the starts
 STEPS, SETTLED, START_ROWS = 40, 1e-4, 2048
+#: shares of the rows that later steps may have to read again, each with the steps that it should last at the centres' pace
+_OPEN = ((0.02, 12), (0.05, 10), (0.1, 6), (0.2, 4))
+#: bytes of the rows that are written as one value, small as Arrow sends up to 10,000 values at once, and rows that are computed together
+_PACK, _TOGETHER = 16 << 10, 8192
 
 
 def distances(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -113,84 +118,210 @@ def distances(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return total
 
 
-def _starts(sample: np.ndarray, numbers: Sequence[int], seed: int) -> dict[int, np.ndarray]:
+def _sample(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The ``START_ROWS`` different rows with the smallest hashes, and how often each comes.
+
+    Copies share a hash, so they are counted before the rows are limited; an
+    estimate of how many different rows there are spares most of them that.
+    """
+    order = F.xxhash64(*vectors.columns)
+    different = vectors.agg(F.approx_count_distinct(order)).first()[0]
+    for part in (2 * START_ROWS / max(different, 1), 1.0):  # hashes are spread evenly over 64 bits
+        low = vectors if part >= 1 else vectors.where(order < F.lit(int((2 * part - 1) * (1 << 63))))
+        counted = low.groupBy(*vectors.columns).agg(F.count("*").alias("_n"))
+        rows = counted.orderBy(order, *vectors.columns).limit(START_ROWS).toPandas().to_numpy(dtype=float)
+        if part >= 1 or len(rows) == START_ROWS:
+            return rows[:, :-1], rows[:, -1]
+
+
+def _starts(sample: np.ndarray, numbers: Sequence[int], seed: int, weights: np.ndarray | None = None) -> dict[int, np.ndarray]:
     """Starting centres for each number: k-means++ and a few steps on the sample.
 
     Copies of one point are one centre, so there may be fewer.
     """
+    weights = np.ones(len(sample)) if weights is None else weights
     starts = {}
     for k in numbers:
         choose = np.random.default_rng(seed)
         centres = sample[[choose.integers(len(sample))]]
         while len(centres) < k:
-            gap = distances(sample, centres).min(axis=1)
+            gap = distances(sample, centres).min(axis=1) * weights
             if not gap.sum() > 0:
                 break
             centres = np.vstack([centres, sample[choose.choice(len(sample), p=gap / gap.sum())]])
         for _ in range(STEPS):
             own = distances(sample, centres).argmin(axis=1)
-            centres = np.array([sample[own == c].mean(axis=0) if (own == c).any() else centres[c] for c in range(len(centres))])
+            centres = np.array([
+                np.average(sample[own == c], axis=0, weights=weights[own == c]) if (own == c).any() else centres[c] for c in range(len(centres))
+            ])
         starts[k] = centres
     return starts
 
 
-def _sums(vectors: DataFrame, make: Callable[[np.ndarray], dict[tuple, float]]) -> dict[tuple[int, int, int], float]:
-    """Totals over all rows of what ``make`` finds in a batch, by (number, cluster, what)."""
+def _packed(vectors: DataFrame) -> DataFrame:
+    """(rows): the vectors' values as doubles, column by column, of many rows in one value.
 
-    def totals(batches: Iterator) -> Iterator:
-        import pandas as pd
+    Every step reads all of them, and values go to Python one by one otherwise.
+    """
+    step = max(1, _PACK // (8 * len(vectors.columns)))
 
-        found: dict[tuple, float] = {}
-        for batch in batches:
-            if len(batch):
-                for key, value in make(batch.to_numpy(dtype=float)).items():
-                    found[key] = found.get(key, 0.0) + value
-        yield pd.DataFrame([(*k, v) for k, v in found.items()], columns=["k", "cluster", "what", "total"])
+    def pack(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    parts = vectors.mapInPandas(totals, "k int, cluster int, what int, total double")
-    rows = parts.groupBy("k", "cluster", "what").agg(F.sum("total").alias("total")).collect()  # a few for each centre and column
-    return {(r["k"], r["cluster"], r["what"]): r["total"] for r in rows}
+        for batch in batches:
+            values = np.array([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            parts = [values[:, i : i + step].tobytes() for i in range(0, batch.num_rows, step)]
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.binary())], ["rows"])
+
+    return vectors.mapInArrow(pack, "rows binary")
+
+
+def _unpacked(batches: Iterator, width: int) -> Iterator[tuple[int | None, np.ndarray]]:
+    """(number, values) of some thousand packed rows at a time; the number is None if there is no column k."""
+    waiting: dict[int | None, list[np.ndarray]] = {}
+    for batch in batches:
+        numbers = batch.column("k").to_pylist() if "k" in batch.schema.names else [None] * batch.num_rows
+        for k, value in zip(numbers, batch.column("rows")):
+            parts = waiting.setdefault(k, [])
+            parts.append(np.frombuffer(value.as_buffer()).reshape(width, -1))
+            if sum(p.shape[1] for p in parts) >= _TOGETHER:
+                yield k, np.concatenate(waiting.pop(k), axis=1)
+    for k, parts in waiting.items():
+        yield k, np.concatenate(parts, axis=1)
+
+
+def _nearest(columns: Sequence[np.ndarray], centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row its nearest centre (the first of equal ones) and the squared distances of that and the next."""
+    nearest, least, second = np.zeros(len(columns[0]), dtype=np.int64), None, np.full(len(columns[0]), np.inf)
+    for c, centre in enumerate(centres):
+        total = np.zeros(len(nearest))
+        for x, m in zip(columns, centre):
+            apart = x - m
+            total += apart * apart
+        if least is None:
+            least = total
+            continue
+        nearest[total < least] = c
+        second = np.minimum(second, np.maximum(total, least))
+        least = np.minimum(total, least)
+    return nearest, least, second
+
+
+def _assigned(packed: DataFrame, centres: dict[int, np.ndarray], margins: dict[int, float]) -> DataFrame:
+    """(k, cluster, n, squares, z0, z1, ..., rows): for each number, of the rows nearest to each centre how many, their squared lengths' sum and their sums.
+
+    Rows whose two nearest centres are at distances within the number's margin
+    aren't summed but packed again, as cluster -1.  If ``packed`` has a column
+    k, its rows count for that number only.
+    """
+    width = next(iter(centres.values())).shape[1]
+    names = ["n", "squares", *[f"z{j}" for j in range(width)]]
+    schema = "k int, cluster int, " + ", ".join(f"{c} double" for c in names) + ", rows binary"
+    step = max(1, _PACK // (8 * width))
+
+    def assign(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def table(rows: list[tuple]):
+            kinds = [pa.int32(), pa.int32(), *[pa.float64()] * (width + 2), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), kinds)], ["k", "cluster", *names, "rows"])
+
+        def pack(k: int, rows: np.ndarray):
+            return table([(k, -1, *[None] * (width + 2), rows[:, i : i + step].tobytes()) for i in range(0, rows.shape[1], step)])
+
+        totals = {k: np.zeros((width + 2, len(own))) for k, own in centres.items()}
+        listed: dict[int, list[np.ndarray]] = {k: [] for k in margins}
+        for number, values in _unpacked(batches, width):
+            squares = sum(x * x for x in values)
+            for k, own in centres.items() if number is None else [(number, centres[number])]:
+                nearest, least, second = _nearest(values, own)
+                weights = [None, squares, *values]
+                if k in margins:
+                    apart = np.sqrt(second) - np.sqrt(least) > margins[k]
+                    listed[k].append(values[:, ~apart])
+                    if sum(p.shape[1] for p in listed[k]) >= _TOGETHER:
+                        yield pack(k, np.concatenate(listed[k], axis=1))
+                        listed[k] = []
+                    nearest, weights = nearest[apart], [None, *[w[apart] for w in weights[1:]]]
+                for total, w in zip(totals[k], weights):
+                    total += np.bincount(nearest, weights=w, minlength=len(own))
+        for k, parts in listed.items():
+            if any(p.shape[1] for p in parts):
+                yield pack(k, np.concatenate(parts, axis=1))
+        found = [(k, c, *total[:, c], None) for k, total in totals.items() for c in range(total.shape[1]) if total[0, c]]
+        if found:
+            yield table(found)
+
+    return packed.mapInArrow(assign, schema)
+
+
+def _added(parts: DataFrame, centres: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """What :func:`_assigned` summed, for each number as (rows, squared lengths, sums of the columns) by cluster."""
+    width = next(iter(centres.values())).shape[1]
+    names = ["n", "squares", *[f"z{j}" for j in range(width)]]
+    rows = parts.where("cluster >= 0").groupBy("k", "cluster").agg(*[F.sum(c).alias(c) for c in names]).collect()  # one for each centre
+    found = {k: np.zeros((width + 2, len(own))) for k, own in centres.items()}
+    for r in rows:
+        found[r["k"]][:, r["cluster"]] = [r[c] for c in names]
+    return found
+
+
+def _moved(packed: DataFrame, centres: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """The same, of all rows."""
+    return _added(_assigned(packed, centres, {}), centres)
 
 
-#: what is summed besides the columns: rows, squared lengths, silhouettes
-_ROWS, _SQUARES, _SHAPE = -1, -2, -3
+@dataclass
+class _Held:
+    """A number's rows, told apart by the centres at the time.
 
+    A row nearer to its centre than to any other by more than ``margin`` keeps
+    it until two centres have moved as far together: these rows are summed
+    once.  The others are listed and assigned anew in every step.
+    """
 
-def _moved(vectors: DataFrame, centres: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each number, of the rows nearest to each centre: how many, the sum of their squared lengths, and their sums."""
+    centres: np.ndarray
+    margin: float
+    totals: np.ndarray
+    parts: DataFrame
 
-    def make(rows: np.ndarray) -> dict[tuple, float]:
-        found, lengths = {}, (rows * rows).sum(axis=1)
-        for k, own in centres.items():
-            nearest = distances(rows, own).argmin(axis=1)
-            n = np.bincount(nearest, minlength=len(own))
-            for what, weights in [(_ROWS, None), (_SQUARES, lengths), *enumerate(rows.T)]:
-                total = n if weights is None else np.bincount(nearest, weights=weights, minlength=len(own))
-                found |= {(k, c, what): float(total[c]) for c in np.flatnonzero(n)}
-        return found
+    def holds(self, centres: np.ndarray) -> bool:
+        return np.sort(np.sqrt(((centres - self.centres) ** 2).sum(axis=1)))[-2:].sum() < self.margin * (1 - 1e-6)
 
-    totals = _sums(vectors, make)
-    width = len(vectors.columns)
-    of = lambda k, what: np.array([totals.get((k, c, what), 0.0) for c in range(len(centres[k]))])
-    return {k: (of(k, _ROWS), of(k, _SQUARES), np.column_stack([of(k, j) for j in range(width)])) for k in centres}
 
+def _margin(sample: np.ndarray, weights: np.ndarray, centres: np.ndarray, pace: float | None) -> float | None:
+    """A margin that few rows are within and that lasts for some steps; None if there is none.
 
-def _silhouettes(vectors: DataFrame, centres: dict[int, np.ndarray], sums: dict[int, tuple], n: int) -> dict[int, float | None]:
+    The sample tells how many rows these may be, nothing else depends on it.
+    """
+    if pace is None or len(centres) < 2:
+        return None
+    two = np.sqrt(np.sort(distances(sample, centres), axis=1)[:, :2])
+    gaps = two[:, 1] - two[:, 0]
+    order = np.argsort(gaps)
+    below = np.cumsum(weights[order]) / weights.sum()
+    for share, steps in _OPEN:
+        margin = float(gaps[order][min(np.searchsorted(below, share), len(gaps) - 1)])
+        if margin >= max(2 * steps * pace, 4 * SETTLED):
+            return margin
+    return None
+
+
+def _silhouettes(packed: DataFrame, centres: dict[int, np.ndarray], sums: dict[int, tuple], n: int) -> dict[int, float | None]:
     """Mean silhouette for each number, by squared distance.
 
     A row's mean squared distance to the rows of a cluster follows from the
     cluster's size, sum and squared lengths, so no two rows ever meet.
     """
 
-    def make(rows: np.ndarray) -> dict[tuple, float]:
-        found, lengths = {}, (rows * rows).sum(axis=1)[:, None]
-        at = np.arange(len(rows))
+    def shapes(rows: np.ndarray) -> Iterator[tuple[int, float]]:
+        lengths, at = (rows * rows).sum(axis=1)[:, None], np.arange(len(rows))
         for k, own in centres.items():
             size, squares, total = sums[k]
             filled = size > 0
             if filled.sum() < 2:
                 continue
-            nearest = distances(rows, own).argmin(axis=1)
+            nearest = _nearest(rows.T, own)[0]
             safe = np.where(filled, size, 1.0)
             mean = np.where(filled, lengths + squares / safe - 2 * rows @ (total / safe[:, None]).T, np.inf)
             alone = size[nearest] <= 1
@@ -199,35 +330,71 @@ def _silhouettes(vectors: DataFrame, centres: dict[int, np.ndarray], sums: dict[
             outside = np.maximum(mean.min(axis=1), 0)
             larger = np.maximum(inside, outside)
             shape = np.where(alone | (larger == 0), 0.0, (outside - inside) / np.where(larger > 0, larger, 1.0))
-            found[k, 0, _SHAPE] = float(shape.sum())
-        return found
+            yield k, float(shape.sum())
 
-    totals = _sums(vectors, make)
-    return {k: totals[k, 0, _SHAPE] / n if (k, 0, _SHAPE) in totals else None for k in centres}
+    def totals(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        found: dict[int, float] = {}
+        for _, values in _unpacked(batches, width):
+            for k, total in shapes(values.T):
+                found[k] = found.get(k, 0.0) + total
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(list(found.values()), pa.float64())], ["k", "total"])
+
+    width = next(iter(centres.values())).shape[1]
+    rows = packed.mapInArrow(totals, "k int, total double").groupBy("k").agg(F.sum("total").alias("total")).collect()  # one for each number
+    found = {r["k"]: r["total"] for r in rows}
+    return {k: found[k] / n if k in found else None for k in centres}
 
 
 def k_means(vectors: DataFrame, numbers: Sequence[int], n: int, seed: int = 42, steps: int = STEPS):
     """(centres, sums, silhouettes) for each number of clusters, all fitted in the same passes.
 
-    The starts come from ``START_ROWS`` rows, those with the smallest hashes;
-    every step, the sizes and the silhouettes come from all rows.  A number
-    whose centres have settled leaves the later passes.
+    The starts come from ``START_ROWS`` different rows, those with the smallest
+    hashes; every step, the sizes and the silhouettes come from all rows.  A
+    number whose centres have settled leaves the later passes.  Once a number's
+    centres move little, its steps read only the rows near the borders of two
+    clusters, as the sums of all others stay (see :class:`_Held`).
     """
-    sample = vectors.orderBy(F.xxhash64(*vectors.columns), *vectors.columns).limit(START_ROWS).toPandas().to_numpy(dtype=float)
-    centres = _starts(sample, numbers, seed)
+    sample, weights = _sample(vectors)
+    packed = durable(_packed(spread(vectors)))  # read by every step
+    centres = _starts(sample, numbers, seed, weights)
     moving, sums = dict(centres), {}
+    held: dict[int, _Held] = {}
+    pace: dict[int, float] = {}
     for _ in range(steps):
         if not moving:
             break
-        for k, found in _moved(vectors, moving).items():
-            size, _, total = found
+        held = {k: h for k, h in held.items() if k in moving and h.holds(moving[k])}
+        found = {}
+        whole = {k: c for k, c in moving.items() if k not in held}
+        if whole:
+            margins = {k: m for k, c in whole.items() if (m := _margin(sample, weights, c, pace.get(k))) is not None}
+            if margins:
+                parts = durable(_assigned(packed, whole, margins))
+                found = _added(parts, whole)
+                held |= {k: _Held(whole[k], margin, found[k], parts) for k, margin in margins.items()}
+            else:
+                found = _moved(packed, whole)
+        if held:
+            again = {k: moving[k] for k in held}
+            tables = {id(h.parts): h.parts for h in held.values()}  # numbers that were told apart in one pass share one
+            listed = reduce(DataFrame.unionAll, [
+                parts.where((F.col("cluster") == -1) & F.col("k").isin([k for k, h in held.items() if h.parts is parts])).select("k", "rows")
+                for parts in tables.values()
+            ])
+            near = _moved(listed, again)
+            found |= {k: h.totals + near[k] for k, h in held.items()}
+        for k, (size, squares, *total) in found.items():
+            total = np.column_stack(total)
             means = np.where(size[:, None] > 0, total / np.where(size > 0, size, 1.0)[:, None], moving[k])
-            centres[k], sums[k] = moving[k], found  # the sums are those of the rows nearest to these centres
-            if np.sqrt(((means - moving[k]) ** 2).sum(axis=1)).max() <= SETTLED:
+            centres[k], sums[k] = moving[k], (size, squares, total)  # the sums are those of the rows nearest to these centres
+            pace[k] = float(np.sqrt(((means - moving[k]) ** 2).sum(axis=1)).max())
+            if pace[k] <= SETTLED:
                 del moving[k]
             else:
                 moving[k] = means
-    return centres, sums, _silhouettes(vectors, centres, sums, n)
+    return centres, sums, _silhouettes(packed, centres, sums, n)
 
 
 def cluster_analysis(
@@ -251,7 +418,7 @@ def cluster_analysis(
         raise ValueError("clusters need ten complete rows")
     scaled = _scaled(found)
     zs = [f"z{i}" for i in range(len(names))]
-    vectors = durable(spread(known.select(*[z.alias(n) for n, z in zip(zs, scaled)])))  # read by every step
+    vectors = known.select(*[z.alias(n) for n, z in zip(zs, scaled)])
     numbers = [n_clusters] if n_clusters is not None else list(range(2, min(max_clusters, found.n // 2) + 1))
     fitted, sums, scores = k_means(vectors, numbers, found.n, seed, steps)
     best = max(numbers, key=lambda k: -2 if scores[k] is None else scores[k])

@@ -388,11 +388,14 @@ def invariants(found, rows, names):
         F.sum(F.coalesce(off, F.lit(1))).alias("wrong_centres"),
     )
     spread = found.assignments.agg(*[F.stddev_pop(c).alias(f"s_{c}") for c in names])
-    centres = found.clusters.select(F.col("cluster").alias("other"), *[F.col(c).alias(f"c_{c}") for c in names])
-    apart = sum((((F.col(c) - F.col(f"c_{c}")) / F.col(f"s_{c}")) ** 2 for c in names), F.lit(0.0))
-    # every row beside each of the few centres
-    beside = found.assignments.crossJoin(F.broadcast(spread)).crossJoin(F.broadcast(centres)).withColumn("d", apart)
-    near = beside.groupBy("row").agg(F.min("d").alias("least"), F.max(F.when(F.col("other") == F.col("cluster"), F.col("d"))).alias("own"))
+    # every row beside each of the few centres, which travel as one row
+    centres = found.clusters.agg(F.collect_list(F.struct("cluster", *[F.col(c).alias(f"c_{c}") for c in names])).alias("centres"))
+    apart = lambda centre: sum((((F.col(c) - centre[f"c_{c}"]) / F.col(f"s_{c}")) ** 2 for c in names), F.lit(0.0))
+    beside = found.assignments.crossJoin(F.broadcast(spread)).crossJoin(F.broadcast(centres))
+    near = beside.select(
+        F.array_min(F.transform("centres", apart)).alias("least"),
+        F.array_max(F.transform("centres", lambda centre: F.when(centre["cluster"] == F.col("cluster"), apart(centre)))).alias("own"),
+    )
     far = near.agg(F.sum(F.when(F.col("own") > F.col("least") + 1e-3, 1).otherwise(0)).alias("far_rows"))
     return rows.agg(F.count("*").alias("rows")).crossJoin(sizes).crossJoin(far)
 

@@ -538,6 +538,34 @@ def test_clusters_of_few_points(spark):
     assert same.n_clusters == 1 and same.silhouette is None and same.clusters.first()["size"] == 20
 
 
+def test_clusters_start_from_different_rows(spark):
+    # each point has more copies than rows are taken for the starts
+    df = spark.range(6 * 2500).selectExpr("CAST(id % 6 AS DOUBLE) AS x", "CAST((id % 6) * (id % 6) AS DOUBLE) AS y")
+    found = multivariate.cluster_analysis(df, ["x", "y"], 6)
+    assert found.n_clusters == 6 and found.silhouette == pytest.approx(1.0)
+    assert {r["size"] for r in found.clusters.collect()} == {2500}
+
+
+def test_late_steps_read_few_rows(spark, monkeypatch):
+    rows, moved = [], multivariate._moved
+
+    def counted(packed, centres):
+        rows.append(packed.agg(F.sum(F.length("rows") / 16)).first()[0] or 0)
+        return moved(packed, centres)
+
+    monkeypatch.setattr(multivariate, "_moved", counted)
+    x = np.random.default_rng(3).uniform(size=(20_000, 2))
+    found = multivariate.cluster_analysis(spark.createDataFrame(pd.DataFrame(x, columns=["x", "y"])), ["x", "y"], 4, steps=100)
+    assert rows[0] == 20_000 and max(rows[-3:]) < 5_000  # the others keep their cluster
+    # the same centres as whole steps from them give
+    own = found.clusters.orderBy("cluster").toPandas()
+    z, centres = x / x.std(axis=0), own[["x", "y"]].to_numpy() / x.std(axis=0)
+    nearest = ((z[:, None] - centres) ** 2).sum(axis=2).argmin(axis=1)
+    assert np.abs(np.bincount(nearest, minlength=4) - own["size"].to_numpy()).max() <= 20
+    means = np.array([z[nearest == c].mean(axis=0) for c in range(4)])
+    assert np.abs(means - centres).max() < 1e-3
+
+
 def test_clusters_of_separate_blobs(spark):
     rng = np.random.default_rng(7)
     centres = [(0, 0), (50, 0), (0, 500)]
