@@ -36,16 +36,21 @@ def missing_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     return totals.withColumn("missing_pct", share(F.col("missing_cells"), F.col("total_cells")))
 
 
-def profile_duplicates(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
-    """One row: rows, and the rows that have a copy among them."""
+def profile_duplicates(df: DataFrame, subset: Sequence[str] | None = None, repeated: DataFrame | None = None) -> DataFrame:
+    """One row: rows, and the rows that have a copy among them.
+
+    ``repeated`` gives the repeated groups if they are known.
+    """
     rows = df.agg(F.count("*").alias("total_rows"))
-    copies = repeated_groups(df, subset).agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("duplicate_rows"))
+    copies = (repeated_groups(df, subset) if repeated is None else repeated).agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("duplicate_rows"))
     return attach_row(rows, copies).withColumn(
         "duplicate_pct", F.coalesce(share(F.col("duplicate_rows"), F.col("total_rows")), F.lit(0.0))
     )
 
 
-def duplicate_sample(df: DataFrame, subset: Sequence[str] | None = None, limit: int = 20) -> DataFrame:
+def duplicate_sample(
+    df: DataFrame, subset: Sequence[str] | None = None, limit: int = 20, repeated: DataFrame | None = None
+) -> DataFrame:
     """The values that are repeated most often, with ``copies``."""
     names = list(subset) if subset is not None else df.columns
-    return repeated_groups(df, subset).orderBy(F.desc("copies"), *names).limit(limit)
+    return (repeated_groups(df, subset) if repeated is None else repeated).orderBy(F.desc("copies"), *names).limit(limit)

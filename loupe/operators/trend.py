@@ -164,7 +164,8 @@ def moving_average(
     )
 
 
-def _decomposed(df: DataFrame, date_col: str, metric: str, period: int, tie_by: Sequence[str], partition_by: Sequence[str], freq: str | None) -> DataFrame:
+def decomposed(df: DataFrame, date_col: str, metric: str, period: int, tie_by: Sequence[str], partition_by: Sequence[str], freq: str | None) -> DataFrame:
+    """The series in order with trend, season and residual; the sorted rows are written once."""
     if freq is not None:
         if partition_by:
             raise ValueError("resampling works on one series")
@@ -191,15 +192,16 @@ def _decomposed(df: DataFrame, date_col: str, metric: str, period: int, tie_by:
 
 def timeseries_decompose(
     df: DataFrame, date_col: str, metric: str, period: int = 12, tie_by: Sequence[str] = (),
-    partition_by: Sequence[str] = (), freq: str | None = None,
+    partition_by: Sequence[str] = (), freq: str | None = None, parts: DataFrame | None = None,
 ) -> DataFrame:
     """(keys, date, ties, original, trend, seasonal, residual) of rows in date order.
 
     The trend is a centred moving average, the season the mean distance from it
     at each place of the period.  ``freq`` sums the rows per period of time
-    first.  A series shorter than two periods gives no rows.
+    first.  A series shorter than two periods gives no rows.  ``parts`` are
+    those of :func:`decomposed` if they are known.
     """
-    parts = _decomposed(df, date_col, metric, period, tie_by, partition_by, freq)
+    parts = parts if parts is not None else decomposed(df, date_col, metric, period, tie_by, partition_by, freq)
     return parts.select(
         *[col(c) for c in partition_by], F.col("d").alias("date"), *[col(c) for c in (() if freq else tie_by)],
         F.col("v").alias("original"), "trend", "seasonal", "residual",
@@ -208,13 +210,14 @@ def timeseries_decompose(
 
 def decompose_stats(
     df: DataFrame, date_col: str, metric: str, period: int = 12, tie_by: Sequence[str] = (),
-    partition_by: Sequence[str] = (), freq: str | None = None,
+    partition_by: Sequence[str] = (), freq: str | None = None, parts: DataFrame | None = None,
 ) -> DataFrame:
     """One row per series: strength of the season and direction of the trend.
 
-    The direction compares the first and last known trend.
+    The direction compares the first and last known trend.  ``parts`` are those
+    of :func:`decomposed` if they are known.
     """
-    parts = _decomposed(df, date_col, metric, period, tie_by, partition_by, freq)
+    parts = parts if parts is not None else decomposed(df, date_col, metric, period, tie_by, partition_by, freq)
     place = F.when(F.col("trend").isNotNull(), F.col(POSITION))
     keys = [col(c) for c in partition_by]
     grouped = parts.groupBy(*keys) if keys else parts.groupBy()

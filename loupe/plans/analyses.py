@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from loupe.operators import distribution, multivariate, prepare, quality, relationship, trend
+from loupe.operators.profiling import repeated_groups
+from loupe.session import durable
 
 Tables = dict[str, DataFrame]
 
@@ -131,9 +133,10 @@ def timeseries_line(df, date_col: str, metric_col: str, freq: str = "auto") -> T
 def timeseries_decompose(
     df, date_col: str, metric_col: str, period: int = 12, tie_by: Sequence[str] = (), partition_by: Sequence[str] = (), freq: str | None = None,
 ) -> Tables:
+    parts = trend.decomposed(df, date_col, metric_col, period, tie_by, partition_by, freq)  # sorted once for both
     return {
-        "stats": trend.decompose_stats(df, date_col, metric_col, period, tie_by, partition_by, freq),
-        "table": trend.timeseries_decompose(df, date_col, metric_col, period, tie_by, partition_by, freq),
+        "stats": trend.decompose_stats(df, date_col, metric_col, period, tie_by, partition_by, freq, parts),
+        "table": trend.timeseries_decompose(df, date_col, metric_col, period, tie_by, partition_by, freq, parts),
     }
 
 
@@ -178,7 +181,11 @@ def profile_missing(df, columns: Sequence[str] | None = None) -> Tables:
 
 @analysis("quality", "table")
 def profile_duplicates(df, subset: Sequence[str] | None = None) -> Tables:
-    return {"stats": quality.profile_duplicates(df, subset), "table": quality.duplicate_sample(df, subset)}
+    repeated = durable(repeated_groups(df, subset))  # grouped once for both
+    return {
+        "stats": quality.profile_duplicates(df, subset, repeated),
+        "table": quality.duplicate_sample(df, subset, repeated=repeated),
+    }
 
 
 @analysis("trend", "table")

@@ -261,6 +261,35 @@ def test_kde_against_brute_force(spark):
     assert np.allclose([r.density for r in rows], expected)
 
 
+def test_density_of_many_values(spark):
+    # a kernel reaches a few of the grid's points, all of them, or lies between two
+    for values in (np.random.default_rng(1).normal(size=3000), np.arange(5.0), np.append(np.random.default_rng(2).normal(size=3000), [1e6])):
+        rows = distribution.kde(table(spark, {"v": values.tolist()}), "v").orderBy("x").collect()
+        width = values.std(ddof=1) * len(values) ** (-1 / 5)
+        grid = np.linspace(values.min(), values.max(), 200)
+        expected = np.exp(-0.5 * ((grid[:, None] - values) / width) ** 2).sum(axis=1) / (len(values) * width * np.sqrt(2 * np.pi))
+        assert np.allclose([r.density for r in rows], expected, rtol=1e-9, atol=1e-300)
+
+
+def test_a_plan_sorts_and_groups_once_for_both_tables(spark, monkeypatch):
+    from loupe.plans import analyses
+
+    calls, sort, group = [], trend.with_position, analyses.repeated_groups
+    monkeypatch.setattr(trend, "with_position", lambda *a, **k: calls.append("sort") or sort(*a, **k))
+    counted = lambda *a, **k: calls.append("group") or group(*a, **k)
+    for module in (analyses, quality):
+        monkeypatch.setattr(module, "repeated_groups", counted)
+    df = spark.range(60).selectExpr("timestamp_seconds(id * 86400) AS d", "CAST(id % 7 AS DOUBLE) AS v")
+    steps = run.run_plan(df, [
+        {"function": "timeseries_decompose", "params": {"date_col": "d", "metric_col": "v"}},
+        {"function": "profile_duplicates", "params": {"subset": ["v"]}},
+    ])
+    stats, copies = steps[0].tables["stats"].first(), steps[1].tables["stats"].first()
+    assert stats.n_points == 60 and steps[0].tables["table"].count() == 60
+    assert copies.duplicate_rows == 60 and steps[1].tables["table"].count() == 7
+    assert sorted(calls) == ["group", "sort"]
+
+
 def test_shapiro_wilk_published_example(spark):
     weights = [148.0, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236]
     row = distribution.shapiro_wilk(table(spark, {"v": [float(w) for w in weights]}), "v").first()
